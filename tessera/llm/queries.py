@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .ann import nearest
+from .bpe import encode_documents, token_digests
 from .chunks import repeated_passages
 from .common import crc_mod, table
 from .langid import fit, predict_language
@@ -42,6 +43,17 @@ def op6_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(table(spark, sf_dir, "documents"))
 
 
+def vocabulary() -> str:
+    """The byte-level vocabulary of the public tokenizers package; the file is the same on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_digests(encode_documents(table(spark, sf_dir, "documents"), vocabulary()), vocabulary())
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fitted where crc32 of the id mod 5 is not 0; a null id is not held out and not learned from."""
     docs = table(spark, sf_dir, "documents")
@@ -60,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_mixing": op4_mixing,
     "op5_nearest": op5_nearest,
     "op6_passages": op6_passages,
+    "op7_bpe": op7_bpe,
     "op9_language": op9_language,
     "op10_licenses": op10_licenses,
 }

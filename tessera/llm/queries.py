@@ -11,6 +11,7 @@ from .ann import nearest
 from .bpe import encode_documents, token_digests
 from .chunks import repeated_passages
 from .common import crc_mod, table
+from .jaccard import jaccard_components
 from .langid import fit, predict_language
 from .licenses import scan_licenses
 from .media import media_features, with_media
@@ -54,6 +55,10 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(encode_documents(table(spark, sf_dir, "documents"), vocabulary()), vocabulary())
 
 
+def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"), words=4, percent=85)
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fitted where crc32 of the id mod 5 is not 0; a null id is not held out and not learned from."""
     docs = table(spark, sf_dir, "documents")
@@ -73,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_nearest": op5_nearest,
     "op6_passages": op6_passages,
     "op7_bpe": op7_bpe,
+    "op8_jaccard": op8_jaccard,
     "op9_language": op9_language,
     "op10_licenses": op10_licenses,
 }

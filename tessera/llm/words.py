@@ -89,7 +89,7 @@ def split_block(raws: list[bytes], split: Split) -> tuple[pa.Array, np.ndarray,
     return coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int32), np.concatenate(counts).astype(np.int32) if counts else np.zeros(0, np.int32)
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, pa.RecordBatch, list[bytes]]]:
+def text_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, pa.RecordBatch, list[bytes]]]:
     """(name, slice of the batch, its texts as UTF-8; null: empty)."""
     for batch in batches:
         raws, a = [x or b"" for x in batch.column(1).to_pylist()], 0
@@ -112,7 +112,7 @@ def streams(df: DataFrame, id_col: str, text_col: str, split: Split, flag: objec
     """(block, ids array, flags, counts, codes): one row a block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for name, part, raws in _blocks(batches):
+        for name, part, raws in text_blocks(batches):
             _, codes, counts = split_block(raws, split)
             ids = pa.ListArray.from_arrays(pa.array([0, len(raws)], pa.int32()), part.column(0))
             flags = np.array([bool(x) for x in part.column(2).to_pylist()])
@@ -130,7 +130,7 @@ def dictionaries(df: DataFrame, id_col: str, text_col: str, split: Split, n_buck
     """(bucket, block, codes, words, flagged): the distinct words of a block that fall into a bucket; flagged counts tokens in documents with the flag."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for name, part, raws in _blocks(batches):
+        for name, part, raws in text_blocks(batches):
             words, codes, counts = split_block(raws, split)
             flags = np.array([bool(x) for x in part.column(2).to_pylist()])
             flagged = np.bincount(codes[np.repeat(flags, counts)], minlength=len(words)).astype(np.int64)

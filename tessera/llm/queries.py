@@ -14,6 +14,7 @@ from .common import crc_mod, table
 from .jaccard import jaccard_components
 from .langid import fit, predict_language
 from .licenses import scan_licenses
+from .lm import score_documents
 from .media import media_features, with_media
 from .mixing import oracle as mixing_sql
 from .mixing import poisson_replicate
@@ -23,6 +24,14 @@ from .secrets import scan_secrets
 WEIGHTS = {"src0": 2.0, "src1": 3.0, "src2": 0.5, "src3": 1.5}
 
 
+def op1_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learned where crc32 of the id mod 7 is not 2; a null id is not held out and not learned from."""
+    rest = crc_mod(F.col("doc_id"), 7)
+    out = score_documents(table(spark, sf_dir, "documents"), rest != 2)
+    held_out = F.coalesce(rest == 2, F.lit(False)).alias("held_out")
+    return out.select("doc_id", held_out, *out.columns[2:])
+
+
 def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_features(with_media(table(spark, sf_dir, "documents")))
 
@@ -72,6 +81,7 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_lm": op1_lm,
     "op2_media": op2_media,
     "op3_secrets": op3_secrets,
     "op4_mixing": op4_mixing,

@@ -1,5 +1,63 @@
-"""Corpus pipeline."""
-STAGES = []
+"""Corpus pipeline: language ID, near duplicates, secrets, source mixing, BPE ids.
+
+Each stage takes (spark, docs, sf_dir) and gives the documents that go on; run() writes each stage's
+documents as Parquet in the shared folder and reads them again for the next.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.llm.bpe import encode_documents
+from tessera.llm.common import crc_mod, table, written
+from tessera.llm.jaccard import jaccard_components
+from tessera.llm.langid import UNDETERMINED, fit, predict_language
+from tessera.llm.mixing import poisson_replicate
+from tessera.llm.queries import WEIGHTS, vocabulary
+from tessera.llm.secrets import redact_secrets
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Least probability of the predicted language with which a document stays.
+LEAST_SCORE = 0.5
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is told with LEAST_SCORE or more stay; those without a letter or with a mix go. Columns as before."""
+    net = fit(docs.filter(crc_mod(F.col("doc_id"), 5) != 0))
+    told = predict_language(docs, net, keep=("text", "lang", "source", "n_chars"))
+    return told.filter((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= LEAST_SCORE)).select(*COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates (five words, 0.8) stays: the one with the smallest id, once. Without an id, one row of each text stays."""
+    groups = jaccard_components(docs.select("doc_id", "text"), words=5, percent=80)
+    gone = groups.filter("component_id < doc_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS).dropDuplicates(["doc_id", "text"])
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document stays; reported secrets are replaced in its text, and n_chars follows."""
+    return redact_secrets(docs.select(*COLUMNS)).withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("long")))
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents repeated to the sources' target weights and shuffled; copies are rows alike."""
+    return poisson_replicate(docs, WEIGHTS).select(*COLUMNS)
+
+
+def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, ids): each document's ids; copies stay."""
+    return encode_documents(docs, vocabulary())
+
+
+STAGES = [("language", language), ("near_duplicates", near_duplicates), ("secrets", secrets), ("mixing", mixing), ("bpe", bpe)]
+#: A trained network and BPE can't be expressed in SQL; tests hold the pipeline against plain Python.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

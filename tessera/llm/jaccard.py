@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
@@ -154,7 +154,7 @@ def ordered_sets(sets: DataFrame, n_buckets: int, least: float) -> DataFrame:
 
     def rank(group: pa.Table) -> pa.Table:
         hashes, n, edges = _frequencies(group, np.uint64)
-        keys = (np.log2(n).astype(np.uint64) << np.uint64(57)) | (hashes & np.uint64((1 << 57) - 1))
+        keys = ((4 * np.log2(n)).astype(np.uint64) << np.uint64(56)) | (hashes & np.uint64((1 << 56) - 1))
         found = []
         for owners, a, b in zip(group.column("owners").to_pylist(), edges[:-1], edges[1:], strict=True):
             two = n[a:b] > 1
@@ -268,22 +268,29 @@ def grown(sets: DataFrame, percent: int) -> DataFrame:
             for n, x in zip(ns, batch.column(2).to_pylist(), strict=True):
                 keys = np.frombuffer(x, np.int64)
                 lead.append(keys[: len(keys) - -(-percent * n // 100) + 1])
-            sizes = [len(x) for x in lead]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(lead)), pa.array(np.repeat(np.array(ids, np.int64), sizes)), pa.array(np.repeat(np.array(ns, np.int64), sizes))], ["gram", "id", "n"])
-
-    rows = sets.mapInArrow(firsts, "gram long, id long, n long")
-    pivots = rows.groupBy("gram").agg(F.min(F.struct("id", "n")).alias("p"), F.count(F.lit(1)).alias("many")).filter("many > 1")
-    under = written(rows.join(pivots.select("gram", F.col("p.id").alias("pivot"), F.col("p.n").alias("pivot_n")), "gram"), "grams")
-    near = (F.lit(100) * F.least("n", "other_n") >= F.lit(percent) * F.greatest("n", "other_n"))
-    first = under.filter("id != pivot").withColumnRenamed("pivot_n", "other_n").filter(near).select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct()
+            sizes, whole = [len(x) for x in lead], [len(x) // 8 for x in batch.column(2).to_pylist()]
+            rest = np.concatenate([w - np.arange(k) for w, k in zip(whole, sizes, strict=True)])
+            cols = [np.concatenate(lead), *(np.repeat(np.array(x, np.int64), sizes) for x in (ids, ns)), rest, np.repeat(np.array(ns, np.int64) - np.array(whole, np.int64), sizes)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["gram", "id", "n", "rest", "alone"])
+
+    # rest: how many of the text's n-grams come from this one on. Texts that link can make up the overlap
+    # from the first n-gram that both have on, so pairs are dropped where that can't be.
+    def reach(n: Column, rest: Column, m: Column, left: Column) -> Column:
+        return F.lit(100 + percent) * F.least(rest, left) >= F.lit(percent) * (n + m)
+
+    rows = sets.mapInArrow(firsts, "gram long, id long, n long, rest long, alone long")
+    # The pivot is the text with the smallest share of n-grams of its own, which is the nearest to most copies.
+    pivots = rows.groupBy("gram").agg(F.min(F.struct((F.col("alone") / F.col("n")).alias("share"), "id", "n", "rest")).alias("p"), F.count(F.lit(1)).alias("many")).filter("many > 1")
+    under = written(rows.join(pivots.select("gram", F.col("p.id").alias("pivot"), F.col("p.n").alias("pivot_n"), F.col("p.rest").alias("pivot_rest")), "gram"), "grams")
+    first = under.filter(F.col("id") != F.col("pivot")).filter(reach(F.col("n"), F.col("rest"), F.col("pivot_n"), F.col("pivot_rest"))).select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct()
     edges = written(tested(first, sets, percent), "links")
     known = written(components(edges), "components")
     label = under.join(known, "id", "left").withColumn("component", F.coalesce("component", "id"))
     label = label.join(known.select(F.col("id").alias("pivot"), F.col("component").alias("home")), "pivot", "left").withColumn("home", F.coalesce("home", "pivot"))
-    label = written(label.select("gram", "id", "n", "component", "home", "pivot"), "labels")
-    outside = label.filter("component != home and id != pivot").select("gram", F.col("id").alias("a"), F.col("n").alias("other_n"), F.col("component").alias("ca"))
-    rest = outside.join(label.filter("id != pivot"), "gram").filter((F.col("ca") != F.col("component")) & near)
-    second = rest.select(F.greatest("a", "id").alias("a"), F.least("a", "id").alias("b")).distinct()
+    label = written(label.filter("id != pivot").select("gram", "id", "n", "rest", "component", "home"), "labels")
+    outside = label.filter("component != home").select("gram", F.col("id").alias("a"), F.col("n").alias("m"), F.col("rest").alias("left"), F.col("component").alias("ca"))
+    apart = outside.join(label, "gram").filter((F.col("ca") != F.col("component")) & reach(F.col("n"), F.col("rest"), F.col("m"), F.col("left")))
+    second = apart.select(F.greatest("a", "id").alias("a"), F.least("a", "id").alias("b")).distinct()
     more = written(tested(second, sets, percent), "links")
     return components(edges.unionByName(more))
 

@@ -4,8 +4,8 @@ A vector's direction is rotated and kept as sign bits with two scalars: its leng
 product of the code with the rotated direction. A query is rotated and cut into bit planes; AND
 and popcount over packed words give an unbiased estimate of every inner product, with an error
 bound that depends on the stored scalar. Vectors whose upper bound reaches the k-th best are
-reranked with exact inner products. Queries and candidates meet in blocks; each pair of blocks is
-one row of a join, so work spreads over all pairs.
+reranked with exact inner products. Queries and candidates meet in blocks; a task takes a block
+of queries through its share of the candidates' blocks and gives k results a query.
 """
 
 from __future__ import annotations
@@ -89,6 +89,15 @@ def search_block(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, ve
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
+def best_of(query: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each query's k largest scores, smaller ids first on a tie."""
+    order = np.lexsort((ids, -scores, query))
+    query, ids, scores = query[order], ids[order], scores[order]
+    first = np.flatnonzero(np.append(True, query[1:] != query[:-1])) if len(query) else np.zeros(0, np.int64)
+    kept = np.arange(len(query)) - np.repeat(first, np.diff(np.append(first, len(query)))) < k
+    return query[kept], ids[kept], scores[kept]
+
+
 def usable(vec: Column) -> Column:
     """Not null, not empty, without null or non-finite components, not all zero."""
     value = lambda x: x.cast("double")
@@ -126,19 +135,23 @@ def nearest(candidates: DataFrame, queries: DataFrame, k: int = 20, id_col: str
     rows, asked = rows.filter(F.size("vec") == dim), asked.filter(F.size("vec") == dim).dropDuplicates(["id"])
     n_rows, n_asked = -(-n // candidate_block), max(1, -(-asked.count() // query_block))
     spread = lambda count: F.pmod(F.xxhash64("id", "vec"), F.lit(count)).cast("int")
-    left = _blocks(rows.withColumn("b", spread(n_rows)), "b").select(F.col("block").alias("cb"), "ids", "vecs").withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_asked - 1))))
-    right = _blocks(asked.withColumn("b", spread(n_asked)), "b").select(F.col("block").alias("qb"), F.col("ids").alias("q_ids"), F.col("vecs").alias("q_vecs")).withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(n_rows - 1))))
+    # Each task takes one block of queries through its share of the candidates, and keeps k a query.
+    shares = max(1, min(n_rows, int(spark.conf.get("spark.sql.shuffle.partitions")) // n_asked))
+    left = _blocks(rows.withColumn("b", spread(n_rows)), "b").select(F.pmod("block", F.lit(shares)).alias("share"), "ids", "vecs").withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_asked - 1))))
+    right = _blocks(asked.withColumn("b", spread(n_asked)), "b").select(F.col("block").alias("qb"), F.col("ids").alias("q_ids"), F.col("vecs").alias("q_vecs")).withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        turn = rotation(dim, seed)
+        turn, best = rotation(dim, seed), {}
         for batch in batches:
             for row in batch.to_pylist():
                 ids, q_ids = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["q_ids"], np.int64)
                 vecs, q_vecs = np.frombuffer(row["vecs"]).reshape(-1, dim), np.frombuffer(row["q_vecs"]).reshape(-1, dim)
                 found = search_block(q_ids, q_vecs, ids, vecs, turn, k)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["query_id", "vec_id", "score"])
+                best[row["qb"]] = best_of(*(np.concatenate(x) for x in zip(best.get(row["qb"], found), found if row["qb"] in best else tuple(x[:0] for x in found), strict=True)), k)
+        for found in best.values():
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["query_id", "vec_id", "score"])
 
-    pairs = left.hint("shuffle_hash").join(right, ["cb", "qb"]).select("ids", "vecs", "q_ids", "q_vecs")
+    pairs = left.join(right.hint("shuffle_hash"), ["share", "qb"]).select("qb", "ids", "vecs", "q_ids", "q_vecs")
     local = pairs.mapInArrow(run, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return local.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -1,7 +1,7 @@
 """Secret scans: fixed patterns plus strings that a dictionary-primed zstandard can't shorten.
 
-A candidate is a run of 16 or more key characters that follows a sensitive word closely. Its
-novelty is the number of bytes that it adds to the compressed form of its surroundings, with a
+A candidate is a run of 16 or more key characters that follows a sensitive word closely; in
+NAME=value the run is cut at '=' and the name counts as what stands before the value. Its novelty is the number of bytes that it adds to the compressed form of its surroundings, with a
 dictionary of common identifiers loaded; per character that nears the entropy of random keys,
 while words that the surroundings or the dictionary hold cost almost nothing.
 """
@@ -23,8 +23,13 @@ ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{16,}")
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{16,}")
+#: What '=' cuts a run into; its padding stays with a value. Values after a name count from as many characters as assigned ones.
+PIECE, VALUE = re.compile(r"[^=]+=*"), 12
+#: Names of several words in one letter case.
+NAME = re.compile(r"[-.]*(?:[A-Z][A-Z0-9]*(?:[_.-]+[A-Z0-9]+)+|[a-z][a-z0-9]*(?:[_.-]+[a-z0-9]+)+)=+")
 KEYWORDS = ("password", "passwd", "secret", "token", "api")
-SENSITIVE = ("password", "passwd", "secret", "token", "api_key", "apikey", "api key", "credential", "private key", "bearer", "authorization")
+#: In lower case, '_' and '-' read as blanks.
+SENSITIVE = ("password", "passwd", "secret", "token", "apikey", "api key", "credential", "private key", "privatekey", "bearer", "authorization")
 #: Names that code and configuration around keys are full of.
 IDENTIFIERS = (
     "import from return const static public private class function def self this null None true false string value values config configuration settings environment "
@@ -58,21 +63,51 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return found + [(m.start(), m.end(), "hex") for m in HEX.finditer(text)]
 
 
+def values(text: str, low: str) -> Iterator[tuple[int, int, int]]:
+    """(start, end, where its context starts) of each candidate: the values that '=' cuts a run into, or the whole run where none is long enough."""
+    for m in CANDIDATE.finditer(text):
+        a, b = m.span()
+        if "=" not in m[0]:
+            yield a, b, a - BEFORE
+            continue
+        pieces, long = list(PIECE.finditer(text, a, b)), False
+        for k, piece in enumerate(pieces):
+            start, end = piece.span()
+            if end - start < (VALUE if k else 16):
+                continue
+            long = True
+            name = k + 1 < len(pieces) and (NAME.fullmatch(piece[0]) or any(s in low[start:end] for s in SENSITIVE))
+            if not name:
+                yield start, end, min(start - BEFORE, pieces[k - 1].start() if k else start)
+        if not long:
+            yield a, b, a - BEFORE
+
+
 def novel_spans(text: str, base: list[tuple[int, int, str]], novelty: Novelty, least: float = MIN_NOVELTY) -> list[tuple[int, int, str]]:
-    """Candidates near a sensitive word, outside the base spans, that cost at least ``least`` bytes a character."""
+    """Candidates near a sensitive word that cost at least ``least`` bytes a character, without what the base spans hold of them."""
     low = text.lower()
-    if not any(k in low for k in SENSITIVE):
-        return []
     if len(low) != len(text):  # a letter that grows when lower-cased would shift positions
         low = "".join(c.lower() if c.isascii() else c for c in text)
-    held, out, k, reach = sorted(base), [], 0, 0
-    for m in CANDIDATE.finditer(text):
-        a, b = m.span()
-        while k < len(held) and held[k][0] < b:
-            reach, k = max(reach, held[k][1]), k + 1
-        near = low[max(0, a - BEFORE) : a]
-        if reach <= a and any(s in near for s in SENSITIVE) and novelty(text, a, b) >= least:
-            out.append((a, b, "novel"))
+    low = low.replace("_", " ").replace("-", " ")
+    if not any(k in low for k in SENSITIVE):
+        return []
+    held, out, k = [], [], 0
+    for a, b, _ in sorted(base):
+        if held and a <= held[-1][1]:
+            held[-1][1] = max(held[-1][1], b)
+        else:
+            held.append([a, b])
+    for a, b, since in values(text, low):
+        while k < len(held) and held[k][1] <= a:
+            k += 1
+        left, at, i = [], a, k
+        while i < len(held) and held[i][0] < b:
+            left.append((at, held[i][0]))
+            at, i = held[i][1], i + 1
+        left = [(x, y) for x, y in [*left, (at, b)] if any(c.isalnum() for c in text[x:y])]
+        near = low[max(0, since) : a]
+        if left and any(s in near for s in SENSITIVE) and novelty(text, a, b) >= least:
+            out += [(x, y, "novel") for x, y in left]
     return out
 
 

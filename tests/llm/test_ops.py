@@ -171,6 +171,16 @@ def test_secrets(spark):
     assert "Zx9Q7" not in clean[3] and clean[4] is None and clean[6] == rows[5][1]
 
 
+def test_secrets_in_assignments():
+    key, novelty = "wJalrXUtnFEMIK7MDENGbPxRfiCYzQ9Lk2Vt", secrets.Novelty()
+    found = lambda t: [t[a:b] for a, b, _ in secrets.novel_spans(t, secrets.base_spans(t), novelty)]
+    for name in ("AWS_SECRET_ACCESS_KEY=", "private_key=", "export SLACK_TOKEN_PROD=", "https://x.org/a?credential=", "DB_PASSWORD_MAIN=x\nAWS_SECRET_ACCESS_KEY_PRODUCTION="):
+        assert found(name + key) == [key] and found(f"{name}{key}==\n") == [key + "=="]
+    assert found("build_number_of_release=" + key) == found("AWS_SECRET_ACCESS_KEY=your_token_here_placeholder") == []
+    assert found("secret Zx9Q7vLkdeadbeefdeadbeef00Wm4Yp1Bn here") == ["Zx9Q7vLk", "Wm4Yp1Bn"]
+    assert found("secret deadbeefdeadbeef00.") == []
+
+
 def test_mixing(spark, docs):
     rows = spark.createDataFrame([(k, "t", "en", "a" if k < 3000 else "b", 1) for k in range(4000)] + [(None, None, None, None, None)], "doc_id long, text string, lang string, source string, n_chars long")
     got = mixing.poisson_replicate(rows, {"a": 1.0, "b": 1.0, "": 0.0}).groupBy("source").count()

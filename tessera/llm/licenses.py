@@ -1,8 +1,8 @@
 """License scans by a positional rare-token index, in DataFrame functions only.
 
 Templates are short licence texts. The index holds, for each of their rarer words, the templates
-and positions where it stands; a word's weight is its IDF over all scanned documents. A file's
-highest-IDF licence words are looked up; postings that agree on the template's relative position
+and positions where it stands; a word's weight is its IDF over all scanned documents. All
+licence words of a file are looked up; postings that agree on the template's relative position
 add up, and a template whose weight is mostly met is a candidate. It counts only where its
 mandatory key phrase stands at that place.
 """
@@ -27,16 +27,19 @@ TEMPLATES = (
     ("gpl", "this work is licensed under the gnu general public license version 3", "general public license"),
     ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license", "general public license"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", "source and binary forms"),
+    ("mpl", "mozilla public license", "mozilla public license"),
     ("mpl", "this source code form is subject to the terms of the mozilla public license", "mozilla public license"),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "for any purpose with or without fee"),
     ("cc", "licensed under cc by nc 4 0", "cc by"),
+    ("cc", "licensed under cc by", "cc by"),
     ("cc", "licensed under a creative commons attribution", "creative commons"),
-    ("proprietary", "all rights reserved do not distribute", "all rights reserved"),
+    ("proprietary", "all rights reserved", "all rights reserved"),
 )
 #: Common words that the index leaves out.
 STOP = frozenset("a all and any are as at by can do file for form forms free in is it may not of or the this to under use version with without work you 0 2 3 4".split())
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
-FILE_WORDS, MIN_SCORE = 12, 0.6
+#: Words that every row holds weigh next to nothing, not nothing: a template of such words alone can still be met.
+MIN_SCORE, LEAST_WEIGHT = 0.6, 1e-9
 
 
 def index_words(templates=TEMPLATES) -> list[str]:
@@ -61,14 +64,14 @@ def _any_of(low: Column, words: list[str]) -> Column:
 
 
 def idf(df: DataFrame, text_col: str = "text", templates=TEMPLATES) -> dict[str, float]:
-    """ln((N + 1) / (df + 1)) of each index word over all rows; as many numbers as the index has words."""
+    """ln((N + 1) / (df + 1)) of each index word over all rows, LEAST_WEIGHT at least; as many numbers as the index has words."""
     words = index_words(templates)
     low = F.lower(normalised(F.col(text_col)))
     padded = F.concat(F.lit(" "), F.translate(normalised(F.col(text_col)), UPPER, UPPER.lower()), F.lit(" "))
     held = df.select(low.alias("low"), padded.alias("padded"))
     n = F.count(F.lit(1)).alias("n")
     counts = held.agg(n, *(F.count_if(F.col("low").contains(w) & F.col("padded").contains(f" {w} ")).alias(f"w{k}") for k, w in enumerate(words))).first()
-    return {w: math.log((counts["n"] + 1) / (counts[f"w{k}"] + 1)) for k, w in enumerate(words)}
+    return {w: max(math.log((counts["n"] + 1) / (counts[f"w{k}"] + 1)), LEAST_WEIGHT) for k, w in enumerate(words)}
 
 
 def _stands(words: Column, at: Column, phrase: str) -> Column:
@@ -102,7 +105,7 @@ def _share(words: Column, seen: Column, weight: dict[str, float], text: str, phr
     return F.aggregate(F.array_sort(hits), zero, add)["best"] / F.lit(full)
 
 
-def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates=TEMPLATES, file_words: int = FILE_WORDS, least: float = MIN_SCORE) -> DataFrame:
+def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates=TEMPLATES, least: float = MIN_SCORE) -> DataFrame:
     """(id, n_words, n_base, first_word, last_word, base_labels, labels, score) for each row, over whole texts.
 
     score is the largest share of a template's rare-word weight that stands at matching relative
@@ -121,13 +124,10 @@ def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     every = F.concat(*(F.col(f"at_{label}") for _, label in PHRASES))
     base = F.array(*(F.when(F.size(f"at_{label}") > 0, F.lit(label)) for _, label in PHRASES))
 
-    # The file's licence words with their places; only the file_words highest weights (ties all) are looked up.
+    # The file's licence words with their places.
     table = F.create_map(*(x for w, v in weight.items() for x in (F.lit(w), F.lit(v))))
     seen = F.filter(F.transform(words, lambda w, i: F.struct(i.alias("i"), w.alias("w"), table[w].alias("v"))), lambda x: x["v"].isNotNull())
     rows = rows.withColumn("seen", F.when(F.size(words) > 0, seen))
-    tops = F.slice(F.sort_array(F.transform(F.array_distinct(F.transform("seen", lambda x: F.struct(x["v"].alias("v"), x["w"].alias("w")))), lambda x: x["v"]), asc=False), 1, file_words)
-    rows = rows.withColumn("cut", F.array_min(tops))
-    rows = rows.withColumn("seen", F.filter("seen", lambda x: x["v"] >= F.col("cut")))
 
     found = [F.when(F.size("seen") > 0, _share(words, F.col("seen"), weight, text, phrase)).otherwise(F.lit(0.0)).alias(f"share_{k}") for k, (_, text, phrase) in enumerate(templates)]
     rows = rows.select("*", *found)

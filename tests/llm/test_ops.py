@@ -251,6 +251,16 @@ def test_licenses(spark):
     assert got[2]["base_labels"] == "gpl" and got[3]["n_words"] == 0 and got[4]["labels"] == "" and got[5]["labels"] == "mit" and got[6]["labels"] == ""
 
 
+def test_licenses_short_and_many(spark):
+    every = {text: label for label, text, _ in licenses.TEMPLATES}
+    rows = [(1, "© 2020 Acme. All rights reserved."), (2, ". ".join(every)), (3, "all the rights are reserved"), (4, "Under the Mozilla Public License, v. 2.0"), (5, "Licensed under CC BY-SA 4.0")] + [(k, "prose") for k in range(6, 40)]
+    got = {r["doc_id"]: r for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert (got[1]["labels"], got[1]["score"], got[3]["labels"], got[4]["labels"], got[5]["labels"]) == ("proprietary", 1.0, "", "mpl", "cc")
+    assert got[2]["labels"] == ",".join(sorted(set(every.values())))
+    same = spark.createDataFrame([(k, "All rights reserved.") for k in range(3)], "doc_id long, text string")
+    assert {r["labels"] for r in licenses.scan_licenses(same).collect()} == {"proprietary"}
+
+
 def test_pipeline_matches_plain_python(spark, tmp_path):
     import corpus_pipeline
     from tessera.llm.mixing import poisson_replicate

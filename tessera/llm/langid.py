@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Bounds of the labelled sample that the network is fitted on: documents a language, and their length.
+#: Bounds of the labelled sample that the network is fitted on: documents a language, and characters taken of each.
 FIT_DOCS, FIT_CHARS = 400, 4_000
 HIDDEN, PIECE, STEPS, BATCH = 16, 24, 700, 384
 CHUNK = 16_384
@@ -170,12 +170,16 @@ def runs(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
 
 
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", fit_docs: int = FIT_DOCS, fit_chars: int = FIT_CHARS) -> Net:
-    """A network from at most fit_docs documents a language, of at most fit_chars characters each, chosen by a hash of the id.
+    """A network from at most fit_docs documents a language, chosen by a hash of the id, so that every language is learned.
 
-    Rows without text or language are left out. Without any, the network knows no language.
+    Of a text longer than fit_chars, a piece of that length is taken where a hash of the id says, without the words that it cuts. Rows without text or language are left out. Without any, the network knows no language.
     """
     rows = labelled.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    rows = rows.filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & (F.length("text") <= fit_chars)).withColumn("h", F.xxhash64("id", F.lit(1)))
+    rows = rows.filter(F.col("text").isNotNull() & F.col("lang").isNotNull()).withColumn("h", F.xxhash64("id", F.lit(1)))
+    spare = F.length("text") - fit_chars
+    piece = F.substring("text", (F.pmod(F.xxhash64("id", F.lit(2)), F.greatest(spare, F.lit(0)) + 1) + 1).cast("int"), F.lit(fit_chars))
+    uncut = F.regexp_replace(piece, r"^\S*\s+|\s+\S*$", "")
+    rows = rows.withColumn("text", F.when(spare <= 0, F.col("text")).when(F.trim(uncut) != "", uncut).otherwise(piece))
     best = rows.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))).filter(F.col("k") <= fit_docs)
     sample = sorted((r["lang"], r["text"]) for r in best.select("lang", "text").toLocalIterator())
     langs = sorted({lang for lang, _ in sample})

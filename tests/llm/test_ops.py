@@ -230,6 +230,16 @@ def test_language(spark):
     assert {got[k]["lang_pred"] for k in (100, 101, 102)} == {"und"} and all(0 <= r["score"] <= 1 for r in got.values())
 
 
+def test_language_of_long_documents_only(spark):
+    rng = random.Random(7)
+    stems = {"en": ["the", "thing", "with", "house"], "de": ["der", "schön", "nicht", "straße"]}
+    rows = [(k, " ".join(rng.choice(stems[l]) + rng.choice(("", "s")) for _ in range(n)), l) for k in range(40) for l, n in [("en", 20) if k % 2 else ("de", 1500)]]
+    net = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), fit_docs=10)
+    assert net.langs == ["de", "en"]
+    held = spark.createDataFrame([(1, "nicht der schön straßes"), (2, "the house with things")], "doc_id long, text string")
+    assert {r["doc_id"]: r["lang_pred"] for r in langid.predict_language(held, net).collect()} == {1: "de", 2: "en"}
+
+
 def test_gradient():
     net = langid.Net(["a", "b"], hidden=3)
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}

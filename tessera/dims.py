@@ -18,13 +18,26 @@ BODY, PARAGRAPHS, TITLE, DEK, TAGS, RATIO = (700, 3200), (3, 6), (18, 130), (40,
 MIN_DIACRITICS, MAX_ENGLISH, MAX_ERRORS, MIN_SOURCE = 0.008, 0.35, 20, 1750
 ACCENTED, PLAIN = "áàâãäåéèêëíìîïóòôõöúùûüçñýÿ", "aaaaaaeeeeiiiiooooouuuucnyy"
 DIACRITICS = "[áàâãäéèêëíìîïóòôõöúùûüçñÁÀÂÃÄÉÈÊËÍÌÎÏÓÒÔÕÖÚÙÛÜÇÑ]"
-# English and Portuguese function words by which a text's language is measured (an excerpt that the data's languages meet).
-ENGLISH = ("the", "and", "of", "to", "in", "is", "was", "were", "for", "with", "that", "from", "have", "has", "this", "which", "their", "they", "not", "but", "after", "would", "about", "more", "who", "when", "where", "an", "at", "by")
-PORTUGUESE = ("de", "que", "não", "com", "para", "uma", "um", "dos", "das", "pelo", "pela", "foi", "sobre", "também", "seu", "sua", "mas", "ser", "do", "da", "na", "nos", "como", "mais", "entre")
+# English and Portuguese function words by which a text's language is measured.
+ENGLISH = (
+    "the", "and", "of", "to", "in", "is", "was", "were", "for", "with", "that", "said", "from", "have", "has", "had", "will", "this", "these", "those", "which", "been", "being", "their", "they", "them", "his", "her",
+    "she", "he", "it", "its", "not", "but", "also", "after", "before", "during", "while", "would", "could", "should", "about", "more", "than", "who", "what", "when", "where", "there", "an", "at", "by", "if", "we", "you",
+    "our", "your", "because", "through", "between", "against", "among",
+)
+PORTUGUESE = (
+    "de", "que", "não", "com", "para", "uma", "um", "dos", "das", "pelo", "pela", "pelos", "pelas", "foi", "foram", "sobre", "também", "após", "seu", "sua", "seus", "suas", "este", "esta", "esse", "essa", "isso", "mas",
+    "ainda", "já", "ser", "está", "são", "será", "do", "da", "na", "nas", "nos", "ao", "aos", "à", "às", "como", "quando", "onde", "porque", "durante", "desde", "até", "mesmo", "cada", "mais", "muito", "todos", "outra",
+    "outro", "entre", "havia", "disse", "segundo",
+)
 # Title terms by category, in order of precedence.
 LEXICON = (
-    ("santos", ("beatif", "canoniz", "saint ", "martyr", "relic", "miracle", "blessed ")), ("vaticano", ("pope ", "vatican", "holy see", "papal", "synod", "curia")),
-    ("liturgia", ("mass", "liturg", "eucharist", "communion", "advent", "lent")), ("caridade", ("migrant", "refugee", "poverty", "poor", "charity", "asylum")),
-    ("patrimonio", ("cathedral", "basilica", "restor", "museum", "shrine")), ("juventude", ("youth", "student", "campus")), ("missoes", ("mission", "evangeliz", "persecut")),
-    ("doutrina", ("catechism", "doctrin", "theolog", "bible", "prayer", "spiritual")), ("opiniao", ("opinion", "essay", "reflection", "editorial")),
+    ("santos", ("beatif", "canoniz", "saint ", "st. ", "martyr", "relic", "miracle", "venerable", "servant of god", "blessed ")),
+    ("vaticano", ("pope ", "vatican", "holy see", "pontiff", "papal", "synod", "curia", "encyclical", "consistory", "conclave", "dicastery", "nuncio")),
+    ("liturgia", ("mass", "liturg", "eucharist", "communion", "missal", "vespers", "sacrament", "baptism", "confession", "adoration", "holy hour", "advent", "lent", "easter vigil")),
+    ("caridade", ("migrant", "refugee", "immigra", "poverty", "poor", "hunger", "famine", "charity", "caritas", "trafficking", "homeless", "asylum", "pro-life", "abortion", "euthanasia", "deport")),
+    ("patrimonio", ("cathedral", "basilica", "restor", "fresco", "mosaic", "architect", "museum", "manuscript", "artifact", "century-old", "unveiled", "mural", "baroque", "renaissance", "stained glass", "shrine", "abbey")),
+    ("juventude", ("youth", "young catholic", "student", "campus", "seminarian", "vocation", "world youth day", "scout")),
+    ("missoes", ("mission", "evangeliz", "persecut", "missionar", "catechist", "church in africa", "church in asia")),
+    ("doutrina", ("catechism", "doctrin", "theolog", "scripture", "bible", "encyclical", "prayer", "devotion", "spiritual", "book club", "explain")),
+    ("opiniao", ("opinion", "commentary", "essay", "reflection", "editorial", "expert says", "analysis")),
 )

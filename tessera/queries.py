@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from . import dims
 from .functions import html, text, url
 from .operators import asof, merge
-from .plans import classify, exports, queue, reads, rules
+from .plans import classify, editorial, exports, queue, reads, rules
 from .sources.tables import ARTICLES_SQL, NOW, articles, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -281,6 +281,13 @@ def guardrail_verdict(s, d):
     return rules.judge(_pairs(s, d)).select("doc_id", F.array_join("failed_rules", ",").alias("failed_rules"), "passed")
 
 
+@query("editorial_verdict")
+def editorial_verdict(s, d):
+    """All nine rules; the tables hold no source, address or verdict, so these are null."""
+    rows = _pairs(s, d).select("*", *(F.lit(None).cast("string").alias(c) for c in ("source", "source_name", "source_url")), F.lit(None).cast("struct<consistent: boolean, divergences: array<string>>").alias("verdict"))
+    return rules.judge(rows, editorial.NINE_RULES).select("doc_id", F.array_join("failed_rules", ",").alias("failed_rules"), "passed")
+
+
 @query("preflight", ARTICLES_SQL + "select doc_id, length(coalesce(source_excerpt, '')) >= 1750 and coalesce(source_length, 0) > 0 as ready from articles_v")
 def preflight(s, d):
     return rules.preflight(articles(s, d)).select("doc_id", "ready")

@@ -78,3 +78,24 @@ def test_nine_rules(spark):
     assert made[0]["passed"] and len(made[6]["errors"]) == 2 and not made[8]["passed"]
     allowed = rules.judge(spark.createDataFrame([(body + " primeira leitura", *fine[1:3], fine[3] + "the first reading", *fine[4:])], schema), editorial.NINE_RULES).first()
     assert allowed["passed"]
+
+
+def test_full_word_lists(spark):
+    from tessera.functions.text import stop_share
+    from tessera.plans import classify
+
+    titles = {"Pontiff opens consistory": "vaticano", "Baptism and missal": "liturgia", "Help for the homeless": "caridade", "A fresco": "patrimonio", "Commentary": "opiniao", "Nothing": None}
+    rows = spark.createDataFrame([(t,) for t in titles], "t string").select("t", classify.lexicon_category(F.col("t")).alias("c")).collect()
+    assert {r["t"]: r["c"] for r in rows} == titles
+    en, pt, share = stop_share(F.col("t"))
+    assert tuple(spark.createDataFrame([("She said he will, you should; isso já havia",)], "t string").select(en, pt, share).first()) == (6, 3, 6 / 9)
+
+
+def test_registered_nine_rules(spark, tmp_path):
+    from tessera.queries import QUERIES
+
+    docs = [(1, "Foram 12 bispos. Não há 7 mais.", 31), (2, "There were twelve bishops and seven more.", 40)]
+    spark.createDataFrame(docs, "doc_id long, text string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    r = QUERIES["editorial_verdict"](spark, str(tmp_path)).first()
+    failed = r["failed_rules"].split(",")
+    assert r["doc_id"] == 1 and not r["passed"] and "numeros" not in failed and {"atribuicao", "verificacao_factual"} <= set(failed)

@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import split_join, written
+
 #: Hash bits (its window in bytes), zero bits at a cut, least and largest chunk in bytes.
 WINDOW, CUT_BITS, LEAST, LARGEST = 16, 5, 24, 512
 #: Shortest repeated run that is reported, in bytes.
@@ -88,19 +90,22 @@ def chunk_table(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
 
 def repeated_chunks(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Chunks whose digest stands in two or more documents, with first_doc, the smallest id that holds it."""
+    """Chunks whose digest stands in two or more documents, with first_doc, the smallest id that holds it. A document is an id with a text."""
     chunks = chunk_table(df, id_col, text_col)
-    shared = chunks.groupBy("d1", "d2").agg(F.min("doc").alias("first_doc"), F.max("doc").alias("last_doc")).filter("first_doc < last_doc")
-    return chunks.join(shared.select("d1", "d2", "first_doc"), ["d1", "d2"])
+    sums = chunks.groupBy("d1", "d2").agg(F.min("doc").alias("first_doc"), F.max("doc").alias("last_doc"), F.min("copy").alias("c1"), F.max("copy").alias("c2"), F.count(F.lit(1)).alias("n"))
+    shared = written(sums.filter("first_doc < last_doc or c1 < c2").select("d1", "d2", "first_doc", "n"), "shared")
+    total = shared.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    return split_join(chunks, shared, ["d1", "d2"], "n", total)
 
 
 def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_run: int = MIN_RUN) -> DataFrame:
     """(id, start, end, n_chunks, first_doc_id): runs of chunks, min_run bytes or longer, that other documents hold too.
 
     start and end are byte positions in the UTF-8 text, end exclusive; first_doc_id is the smallest
-    id that holds one of the run's chunks. Repeats within one document alone don't count. Repeated
-    rows (same id and text) give their passages once. Null and empty texts give none; a row with a
-    null id counts as a document and is reported with id null. Ids are longs. Other columns are not
+    id that holds one of the run's chunks. Repeats within one document alone don't count. A document is
+    an id with a text: repeated rows (same id and text) give their passages once, and an id with another
+    text is another document. Null and empty texts give none; a null id with a text counts as a document
+    and is reported with id null (first_doc_id null where such a row holds the chunk). Ids are longs. Other columns are not
     read; an empty table gives an empty result.
     """
     held = repeated_chunks(df, id_col, text_col).groupBy("doc", "copy", "idx").agg(F.first("start").alias("start"), F.first("size").alias("size"), F.first("first_doc").alias("first_doc"))

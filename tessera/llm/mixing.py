@@ -2,7 +2,8 @@
 
 A source's rate is the share that it should have over the share that it has. Each document draws
 its number of copies by inverting a Poisson distribution of that mean at a uniform number hashed
-from seed and id, so a rerun after a loss draws the same. Copies are exploded and shuffled by a
+from seed and id, so a rerun after a loss draws the same. A mean above PART_RATE is the sum of equal
+parts with a number each, so that no distribution's table grows with the mean. Copies are exploded and shuffled by a
 hash over all partitions.
 """
 
@@ -14,8 +15,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Sources up to this many are broadcast with their distributions; above it, the join is salted.
-BROADCAST_SOURCES, SALTS = 2_000, 64
+#: The sources' distributions are broadcast up to this many bytes, counted before; above it, the join is salted.
+BROADCAST_BYTES, SALTS = 16 << 20, 64
+#: Largest rate of one inversion: a larger one is split in equal parts, whose draws add up. Copies that one array holds.
+PART_RATE, ARRAY = 64.0, 4096
 DEFAULT_SEED = "mix-1"
 
 
@@ -40,57 +43,68 @@ def rates(df: DataFrame, weights: dict[str, float] | None, source_col: str = "so
 
 
 def poisson_tables(rate: DataFrame) -> DataFrame:
-    """(source, n, rate, cdf array): P(copies <= k) for k from 0 until the tail is under double precision."""
-    top = rate.agg(F.max("rate")).first()[0] or 0.0
-    last = math.ceil(top + 12 * math.sqrt(top) + 40)
-    steps = rate.select("source", "n", "rate", F.explode(F.sequence(F.lit(0), F.lit(last))).alias("k"))
+    """(source, n, rate, parts, cdf array): rate is one part's; P(copies <= k) for k from 0 until the tail is under double precision."""
+    parts = F.greatest(F.ceil(F.col("rate") / PART_RATE), F.lit(1)).cast("long")
+    split = rate.withColumn("parts", parts).withColumn("rate", F.col("rate") / F.col("parts"))
+    last = F.ceil(F.col("rate") + 12 * F.sqrt("rate") + 40).cast("int")
+    steps = split.select("source", "n", "rate", "parts", F.explode(F.sequence(F.lit(0), last)).alias("k"))
     run = Window.partitionBy("source").orderBy("k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     logs = F.sum(F.when(F.col("k") > 0, F.log(F.col("k"))).otherwise(0.0)).over(run)
     term = F.when(F.col("rate") > 0, F.exp(F.col("k") * F.log("rate") - F.col("rate") - F.col("log_factorial"))).otherwise((F.col("k") == 0).cast("double"))
     cdf = F.sum("term").over(run)
     steps = steps.withColumn("log_factorial", logs).withColumn("term", term).withColumn("cdf", cdf)
-    return steps.groupBy("source", "n", "rate").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "cdf"))), lambda x: x["cdf"]).alias("cdf"))
+    return steps.groupBy("source", "n", "rate", "parts").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "cdf"))), lambda x: x["cdf"]).alias("cdf"))
 
 
-def poisson_replicate(df: DataFrame, weights: dict[str, float] | None = None, id_col: str = "doc_id", source_col: str = "source", seed: str = DEFAULT_SEED, default_weight: float = 1.0, total: float = 1.0, broadcast_sources: int = BROADCAST_SOURCES) -> DataFrame:
-    """df's rows, each as often as it draws, with copy int (from 1), n_copies int and order_key string, shuffled globally.
+def poisson_replicate(df: DataFrame, weights: dict[str, float] | None = None, id_col: str = "doc_id", source_col: str = "source", seed: str = DEFAULT_SEED, default_weight: float = 1.0, total: float = 1.0, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """df's rows, each as often as it draws, with copy long (from 1), n_copies long and order_key string, shuffled globally.
 
     Columns of df that have those names are replaced. Rows of one id and source draw alike, also
     repeated ones; a null id draws as '' does, a null source as ''. Nulls elsewhere and empty or long
-    texts pass unchanged. Weight 0 drops a source. An empty table gives an empty result. Within a
-    partition rows stand in order of order_key, a hash of seed, id and copy number.
+    texts pass unchanged. Weight 0 drops a source; without weights every source has default_weight. An
+    empty table gives an empty result. Within a partition rows stand in order of order_key, a hash of
+    seed, id and copy number. A source's part of the tables is at most 210 numbers, whatever its rate.
     """
     kept = [c for c in df.columns if c not in ("copy", "n_copies", "order_key")]
     base = df.select(*(F.col(f"`{c}`") for c in kept))
-    tables = poisson_tables(rates(base.select(source_col), weights, source_col, default_weight, total)).select(F.col("source").alias("__mix_source"), F.col("cdf").alias("__mix_cdf"))
+    tables = poisson_tables(rates(base.select(source_col), weights, source_col, default_weight, total)).select(F.col("source").alias("__mix_source"), F.col("cdf").alias("__mix_cdf"), F.col("parts").alias("__mix_parts"))
     keyed = base.withColumn("__mix_source", F.coalesce(F.col(source_col).cast("string"), F.lit("")))
     ident = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
-    if tables.limit(broadcast_sources + 1).count() <= broadcast_sources:
+    size = tables.agg(F.sum(F.octet_length("__mix_source") + 8 * F.size("__mix_cdf") + 64).alias("bytes")).first()["bytes"] or 0
+    if size <= broadcast_bytes:
         joined = keyed.join(F.broadcast(tables), "__mix_source")
     else:
         salted = tables.withColumn("__mix_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         joined = keyed.withColumn("__mix_salt", F.pmod(F.xxhash64(ident), F.lit(SALTS)).cast("int")).join(salted, ["__mix_source", "__mix_salt"])
-    drawn = joined.withColumn("__mix_u", uniform(F.lit(seed), ident)).withColumn("n_copies", F.size(F.filter("__mix_cdf", lambda c: c <= F.col("__mix_u"))))
-    copies = drawn.filter("n_copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n_copies"))))
+    drawn_at = lambda u: F.size(F.filter("__mix_cdf", lambda c: c <= u)).cast("long")
+    drawn = joined.withColumn("__mix_u", uniform(F.lit(seed), ident))
+    more = F.aggregate(F.sequence(F.lit(1).cast("long"), F.col("__mix_parts") - 1), F.lit(0).cast("long"), lambda acc, j: acc + drawn_at(uniform(F.lit(seed), ident, j.cast("string"))))
+    drawn = drawn.withColumn("n_copies", drawn_at(F.col("__mix_u")) + F.when(F.col("__mix_parts") > 1, more).otherwise(F.lit(0).cast("long")))
+    copies = drawn.filter("n_copies > 0").withColumn("__mix_at", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_copies"), F.lit(ARRAY).cast("long"))))
+    copies = copies.withColumn("copy", F.explode(F.sequence(F.col("__mix_at"), F.least(F.col("__mix_at") + (ARRAY - 1), F.col("n_copies")))))
     out = copies.select(*(F.col(f"`{c}`") for c in kept), "copy", "n_copies", F.md5(F.concat_ws("|", F.lit(seed), ident, F.col("copy").cast("string"))).alias("order_key"))
     return out.repartition("order_key").sortWithinPartitions("order_key")
 
 
 def oracle(weights: dict[str, float], seed: str = DEFAULT_SEED, default_weight: float = 1.0, docs: str = "documents") -> str:
     """DuckDB SQL for poisson_replicate over documents."""
-    case = " ".join(f"when source = '{k}' then {float(v)!r}" for k, v in weights.items())
+    given = "".join(f" when source = '{k}' then {float(v)!r}" for k, v in weights.items())
+    weight = f"case{given} else {float(default_weight)!r} end" if given else repr(float(default_weight))
+    unit = "cast(('0x' || substr(md5({}), 1, 13)) as bigint) / 4503599627370496.0"
+    first, part = (unit.format(f"'{seed}|' || coalesce(cast(d.doc_id as varchar), ''){more}") for more in ("", " || '|' || cast(j as varchar)"))
     return f"""
 with counts as (select coalesce(source, '') source, count(*) n from {docs} group by 1),
-weighted as (select source, n, cast(case {case} else {float(default_weight)!r} end as double) w from counts),
-rates as (select source, (select sum(n) from weighted) * w / ((select sum(w) from weighted) * n) rate from weighted),
-steps as (select source, rate, k, sum(case when k > 0 then ln(k) else 0.0 end) over (partition by source order by k) lf
-          from rates, (select unnest(range(0, 400)) k) where k <= (select ceil(max(rate) + 12 * sqrt(max(rate)) + 40) from rates)),
-cdfs as (select source, k, sum(case when rate > 0 then exp(k * ln(case when rate > 0 then rate else 1 end) - rate - lf) when k = 0 then 1.0 else 0.0 end)
+weighted as (select source, n, cast({weight} as double) w from counts),
+whole as (select source, (select sum(n) from weighted) * w / ((select sum(w) from weighted) * n) rate from weighted),
+rates as (select source, greatest(ceil(rate / {PART_RATE!r}), 1) parts, rate / greatest(ceil(rate / {PART_RATE!r}), 1) rate from whole),
+steps as (select source, rate, parts, k, sum(case when k > 0 then ln(k) else 0.0 end) over (partition by source order by k) lf
+          from (select *, unnest(range(0, cast(ceil(rate + 12 * sqrt(rate) + 40) as bigint) + 1)) k from rates)),
+cdfs as (select source, parts, k, sum(case when rate > 0 then exp(k * ln(case when rate > 0 then rate else 1 end) - rate - lf) when k = 0 then 1.0 else 0.0 end)
          over (partition by source order by k) cdf from steps),
-dists as (select source, list(cdf order by k) cdf from cdfs group by source),
-drawn as (select d.*, cast(len(list_filter(t.cdf, lambda c: c <= cast(('0x' || substr(md5('{seed}|' || coalesce(cast(d.doc_id as varchar), '')), 1, 13)) as bigint) / 4503599627370496.0)) as integer) n_copies
+dists as (select source, cast(max(parts) as bigint) parts, list(cdf order by k) cdf from cdfs group by source),
+drawn as (select d.*, cast(len(list_filter(t.cdf, lambda c: c <= {first})) + coalesce(list_sum(list_transform(range(1, t.parts), lambda j: len(list_filter(t.cdf, lambda c: c <= {part})))), 0) as bigint) n_copies
           from {docs} d join dists t on coalesce(d.source, '') = t.source)
-select doc_id, text, lang, source, n_chars, cast(copy as integer) as copy, n_copies,
+select doc_id, text, lang, source, n_chars, cast(copy as bigint) as copy, n_copies,
        md5('{seed}|' || coalesce(cast(doc_id as varchar), '') || '|' || cast(copy as varchar)) as order_key
 from (select *, unnest(range(1, n_copies + 1)) as copy from drawn where n_copies > 0)
 """

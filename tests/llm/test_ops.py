@@ -171,14 +171,50 @@ def test_secrets(spark):
     assert "Zx9Q7" not in clean[3] and clean[4] is None and clean[6] == rows[5][1]
 
 
+def novel(text, known=""):
+    base = secrets.base_spans(text)
+    return [text[a:b] for a, b, _ in secrets.novel_spans(text, base, secrets.measured(text, base, secrets.Novelty(secrets.primer(known))))]
+
+
 def test_secrets_in_assignments():
-    key, novelty = "wJalrXUtnFEMIK7MDENGbPxRfiCYzQ9Lk2Vt", secrets.Novelty()
-    found = lambda t: [t[a:b] for a, b, _ in secrets.novel_spans(t, secrets.base_spans(t), novelty)]
+    key = "wJalrXUtnFEMIK7MDENGbPxRfiCYzQ9Lk2Vt"
     for name in ("AWS_SECRET_ACCESS_KEY=", "private_key=", "export SLACK_TOKEN_PROD=", "https://x.org/a?credential=", "DB_PASSWORD_MAIN=x\nAWS_SECRET_ACCESS_KEY_PRODUCTION="):
-        assert found(name + key) == [key] and found(f"{name}{key}==\n") == [key + "=="]
-    assert found("build_number_of_release=" + key) == found("AWS_SECRET_ACCESS_KEY=your_token_here_placeholder") == []
-    assert found("secret Zx9Q7vLkdeadbeefdeadbeef00Wm4Yp1Bn here") == ["Zx9Q7vLk", "Wm4Yp1Bn"]
-    assert found("secret deadbeefdeadbeef00.") == []
+        assert novel(name + key) == [key] and novel(f"{name}{key}==\n") == [key + "=="]
+    assert novel("build_number_of_release=" + key) == novel("AWS_SECRET_ACCESS_KEY=your_token_here_placeholder") == []
+    assert novel("secret Zx9Q7vLkdeadbeefdeadbeef00Wm4Yp1Bn here") == ["Zx9Q7vLk", "Wm4Yp1Bn"]
+    assert novel("secret deadbeefdeadbeef00.") == []
+    assert novel("the secret:\n\n  " + key) == [key] and novel("the secret\nis not\nhere: " + key) == []
+    assert novel("İİİ secret " + key) == [key] and novel("bearer " + "word " * 4000 + key) == [key]
+
+
+def test_secrets_find_planted_keys_and_leave_decoys():
+    """Recall of random keys in sensitive contexts and precision against words, paths, repeated and learnt strings."""
+    rng, letters = random.Random(9), "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    keys = ["".join(rng.choice(letters) for _ in range(rng.randint(24, 48))) for _ in range(100)]
+    decoys = ["configuration_settings_environment", "/usr/local/share/application/json", "aaaaaaaaaaaaaaaaaaaaaaaa", "content-type-application-json", "authorization_bearer_token_header", "https://www.example.com/placeholder"]
+    assert sum(novel(f"the bearer credential for host {k} is {key} and no other") == [key] for k, key in enumerate(keys)) >= 98
+    assert sum(len(novel(f"the bearer credential for host {k} is {d} and no other")) for k, d in enumerate(decoys)) == 0
+    assert [novel("the credential is " + "quarantinezephyrvortex", known) for known in ("", "quarantinezephyrvortex")][1] == []
+
+
+def test_secrets_dictionary_is_learnt_from_the_corpus(spark):
+    rows = [(k, f"token for zephyr_quarantine_vortex and Zx9Q7vLk2Rt8Wm4Yp1Bn6 in HARBOUR_MASTER {k % 3}") for k in range(9)] + [(90, None), (91, ""), (92, "token once_only_name"), (93, "no_context_identifier\n" * 4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert set(secrets.learned_identifiers(df).split()) == {"token", "zephyr_quarantine_vortex", "HARBOUR_MASTER"}
+    assert len(secrets.learned_identifiers(df, n_bytes=20)) <= 20 and secrets.learned_identifiers(df.limit(0)) == ""
+
+
+def test_secrets_base_equals_plain_patterns(spark):
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    wide = df.withColumn("id", F.lit(1)).withColumn("spans", F.lit("x")).unionByName(df.limit(3).withColumn("id", F.lit(1)).withColumn("spans", F.lit("x")))
+    got = collections.Counter((r["doc_id"], r["n_assign"], r["n_access"], r["n_hex"], r["base_sha256"]) for r in secrets.scan_secrets(wide).collect())
+    want = collections.Counter()
+    for k, t in by_row(wide):
+        found = [(m.start(), 0, m.end(), "assign") for m in re.finditer(r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", t or "") if len(m[1]) >= 12]
+        found += [(m.start(), 1, m.end(), "access") for m in re.finditer("AKIA[A-Z0-9]+", t or "") if len(m[0]) >= 18] + [(m.start(), 2, m.end(), "hex") for m in re.finditer("[0-9a-f]+", t or "") if len(m[0]) >= 16]
+        n = collections.Counter(f[3] for f in found)
+        want[k, n["assign"], n["access"], n["hex"], hashlib.sha256(",".join(f"{x[3]}:{x[0]}:{x[2]}" for x in sorted(found)).encode()).hexdigest()] += 1
+    assert got == want
 
 
 def test_mixing(spark, docs):
@@ -186,7 +222,7 @@ def test_mixing(spark, docs):
     got = mixing.poisson_replicate(rows, {"a": 1.0, "b": 1.0, "": 0.0}).groupBy("source").count()
     count = {r["source"]: r["count"] for r in got.collect()}
     assert None not in count and abs(count["a"] - 2000) < 200 and abs(count["b"] - 2000) < 250
-    salted = mixing.poisson_replicate(rows, {"a": 1.0}, broadcast_sources=0)
+    salted = mixing.poisson_replicate(rows, {"a": 1.0}, broadcast_bytes=0)
     assert salted.exceptAll(mixing.poisson_replicate(rows, {"a": 1.0})).count() == 0
     assert mixing.poisson_replicate(rows.limit(0)).count() == 0 and "block" in mixing.poisson_replicate(docs).columns
 
@@ -208,6 +244,61 @@ def test_nearest(spark):
     assert ann.nearest(df.limit(0), df, k=3).count() == 0
 
 
+def test_mixing_large_rates(spark):
+    """A lone document of a source draws as many copies as its rate says, split in parts; SQL agrees; odd weights and column names pass."""
+    import duckdb
+
+    rows = spark.createDataFrame([(k, "t", "en", "b" if k else "a", 1) for k in range(20_000)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = mixing.poisson_replicate(rows, {"a": 1.0, "b": 1.0}).groupBy("source").agg(F.count("*").alias("n"), F.max("copy").alias("last"), F.max("n_copies").alias("copies"), F.countDistinct("order_key").alias("keys"))
+    count = {r["source"]: r for r in got.collect()}
+    assert abs(count["a"]["n"] - 10_000) < 500 and count["a"]["n"] == count["a"]["last"] == count["a"]["copies"] == count["a"]["keys"]
+    held = rows.toPandas()
+    for weights in ({"a": 1.0, "b": 1.0}, {}):
+        con = duckdb.connect()
+        con.register("documents", held)
+        want = con.execute(f"select count(*), sum(copy), min(order_key), max(order_key) from ({mixing.oracle(weights)})").fetchone()
+        assert tuple(mixing.poisson_replicate(rows, weights).agg(F.count("*"), F.sum("copy"), F.min("order_key"), F.max("order_key")).first()) == want
+    odd = rows.limit(5).select("*", F.lit(1).alias("copy"), F.lit("x").alias("order_key"), F.lit(2).alias("n_copies"), F.lit(3).alias("k"))
+    assert mixing.poisson_replicate(odd, {}).columns == ["doc_id", "text", "lang", "source", "n_chars", "k", "copy", "n_copies", "order_key"]
+
+
+def passages_by_brute_force(rows, min_run=chunks.MIN_RUN):
+    docs = {(k, t) for k, t in rows if t}
+    split = {d: [d[1].encode()[a:b] for a, b in zip([0, *chunks.cuts(d[1].encode())], chunks.cuts(d[1].encode()))] for d in docs}
+    held = collections.defaultdict(set)
+    for d, parts in split.items():
+        for c in parts:
+            held[c].add(d)
+    out = collections.Counter()
+    for d, parts in split.items():
+        at = run = n = 0
+        first = []
+        for c in [*parts, None]:
+            if c is not None and len(held[c]) > 1:
+                run, n = run + len(c), n + 1
+                first += [k for k, _ in held[c]]
+            else:
+                if run >= min_run:
+                    out[d[0], at - run, at, n, None if None in first else min(first)] += 1
+                run, n, first = 0, 0, []
+            at += len(c or b"")
+    return out
+
+
+def test_passages_equal_brute_force(spark, monkeypatch):
+    """Null and repeated ids, equal rows, runs over LARGEST without a cut, clashing columns, all-null batches; with every repeated digest taken as hot, too."""
+    rng = random.Random(15)
+    prose = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9))) for _ in range(n))
+    shared, other = prose(51), prose(60)
+    rows = [(1, prose(40) + shared), (1, prose(30) + shared + prose(9)), (None, shared + prose(44)), (None, prose(8) + shared), (2, other), (2, other), (3, "z" * 4000), (4, "y" + "z" * 4000), (5, None), (None, None), (6, ""), (7, other + prose(3))]
+    rows += [(k, prose(50)) for k in range(20, 60)] + [(k, other) for k in range(100, 400)]
+    df = spark.createDataFrame([(k, t, 1, 2, "x") for k, t in rows], "doc_id long, text string, d1 int, idx int, copy string")
+    same = lambda: collections.Counter(tuple(r) for r in chunks.repeated_passages(df).collect())
+    assert same() == passages_by_brute_force(rows)
+    monkeypatch.setattr("tessera.llm.common.HOT_LEAST", 1)
+    assert same() == passages_by_brute_force(rows)
+
+
 def test_passages(spark):
     rng = random.Random(5)
     prose = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n))

@@ -28,11 +28,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import removed, split_join, written
 from .words import ascii_words, pack, split_block, text_blocks, unpack
 
-#: Buckets of hashes for each shuffle partition; ids up to this many (16 MB) are broadcast; texts in one walk of a trie; nodes between two looks at the bound.
-BUCKETS, BROADCAST_IDS, TRIE_SETS, STRIDE = 8, 1_000_000, 2_000, 64
+#: Buckets of hashes for each shuffle partition; texts in one walk of a trie; nodes between two looks at the bound.
+BUCKETS, TRIE_SETS, STRIDE = 8, 256, 64
 NO_ID = -(1 << 63)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -249,13 +249,14 @@ def components(edges: DataFrame) -> DataFrame:
         mark = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if state == (mark["n"], mark["h"]):
             return now.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("id"), F.col("b").alias("component"))).distinct()
-        state = (mark["n"], mark["h"])
+        state, total = (mark["n"], mark["h"]), mark["n"]
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").unionByName(low.select("a", F.col("m").alias("b")))
-        now = written(small.distinct(), "edges")
+        least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"), F.count(F.lit(1)).alias("n"))
+        large = written(split_join(both, least, ["a"], "n", 2 * total).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").distinct(), "edges")
+        low = large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+        small = split_join(large, low, ["a"], "n", total).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").unionByName(low.select("a", F.col("m").alias("b")))
+        before, now = now, written(small.distinct(), "edges")
+        removed(before, large)
 
 
 def grown(sets: DataFrame, percent: int) -> DataFrame:
@@ -281,29 +282,35 @@ def grown(sets: DataFrame, percent: int) -> DataFrame:
     rows = sets.mapInArrow(firsts, "gram long, id long, n long, rest long, alone long")
     # The pivot is the text with the smallest share of n-grams of its own, which is the nearest to most copies.
     pivots = rows.groupBy("gram").agg(F.min(F.struct((F.col("alone") / F.col("n")).alias("share"), "id", "n", "rest")).alias("p"), F.count(F.lit(1)).alias("many")).filter("many > 1")
-    under = written(rows.join(pivots.select("gram", F.col("p.id").alias("pivot"), F.col("p.n").alias("pivot_n"), F.col("p.rest").alias("pivot_rest")), "gram"), "grams")
+    pivots = written(pivots.select("gram", F.col("p.id").alias("pivot"), F.col("p.n").alias("pivot_n"), F.col("p.rest").alias("pivot_rest"), "many"), "pivots")
+    total = pivots.agg(F.coalesce(F.sum("many"), F.lit(0)).alias("n")).first()["n"]
+    under = written(split_join(rows, pivots, ["gram"], "many", total), "grams")
     first = under.filter(F.col("id") != F.col("pivot")).filter(reach(F.col("n"), F.col("rest"), F.col("pivot_n"), F.col("pivot_rest"))).select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct()
     edges = written(tested(first, sets, percent), "links")
     known = written(components(edges), "components")
     label = under.join(known, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    label = label.join(known.select(F.col("id").alias("pivot"), F.col("component").alias("home")), "pivot", "left").withColumn("home", F.coalesce("home", "pivot"))
-    label = written(label.filter("id != pivot").select("gram", "id", "n", "rest", "component", "home"), "labels")
+    homes = pivots.select("gram", "pivot", "many").join(known.select(F.col("id").alias("pivot"), F.col("component").alias("home")), "pivot", "left").select("gram", F.coalesce("home", "pivot").alias("home"), "many")
+    label = split_join(label.filter("id != pivot").select("gram", "id", "n", "rest", "component"), homes, ["gram"], "many", total)
+    label = written(label, "labels")
     outside = label.filter("component != home").select("gram", F.col("id").alias("a"), F.col("n").alias("m"), F.col("rest").alias("left"), F.col("component").alias("ca"))
     apart = outside.join(label, "gram").filter((F.col("ca") != F.col("component")) & reach(F.col("n"), F.col("rest"), F.col("m"), F.col("left")))
     second = apart.select(F.greatest("a", "id").alias("a"), F.least("a", "id").alias("b")).distinct()
     more = written(tested(second, sets, percent), "links")
-    return components(edges.unionByName(more))
+    out = components(edges.unionByName(more))
+    removed(pivots, under, known, label, edges, more)
+    return out
 
 
-def jaccard_components(df: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id long, n_shingles long, component_id long) for each row.
+def jaccard_components(df: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", keys: bool = False) -> DataFrame:
+    """(id long, n_shingles long, component_id long) for each row; with keys also component_key binary and text_md5 string.
 
     Two texts link when 100 * |intersection| >= percent * |union| of their sets of distinct word
     n-grams (words: runs of bytes other than blanks, A-Z lower-cased); component_id is the smallest id
     that links reach, the own one included. Fewer words than ``words`` make one n-gram. A null or empty
     text, or one of blanks, has an empty set and links with nothing. Texts with equal sets link, also
     repeated rows; a repeated id with another text is a text of its own. A null id takes part: its
-    component is the smallest id reached, or null where there is none. Other columns are not read; an
+    component is the smallest id reached, or null where there is none. component_key names the component also
+    where ids are null or repeated (null for an empty set). Other columns are not read; an
     empty table gives an empty result. df must be a table, which reads alike each time. Hashes have 64
     bits, those of whole sets 128, of which 64 name the set in the join.
     """
@@ -312,11 +319,10 @@ def jaccard_components(df: DataFrame, words: int = 5, percent: int = 80, id_col:
     picked = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text_col).cast("binary").alias("raw"))
     base = written(shared_counts(picked, words, n_buckets), "texts")
     own = F.when(F.col("id") != NO_ID, F.col("id"))
-    classes = base.filter("n > 0").groupBy("digest").agg(F.min("id").alias("id"), F.min_by("md5", "id").alias("md5"), F.min(own).alias("first"), F.max(F.col("n_shared") >= least * F.col("n") - 1e-9).alias("alive"))
+    classes = written(base.filter("n > 0").groupBy("digest").agg(F.min("id").alias("id"), F.min_by("md5", "id").alias("md5"), F.min(own).alias("first"), F.max(F.col("n_shared") >= least * F.col("n") - 1e-9).alias("alive"), F.count(F.lit(1)).alias("many")), "classes")
     alive = classes.filter("alive").select("id", "md5").distinct()
-    few = alive.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     keyed = picked.withColumn("md5", F.md5(F.coalesce("raw", F.lit("").cast("binary"))))
-    texts = keyed.join(F.broadcast(alive) if few else alive, ["id", "md5"]).select("raw")
+    texts = keyed.join(alive, ["id", "md5"]).select("raw")  # broadcast or not, as the size of the written ids allows
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -325,12 +331,20 @@ def jaccard_components(df: DataFrame, words: int = 5, percent: int = 80, id_col:
                 yield pa.RecordBatch.from_arrays([pa.array([node(xxhash.xxh3_128_digest(s)) for s in found], pa.int64()), pa.array([len(s) // 8 for s in found], pa.int64()), pa.array(found, pa.binary())], ["id", "n", "hashes"])
 
     sets = written(texts.mapInArrow(build, "id long, n long, hashes binary"), "sets")
-    linked = grown(written(ordered_sets(sets, n_buckets, least), "ordered"), percent)
+    count = sets.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("id").alias("one")).first()
+    ordered = written(ordered_sets(sets if count["n"] == count["one"] else sets.dropDuplicates(["id"]), n_buckets, least), "ordered")
+    linked = grown(ordered, percent)
     name = F.conv(F.hex(F.substring("digest", 1, 8)), 16, -10).cast("long")
-    nodes = classes.select("digest", "first", name.alias("node")).join(linked.select(F.col("id").alias("node"), "component"), "node")
-    least_id = nodes.groupBy("component").agg(F.min("first").alias("component_id"))
-    found = nodes.join(least_id, "component").select("digest", "component_id").unionByName(classes.join(linked.select(F.col("id").alias("node")).join(nodes.select("node", "digest"), "node").select("digest"), "digest", "left_anti").select("digest", F.col("first").alias("component_id")))
-    return base.join(found, "digest", "left").select(own.alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", own).alias("component_id"))
+    nodes = classes.select("digest", "first", "many", name.alias("node")).join(linked.select(F.col("id").alias("node"), "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    sums = nodes.groupBy("component").agg(F.min("first").alias("component_id"), F.min("digest").alias("component_key"), F.count(F.lit(1)).alias("n"))
+    totals = classes.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("many"), F.lit(0)).alias("rows")).first()
+    found = written(split_join(nodes.select("digest", "many", "component"), sums, ["component"], "n", totals["n"]).select("digest", "many", "component_id", "component_key"), "found")
+    removed(sets, ordered, classes)
+    # Texts without n-grams meet nothing and need no join.
+    held = split_join(base.filter("n > 0"), found, ["digest"], "many", totals["rows"])
+    none = base.filter("n = 0").withColumn("component_id", F.lit(None).cast("long")).withColumn("component_key", F.lit(None).cast("binary"))
+    more = ["component_key", F.col("md5").alias("text_md5")] if keys else []
+    return held.unionByName(none).select(own.alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", own).alias("component_id"), *more)
 
 
 def node(digest: bytes) -> int:

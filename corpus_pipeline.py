@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.bpe import encode_documents
-from tessera.llm.common import crc_mod, table, written
+from tessera.llm.common import crc_mod, split_join, table, written
 from tessera.llm.jaccard import jaccard_components
 from tessera.llm.langid import UNDETERMINED, fit, predict_language
 from tessera.llm.mixing import poisson_replicate
@@ -30,10 +30,20 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five words, 0.8) stays: the one with the smallest id, once. Without an id, one row of each text stays."""
-    groups = jaccard_components(docs.select("doc_id", "text"), words=5, percent=80)
-    gone = groups.filter("component_id < doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS).dropDuplicates(["doc_id", "text"])
+    """One document of each group of near-duplicates (five words, 0.8) stays, once: the one with the smallest id (null last), then the smallest md5 of its text. Documents without words stay."""
+    groups = written(jaccard_components(docs.select("doc_id", "text"), words=5, percent=80, keys=True), "groups")
+    ident = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_md5")
+    least = groups.filter("n_shingles > 0").groupBy("component_key").agg(F.min(ident).alias("kept"), F.count(F.lit(1)).alias("n"))
+    total = docs.count()
+    marked = split_join(groups.filter("n_shingles > 0"), least, ["component_key"], "n", total)
+    gone = marked.filter(~F.col("kept").eqNullSafe(ident)).select(F.col("doc_id").alias("__id"), "text_md5").distinct()
+    keyed = docs.select(*COLUMNS).withColumn("__md5", F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+    left = keyed.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__md5") == F.col("text_md5")), "left_anti")
+    repeats = groups.filter("n_shingles > 0").groupBy("doc_id", "text_md5").count().filter("count > 1")
+    if repeats.limit(1).count():  # the same id and text in several rows: one stays
+        words = F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+        left = left.filter(words).dropDuplicates(["doc_id", "__md5"]).unionByName(left.filter(~words))
+    return left.select(*COLUMNS)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,10 +1,10 @@
 """Language ID by a bidirectional gated recurrent network over bytes, trained in numpy by backpropagation through time.
 
-The network reads a text's runs of non-blank bytes (A-Z lower-cased, at most ``PIECE`` bytes at a
-time, the state starts anew with each) in both directions and labels every byte with language
-probabilities. A document's probability is the mean over its letter bytes. Equal runs have equal
-labels, so each distinct run of an Arrow batch is read once and its label sums are added up by
-position in the documents.
+The network reads the whole text (A-Z lower-cased, blanks and all) in both directions and labels every
+byte with language probabilities; a document's probability is the mean over its letter bytes. Texts are
+read in windows of ``WINDOW`` bytes that begin at characters, with ``CONTEXT`` bytes more on each side (cut back to a character), from
+which the states come in; each position is labelled in the one window that it belongs to. Equal texts of
+an Arrow batch are read once.
 """
 
 from __future__ import annotations
@@ -20,8 +20,14 @@ from pyspark.sql.window import Window
 
 #: Bounds of the labelled sample that the network is fitted on: documents a language, and characters taken of each.
 FIT_DOCS, FIT_CHARS = 400, 4_000
-HIDDEN, PIECE, STEPS, BATCH = 16, 24, 700, 384
-CHUNK = 16_384
+#: States a direction; bytes of a window and on each side of it; windows read at once.
+HIDDEN, WINDOW, CONTEXT, CHUNK = 8, 224, 16, 2_048
+#: Training: steps, windows a step and their bytes.
+STEPS, BATCH, SPAN = 400, 160, 64
+#: A document's sums are rounded to this part, far above what the order of additions changes.
+UNIT = 1 << 12
+#: Bytes of texts read together.
+PART = 2 << 20
 UNDETERMINED = "und"
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
@@ -93,14 +99,14 @@ class Net:
         self._back("b", rev, mask, kept_b, np.take_along_axis(dh[:, :, n:], flip[:, :, None], axis=1), grad)
         return float(loss), grad
 
-    def train(self, words: list[bytes], labels: np.ndarray, steps: int = STEPS, batch: int = BATCH, rate: float = 0.02, seed: int = 5) -> float:
-        """Adam over random batches; the last losses' mean."""
-        rng, losses = np.random.default_rng(seed), []
+    def train(self, texts: list[list[bytes]], steps: int = STEPS, batch: int = BATCH, rate: float = 0.02, seed: int = 5) -> float:
+        """Adam over random windows of SPAN bytes from the texts of each language, alike many of each; the last losses' mean."""
+        rng, losses, pools = np.random.default_rng(seed), [], [np.cumsum([len(t) for t in own]) for own in texts]
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         v = {k: np.zeros_like(x) for k, x in self.p.items()}
         for t in range(1, steps + 1):
-            pick = rng.integers(0, len(words), batch)
-            loss, grad = self.gradient(*matrix([words[i] for i in pick]), labels[pick])
+            labels = np.arange(batch) % len(texts)
+            loss, grad = self.gradient(*matrix([piece(texts[k], pools[k], rng) for k in labels]), labels)
             losses.append(loss)
             pace = rate * min(1.0, 2 * (1 - t / (steps + 1)))
             for k, g in grad.items():
@@ -110,49 +116,85 @@ class Net:
         return float(np.mean(losses[-50:]))
 
     def _states(self, way: str, x: np.ndarray, alive: list[int]) -> np.ndarray:
-        """States for rows in order of falling length: time step t has the first alive[t] rows."""
-        n, W, U = self.hidden, self.p["W" + way], self.p["U" + way]
-        h, out = np.zeros((len(x), n), np.float32), np.zeros((x.shape[1], len(x), n), np.float32)
-        for t, k in enumerate(alive):
-            g, u = W[x[:k, t]], h[:k] @ U
-            g[:, : 2 * n] += u[:, : 2 * n]
-            gates = np.negative(g[:, : 2 * n])
+        """States (time, hidden, rows) of bytes (time, rows), rows in order of falling length: time step t has the first alive[t] rows."""
+        n, W, U = self.hidden, np.ascontiguousarray(self.p["W" + way].T), np.ascontiguousarray(self.p["U" + way].T)
+        h, out = np.zeros((n, x.shape[1]), np.float32), np.zeros((x.shape[0], n, x.shape[1]), np.float32)
+        for t in range(len(alive)) if way == "f" else reversed(range(len(alive))):
+            # Whole groups of rows, so that a row's sums don't depend on how many rows there are beside it.
+            k = min(x.shape[1], -(-alive[t] // 64) * 64)
+            g, u, now = W.take(x[t, :k], axis=1, mode="clip"), U @ h[:, :k], h[:, :k]
+            gates, c = g[: 2 * n], u[2 * n :]
+            gates += u[: 2 * n]
+            np.negative(gates, out=gates)
             np.exp(gates, out=gates)
             gates += 1
             np.reciprocal(gates, out=gates)
-            c = u[:, 2 * n :] * gates[:, n:]
-            c += g[:, 2 * n :]
+            c *= gates[n:]
+            c += g[2 * n :]
             np.tanh(c, out=c)
-            h[:k] = c + gates[:, :n] * (h[:k] - c)
-            out[t, :k] = h[:k]
+            now -= c
+            now *= gates[:n]
+            now += c
+            h[:, alive[t] : k] = 0
+            out[t, :, :k] = now
         return out
 
-    def sums(self, words: list[bytes]) -> np.ndarray:
-        """For each word the label probabilities summed over its letter bytes, then their number: (words, languages + 1)."""
-        owner = np.repeat(np.arange(len(words)), [-(-len(w) // PIECE) or 1 for w in words])
-        pieces = [w[k : k + PIECE] for w in words for k in range(0, len(w) or 1, PIECE)]
-        out = np.zeros((len(words), len(self.langs) + 1))
-        order = np.argsort([-len(p) for p in pieces], kind="stable")
+    def sums(self, texts: list[bytes]) -> np.ndarray:
+        """For each text the label probabilities summed over its letter bytes, then their number: (texts, languages + 1)."""
+        data = np.frombuffer(b"".join(texts), np.uint8)
+        owner, left, start, end, right = windows(data, np.array([len(t) for t in texts], np.int64))
+        out, n = np.zeros((len(texts), len(self.langs) + 1)), self.hidden
+        order = np.argsort(left - right, kind="stable")
         for k in range(0, len(order), CHUNK):
             pick = order[k : k + CHUNK]
-            x, size = matrix([pieces[i] for i in pick])
-            span = np.arange(x.shape[1])
-            mask = span[None, :] < size[:, None]
-            alive = mask.sum(axis=0).tolist()
-            flip = np.where(mask, size[:, None] - 1 - span[None, :], 0)
-            f = self._states("f", x, alive)
-            b = self._states("b", np.take_along_axis(x, flip, axis=1), alive)
-            total = np.zeros((len(pick), len(self.langs) + 1), np.float32)
-            letters = _LETTER[x] & mask
-            for t, n in enumerate(alive):
-                logit = f[t, :n] @ self.p["O"][: self.hidden] + b[flip[:n, t], np.arange(n)] @ self.p["O"][self.hidden :] + self.p["c"]
-                logit -= logit.max(axis=1, keepdims=True)
-                np.exp(logit, out=logit)
-                logit *= (letters[:n, t] / logit.sum(axis=1))[:, None]
-                total[:n, :-1] += logit
-                total[:n, -1] += letters[:n, t]
-            np.add.at(out, owner[pick], total)
-        return out
+            size = right[pick] - left[pick]
+            span = np.arange(size.max(initial=0))[:, None]
+            x = data[np.minimum(left[pick] + span, len(data) - 1)]
+            own = (span >= start[pick] - left[pick]) & (span < end[pick] - left[pick])
+            letters, total = (_LETTER[x] & own).astype(np.float32), np.zeros((len(self.langs) + 1, len(pick)), np.float32)
+            x, alive = x.astype(np.intp), (span < size).sum(axis=1).tolist()
+            f, b = self._states("f", x, alive), self._states("b", x, alive)
+            Of, Ob, c = np.ascontiguousarray(self.p["O"][:n].T), np.ascontiguousarray(self.p["O"][n:].T), self.p["c"][:, None]
+            for t in range(len(alive)):
+                logit = Of @ f[t]
+                logit += Ob @ b[t]
+                logit += c
+                np.exp(logit, out=logit)  # states are within -1 and 1, so that this can't overflow
+                logit *= letters[t] / logit.sum(axis=0)
+                total[:-1] += logit
+            total[-1] = letters.sum(axis=0)
+            np.add.at(out, owner[pick], np.rint(total.T * UNIT))
+        return out / UNIT
+
+
+def windows(data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(text, left, start, end, right) of the windows of texts that stand one after another: [start, end) is the window, [left, right) with its context."""
+    ends = np.cumsum(sizes)
+    many = -(-sizes // WINDOW)
+    owner = np.repeat(np.arange(len(sizes)), many)
+    first, last = (ends - sizes)[owner], ends[owner]
+    place = np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many)
+
+    def at_character(at: np.ndarray) -> np.ndarray:
+        at = np.clip(at, first, last)
+        for _ in range(3):  # a character has three bytes after its first at most
+            inside = (at > first) & (at < last) & (data[np.minimum(at, len(data) - 1)] & 0xC0 == 0x80)
+            at = at - inside
+        return at
+
+    start, end = at_character(first + place * WINDOW), at_character(first + (place + 1) * WINDOW)
+    return owner, at_character(start - CONTEXT), start, end, at_character(end + CONTEXT)
+
+
+def piece(texts: list[bytes], ends: np.ndarray, rng: np.random.Generator) -> bytes:
+    """A window of SPAN bytes at a random byte of the texts, moved to the text's end where it is too near, that begins at a character."""
+    at = int(rng.integers(0, ends[-1]))
+    k = int(np.searchsorted(ends, at, "right"))
+    text = texts[k]
+    start = max(0, min(at - int(ends[k]) + len(text), len(text) - SPAN))
+    while start and text[start] & 0xC0 == 0x80:
+        start -= 1
+    return text[start : start + SPAN]
 
 
 def matrix(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -162,20 +204,13 @@ def matrix(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(w.ljust(width, b"\0") for w in words), np.uint8).reshape(len(words), width), size
 
 
-def runs(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-    """(offsets of documents in codes, codes, distinct runs) of lower-cased texts; null counts as empty."""
-    parts = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "").cast(pa.large_string())))
-    coded = parts.flatten().dictionary_encode()
-    return parts.offsets.to_numpy() - parts.offsets[0].as_py(), coded.indices.to_numpy(), [w.encode() for w in coded.dictionary.to_pylist()]
-
-
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", fit_docs: int = FIT_DOCS, fit_chars: int = FIT_CHARS) -> Net:
     """A network from at most fit_docs documents a language, chosen by a hash of the id, so that every language is learned.
 
-    Of a text longer than fit_chars, a piece of that length is taken where a hash of the id says, without the words that it cuts. Rows without text or language are left out. Without any, the network knows no language.
+    Of a text longer than fit_chars, a piece of that length is taken where a hash of the id says, without the words that it cuts. Rows without text (null or blank) or language are left out. Without any, the network knows no language.
     """
     rows = labelled.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    rows = rows.filter(F.col("text").isNotNull() & F.col("lang").isNotNull()).withColumn("h", F.xxhash64("id", F.lit(1)))
+    rows = rows.filter(F.col("text").rlike(r"\S") & F.col("lang").isNotNull()).withColumn("h", F.xxhash64("id", F.lit(1)))
     spare = F.length("text") - fit_chars
     piece = F.substring("text", (F.pmod(F.xxhash64("id", F.lit(2)), F.greatest(spare, F.lit(0)) + 1) + 1).cast("int"), F.lit(fit_chars))
     uncut = F.regexp_replace(piece, r"^\S*\s+|\s+\S*$", "")
@@ -183,20 +218,24 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_
     best = rows.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))).filter(F.col("k") <= fit_docs)
     sample = sorted((r["lang"], r["text"]) for r in best.select("lang", "text").toLocalIterator())
     langs = sorted({lang for lang, _ in sample})
-    net, words, labels = Net(langs), [], []
-    for k, lang in enumerate(langs):
-        own = [w[i : i + PIECE] for x, t in sample if x == lang for w in t.encode().lower().split() for i in range(0, len(w), PIECE)]
-        words += own
-        labels += [k] * len(own)
-    if words:
-        labels = np.array(labels)
-        even = np.random.default_rng(3)
-        pools = [np.flatnonzero(labels == k) for k in range(len(langs))]
-        pick = np.concatenate([even.choice(p, max(map(len, pools))) for p in pools if len(p)])
-        net.train([words[i] for i in pick], labels[pick])
+    net = Net(langs)
+    texts = [[t.encode().lower() for x, t in sample if x == lang and t] for lang in langs]
+    if langs and all(texts):
+        net.train(texts)
     return net
 
 
+def shares(texts: list[bytes]) -> Iterator[list[bytes]]:
+    """The texts in parts of about PART bytes, so that memory doesn't follow the batch; a longer text is a part of its own."""
+    k = 0
+    while k < len(texts):
+        size, a = len(texts[k]), k
+        k += 1
+        while k < len(texts) and size + len(texts[k]) <= PART:
+            size, k = size + len(texts[k]), k + 1
+        yield texts[a:k]
+
+
 def predict_language(df: DataFrame, net: Net, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """(id, keep..., lang_pred string, score double) for each row, from whole texts alone.
 
@@ -210,15 +249,10 @@ def predict_language(df: DataFrame, net: Net, id_col: str = "doc_id", text_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(len(names))
-            offsets, codes, words = runs(texts)
-            n = len(net.langs)
-            if n and len(codes):
-                # Fixed-point sums: a text's result then doesn't depend on the texts beside it.
-                whole = np.rint(net.sums(words) * (1 << 20)).astype(np.int64)
-                ends = np.concatenate([np.zeros((1, n + 1), np.int64), np.cumsum(whole[codes], axis=0)])
-                doc = (ends[offsets[1:]] - ends[offsets[:-1]]) / (1 << 20)
-            else:
-                doc = np.zeros((len(texts), n + 1))
+            n, coded = len(net.langs), pc.ascii_lower(pc.fill_null(texts, "").cast(pa.large_string())).dictionary_encode()
+            doc = np.zeros((len(texts), n + 1))
+            if n and len(texts):
+                doc = np.concatenate([net.sums(part) for part in shares([t.encode() for t in coded.dictionary.to_pylist()])])[coded.indices.to_numpy()]
             lettered = [bool(t) and any(map(str.isalpha, t)) for t in texts.to_pylist()]
             langs, scores = [], []
             for row, ok in zip(doc, lettered, strict=True):

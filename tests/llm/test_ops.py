@@ -331,6 +331,60 @@ def test_language_of_long_documents_only(spark):
     assert {r["doc_id"]: r["lang_pred"] for r in langid.predict_language(held, net).collect()} == {1: "de", 2: "en"}
 
 
+def test_language_windows_cover_texts_at_characters():
+    rng = random.Random(3)
+    texts = [("".join(rng.choice("aé漢😀 b") for _ in range(n))).encode() for n in (0, 1, 5, 70, 500, 3000)]
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    owner, left, start, end, right = langid.windows(data, np.array([len(t) for t in texts]))
+    at = 0
+    for k, t in enumerate(texts):
+        mine = [(int(a), int(b)) for o, a, b in zip(owner, start, end) if o == k]
+        assert b"".join(data[a:b].tobytes() for a, b in mine) == t
+        for o, l, a, b, r in zip(owner, left, start, end, right):
+            if o == k:
+                data[l:r].tobytes().decode(), data[a:b].tobytes().decode()
+                assert at <= l <= a < b <= r <= at + len(t) and (a - l >= langid.CONTEXT or l == at) and (r - b >= langid.CONTEXT - 3 or r == at + len(t))
+        at += len(t)
+
+
+def test_language_labels_every_position():
+    """Summed labels equal a plain forward pass, position by position, whatever texts stand beside; a text of 500 bytes has no blank."""
+    rng, net = random.Random(5), langid.Net(["a", "b", "c"])
+    texts = ["".join(rng.choice("abé .z9") for _ in range(n)).encode() for n in (0, 1, 9, 60, 150, 200)]
+
+    def plain(raw):
+        total = np.zeros(4)
+        x, size = langid.matrix([raw])
+        ones = np.ones(x.shape, bool)
+        f, b = net._run("f", x, ones)[0][0], net._run("b", x[:, ::-1], ones)[0][0][::-1]
+        for i, byte in enumerate(raw):
+            p = np.exp(np.concatenate([f[i], b[i]]) @ net.p["O"] + net.p["c"])
+            if langid._LETTER[byte]:
+                total[:3] += p / p.sum()
+                total[3] += 1
+        return total
+
+    assert np.allclose(net.sums(texts), [plain(t) for t in texts], atol=2 / langid.UNIT)
+    long = [b"x" * 500, ("é" * 700).encode()]
+    whole = net.sums([*texts, *long])
+    assert (whole[: len(texts)] == net.sums(texts)).all() and (net.sums(long[:1]) == whole[-2:-1]).all() and whole[-2, 3] == 500 and whole[-1, 3] == 1400
+    for raw, got in zip(long, whole[-2:]):
+        assert np.abs(plain(raw) - got)[:3].max() < 0.02 * len(raw)
+
+
+def test_language_rows(spark):
+    """Ties go to the first name; repeats, clashing columns, nulls and held-out accuracy over the small table."""
+    net = langid.Net(["b", "a"])
+    net.p = {k: v * 0 for k, v in net.p.items()}
+    rows = spark.createDataFrame([(1, "abc", "x", 1.0), (1, "abc", "x", 1.0), (2, None, None, None), (3, "12", "y", 0.0), (None, "z", "q", 2.0)], "doc_id long, text string, lang_pred string, score double")
+    got = collections.Counter(tuple(r) for r in langid.predict_language(rows, net).collect())
+    assert got == collections.Counter({(1, "b", 0.5): 2, (2, "und", 0.0): 1, (3, "und", 0.0): 1, (None, "b", 0.5): 1})
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    told = langid.predict_language(docs.filter(held), langid.fit(docs.filter(~held)), keep=("lang",)).filter("lang is not null and lang_pred <> 'und'")
+    assert told.filter("lang = lang_pred").count() >= 0.97 * told.count() > 0
+
+
 def test_gradient():
     net = langid.Net(["a", "b"], hidden=3)
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}

@@ -26,11 +26,11 @@ def shared_dir(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cuts the lineage: df as a Parquet table in the shared folder, read again with its own schema."""
+def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Cuts the lineage: df as a Parquet table in the shared folder (in folders ``by`` a column), read again with its own schema."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_path = path
     return out

@@ -120,20 +120,61 @@ def test_lm_base_and_score(docs):
     assert all(r["score"] < 0 and r["bits_per_byte"] > 0 for r in got) and len(same["one"]) == 1
 
 
-def test_lm_is_a_distribution():
+def test_lm_speller_is_a_distribution():
     """All words of up to two letters, with the blank that ends each, have at most probability one together; unseen words have some."""
     import pyarrow as pa
 
     words = pa.array([b"ab", b"aa", b"b", b"abc"], pa.large_binary())
-    tables = [np.zeros(2 << s, np.int64) for s in lm.SLOTS]
-    lm.partial_tables(words, np.array([5, 3, 9, 1]), tables)
-    model = lm.Model([(lm._coded(t.reshape(-1, 2)[:, 0]) << np.uint16(8)) | lm._coded(t.reshape(-1, 2)[:, 1]) for t in tables])
-    model.learn(words, np.array([5, 3, 9, 1]))
+    model = lm.Model([np.zeros(2 << s, np.int64) for s in lm.SLOTS])
+    for _ in range(5):
+        model.learn(words, np.full(model.weights.size, 1e-6), 0)
+    model.tables = [lm.coded(t) for t in model.tables]
     every = [bytes([a]) for a in range(256)] + [bytes([a, b]) for a in range(97, 123) for b in range(256)]
     p = 10 ** model.log10(pa.array(every, pa.large_binary()))
     assert 0 < p.sum() <= 1 + 1e-9 and p[every.index(b"b")] > p[every.index(b"q")] > 0
 
 
+def test_lm_tokens_are_a_distribution():
+    """After any beginning, all next tokens together have at most probability one; the part for unknown ones stands for all of them."""
+    rng = random.Random(4)
+    vocab = [f"w{k}" for k in range(12)]
+    train = [[rng.choice(vocab[: rng.choice((3, 12))]) for _ in range(9)] for _ in range(40)]
+    count = collections.Counter(w for t in train for w in [*t, "END"])
+    pairs = collections.Counter(p for t in train for p in zip(["START", *t], [*t, "END"]))
+    first = count | collections.Counter({"START": len(train)})
+    totals = {"n": sum(count.values()), "held": 0.4, "again": 0.2, "new": 0.05}
+    for start in ([], train[0][:5], train[1][:8] + ["new"], ["new"] * 6 + ["w1"]):
+        total = 0.0
+        for w in [*count, "another"]:
+            text = [*start, w]
+            cols = [np.array([count[x] for x in text]), np.array([first[x] for x in ["START", *text[:-1]]]), np.array([pairs[p] for p in zip(["START", *text[:-1]], text)])]
+            logs = lm.token_logs(np.zeros(len(text), np.int64), *cols, np.zeros(len(text)), totals)
+            assert (logs <= 1e-12).all()
+            total += 10 ** logs[-1]
+        assert 0.5 < total <= 1 + 1e-9
+
+
+def test_lm_flags_learn_within_a_text():
+    doc = np.repeat([0, 1, 2], [300, 5, 300])
+    bit = np.concatenate([np.ones(300), [0, 1, 0, 1, 1], np.arange(300) % 2]).astype(np.int64)
+    p = lm.flags(bit, doc, np.zeros(605, np.int64), 0.3)
+    assert p[299] > 0.95 and p[0] < 0.4 and abs(p[-1] - 1) < 0.25 and abs(p[-2]) < 0.25  # the alternation is told by the last bits
+    assert np.array_equal(lm.flags(bit[305:], doc[305:], np.zeros(300, np.int64), 0.3), p[305:])
+
+
+def test_lm_does_not_depend_on_files(spark, tmp_path):
+    """Equal scores from 2 and 7 files; held-out texts cost less than the base formula says; a text that stands twice costs less than the like of it that stands once."""
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rest = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7
+    found = []
+    for n in (2, 7):
+        rows.repartition(n, "doc_id").write.parquet(str(tmp_path / str(n)))
+        found.append({r["doc_id"]: r for r in lm.score_documents(spark.read.parquet(str(tmp_path / str(n))), rest != 2).withColumn("held", rest == 2).collect()})
+    assert len(found[0]) == rows.count() and all(abs(found[0][k]["score"] - found[1][k]["score"]) <= 1e-9 * abs(r["score"]) for k, r in found[0].items())
+    held = [r for r in found[0].values() if r["held"]]
+    assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
+
+
 def test_media(docs):
     rows = {(r["doc_id"], r["payload_sha256"]): r for r in media.media_features(media.with_media(docs)).collect()}
     for k, t in by_row(docs):

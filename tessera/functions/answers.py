@@ -16,6 +16,7 @@ TRANSLATION = (
     r"(?iu)\b(formato\s+(de\s+)?(data|n[úu]mero|hora)|formato\s+diferente|apenas\s+(uma\s+)?(tradu|reformul|adapta)|tradu(ção|zido|zida|z-se)|reescrit[ao]|reformula(do|da|ção)|equivalente\s+em\s+portugu[êe]s"
     r"|mesma\s+(data|informa[çc][ãa]o|ideia)|corresponde\s+ao\s+original|vers[ãa]o\s+(mais\s+)?(curta|concisa|resumida))"
 )
+# What may stand around a marker, and the names of fences.
 _DECOR = r"[*_\s>#\-\"']*"
 DRAFT_JSON = "titulo string, dek string, corpo_md string, categoria string, tags array<string>"
 
@@ -63,14 +64,30 @@ def real_divergences(found: Column) -> Column:
     return F.filter(F.transform(found, lambda d: F.trim(d)), lambda d: (d != "") & ~d.rlike(OMISSION) & ~d.rlike(TRANSLATION))
 
 
+def _verdict_json(answer: Column) -> Column:
+    """struct(consistent, divergences) of an object whose keys are read in any letter case; the verdict is a word or a boolean."""
+    keyed = F.transform(json_candidates(answer), lambda t: F.transform_keys(F.from_json(t, "map<string,string>"), lambda k, v: F.lower(F.trim(k))))
+    said = lambda m: F.coalesce(m["consistente"], m["veredito"])
+    first = F.get(F.filter(keyed, lambda m: m.isNotNull() & said(m).isNotNull()), F.lit(0))
+    listed = F.from_json(F.coalesce(first["divergencias"], first["divergencia"]), "array<string>")
+    yes = F.lower(F.trim(said(first))).isin("consistente", "true")
+    return F.when(first.isNotNull(), F.struct(yes.alias("consistent"), F.coalesce(listed, F.array().cast("array<string>")).alias("divergences")))
+
+
+def filtered(verdict: Column) -> Column:
+    """The verdict without divergences that don't count; consistent where none is left of some."""
+    left = real_divergences(verdict["divergences"])
+    return F.when(verdict.isNotNull(), F.struct((verdict["consistent"] | (F.size(left) == 0)).alias("consistent"), left.alias("divergences")))
+
+
 def read_verdict(answer: Column) -> Column:
-    """struct(consistent, divergences): VEREDITO and the lines over 12 characters below DIVERGENCIAS; null without a verdict, which fails.
+    """struct(consistent, divergences): VEREDITO and the lines over 12 characters below DIVERGENCIAS, else JSON; null without a verdict, which fails.
 
     Anything but CONSISTENTE counts as divergent. Where only complaints are left that don't count, the text is consistent.
     """
     text = unfenced(without_reasoning(answer))
-    verdict = F.regexp_extract(text, rf"(?imu)^[{{\s]*{_DECOR}VEREDITO\"?\s*:\s*[\"']?\s*(\w+)", 1)
+    verdict = F.regexp_extract(text, rf"(?imu)^{_DECOR}VEREDITO\"?\s*:\s*[\"']?\s*(\w+)", 1)
     listed = F.regexp_extract(text, rf"(?imu)^{_DECOR}DIVERG[ÊE]NCIAS?\"?\s*:([\s\S]*)", 1)
     lines = F.filter(F.transform(F.split(listed, "\n"), lambda x: F.trim(F.regexp_replace(x, r"^[\s*_>#-]+", ""))), lambda x: F.length(x) > 12)
-    left = real_divergences(lines)
-    return F.when(verdict != "", F.struct(((F.lower(verdict) == "consistente") | (F.size(left) == 0)).alias("consistent"), left.alias("divergences")))
+    by_line = F.when(verdict != "", F.struct((F.lower(verdict) == "consistente").alias("consistent"), lines.alias("divergences")))
+    return filtered(F.coalesce(by_line, _verdict_json(without_reasoning(answer))))

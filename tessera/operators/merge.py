@@ -1,44 +1,103 @@
-"""Idempotent merges by key. A copied key may hold a third of the rows, so firsts come from aggregates, not windows."""
+"""Idempotent merges by key. A copied key may hold a third of the rows, so firsts come from aggregates, not windows, and null keys stay.
+
+Joins are null-safe: rows with a null key are one key. Where several rows of a batch share key and
+order, only the one with the smallest row hash counts as first.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def _place(order: str, columns: list[str]) -> Column:
+    """What orders a key's rows: the order column, then a hash of the row."""
+    return F.struct(F.col(order).alias("o"), F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in sorted(columns)]).alias("h"))
+
+
+def _first(rows: DataFrame, key: str, order: str) -> DataFrame:
+    """(__key, __first) of each key."""
+    return rows.groupBy(F.col(key).alias("__key")).agg(F.min(_place(order, rows.columns)).alias("__first"))
+
+
 def classify_batch(target: DataFrame, batch: DataFrame, key: str, order: str, content: str | None = None) -> DataFrame:
-    """batch with outcome: 'new' for a key's first row that target lacks, 'updated' where target's content differs, else 'duplicate'. Later rows of a new key are duplicates."""
-    held = target.groupBy(key).agg(F.max(F.col(content)).alias("__content") if content else F.lit(True).alias("__content"))
-    first = batch.groupBy(key).agg(F.min(order).alias("__first"))
-    joined = batch.join(held, key, "left").join(first, key)
-    known = F.col("__content").isNotNull()
-    outcome = F.when(~known & (F.col(order) == F.col("__first")), "new")
+    """batch with outcome: 'new' for a key's first row that target lacks, 'updated' where target's content differs (null is a content), else 'duplicate'.
+
+    Later rows of a new key are duplicates. Null keys are one key. Rows alike in all columns that are first are all new.
+    """
+    held = target.groupBy(F.col(key).alias("__held")).agg(F.max(F.col(content)).alias("__content") if content else F.lit(None).cast("string").alias("__content"), F.lit(True).alias("__known"))
+    joined = batch.join(held, F.col(key).eqNullSafe(F.col("__held")), "left").join(_first(batch, key, order), F.col(key).eqNullSafe(F.col("__key")))
+    known = F.col("__known").isNotNull()
+    outcome = F.when(~known & (_place(order, batch.columns) == F.col("__first")), "new")
     if content:
-        outcome = outcome.when(known & (F.col(content) != F.col("__content")), "updated")
-    return joined.withColumn("outcome", outcome.otherwise("duplicate")).drop("__content", "__first")
+        outcome = outcome.when(known & ~F.col(content).eqNullSafe(F.col("__content")), "updated")
+    return joined.withColumn("outcome", outcome.otherwise("duplicate")).select(*batch.columns, "outcome")
 
 
 def insert_new(target: DataFrame, batch: DataFrame, key: str, order: str) -> DataFrame:
-    """target and the batch's new rows; merging twice changes nothing."""
+    """target and the batch's new rows, each once; merging twice changes nothing."""
     fresh = classify_batch(target, batch, key, order).filter("outcome = 'new'").drop("outcome")
-    return target.unionByName(fresh.select(*target.columns))
+    return target.unionByName(fresh.select(*target.columns).distinct())
+
+
+def refreshed(target: DataFrame, batch: DataFrame, key: str, order: str, content: str, columns: tuple[str, ...]) -> DataFrame:
+    """target with ``columns`` and content taken from the batch's first row of a key whose content differs; other rows and columns stay. Keys are unique in target."""
+    first = batch.join(_first(batch, key, order), F.col(key).eqNullSafe(F.col("__key")) & (_place(order, batch.columns) == F.col("__first")))
+    new = first.select(F.col(key).alias("__key"), F.struct(content, *columns).alias("__new")).dropDuplicates(["__key"])
+    joined = target.join(new, F.col(key).eqNullSafe(F.col("__key")), "left")
+    changed = F.col("__new").isNotNull() & ~F.col(content).eqNullSafe(F.col(f"__new.{content}"))
+    return joined.select(*(F.when(changed, F.col(f"__new.{c}")).otherwise(F.col(c)).alias(c) if c in (content, *columns) else F.col(c) for c in target.columns))
+
+
+def point_update(target: DataFrame, changes: DataFrame, key: str) -> DataFrame:
+    """target with the values of changes (unique keys); columns that changes lacks and null values in it leave the old ones."""
+    renamed = changes.select(F.col(key).alias("__key"), *(F.col(c).alias(f"__{c}") for c in changes.columns if c != key))
+    joined = target.join(renamed, F.col(key) == F.col("__key"), "left")
+    return joined.select(*(F.coalesce(f"__{c}", c).alias(c) if c in changes.columns and c != key else F.col(c) for c in target.columns))
+
+
+def adopt(target: DataFrame, batch: DataFrame, key: str = "key", slug: str = "slug", same: tuple[str, ...] = ("source", "title")) -> DataFrame:
+    """batch with outcome and final_slug, as an insert one by one in order of ``position`` would have it.
+
+    A known key is 'duplicate', or 'updated' where its content differs. Of an unknown key the first row
+    is 'adopted' where the target holds its slug with the same source and title (the story moved to a new
+    address; the slug stays), 'new' with its slug where that is free in target and batch, and 'new' with the slug and the
+    key's first six characters where it isn't; an empty slug is noticia and those. Columns: key, slug, content, position and ``same``.
+    """
+    rows = classify_batch(target, batch, key, "position", content="content")
+    holder = target.filter(F.col(slug) != "").select(F.col(slug).alias("__slug"), F.struct(*same).alias("__holder")).dropDuplicates(["__slug"])
+    joined = rows.join(holder, F.col(slug) == F.col("__slug"), "left")
+    moved = F.col("__holder").isNotNull() & F.col("__holder").eqNullSafe(F.struct(*same))
+    joined = joined.withColumn("outcome", F.when((F.col("outcome") == "new") & moved, "adopted").otherwise(F.col("outcome")))
+    wants = (F.col("outcome") == "new") & F.col("__holder").isNull() & (F.col(slug) != "")
+    first = joined.filter(wants).groupBy(F.col(slug).alias("__want")).agg(F.min("position").alias("__at"))
+    placed = joined.join(first, F.col(slug) == F.col("__want"), "left")
+    named = F.concat(F.coalesce(F.nullif(F.col(slug), F.lit("")), F.lit("noticia")), F.lit("-"), F.substring(key, 1, 6))
+    final = F.when(F.col("outcome") == "new", F.when(wants & (F.col("position") == F.col("__at")), F.col(slug)).otherwise(named)).when(F.col("outcome") == "adopted", F.col(slug))
+    return placed.select(*batch.columns, "outcome", final.alias("final_slug"))
+
+
+def tallies(rows: DataFrame) -> DataFrame:
+    """One row: seen, new, duplicate (updated and adopted ones among them), updated."""
+    is_ = lambda *names: F.count_if(F.col("outcome").isin(*names))
+    return rows.agg(F.count(F.lit(1)).alias("items_seen"), is_("new").alias("items_new"), is_("duplicate", "updated", "adopted").alias("items_duplicate"), is_("updated", "adopted").alias("items_updated"))
 
 
 def coalescing_upsert(target: DataFrame, batch: DataFrame, key: str, overwrite: tuple[str, ...], keep: tuple[str, ...]) -> DataFrame:
-    """Rows of both by key: overwrite columns are the batch's where it has the key, keep columns are the batch's unless null."""
-    t, b = target.alias("t"), batch.alias("b")
-    has = F.col(f"b.{key}").isNotNull()
+    """Rows of both by key: overwrite columns are the batch's where it has the key, keep columns are the batch's unless null. Keys are unique in target; of a batch's rows of one key the one with the smallest row hash counts."""
+    rows = batch.groupBy(key).agg(F.min_by(F.struct(*batch.columns), F.xxhash64(*batch.columns)).alias("r")).select("r.*")
+    t, b = target.alias("t"), rows.withColumn("__has", F.lit(True)).alias("b")
+    has = F.col("b.__has").isNotNull()
     cols = [F.coalesce(f"b.{key}", f"t.{key}").alias(key)]
     cols += [F.when(has, F.col(f"b.{c}")).otherwise(F.col(f"t.{c}")).alias(c) for c in overwrite]
     cols += [F.coalesce(f"b.{c}", f"t.{c}").alias(c) for c in keep]
-    return t.join(b, F.col(f"t.{key}") == F.col(f"b.{key}"), "full").select(*cols)
+    return t.join(b, F.col(f"t.{key}").eqNullSafe(F.col(f"b.{key}")), "full").select(*cols)
 
 
 def free_slugs(batch: DataFrame, taken: DataFrame, slug: str, order: str, suffix: str) -> DataFrame:
-    """batch with final_slug: the slug for its first row if it is free in taken, else slug-suffix."""
-    first = batch.groupBy(slug).agg(F.min(order).alias("__first"))
-    used = taken.select(F.col(slug)).distinct().withColumn("__used", F.lit(True))
-    joined = batch.join(first, slug).join(used, slug, "left")
-    own = F.col("__used").isNull() & (F.col(order) == F.col("__first")) & (F.col(slug) != "")
+    """batch with final_slug: the slug for its first row if it is free in taken, else slug-suffix; null and empty slugs are noticia-suffix."""
+    used = taken.select(F.col(slug).alias("__taken")).distinct()
+    joined = batch.join(_first(batch, slug, order), F.col(slug).eqNullSafe(F.col("__key"))).join(used, F.col(slug) == F.col("__taken"), "left")
+    own = F.col("__taken").isNull() & (_place(order, batch.columns) == F.col("__first")) & (F.coalesce(F.col(slug), F.lit("")) != "")
     named = F.concat(F.coalesce(F.nullif(F.col(slug), F.lit("")), F.lit("noticia")), F.lit("-"), F.col(suffix))
-    return joined.withColumn("final_slug", F.when(own, F.col(slug)).otherwise(named)).drop("__first", "__used")
+    return joined.withColumn("final_slug", F.when(own, F.col(slug)).otherwise(named)).select(*batch.columns, "final_slug")

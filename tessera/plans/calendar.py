@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.html import read_tables
 from ..functions.text import fold
 
 # Months in order, weekdays from Sunday on, colours, notes of discipline, the class, the readings' separator.
@@ -106,3 +107,46 @@ def read_rows(rows: DataFrame, year: str = "year") -> tuple[DataFrame, DataFrame
     warnings = F.array_compact(F.array(F.col("d.warning"), F.when(F.col("l.color").isNull(), "no colour"), F.when(F.col("l.epistle").isNull() | F.col("l.gospel").isNull(), "no readings")))
     days = made.filter(reason.isNull()).select(*rows.columns, "d.date", "d.weekday", "f.*", "m.*", "l.*", warnings.alias("warnings"))
     return days.drop(*cells), rejects
+
+
+def resolved_year(url: Column, headings: Column, expected: Column) -> Column:
+    """struct(year, warning): the address's year, else the first heading's, else the expected one; null outside 2000 to 2100."""
+    from_url = F.regexp_extract(F.coalesce(url, F.lit("")), r"calendario-(\d{4})", 1).try_cast("int")
+    said = F.transform(headings, lambda h: F.regexp_extract(h, r"\b(\d{4})\b", 1).try_cast("int"))
+    found = F.coalesce(from_url, F.get(F.filter(said, lambda y: y.isNotNull()), F.lit(0)))
+    year = F.coalesce(found, expected.cast("int"))
+    warning = F.when(found.isNull(), "year not found").when(found != expected, "year differs")
+    return F.struct(F.when(year.between(2000, 2100), year).alias("year"), warning.alias("warning"))
+
+
+def page_rows(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", url_col: str = "url", expected: int | None = None, least: int = 0) -> DataFrame:
+    """Rows for read_rows from the tables of calendar pages: id, position, year, year_warning and the four cells. Pages shorter than ``least`` characters are no calendar."""
+    held = pages.filter(F.length(html_col) >= least)
+    found = read_tables(held, id_col, html_col).join(held.select(id_col, F.col(url_col).alias("__url")), id_col)
+    dated = found.withColumn("__y", resolved_year(F.col("__url"), F.col("headings"), F.lit(expected).cast("int")))
+    rows = dated.select(id_col, F.col("__y.year").alias("year"), F.col("__y.warning").alias("year_warning"), F.posexplode("rows").alias("position", "r"))
+    return rows.select(id_col, "position", "year", "year_warning", *(F.get("r", F.lit(k)).alias(name) for k, name in enumerate(("day_lines", "feast_lines", "marian_lines", "liturgy_lines"))))
+
+
+def last_wins(days: DataFrame, date: str = "date", position: str = "position") -> DataFrame:
+    """One row a date, the last one's, with repeated: whether the source had others."""
+    made = days.groupBy(date).agg(F.max_by(F.struct(*days.columns), position).alias("r"), (F.count(F.lit(1)) > 1).alias("repeated"))
+    return made.select("r.*", "repeated")
+
+
+def reject_ratio(days: DataFrame, rejects: DataFrame, most: float = 0.1) -> DataFrame:
+    """One row: days, rejects, ratio and abort: more than ``most`` of all were rejected, or there is no day."""
+    both = days.select(F.lit(0).alias("bad")).unionByName(rejects.select(F.lit(1).alias("bad")))
+    sums = both.agg(F.count_if(F.col("bad") == 0).alias("days"), F.count_if(F.col("bad") == 1).alias("rejects"))
+    ratio = F.col("rejects") / F.greatest(F.col("days") + F.col("rejects"), F.lit(1))
+    return sums.withColumn("ratio", ratio).withColumn("abort", (F.col("ratio") > most) | (F.col("days") == 0))
+
+
+def new_days(batch: DataFrame, stored: DataFrame, date: str = "date") -> DataFrame:
+    """Days that aren't stored yet."""
+    return batch.join(stored.select(date).distinct(), date, "left_anti")
+
+
+def months_present(days: DataFrame, date: str = "date") -> DataFrame:
+    """One row: the months that have days, in order."""
+    return days.agg(F.array_sort(F.collect_set(F.substring(date, 1, 7))).alias("months"))

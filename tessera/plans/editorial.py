@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..dims import MAX_ENGLISH, MIN_DIACRITICS
-from ..functions.text import diacritic_density, fold, stop_share
+from ..functions.text import diacritic_density, english_share, fold, stop_counts
 from .rules import length_rule, ratio_rule
 
 # Hosts by source.
@@ -55,7 +55,7 @@ def holds_term(text: Column, term: str) -> Column:
 
 
 def content_numbers(text: Column) -> Column:
-    """Distinct numbers, grouped ones too, without separators and leading zeros; list markers and link targets don't count."""
+    """The patterns of list markers, link targets and numbers. Distinct numbers, grouped ones too, without separators and leading zeros; list markers and link targets don't count."""
     clean = F.regexp_replace(F.regexp_replace(text, r"(?m)^\s{0,3}\d{1,3}[.)]\s+", ""), r"\]\([^)]*\)", "]")
     found = F.regexp_extract_all(clean, F.lit(r"(\d{1,3}(?:[.,\x{a0}\x{202f} ]\d{3})+(?:[.,]\d+)?|\d+(?:[.,]\d+)?)"), F.lit(1))
     return F.array_distinct(F.transform(found, lambda x: F.regexp_replace(F.regexp_replace(x, r"[.,\x{a0}\x{202f} ]", ""), "^0+(?=[0-9])", "")))
@@ -101,7 +101,7 @@ def verdict_rule() -> Column:
 
 
 def language_rule() -> Column:
-    return F.array(F.when(stop_share(_text())[2] > MAX_ENGLISH, "English"), F.when(diacritic_density(_text()) < MIN_DIACRITICS, "few diacritics"))
+    return F.array(F.when(english_share(stop_counts(_text())) > MAX_ENGLISH, "English"), F.when(diacritic_density(_text()) < MIN_DIACRITICS, "few diacritics"))
 
 
 def refusal_labels(text: Column) -> Column:

@@ -76,3 +76,42 @@ def last_updates(articles: DataFrame, names: DataFrame) -> DataFrame:
     """Each name's last publication, 0 without any."""
     last = published(articles).groupBy(F.col("category_slug").alias("slug")).agg(F.max("published_at").alias("last"))
     return names.join(last, "slug", "left").select("slug", F.coalesce("last", F.lit(0)).alias("last"))
+
+
+def shown_topics(articles: DataFrame, topics: tuple[str, ...]) -> DataFrame:
+    """Published articles of the topics (all of them without any) with how many there are."""
+    rows = published(articles)
+    rows = rows.filter(F.col("category_slug").isin(list(topics))) if topics else rows
+    return rows.withColumn("visible", F.lit(rows.count()))
+
+
+def lead_and_rest(rows: DataFrame, k: int = 30) -> DataFrame:
+    """The newest k with their part: the first is the lead, the next two are beside it, the rest follows."""
+    cut = rows.orderBy(*recent()).limit(k).withColumn("rank", F.row_number().over(Window.orderBy(*recent())))
+    return cut.withColumn("part", F.when(F.col("rank") == 1, "lead").when(F.col("rank") <= 3, "side").otherwise("rest"))
+
+
+def page_window(current: Column, total: Column, around: int = 1) -> Column:
+    """Page numbers to show: all up to seven, else the first, the last and those around the current one, with null for each gap."""
+    near = F.filter(F.sequence(current - around, current + around), lambda p: (p >= 1) & (p <= total))
+    shown = F.array_sort(F.array_distinct(F.concat(F.array(F.lit(1), total), near)))
+    gaps = F.flatten(F.transform(shown, lambda p, i: F.when((i > 0) & (p - F.get(shown, i - 1) > 1), F.array(F.lit(None).cast("int"), p)).otherwise(F.array(p))))
+    return F.when(total <= 7, F.sequence(F.lit(1), F.greatest(total, F.lit(1)))).otherwise(gaps)
+
+
+def flagged_categories(articles: DataFrame, flag: int) -> DataFrame:
+    """(slug, label, position): categories that have published articles and the flag (2: navigation, 3: chips), in display order."""
+    names = articles.sparkSession.createDataFrame([(c[0], c[1], k) for k, c in enumerate(CATEGORIES) if c[flag]], "slug string, label string, position int")
+    return F.broadcast(names).join(published(articles).select(F.col("category_slug").alias("slug")).distinct(), "slug", "left_semi")
+
+
+def glossary(terms: DataFrame, entries: dict[str, str], term: str = "term") -> DataFrame:
+    """terms with translation: that of the entry with the same English term in any letter case; null for unknown ones."""
+    names = terms.sparkSession.createDataFrame([(k.lower(), v) for k, v in entries.items()], "__term string, translation string")
+    return terms.join(F.broadcast(names), F.lower(F.trim(term)) == F.col("__term"), "left").drop("__term")
+
+
+def refresh_list(articles: DataFrame, since: int, published_count: int) -> DataFrame:
+    """Slugs and categories of what a run published, twice as many as it says at most, newest first."""
+    rows = published(articles).filter(F.col("updated_at") >= since)
+    return rows.orderBy(F.desc("updated_at"), F.desc("doc_id")).limit(2 * published_count).select("slug", "category_slug")

@@ -7,41 +7,50 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..dims import BODY, DEK, MAX_ENGLISH, MAX_ERRORS, MIN_DIACRITICS, MIN_SOURCE, PARAGRAPHS, RATIO, TITLE
-from ..functions.text import diacritic_density, numbers, paragraphs, stop_share
+from ..dims import BODY, DEK, MAX_ERRORS, MIN_SOURCE, PARAGRAPHS, RATIO, TAGS, TITLE
+from ..functions.text import paragraphs, stripped
 
 
 def _outside(value: Column, bounds: tuple, name: str) -> Column:
     return F.when((value < bounds[0]) | (value > bounds[1]), F.lit(name))
 
 
+def _clean(name: str) -> Column:
+    return stripped(F.coalesce(F.col(name), F.lit("")))
+
+
 def length_rule() -> Column:
-    body = F.coalesce(F.trim("body"), F.lit(""))
-    rest = F.array(_outside(F.length(body), BODY, "body"), _outside(paragraphs(body), PARAGRAPHS, "paragraphs"), _outside(F.length("title"), TITLE, "title"), _outside(F.length("dek"), DEK, "dek"))
+    """Columns body, title, dek, tags (null: none), trimmed; an empty body is the one error."""
+    body, tags = _clean("body"), F.coalesce(F.size("tags"), F.lit(0))
+    rest = F.array(
+        _outside(F.length(body), BODY, "body"), _outside(paragraphs(body), PARAGRAPHS, "paragraphs"), _outside(F.length(_clean("title")), TITLE, "title"), _outside(F.length(_clean("dek")), DEK, "dek"),
+        _outside(F.greatest(tags, F.lit(0)), TAGS, "tags"),
+    )
     return F.when(body == "", F.array(F.lit("empty"))).otherwise(rest)
 
 
 def ratio_rule() -> Column:
-    ratio = F.length("body") / F.least("source_length", F.length("original"))
-    return F.array(F.when(F.coalesce(F.col("source_length"), F.lit(0)) <= 0, "unknown source length").when(ratio > RATIO[1], "too long").when(ratio < RATIO[0], "too short"))
-
-
-def number_rule() -> Column:
-    return F.transform(F.array_except(numbers(F.col("body")), numbers(F.col("original"))), lambda n: F.concat(F.lit("number "), n))
+    """The trimmed body's share of the source's length or, if smaller, of the original's where there is one."""
+    length = F.coalesce(F.col("source_length"), F.lit(0)).cast("double")
+    held = F.length(_clean("original")).cast("double")
+    base = F.when(held > 0, F.least(length, held)).otherwise(length)
+    ratio = F.length(_clean("body")) / F.nullif(base, F.lit(0.0))
+    return F.array(F.when(length <= 0, "unknown source length").when(ratio > RATIO[1], "too long").when(ratio < RATIO[0], "too short"))
 
 
-def language_rule() -> Column:
-    return F.array(F.when(stop_share(F.col("body"))[2] > MAX_ENGLISH, "English"), F.when(diacritic_density(F.col("body")) < MIN_DIACRITICS, "few diacritics"))
+def too_long_alone(failed: Column) -> Column:
+    """Whether writing less is all that is asked for: rules failed, and none but length and ratio. Such an answer is asked for once more."""
+    return (F.size(failed) > 0) & F.forall(failed, lambda r: r.isin("comprimento", "proporcao"))
 
 
-#: Rules by name, in order; add a pair to plug in another.
-RULES: tuple[tuple[str, Callable[[], Column]], ...] = (("comprimento", length_rule), ("proporcao", ratio_rule), ("numeros", number_rule), ("idioma", language_rule))
+def _labelled(name: str) -> Callable[[Column], Column]:
+    return lambda e: F.concat(F.lit(f"{name}: "), e)
 
 
-def judge(pairs: DataFrame, rules: tuple = RULES) -> DataFrame:
-    """pairs (body, title, dek, original, source_length) with failed_rules, errors (20 at most, then how many more) and passed."""
+def judge(pairs: DataFrame, rules: tuple) -> DataFrame:
+    """pairs with the columns that the rules read (pairs of name and function; add one to plug in another), failed_rules, errors (20 at most, then how many more) and passed."""
     made = pairs.select("*", *(F.array_compact(rule()).alias(f"e_{name}") for name, rule in rules))
-    every = F.concat(*(F.transform(f"e_{name}", lambda e, n=name: F.concat(F.lit(f"{n}: "), e)) for name, _ in rules))
+    every = F.concat(*(F.transform(f"e_{name}", _labelled(name)) for name, _ in rules))
     failed = F.array_compact(F.array(*(F.when(F.size(f"e_{name}") > 0, F.lit(name)) for name, _ in rules)))
     made = made.withColumn("failed_rules", failed).withColumn("every", every)
     more = F.size("every") - MAX_ERRORS

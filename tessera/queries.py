@@ -2,36 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import dims
 from .functions import html, text, url
 from .operators import asof, merge
-from .plans import classify, editorial, exports, queue, reads, rules
+from .plans import classify, queue, reads, rules
+from .registry import ORACLE_SQL, QUERIES, query, sql_list
 from .sources.tables import ARTICLES_SQL, NOW, articles, table
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
 NOW_TS = "2024-01-20 12:00:00"
 TOP = "order by published_at desc, doc_id desc"
-ROBOTS = ((False, "/a"), (True, "/a*.html"), (False, "/*?utm_"), (False, "/p$"))
-
-
-def query(name: str, sql: str | None = None) -> Callable:
-    def add(f: Callable) -> Callable:
-        QUERIES[name] = f
-        if sql:
-            ORACLE_SQL[name] = sql
-        return f
-
-    return add
-
-
-def _list(values: tuple) -> str:
-    return "[" + ", ".join(f"'{v}'" for v in values) + "]"
 
 
 @query("latest_published", ARTICLES_SQL + f"select doc_id, slug, title, published_at from pub {TOP} limit 30")
@@ -105,7 +87,7 @@ def status_pivot(s, d):
 
 
 DAYS_SQL = "select distinct cast(o_orderdate as date) as day from orders"
-COVERAGE = "count(*) as days, count(*) filter (day >= date '{0}') as ahead, cast(max(day) as varchar) as last_day, date_diff('day', date '{0}', max(day)) as days_left, date_diff('day', date '{0}', max(day)) < 7 as alert"
+COVERAGE = "count(*) as days, count(*) filter (day = date '{0}') as today, count(*) filter (day >= date '{0}') as ahead, cast(max(day) as varchar) as last_day, date_diff('day', date '{0}', max(day)) as days_left, date_diff('day', date '{0}', max(day)) < 7 as alert"
 
 
 def _days(s: SparkSession, d: str) -> DataFrame:
@@ -113,9 +95,11 @@ def _days(s: SparkSession, d: str) -> DataFrame:
 
 
 @query("health_report", ARTICLES_SQL + f""", a as (select count(*) filter (status = 'draft') n_draft, count(*) filter (status = 'published') n_published, count(*) filter (status = 'failed_validation') n_failed_validation from articles_v),
-r as (select count(*) filter (event_type = 'error' and ts >= timestamp '{NOW_TS}' - interval 6 hour and ts <= timestamp '{NOW_TS}') failures, arg_max(event_id, row(ts, event_id)) last_run from events),
-c as (select {COVERAGE.format(NOW_TS[:10])} from ({DAYS_SQL})),
-o as (select *, case when n_published = 0 then 'parado' when failures > 0 or alert then 'degradado' else 'ok' end verdict from a, r, c) select *, case when verdict = 'parado' then 503 else 200 end http_status from o""")
+r as (select count(*) filter (event_type = 'error' and ts >= timestamp '{NOW_TS}' - interval 6 hour and ts <= timestamp '{NOW_TS}') failures, arg_max(event_id, row(ts, event_id)) last_run, trunc((epoch(timestamp '{NOW_TS}') - epoch(max(ts))) / 60)::bigint idle_minutes from events),
+c as (select {COVERAGE.format(NOW_TS[:10])} from ({DAYS_SQL})), x as (select * from a, r, c),
+p as (select *, list_filter([case when idle_minutes is null then 'no run' when idle_minutes > 90 then concat('no run for ', idle_minutes, ' min') end, case when n_published = 0 then 'nothing published' end,
+case when today = 0 then 'no day for today' when days_left < 7 then concat(days_left, ' days left') end, case when failures >= 3 then concat(failures, ' failed runs') end], lambda y: y is not null) found from x),
+o as (select * exclude (found), array_to_string(found, '; ') problems, case when n_published = 0 or idle_minutes is null or idle_minutes > 90 then 'parado' when len(found) > 0 then 'degradado' else 'ok' end verdict from p) select *, case when verdict = 'parado' then 503 else 200 end http_status from o""")
 def health_report(s, d):
     return queue.health(articles(s, d), table(s, d, "events"), _days(s, d), NOW_TS)
 
@@ -206,7 +190,7 @@ def slug_collisions(s, d):
     return merge.free_slugs(rows.filter("doc_id % 3 <> 0"), rows.filter("doc_id % 3 = 0"), "base_slug", "doc_id", "short").select("doc_id", "final_slug")
 
 
-_SCORES = ", ".join("row(" + " + ".join(f"cast(contains(lower(title), '{t}') as int)" for t in terms) + f", {-k}, '{slug}')" for k, (slug, terms) in enumerate(dims.LEXICON))
+_SCORES = ", ".join("row(" + " + ".join(f"cast(contains(strip_accents(lower(title)), '{t}') as int)" for t in terms) + f", {-k}, '{slug}')" for k, (slug, terms) in enumerate(dims.LEXICON))
 
 
 @query("lexicon_category", ARTICLES_SQL + f", m as (select doc_id, list_max([{_SCORES}]) best from articles_v) select doc_id, case when best[1] > 0 then best[3] else 'mundo' end as category from m")
@@ -226,11 +210,6 @@ def url_canonical(s, d):
     return table(s, d, "pages").select("page_id", url.canonical(F.col("url")).alias("canonical"))
 
 
-@query("robots_decision", "with p as (select page_id, regexp_extract(url, '^[A-Za-z]+://[^/?#]+([^#]*)', 1) path from pages) select page_id, coalesce(case when regexp_matches(path, '^/a.*\\.html') then true end, case when regexp_matches(path, '^/.*\\?utm_') then false end, case when regexp_matches(path, '^/p$') then false end, case when regexp_matches(path, '^/a') then false end, true) as allowed from p")
-def robots_decision(s, d):
-    return classify.robots(table(s, d, "pages"), ROBOTS).select("page_id", "allowed")
-
-
 @query("read_pages")
 def read_pages(s, d):
     return html.read_pages(table(s, d, "pages"))
@@ -240,13 +219,14 @@ WORDS = "regexp_extract_all(lower(text), '([\\p{L}\\p{N}'']+)', 1)"
 
 
 def _stop_sql(names: tuple) -> str:
-    return f"len(list_filter(w, lambda x: list_contains({_list(names)}, x)))"
+    return f"len(list_filter(w, lambda x: list_contains({sql_list(names)}, x)))"
 
 
 @query("language_profile", f"with p as (select doc_id, text, {WORDS} w from documents), c as (select doc_id, text, {_stop_sql(dims.ENGLISH)} en, {_stop_sql(dims.PORTUGUESE)} pt from p) select doc_id, en, pt, case when en + pt = 0 then 1.0::double else en::double / (en + pt) end as english_share, len(regexp_extract_all(text, '{dims.DIACRITICS}'))::double / greatest(length(text), 1) as diacritics, len(list_filter(regexp_split_to_array(text, '\\n{{2,}}'), lambda x: trim(x) <> '')) as paragraphs from c")
 def language_profile(s, d):
-    en, pt, share = text.stop_share(F.col("text"))
-    return table(s, d, "documents").select("doc_id", en.alias("en"), pt.alias("pt"), share.cast("double").alias("english_share"), text.diacritic_density(F.col("text")).alias("diacritics"), text.paragraphs(F.col("text")).alias("paragraphs"))
+    c = F.col("counts")
+    rows = table(s, d, "documents").withColumn("counts", text.stop_counts(F.col("text")))
+    return rows.select("doc_id", c["en"].alias("en"), c["pt"].alias("pt"), text.english_share(c).alias("english_share"), text.diacritic_density(F.col("text")).alias("diacritics"), text.paragraphs(F.col("text")).alias("paragraphs"))
 
 
 @query("reading_time", f"select doc_id, greatest(1, cast(ceil(len({WORDS}) / 200.0) as bigint)) as minutes from documents")
@@ -254,40 +234,6 @@ def reading_time(s, d):
     return table(s, d, "documents").select("doc_id", text.reading_minutes(F.col("text")).alias("minutes"))
 
 
-NUMBERS = "list_sort(list_distinct(list_transform(regexp_extract_all({0}, '[0-9]+(?:[.,][0-9]+)*'), lambda x: case when ltrim(regexp_replace(x, '[.,]', '', 'g'), '0') = '' then '0' else ltrim(regexp_replace(x, '[.,]', '', 'g'), '0') end)))"
-
-
-def _pairs(s: SparkSession, d: str) -> DataFrame:
-    """A document's text as the rewriting of the next document's."""
-    docs = table(s, d, "documents")
-    other = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("original"), F.col("n_chars").alias("source_length"))
-    return docs.join(other, "doc_id").select("doc_id", F.col("text").alias("body"), F.split_part("text", F.lit("."), F.lit(1)).alias("title"), F.substring("text", 1, 200).alias("dek"), "original", "source_length")
-
-
-PAIRS_SQL = "with pairs as (select a.doc_id, a.text body, split_part(a.text, '.', 1) title, left(a.text, 200) dek, b.text original, b.n_chars source_length from documents a join documents b on b.doc_id = a.doc_id + 1), "
-
-
-@query("invented_numbers", PAIRS_SQL + f"n as (select doc_id, {NUMBERS.format('body')} used, {NUMBERS.format('original')} allowed from pairs) select doc_id, array_to_string(list_sort(list_filter(used, lambda x: not list_contains(allowed, x))), ',') as invented from n")
-def invented_numbers(s, d):
-    return _pairs(s, d).select("doc_id", F.array_join(F.array_sort(F.array_except(text.numbers(F.col("body")), text.numbers(F.col("original")))), ",").alias("invented"))
-
-
-@query("guardrail_verdict", PAIRS_SQL + f"""v as (select *, {WORDS.replace('text', 'body')} w, len(list_filter(regexp_split_to_array(trim(body), '\\n{{2,}}'), lambda x: trim(x) <> '')) par, {NUMBERS.format('body')} used, {NUMBERS.format('original')} allowed, length(body)::double / least(source_length, length(original)) ratio from pairs),
-x as (select *, {_stop_sql(dims.ENGLISH)} en, {_stop_sql(dims.PORTUGUESE)} pt from v),
-e as (select doc_id, (trim(body) = '' or length(trim(body)) not between 700 and 3200 or par not between 3 and 6 or length(title) not between 18 and 130 or length(dek) not between 40 and 280) c1, (source_length <= 0 or ratio > 0.6 or ratio < 0.18) c2, len(list_filter(used, lambda x: not list_contains(allowed, x))) > 0 c3,
-(case when en + pt = 0 then 1.0 else en::double / (en + pt) end > 0.35 or len(regexp_extract_all(body, '{dims.DIACRITICS}'))::double / greatest(length(body), 1) < 0.008) c4 from x)
-select doc_id, array_to_string(list_filter([case when c1 then 'comprimento' end, case when c2 then 'proporcao' end, case when c3 then 'numeros' end, case when c4 then 'idioma' end], lambda y: y is not null), ',') as failed_rules, not (c1 or c2 or c3 or c4) as passed from e""")
-def guardrail_verdict(s, d):
-    return rules.judge(_pairs(s, d)).select("doc_id", F.array_join("failed_rules", ",").alias("failed_rules"), "passed")
-
-
-@query("editorial_verdict")
-def editorial_verdict(s, d):
-    """All nine rules; the tables hold no source, address or verdict, so these are null."""
-    rows = _pairs(s, d).select("*", *(F.lit(None).cast("string").alias(c) for c in ("source", "source_name", "source_url")), F.lit(None).cast("struct<consistent: boolean, divergences: array<string>>").alias("verdict"))
-    return rules.judge(rows, editorial.NINE_RULES).select("doc_id", F.array_join("failed_rules", ",").alias("failed_rules"), "passed")
-
-
 @query("preflight", ARTICLES_SQL + "select doc_id, length(coalesce(source_excerpt, '')) >= 1750 and coalesce(source_length, 0) > 0 as ready from articles_v")
 def preflight(s, d):
     return rules.preflight(articles(s, d)).select("doc_id", "ready")
@@ -299,7 +245,7 @@ def work_queue(s, d):
     return queue.work_queue(articles(s, d).withColumn("attempted_at", tried), NOW, 25).select("doc_id", "published_at")
 
 
-@query("requeue", ARTICLES_SQL + f"select doc_id, 'draft' as status, cast(doc_id % 4 + 1 as bigint) as attempts from articles_v where status = 'failed_validation' and published_at >= {NOW - 3 * 86400} and doc_id % 4 < 2 and doc_id % 3 = 0")
+@query("requeue", ARTICLES_SQL + f"select doc_id, 'draft' as status, cast(doc_id % 4 + 1 as bigint) as attempts from articles_v where status = 'failed_validation' and published_at >= {NOW - 3 * 86400} and doc_id % 4 < 2 and doc_id % 3 = 0 order by published_at desc, doc_id desc limit 50")
 def requeue(s, d):
     errors = F.when(F.col("doc_id") % 3 == 0, F.array(F.lit("resposta_invalida: bloco"))).when(F.col("doc_id") % 3 == 1, F.array(F.lit("resposta_invalida"), F.lit("numeros: 7"))).otherwise(F.array().cast("array<string>"))
     return queue.requeue(articles(s, d).withColumn("validation_errors", errors).withColumn("attempts", F.col("doc_id") % 4), NOW).select("doc_id", "status", "attempts")
@@ -310,24 +256,5 @@ def tags_normalised(s, d):
     return table(s, d, "documents").select("doc_id", F.array_join(text.tags(F.slice(F.split("text", " "), 1, 20)), ",").alias("tags"))
 
 
-XML = "replace(replace(replace(replace(replace(title, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&apos;')"
-
-
-@query("rss_export", ARTICLES_SQL + f"select doc_id, concat('<item><title>', {XML}, '</title><link>{exports.SITE}/noticias/', slug, '</link></item>') as item from pub {TOP} limit 50")
-def rss_export(s, d):
-    return exports.rss_rows(articles(s, d))
-
-
-@query("news_sitemap", ARTICLES_SQL + f"select doc_id, concat('{exports.SITE}/noticias/', slug) as loc, published_at from pub where published_at >= {NOW - 48 * 3600} {TOP} limit 1000")
-def news_sitemap(s, d):
-    return exports.news_sitemap(articles(s, d), NOW)
-
-
-@query("sitemap", ARTICLES_SQL + f"select 0 as section, '{exports.SITE}/' as loc union all select 1, '{exports.SITE}/noticias' union all select 2, concat('{exports.SITE}/categoria/', slug) from (values ('en'), ('de')) t(slug) union all select 3, loc from (select concat('{exports.SITE}/noticias/', slug) loc from pub {TOP} limit 50000)")
-def sitemap(s, d):
-    return exports.sitemap(articles(s, d), s.createDataFrame([("en",), ("de",)], "slug string"))
-
-
-@query("jsonld")
-def jsonld(s, d):
-    return exports.json_ld(articles(s, d))
+# The other modules add theirs.
+from . import queries_editorial, queries_exports, queries_ingest, queries_site  # noqa: E402, F401

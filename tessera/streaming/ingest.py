@@ -9,21 +9,29 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators.merge import classify_batch
 
 
+#: Folders of a merged table.
+BUCKETS = 64
+
+
 def merge_stream(stream: DataFrame, target_path: str, checkpoint: str, key: str, order: str) -> StreamingQuery:
     """Appends rows with unknown keys to the Parquet table at target_path, all that is there by now (availableNow).
 
-    A batch that runs again after a crash finds its rows in the table and adds none twice.
+    The table is kept in BUCKETS folders by a hash of the key, and a batch reads the key column of its own
+    keys' folders alone. A batch that runs again after a crash finds its rows in the table and adds none twice. One query
+    writes a table at a time: two that overlap could add the same key each, as plain Parquet has no transactions.
     """
 
     def merge(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
+        spark, rows = batch.sparkSession, batch.withColumn("__bucket", F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int"))
+        own = [r[0] for r in rows.select("__bucket").distinct().collect()]  # BUCKETS numbers at most
         try:
-            target = spark.read.schema(batch.schema).parquet(target_path)
+            held = spark.read.schema(rows.schema).parquet(target_path).filter(F.col("__bucket").isin(own)).select(key)
         except Exception as e:  # the table's first batch
             if "PATH_NOT_FOUND" not in str(e):
                 raise
-            target = spark.createDataFrame([], batch.schema)
-        classify_batch(target, batch, key, order).filter("outcome = 'new'").drop("outcome").select(*batch.columns).write.mode("append").parquet(target_path)
+            held = spark.createDataFrame([], rows.select(key).schema)
+        fresh = classify_batch(held, rows, key, order).filter("outcome = 'new'").select(*rows.columns).distinct()
+        fresh.write.partitionBy("__bucket").mode("append").parquet(target_path)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

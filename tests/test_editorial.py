@@ -59,19 +59,19 @@ def test_numbers_with_numerals(spark):
 
 
 def test_nine_rules(spark):
-    schema = "body string, title string, dek string, original string, source_length int, source string, source_name string, source_url string, verdict struct<consistent:boolean,divergences:array<string>>"
+    schema = "body string, title string, dek string, original string, source_length int, source string, source_name string, source_url string, verdict struct<consistent:boolean,divergences:array<string>>, tags array<string>"
     body = "\n\n".join(["A celebração reuniu 12 fiéis em São João, não além da oração à tarde de domingo. " * 4] * 3)
-    fine = (body, "A celebração de domingo", "Uma oração à tarde reuniu os fiéis da região", "twelve people " * 200, 2800, "ewtn", "EWTN", "https://www.ewtnnews.com/x", (True, []))
+    fine = (body, "A celebração de domingo", "Uma oração à tarde reuniu os fiéis da região", "twelve people " * 200, 2800, "ewtn", "EWTN", "https://www.ewtnnews.com/x", (True, []), ["um", "dois"])
     rows = [
         fine,
         (body + " I'm sorry", *fine[1:]),
         (body + " primeira leitura", *fine[1:]),
         (body + " Holy See", *fine[1:]),
-        (*fine[:7], "https://elsewhere.org/x", fine[8]),
-        (*fine[:8], None),
-        (*fine[:8], (False, ["a", "b"])),
+        (*fine[:7], "https://elsewhere.org/x", *fine[8:]),
+        (*fine[:8], None, fine[9]),
+        (*fine[:8], (False, ["a", "b"]), fine[9]),
         (body + " 77", *fine[1:]),
-        (None,) * 9,
+        (None,) * 10,
     ]
     made = rules.judge(spark.createDataFrame([(*r,) for r in rows], schema), editorial.NINE_RULES).select("failed_rules", "passed", "errors").collect()
     assert [r["failed_rules"] for r in made[:8]] == [[], ["recusa_do_modelo"], ["rito_1962"], ["glossario"], ["atribuicao"], ["verificacao_factual"], ["verificacao_factual"], ["numeros"]]
@@ -81,21 +81,60 @@ def test_nine_rules(spark):
 
 
 def test_full_word_lists(spark):
-    from tessera.functions.text import stop_share
+    from tessera.functions.text import english_share, stop_counts
     from tessera.plans import classify
 
     titles = {"Pontiff opens consistory": "vaticano", "Baptism and missal": "liturgia", "Help for the homeless": "caridade", "A fresco": "patrimonio", "Commentary": "opiniao", "Nothing": None}
     rows = spark.createDataFrame([(t,) for t in titles], "t string").select("t", classify.lexicon_category(F.col("t")).alias("c")).collect()
     assert {r["t"]: r["c"] for r in rows} == titles
-    en, pt, share = stop_share(F.col("t"))
-    assert tuple(spark.createDataFrame([("She said he will, you should; isso já havia",)], "t string").select(en, pt, share).first()) == (6, 3, 6 / 9)
+    c = stop_counts(F.col("t"))
+    assert tuple(spark.createDataFrame([("She said he will, you should; isso já havia",)], "t string").select(c["en"], c["pt"], english_share(c)).first()) == (6, 3, 6 / 9)
 
 
-def test_registered_nine_rules(spark, tmp_path):
-    from tessera.queries import QUERIES
+def test_length_and_ratio(spark):
+    """An empty original falls back to the source's length; tags and trimmed titles count; null columns fail and never stop the job."""
+    schema = "body string, title string, dek string, original string, source_length int, tags array<string>"
+    body = "\n\n".join(["palavra " * 40] * 3)
+    rows = [(f"  {body}\n", "Um título que basta", "d" * 60, "", 2400, ["a", "b"]), (body, " Curto              ", "d" * 60, "o" * 2400, 9999, ["a", "b"]), (body, "Um título que basta", "d" * 60, "o" * 2400, 9999, None), (body, "Um título que basta", "d" * 60, "o", 0, ["a"] * 7), (None,) * 6]
+    two = (("comprimento", rules.length_rule), ("proporcao", rules.ratio_rule))
+    made = rules.judge(spark.createDataFrame(rows, schema), two).select("errors", rules.too_long_alone(F.col("failed_rules")).alias("again")).collect()
+    assert [r["errors"] for r in made] == [[], ["comprimento: title"], ["comprimento: tags"], ["comprimento: tags", "proporcao: unknown source length"], ["comprimento: empty", "proporcao: unknown source length"]]
+    assert [r["again"] for r in made] == [False, True, True, True, True]
 
-    docs = [(1, "Foram 12 bispos. Não há 7 mais.", 31), (2, "There were twelve bishops and seven more.", 40)]
-    spark.createDataFrame(docs, "doc_id long, text string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
-    r = QUERIES["editorial_verdict"](spark, str(tmp_path)).first()
-    failed = r["failed_rules"].split(",")
-    assert r["doc_id"] == 1 and not r["passed"] and "numeros" not in failed and {"atribuicao", "verificacao_factual"} <= set(failed)
+
+def test_verdict_in_json(spark):
+    assert tuple(one(spark, '{ "VEREDITO": "CONSISTENTE", "DIVERGENCIAS": [] }', answers.read_verdict)) == (True, [])
+    assert tuple(one(spark, '{"veredito": "divergente", "divergencia": ["Roma, não Milão"]}', answers.read_verdict)) == (False, ["Roma, não Milão"])
+    assert one(spark, '{"outro": 1}', answers.read_verdict) is None
+
+
+@pytest.mark.parametrize(
+    ("claim", "noise"),
+    [
+        ("“a freira Leticia Ugboaja” — no original dizia “Sister Leticia Ugboaja”", True), ("“Guerra da Independência” — o original dizia “the Civil War”", False), ("“Papa Francisco” — no original era “Pope Leo XIV”", False), (None, False), ("", False),
+        ("“nos dias 4 e 5 de agosto” — no original era “from Aug. 4–5”", True), ("“1.234 fiéis” — o original diz “1,234 faithful”", True), ("“não veio” — o original diz “came”", False), ("“um” “dois” “três”", False),
+    ],
+)
+def test_structural_noise(spark, claim, noise):
+    from tessera.functions import divergences
+
+    assert one(spark, claim, divergences.is_structural_noise) is noise
+
+
+def test_states(spark):
+    from tessera.plans import adapt
+
+    schema = "k int, attempt int, ready boolean, answer_error string, check_error string, verdict_read boolean, failed_rules array<string>, tokens_in int, tokens_out int"
+    rows = [(1, 1, True, None, None, True, ["proporcao"], 5, None), (1, 2, True, None, None, True, [], 6, None), (2, 1, None, None, None, None, None, None, None), (3, 1, True, "desativado", None, None, None, None, 1), (4, 1, True, "recusa", None, None, None, None, 1), (5, 1, True, None, None, None, [], 1, 1)]
+    got = {r["k"]: tuple(r)[1:] for r in adapt.final_states(spark.createDataFrame(rows, schema), "k").collect()}
+    assert got == {1: ("published", "published", 2, 11, None), 2: ("failed_validation", "preflight", 1, None, None), 3: ("draft", "answer_error", 1, None, 1), 4: ("failed_validation", "answer_error", 1, None, 1), 5: ("draft", "deferred", 1, 1, 1)}
+    assert adapt.token_totals(adapt.final_states(spark.createDataFrame([], schema), "k")).first()["tokens_in"] == 0
+
+
+def test_calendar_pages(spark):
+    page = "<h2>Calendário de 2026</h2><table><tr><th>Dia</th><th>x</th><th>y</th><th>z</th></tr><tr><td>1 de Julho<br>Domigo</td><td><p>Festa</p></td><td>-</td><td>Róseo ou Roxo<br>A • B</td></tr><tr><td>1 de Julho</td><td>Outra</td><td></td><td></td></tr><tr><td>31 de Fevereiro</td><td>F</td><td></td><td></td></tr><tr><td>só</td></tr></table>"
+    pages = spark.createDataFrame([(1, page, "https://c/"), (2, None, None), (3, "", "x")], "page_id int, html string, url string")
+    days, rejects = calendar.read_rows(calendar.page_rows(pages, expected=2026))
+    got = calendar.last_wins(days).collect()
+    assert [(r["date"], r["feast"], r["repeated"], r["year_warning"]) for r in got] == [("2026-07-01", "Outra", True, None)] and [r["reason"] for r in rejects.collect()] == ["no date"]
+    assert tuple(calendar.reject_ratio(days, rejects).first()) == (2, 1, 1 / 3, True) and calendar.reject_ratio(days.limit(0), rejects.limit(0)).first()["abort"]

@@ -32,9 +32,10 @@ def rotation(dim: int, seed: int = 7) -> np.ndarray:
 
 def encode(vectors: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(packed sign bits as words, lengths, inner products of code and rotated direction)."""
-    dim = vectors.shape[1]
-    lengths = np.linalg.norm(vectors, axis=1)
-    turned = (vectors / lengths[:, None]) @ turn.T
+    dim, largest = vectors.shape[1], np.abs(vectors).max(axis=1)
+    scaled = vectors / largest[:, None]  # squares of very large and very small components stay in range
+    norms = np.linalg.norm(scaled, axis=1)
+    turned, lengths = (scaled / norms[:, None]) @ turn.T, largest * norms
     bits = np.zeros((len(vectors), -(-dim // 64) * 64), np.uint8)
     bits[:, :dim] = turned > 0
     return np.packbits(bits, axis=1).view(np.uint64), lengths, np.abs(turned).sum(axis=1) / math.sqrt(dim)
@@ -64,13 +65,23 @@ def estimate(codes: np.ndarray, lengths: np.ndarray, fits: np.ndarray, queries:
     return guess, bound
 
 
-def search_block(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, turn: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query ids, ids, exact inner products) of each query's k best in the block, by code, bound and rerank."""
+def products(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Exact inner products; one that is no number in double precision is the smallest."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        out = (vectors * query).sum(axis=1)
+    return np.where(np.isnan(out), -np.inf, out)
+
+
+def search_block(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, copies: np.ndarray, turn: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query ids, ids, exact inner products) of each query's k best in the block, by code, bound and rerank; a candidate counts as often as ``copies`` says."""
     codes, lengths, fits = encode(vectors, turn)
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for at in range(0, len(queries), STEP):
         q = queries[at : at + STEP]
-        guess, bound = estimate(codes, lengths, fits, q, turn)
+        with np.errstate(over="ignore", invalid="ignore"):
+            guess, bound = estimate(codes, lengths, fits, q, turn)
+        bound[~np.isfinite(guess) | ~np.isfinite(bound)] = np.inf  # beyond double range the exact product decides
+        guess[~np.isfinite(guess)] = np.finfo(float).max
         guess[query_ids[at : at + STEP, None] == ids[None, :]] = -np.inf
         for row in range(len(q)):
             take = min(k, len(ids))
@@ -78,10 +89,12 @@ def search_block(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, ve
             lead = lead[np.isfinite(guess[row, lead])]
             if not len(lead):
                 continue
-            least = (vectors[lead] * q[row]).sum(axis=1).min() if len(lead) == k else -np.inf
-            picked = np.flatnonzero((guess[row] + bound[row] >= least) & np.isfinite(guess[row]))
+            least = products(vectors[lead], q[row]).min() if len(lead) == k else -np.inf
+            held = np.isfinite(guess[row])
+            picked = np.flatnonzero(held & (np.where(held, guess[row], 0) + bound[row] >= least))
             picked = np.union1d(picked, lead)
-            exact = (vectors[picked] * q[row]).sum(axis=1)
+            exact = products(vectors[picked], q[row])
+            picked, exact = np.repeat(picked, copies[picked]), np.repeat(exact, copies[picked])
             best = np.lexsort((ids[picked], -exact))[:k]
             out.append((np.full(len(best), query_ids[at + row]), ids[picked[best]], exact[best]))
     if not out:
@@ -105,53 +118,57 @@ def usable(vec: Column) -> Column:
     return F.coalesce(vec.isNotNull() & finite & F.exists(vec, lambda x: value(x) != 0), F.lit(False))
 
 
-def _blocks(rows: DataFrame, block: str) -> DataFrame:
-    """One row a block: its ids and vectors as packed arrays. A block has a bounded number of rows."""
+def _blocks(rows: DataFrame) -> DataFrame:
+    """One row a block of (dim, block): its ids, vectors and copies as packed arrays. A block has a bounded number of rows."""
 
     def pack(group: pa.Table) -> pa.Table:
-        ids = group.column("id").to_numpy().astype(np.int64)
         flat = np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in group.column("vec").chunks]).astype(np.float64)
-        return pa.table({"block": pa.array([group.column("block")[0].as_py()], pa.int32()), "ids": pa.array([ids.tobytes()], pa.binary()), "vecs": pa.array([flat.tobytes()], pa.binary())})
+        packed = (group.column("id").to_numpy().astype(np.int64), flat, group.column("copies").to_numpy().astype(np.int64))
+        return pa.table({"dim": group.column("dim").combine_chunks()[:1], "block": group.column("block").combine_chunks()[:1]} | {n: pa.array([x.tobytes()], pa.binary()) for n, x in zip(("ids", "vecs", "copies"), packed, strict=True)})
 
-    return rows.select(F.col(block).alias("block"), "id", "vec").groupBy("block").applyInArrow(pack, "block int, ids binary, vecs binary")
+    return rows.select("dim", "block", "id", "vec", "copies").groupBy("dim", "block").applyInArrow(pack, "dim int, block int, ids binary, vecs binary, copies binary")
 
 
 def nearest(candidates: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", seed: int = 7, candidate_block: int = CANDIDATE_BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
     """(query_id long, rank int, vec_id long, score double): each query's k nearest by largest inner product.
 
     Scores are exact, in double precision; ties go to the smaller id. A row whose id is the query's
-    takes no part, nor do null ids and vectors that are null, empty, zero, of another length than
-    most, or hold null or non-finite components; such queries return no rows. Repeated ids count as
-    separate candidates and as one query each. Fewer than k candidates are all returned. Other columns
-    are not read; without usable rows the result is empty.
+    takes no part, nor do null ids and vectors that are null, empty, zero or hold null or non-finite
+    components; such queries return no rows. Vectors are compared with those of their own length.
+    Repeated ids count as separate candidates, equal rows too, and as one query each (the smallest vector's).
+    Fewer than k candidates are all returned. Other columns are not read; without usable rows the result is empty.
     """
     spark = candidates.sparkSession
-    pick = lambda df: df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec")).filter(F.col("id").isNotNull() & usable(F.col("vec")))
-    rows, asked = pick(candidates), pick(queries)
-    sizes = rows.groupBy(F.size("vec").alias("dim")).count().orderBy(F.desc("count"), "dim").limit(1).collect()
-    if not sizes:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    dim, n = sizes[0]["dim"], sizes[0]["count"]
-    rows, asked = rows.filter(F.size("vec") == dim), asked.filter(F.size("vec") == dim).dropDuplicates(["id"])
-    n_rows, n_asked = -(-n // candidate_block), max(1, -(-asked.count() // query_block))
-    spread = lambda count: F.pmod(F.xxhash64("id", "vec"), F.lit(count)).cast("int")
+    pick = lambda df: df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec")).filter(F.col("id").isNotNull() & usable(F.col("vec"))).withColumn("dim", F.size("vec"))
+    # Equal rows are one with a number, of which k matter at most, so that a block's size is bounded.
+    rows = pick(candidates).groupBy("id", "vec", "dim").agg(F.least(F.count(F.lit(1)), F.lit(k)).cast("long").alias("copies"))
+    asked = pick(queries).groupBy("id").agg(F.min("vec").alias("vec")).withColumn("dim", F.size("vec")).withColumn("copies", F.lit(1).cast("long"))
+    # A row a vector length: how many blocks its candidates and queries make, and in how many shares candidates are dealt.
+    tasks, of = F.lit(int(spark.conf.get("spark.sql.shuffle.partitions"))), lambda c, n: F.ceil(F.col(c) / n).cast("int")
+    sizes = rows.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).join(asked.groupBy("dim").agg(F.count(F.lit(1)).alias("m")), "dim")
+    sizes = sizes.select("dim", of("n", candidate_block).alias("n_rows"), of("m", query_block).alias("n_asked"))
+    sizes = sizes.withColumn("shares", F.greatest(F.least(F.col("n_rows"), F.floor(tasks / F.col("n_asked")).cast("int")), F.lit(1)))
+    dealt = lambda df, count: _blocks(df.join(sizes, "dim").withColumn("block", F.pmod(F.xxhash64("id", "vec"), F.col(count)).cast("int"))).join(sizes, "dim")
     # Each task takes one block of queries through its share of the candidates, and keeps k a query.
-    shares = max(1, min(n_rows, int(spark.conf.get("spark.sql.shuffle.partitions")) // n_asked))
-    left = _blocks(rows.withColumn("b", spread(n_rows)), "b").select(F.pmod("block", F.lit(shares)).alias("share"), "ids", "vecs").withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_asked - 1))))
-    right = _blocks(asked.withColumn("b", spread(n_asked)), "b").select(F.col("block").alias("qb"), F.col("ids").alias("q_ids"), F.col("vecs").alias("q_vecs")).withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
+    left = dealt(rows, "n_rows").select("dim", F.pmod("block", "shares").alias("share"), "ids", "vecs", "copies", F.explode(F.sequence(F.lit(0), F.col("n_asked") - 1)).alias("qb"))
+    right = dealt(asked, "n_asked").select("dim", F.col("block").alias("qb"), F.col("ids").alias("q_ids"), F.col("vecs").alias("q_vecs"), F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        turn, best = rotation(dim, seed), {}
+        turns, best = {}, {}
         for batch in batches:
             for row in batch.to_pylist():
-                ids, q_ids = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["q_ids"], np.int64)
+                dim, at = row["dim"], (row["dim"], row["qb"])
+                turn = turns.setdefault(dim, None)
+                if turn is None:
+                    turn = turns[dim] = rotation(dim, seed)
+                ids, q_ids, copies = (np.frombuffer(row[c], np.int64) for c in ("ids", "q_ids", "copies"))
                 vecs, q_vecs = np.frombuffer(row["vecs"]).reshape(-1, dim), np.frombuffer(row["q_vecs"]).reshape(-1, dim)
-                found = search_block(q_ids, q_vecs, ids, vecs, turn, k)
-                best[row["qb"]] = best_of(*(np.concatenate(x) for x in zip(best.get(row["qb"], found), found if row["qb"] in best else tuple(x[:0] for x in found), strict=True)), k)
+                found = search_block(q_ids, q_vecs, ids, vecs, copies, turn, k)
+                best[at] = best_of(*(np.concatenate(x) for x in zip(best[at], found, strict=True)), k) if at in best else best_of(*found, k)
         for found in best.values():
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["query_id", "vec_id", "score"])
 
-    pairs = left.join(right.hint("shuffle_hash"), ["share", "qb"]).select("qb", "ids", "vecs", "q_ids", "q_vecs")
+    pairs = left.join(right.hint("shuffle_hash"), ["dim", "share", "qb"]).select("dim", "qb", "ids", "vecs", "copies", "q_ids", "q_vecs")
     local = pairs.mapInArrow(run, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return local.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -303,6 +303,40 @@ def test_mixing_large_rates(spark):
     assert mixing.poisson_replicate(odd, {}).columns == ["doc_id", "text", "lang", "source", "n_chars", "k", "copy", "n_copies", "order_key"]
 
 
+def nearest_by_brute_force(rows, queries, k):
+    usable = [(i, np.array(v, np.float64)) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v) and any(v)]
+    asked = {}
+    for i, v in sorted(((i, list(v)) for i, v in usable if i in queries), key=lambda x: (x[0], x[1])):
+        asked.setdefault(i, np.array(v))
+    with np.errstate(all="ignore"):
+        score = lambda w, v: float(np.nan_to_num((w * v).sum(), nan=-np.inf, posinf=np.inf, neginf=-np.inf))
+        return {q: sorted((-score(w, v), i) for i, w in usable if i != q and len(w) == len(v))[:k] for q, v in asked.items()}
+
+
+def test_nearest_edges(spark):
+    """Ties, repeated ids and rows, lengths of their own, huge and tiny components, clashing columns, few candidates."""
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.0]), (3, [1.0, 0.0]), (3, [1.0, 0.0]), (4, [1e200, 1e200]), (5, [-1e200, 1e200]), (6, [1e-200, 1e-300]), (7, [1.0, 2.0, 3.0]), (8, [3.0, 2.0, 1.0]), (9, [1.0] * 5), (10, [float("inf"), 1.0]), (None, [1.0, 1.0]), (11, None), (12, [])]
+    rows += [(20, [0.5, 0.5])] * 300
+    df = spark.createDataFrame([(i, v, 1, "x") for i, v in rows], "vec_id long, embedding array<double>, id int, score string")
+    for k in (3, 400):
+        got = collections.defaultdict(list)
+        for r in ann.nearest(df, df.filter("vec_id in (1, 3, 4, 6, 7, 9, 10, 20)"), k=k, candidate_block=4, query_block=2).orderBy("query_id", "rank").collect():
+            assert r["rank"] == len(got[r["query_id"]]) + 1
+            got[r["query_id"]].append((-r["score"], r["vec_id"]))
+        want = nearest_by_brute_force(rows, {1, 3, 4, 6, 7, 9, 10, 20}, k)
+        assert {q: v for q, v in want.items() if v} == dict(got)
+
+
+def test_nearest_recall_at_20(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    rows = [(r["vec_id"], r["embedding"]) for r in df.collect()]
+    asked = {i for i, _ in rows if i % 20 == 0}
+    want, got = nearest_by_brute_force(rows, asked, 20), collections.defaultdict(list)
+    for r in ann.nearest(df, df.filter("vec_id % 20 = 0"), k=20).collect():
+        got[r["query_id"]].append((-r["score"], r["vec_id"]))
+    assert set(got) == set(want) and np.mean([len({i for _, i in want[q]} & {i for _, i in got[q]}) / 20 for q in want]) >= 0.95
+
+
 def passages_by_brute_force(rows, min_run=chunks.MIN_RUN):
     docs = {(k, t) for k, t in rows if t}
     split = {d: [d[1].encode()[a:b] for a, b in zip([0, *chunks.cuts(d[1].encode())], chunks.cuts(d[1].encode()))] for d in docs}

@@ -491,25 +491,135 @@ def test_licenses_short_and_many(spark):
     assert {r["labels"] for r in licenses.scan_licenses(same).collect()} == {"proprietary"}
 
 
-def test_pipeline_matches_plain_python(spark, tmp_path):
+def poisson_copies(key, rate):
+    parts = max(1, math.ceil(rate / mixing.PART_RATE))
+    total = 0
+    for j in range(parts):
+        name = f"{mixing.DEFAULT_SEED}|{key}" + (f"|{j}" if j else "")
+        u, lam, term, cdf, k = int(hashlib.md5(name.encode()).hexdigest()[:13], 16) / (1 << 52), rate / parts, math.exp(-rate / parts), 0.0, 0
+        while (cdf := cdf + term) <= u:
+            k += 1
+            term *= lam / k
+        total += k
+    return total
+
+
+def test_pipeline_run_equals_plain_python(spark, tmp_path):
+    """run() against plain Python stage by stage, over texts with null and repeated ids, repeated rows, secrets and near copies."""
     import corpus_pipeline
-    from tessera.llm.mixing import poisson_replicate
-
-    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(120)
-    rows.write.parquet(str(tmp_path / "documents.parquet"))
-    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
-    told = corpus_pipeline.language(spark, docs, str(tmp_path))
-    held = corpus_pipeline.written(told, "t")
-    kept = corpus_pipeline.written(corpus_pipeline.near_duplicates(spark, held, str(tmp_path)), "t")
-    pairs = by_row(held)
-    want = {k for k, _, least in components(pairs, 5, 80) if least == k}
-    assert {r["doc_id"] for r in kept.collect()} == want and kept.columns == docs.columns
-    masked = corpus_pipeline.written(corpus_pipeline.secrets(spark, kept, str(tmp_path)), "t")
-    mixed = corpus_pipeline.written(corpus_pipeline.mixing(spark, masked, str(tmp_path)), "t")
-    assert mixed.count() == poisson_replicate(masked, corpus_pipeline.WEIGHTS).count()
+
+    base = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(90).collect()]
+    key = "wJalrXUtnFEMIK7MDENGbPxRfiCYzQ9Lk2Vt"
+    more = [(None, base[3][1], "en", "src1", 1), (None, None, "en", "src1", 0), (5, base[7][1] + " und", "de", "src2", 1), (5, base[5][1], *base[5][2:]), (5, base[9][1], "fr", None, 3), (500, f"the bearer credential of that house with the thing is {key} and so on", "en", "src0", 1)]
+    more += [(501, "", "en", "src0", 0), (502, "123", "en", "src0", 3)]
+    rows = base + more
+    path = str(tmp_path / "documents.parquet")
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(path)
+    docs = spark.read.parquet(path)
+
+    net = langid.fit(docs.filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0))
+
+    def told(t):
+        if not t or not any(map(str.isalpha, t)):
+            return False
+        sums = net.sums([lower(t).encode()])[0]
+        return sums[-1] >= 1 and sums[:-1].max() / sums[-1] >= corpus_pipeline.LEAST_SCORE
+
+    kept = [r for r in rows if told(r[1])]
+    ids = [(r[0], r[1]) for r in kept]
+    sets = []
+    for _, t in ids:
+        w = WORD.findall(lower(t))
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)})
+    home = list(range(len(ids)))
+    for a in range(len(ids)):
+        for b in range(a):
+            if home[a] != home[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                old, new = home[a], home[b]
+                home = [new if h == old else h for h in home]
+    order = lambda k: (ids[k][0] is None, ids[k][0] or 0, hashlib.md5(ids[k][1].encode()).hexdigest())
+    first = {h: min((k for k in range(len(ids)) if home[k] == h), key=order) for h in set(home)}
+    single = [kept[k] for k in sorted(first.values())]
+
+    counts = collections.Counter()
+    for r in single:
+        for line in r[1].split("\n"):
+            if secrets.SENSITIVE_WORD.search(secrets.folded(line)):
+                counts.update({m[0].decode() for m in secrets.IDENTIFIER.finditer(line.encode()) if 4 <= len(m[0]) <= 40})
+    held, size = [], 0
+    for name, n in sorted(counts.items(), key=lambda x: (-x[1], x[0])):
+        if n < 2 or size + len(name) + 1 > secrets.DICTIONARY_BYTES:
+            break
+        held, size = [*held, name], size + len(name) + 1
+    novelty = secrets.Novelty(secrets.primer(" ".join(reversed(held))))
+
+    def masked(t):
+        base_ = secrets.base_spans(t)
+        out, k = "", 0
+        spans = sorted((a, b) for a, b, _ in base_ + secrets.novel_spans(t, base_, secrets.measured(t, base_, novelty)))
+        for a, b in spans:
+            if a >= k:
+                out += t[k:a] + "[secret]"
+            k = max(k, b)
+        return out + t[k:]
+
+    clean = [(r[0], masked(r[1]), r[3]) for r in single]
+    assert key not in "".join(t for _, t, _ in clean)
+    n = collections.Counter(s or "" for _, _, s in clean)
+    weight = {s: corpus_pipeline.WEIGHTS.get(s, 1.0) for s in n}
+    rate = {s: len(clean) * weight[s] / (sum(weight.values()) * n[s]) for s in n}
     own = bpe.tokenizer(vocabulary())
-    got = collections.Counter((r["doc_id"], tuple(r["ids"])) for r in corpus_pipeline.bpe(spark, mixed, str(tmp_path)).collect())
-    assert got == collections.Counter((k, tuple(own.encode(t or "", add_special_tokens=False).ids)) for k, t in by_row(mixed))
+    want = collections.Counter()
+    for k, t, s in clean:
+        want[k, tuple(own.encode(t, add_special_tokens=False).ids)] += poisson_copies("" if k is None else k, rate[s or ""])
+    got = collections.Counter((r["doc_id"], tuple(r["ids"])) for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
+    assert got == +want
+
+
+def test_pipeline_empty_table(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def licenses_by_brute_force(rows, templates=licenses.TEMPLATES, least=licenses.MIN_SCORE):
+    words = [re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t)) for _, t in rows]
+    index = {w for _, text, _ in templates for w in text.split()} - licenses.STOP
+    idf = {w: max(math.log((len(rows) + 1) / (sum(w in set(x) for x in words) + 1)), licenses.LEAST_WEIGHT) for w in index}
+    out = collections.Counter()
+    for (k, _), x in zip(rows, words):
+        places = [(i, label) for phrase, label in licenses.PHRASES for i in range(len(x)) if x[i : i + len(phrase.split())] == phrase.split()]
+        labels, best = {label for _, label in places}, 1.0 if places else 0.0
+        for label, text, phrase in templates:
+            stands, key = text.split(), phrase.split()
+            lead = next(i for i in range(len(stands)) if stands[i : i + len(key)] == key)
+            full = sum(idf[w] for w in stands if w in idf) or 1.0
+            score = 0.0
+            for off in range(-len(stands), len(x)):
+                if off + lead >= 0 and x[off + lead : off + lead + len(key)] == key:
+                    score = max(score, sum(idf[w] for i, w in enumerate(stands) if w in idf and 0 <= off + i < len(x) and x[off + i] == w) / full)
+            if score >= least - 1e-9:
+                labels.add(label)
+            best = max(best, score)
+        starts = [i for i, _ in places]
+        out[k, len(x), len(places), min(starts, default=None), max(starts, default=None), ",".join(sorted({label for _, label in places})), ",".join(sorted(labels)), round(min(best, 1.0), 9)] += 1
+    return out
+
+
+def test_licenses_equal_brute_force(spark):
+    """Whole texts of the small table and odd ones: several licences in one text, parts of templates, repeats, nulls, clashing columns, no words at all."""
+    rng = random.Random(21)
+    held = [(r["doc_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60).collect()]
+    pool = [w for _, text, _ in licenses.TEMPLATES for w in text.split()]
+    made = [" ".join(rng.choice(pool) if rng.random() < 0.3 else w for w in rng.choice(licenses.TEMPLATES)[1].split()) for _ in range(60)]
+    odd = [None, "", "...", "MIT LICENSE mit-license\nmit license", "license", "All rights reserved. " * 3, ". ".join(text for _, text, _ in licenses.TEMPLATES), "general public\u00a0license general public license"]
+    rows = held + [(1000 + k, t) for k, t in enumerate(made + odd)] + [(None, "Apache License"), (1001, made[1])]
+    df = spark.createDataFrame([(k, t, 1, "x", []) for k, t in rows], "doc_id long, text string, id int, norm string, seen array<string>")
+    got = collections.Counter((r["doc_id"], r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"], r["labels"], round(r["score"], 9)) for r in licenses.scan_licenses(df).collect())
+    assert got == licenses_by_brute_force(rows)
+    none = spark.createDataFrame([(1, "..."), (2, None)], "doc_id long, text string")
+    assert {(r["n_words"], r["labels"], r["score"]) for r in licenses.scan_licenses(none).collect()} == {(0, "", 0.0)}
 
 
 @pytest.mark.parametrize("name", ["bpe", "jaccard", "lm", "media", "secrets", "licenses", "passages", "language"])

@@ -1,20 +1,18 @@
 """License scans by a positional rare-token index, in DataFrame functions only.
 
-Templates are short licence texts. The index holds, for each of their rarer words, the templates
-and positions where it stands; a word's weight is its IDF over all scanned documents. All
-licence words of a file are looked up; postings that agree on the template's relative position
-add up, and a template whose weight is mostly met is a candidate. It counts only where its
-mandatory key phrase stands at that place.
+The index is a table of postings: for each rarer word of the templates (short licence texts) the templates and
+positions where it stands, with the word's IDF over all scanned documents as weight. One pass over the
+texts keeps the places of index words and of the templates' mandatory phrases, a few numbers a document. Index words meet their postings
+in a join; postings of one document and template that agree on the relative position add up, and a
+template whose weight is mostly met counts where its mandatory phrase stands at that place.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import UPPER
+from .common import UPPER, written
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Fixed values: (label, words of the template, mandatory phrase in it).
@@ -34,107 +32,94 @@ TEMPLATES = (
     ("cc", "licensed under cc by", "cc by"),
     ("cc", "licensed under a creative commons attribution", "creative commons"),
     ("proprietary", "all rights reserved", "all rights reserved"),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", "this permission notice shall be included"),
+    ("apache", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis", "distributed under the license"),
+    ("lgpl", "licensed under the gnu lesser general public license", "lesser general public license"),
+    ("agpl", "licensed under the gnu affero general public license", "affero general public license"),
+    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", "redistributions of source code must retain"),
+    ("bsd", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software", "endorse or promote products derived"),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software", "in no event will the authors be held liable"),
+    ("boost", "boost software license version 1 0", "boost software license"),
+    ("unlicense", "this is free and unencumbered software released into the public domain", "free and unencumbered software"),
+    ("cc0", "to the extent possible under law the author has dedicated all copyright and related rights to the public domain", "dedicated all copyright and related"),
+    ("epl", "eclipse public license", "eclipse public license"),
 )
 #: Common words that the index leaves out.
-STOP = frozenset("a all and any are as at by can do file for form forms free in is it may not of or the this to under use version with without work you 0 2 3 4".split())
+STOP = frozenset("a all and any are as at by can do file for form forms free in is it may not of or the this to under use version with without work you 0 2 3 4 an be from has into its no nor on shall unless will 1".split())
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 #: Words that every row holds weigh next to nothing, not nothing: a template of such words alone can still be met.
 MIN_SCORE, LEAST_WEIGHT = 0.6, 1e-9
 
 
-def index_words(templates=TEMPLATES) -> list[str]:
-    return sorted({w for _, text, _ in templates for w in text.split()} - STOP)
+def postings(templates=TEMPLATES) -> list[tuple[str, int, int]]:
+    """(word, template, position) of the templates' words but the common ones."""
+    return [(w, t, i) for t, (_, text, _) in enumerate(templates) for i, w in enumerate(text.split()) if w not in STOP]
 
 
 def normalised(text: Column) -> Column:
-    """Words with single spaces between them; letters keep their case."""
-    return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), SEPARATORS, " "))
-
-
-def _any_of(low: Column, words: list[str]) -> Column:
-    """Whether any of the words may stand in the lower-cased text; long words are looked for as substrings, so nothing is lost."""
-    roots: list[str] = []
-    for w in sorted((w for w in words if len(w) > 4), key=len):
-        if not any(r in w for r in roots):
-            roots.append(w)
-    padded, out = F.concat(F.lit(" "), low, F.lit(" ")), F.lit(False)
-    for r in [*roots, *(f" {w} " for w in words if len(w) <= 4)]:
-        out = out | padded.contains(r)
-    return out
-
-
-def idf(df: DataFrame, text_col: str = "text", templates=TEMPLATES) -> dict[str, float]:
-    """ln((N + 1) / (df + 1)) of each index word over all rows, LEAST_WEIGHT at least; as many numbers as the index has words."""
-    words = index_words(templates)
-    low = F.lower(normalised(F.col(text_col)))
-    padded = F.concat(F.lit(" "), F.translate(normalised(F.col(text_col)), UPPER, UPPER.lower()), F.lit(" "))
-    held = df.select(low.alias("low"), padded.alias("padded"))
-    n = F.count(F.lit(1)).alias("n")
-    counts = held.agg(n, *(F.count_if(F.col("low").contains(w) & F.col("padded").contains(f" {w} ")).alias(f"w{k}") for k, w in enumerate(words))).first()
-    return {w: max(math.log((counts["n"] + 1) / (counts[f"w{k}"] + 1)), LEAST_WEIGHT) for k, w in enumerate(words)}
-
-
-def _stands(words: Column, at: Column, phrase: str) -> Column:
-    """Whether the phrase's words stand from index at (from 0) on."""
-    parts = phrase.split()
-    return (at >= 0) & (F.array_join(F.slice(words, F.greatest(at, F.lit(0)) + 1, len(parts)), " ") == phrase)
+    """Words with single spaces between them, A-Z lower-cased."""
+    return F.translate(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), SEPARATORS, " ")), UPPER, UPPER.lower())
 
 
 def _places(words: Column, phrase: str) -> Column:
     """Where the phrase's words stand, as an array of starts."""
-    first = phrase.split()[0]
-    starts = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: (F.get(words, i) == first) & _stands(words, i, phrase))
-    return F.when(F.array_contains(words, first), starts).otherwise(F.array().cast("array<int>"))
+    parts = phrase.split()
+    starts = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: (F.get(words, i) == parts[0]) & (F.array_join(F.slice(words, i + 1, len(parts)), " ") == phrase))
+    return F.when(F.array_contains(words, parts[0]), starts).otherwise(F.array().cast("array<int>"))
 
 
-def _share(words: Column, seen: Column, weight: dict[str, float], text: str, phrase: str) -> Column:
-    """The largest share of the template's weight at one relative position where its key phrase stands."""
-    stands = text.split()
-    at = {w: [i for i, x in enumerate(stands) if x == w] for w in stands if w in weight}
-    full = sum(weight[w] * len(p) for w, p in at.items()) or 1.0
-    lead = next(i for i in range(len(stands)) if " ".join(stands[i:]).startswith(phrase))
-    postings = F.create_map(*(x for w, p in at.items() for x in (F.lit(w), F.array(*map(F.lit, p)))))
-    hits = F.flatten(F.transform(F.filter(seen, lambda x: x["w"].isin(list(at))), lambda x: F.transform(postings[x["w"]], lambda p: F.struct((x["i"] - p).alias("off"), x["v"].alias("v")))))
-    zero = F.struct(F.lit(None).cast("int").alias("off"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("best"))
+def looked_up(df: DataFrame, id_col: str, text_col: str, templates=TEMPLATES) -> DataFrame:
+    """A written table (row, id, n_words, base, hits, starts): of each text the places of base phrases by label, of index words, and of the templates' mandatory phrases."""
+    index, phrases = sorted({w for w, _, _ in postings(templates)}), sorted({p for _, _, p in templates})
+    rows = df.select(F.col(id_col).alias("id"), normalised(F.col(text_col)).alias("norm"))
+    words = F.col("words")
+    rows = rows.select("id", F.split("norm", " ", -1).alias("words"), (F.col("norm") == "").alias("none"))
+    at = F.array_compact(F.transform(words, lambda w, i: F.when(w.isin(index), i)))
+    rows = rows.select("id", "words", F.when(F.col("none"), F.lit(0)).otherwise(F.size("words")).cast("long").alias("n_words"), at.alias("at"))
+    # A mandatory phrase or a base one holds an index word, so texts without any need no look.
+    some = F.size("at") > 0
+    found = lambda names: F.when(some, F.flatten(F.array(*(_keyed(k, _places(words, p)) for k, p in enumerate(names))))).otherwise(F.array().cast("array<struct<key:int,i:int>>"))
+    return written(
+        rows.select(
+            F.monotonically_increasing_id().alias("row"), "id", "n_words", found([p for p, _ in PHRASES]).alias("base"), F.transform("at", lambda i: F.struct(i.alias("i"), F.get(words, i).alias("word"))).alias("hits"), found(phrases).alias("starts"),
+        ),
+        "lookups",
+    )
 
-    def add(acc: Column, x: Column) -> Column:
-        total = F.when(acc["off"].eqNullSafe(x["off"]), acc["sum"]).otherwise(F.lit(0.0)) + x["v"]
-        better = (total > acc["best"]) & _stands(words, x["off"] + lead, phrase)
-        return F.struct(x["off"].alias("off"), total.alias("sum"), F.when(better, total).otherwise(acc["best"]).alias("best"))
 
-    return F.aggregate(F.array_sort(hits), zero, add)["best"] / F.lit(full)
+def _keyed(key: int, places: Column) -> Column:
+    return F.transform(places, lambda i: F.struct(F.lit(key).alias("key"), i.alias("i")))
 
 
 def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates=TEMPLATES, least: float = MIN_SCORE) -> DataFrame:
     """(id, n_words, n_base, first_word, last_word, base_labels, labels, score) for each row, over whole texts.
 
     score is the largest share of a template's rare-word weight that stands at matching relative
-    positions (1.0 where a base phrase stands, 0.0 without licence words). A null or empty text has
+    positions around its mandatory phrase (1.0 where a base phrase stands, 0.0 without licence words). A null or empty text has
     no words, empty labels, null places and score 0. Repeated rows stay; other columns are not read;
     an empty table gives an empty result.
     """
-    weight = idf(df, text_col, templates)
-    norm = normalised(F.col(text_col))
-    rows = df.select(F.col(id_col).alias("id"), norm.alias("norm"))
-    rows = rows.withColumn("n_words", F.when(F.col("norm") == "", F.lit(0)).otherwise(F.length("norm") - F.length(F.replace("norm", F.lit(" "), F.lit(""))) + 1).cast("long"))
-    rows = rows.withColumn("words", F.when(_any_of(F.lower("norm"), index_words(templates)), F.split(F.translate("norm", UPPER, UPPER.lower()), " ", -1)).otherwise(F.array().cast("array<string>")))
-
-    words = F.col("words")
-    rows = rows.select("*", *(_places(words, phrase).alias(f"at_{label}") for phrase, label in PHRASES))
-    every = F.concat(*(F.col(f"at_{label}") for _, label in PHRASES))
-    base = F.array(*(F.when(F.size(f"at_{label}") > 0, F.lit(label)) for _, label in PHRASES))
-
-    # The file's licence words with their places.
-    table = F.create_map(*(x for w, v in weight.items() for x in (F.lit(w), F.lit(v))))
-    seen = F.filter(F.transform(words, lambda w, i: F.struct(i.alias("i"), w.alias("w"), table[w].alias("v"))), lambda x: x["v"].isNotNull())
-    rows = rows.withColumn("seen", F.when(F.size(words) > 0, seen))
-
-    found = [F.when(F.size("seen") > 0, _share(words, F.col("seen"), weight, text, phrase)).otherwise(F.lit(0.0)).alias(f"share_{k}") for k, (_, text, phrase) in enumerate(templates)]
-    rows = rows.select("*", *found)
-    more = F.array(*(F.when(F.col(f"share_{k}") >= least - 1e-9, F.lit(label)) for k, (label, _, _) in enumerate(templates)))
-    best = F.greatest(*(F.col(f"share_{k}") for k in range(len(templates))), F.when(F.size(every) > 0, 1.0).otherwise(0.0))
-    text_of = lambda a: F.array_join(F.sort_array(F.array_distinct(F.array_compact(a))), ",")
-    return rows.select(
-        F.col("id").alias(id_col), "n_words", F.size(every).cast("long").alias("n_base"), F.array_min(every).cast("long").alias("first_word"), F.array_max(every).cast("long").alias("last_word"),
-        text_of(base).alias("base_labels"), text_of(F.concat(base, more)).alias("labels"), F.least(best, F.lit(1.0)).alias("score"),
+    spark, rows = df.sparkSession, looked_up(df, id_col, text_col, templates)
+    n = rows.count()
+    hits = rows.select("row", F.explode("hits").alias("h")).select("row", "h.word", "h.i")
+    # Weights: ln((N + 1) / (df + 1)), LEAST_WEIGHT at least; the table has a row a posting, as many as the templates have words.
+    frequency = hits.select("row", "word").distinct().groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+    index = spark.createDataFrame(postings(templates), "word string, template int, position int").join(frequency, "word", "left")
+    index = index.select("word", "template", "position", F.greatest(F.log((F.lit(float(n)) + 1) / (F.coalesce("df", F.lit(0)) + 1)), F.lit(LEAST_WEIGHT)).alias("weight"))
+    full = index.groupBy("template").agg(F.sum("weight").alias("full"))
+
+    votes = hits.join(F.broadcast(index), "word").groupBy("row", "template", (F.col("i") - F.col("position")).alias("off")).agg(F.sum("weight").alias("met"))
+    phrases = sorted({p for _, _, p in templates})
+    leads = [(t, phrases.index(p), next(i for i in range(len(text.split())) if " ".join(text.split()[i:]).startswith(p)), label) for t, (label, text, p) in enumerate(templates)]
+    lead = spark.createDataFrame(leads, "template int, key int, lead int, label string").join(full, "template")
+    stands = rows.select("row", F.explode("starts").alias("s")).select("row", "s.key", "s.i").join(F.broadcast(lead), "key").select("row", "template", (F.col("i") - F.col("lead")).alias("off"), "label", "full")
+    shares = stands.join(votes, ["row", "template", "off"]).select("row", "label", F.round(F.col("met") / F.col("full"), 12).alias("share"))
+    found = shares.groupBy("row").agg(F.max("share").alias("share"), F.collect_set(F.when(F.col("share") >= least - 1e-9, F.col("label"))).alias("more"))
+
+    names = F.create_map(*(F.lit(x) for k, (_, label) in enumerate(PHRASES) for x in (k, label)))
+    base, places = F.transform("base", lambda x: names[x["key"]]), F.transform("base", lambda x: x["i"])
+    text_of = lambda a: F.array_join(F.array_sort(F.array_distinct(a)), ",")
+    return rows.join(found, "row", "left").select(
+        F.col("id").alias(id_col), "n_words", F.size("base").cast("long").alias("n_base"), F.array_min(places).cast("long").alias("first_word"), F.array_max(places).cast("long").alias("last_word"), text_of(base).alias("base_labels"),
+        text_of(F.concat(base, F.coalesce("more", F.array().cast("array<string>")))).alias("labels"), F.when(F.size("base") > 0, 1.0).otherwise(F.least(F.coalesce("share", F.lit(0.0)), F.lit(1.0))).alias("score"),
     )

@@ -21,8 +21,8 @@ from .common import split_join, written
 
 #: Hash bits (its window in bytes), zero bits at a cut, least and largest chunk in bytes.
 WINDOW, CUT_BITS, LEAST, LARGEST = 16, 5, 24, 512
-#: Shortest repeated run that is reported, in bytes.
-MIN_RUN = 64
+#: Shortest repeated run that is reported, in bytes: longer than a line of its own, shorter than what chunks leave of fifty short words.
+MIN_RUN = 96
 GEAR = np.random.default_rng(20240501).integers(0, 1 << 16, 256, dtype=np.uint16)
 
 

@@ -1,4 +1,4 @@
-"""Idempotent merges by key. A copied key may hold a third of the rows, so firsts come from aggregates, not windows, and null keys stay.
+"""Idempotent merges by key. A copied key may hold a third of the rows, so firsts come from aggregates, not windows, and joins split such keys; null keys stay.
 
 Joins are null-safe: rows with a null key are one key. Where several rows of a batch share key and
 order, only the one with the smallest row hash counts as first.
@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .skew import null_safe, split_join
+
 
 def _place(order: str, columns: list[str]) -> Column:
     """What orders a key's rows: the order column, then a hash of the row."""
@@ -25,10 +27,12 @@ def classify_batch(target: DataFrame, batch: DataFrame, key: str, order: str, co
 
     Later rows of a new key are duplicates. Null keys are one key. Rows alike in all columns that are first are all new.
     """
-    held = target.groupBy(F.col(key).alias("__held")).agg(F.max(F.col(content)).alias("__content") if content else F.lit(None).cast("string").alias("__content"), F.lit(True).alias("__known"))
-    joined = batch.join(held, F.col(key).eqNullSafe(F.col("__held")), "left").join(_first(batch, key, order), F.col(key).eqNullSafe(F.col("__key")))
+    keyed, place = batch.withColumn("__k", null_safe(key)), _place(order, batch.columns)
+    held = target.groupBy(null_safe(key).alias("__k")).agg(F.max(F.col(content)).alias("__content") if content else F.lit(None).cast("string").alias("__content"), F.lit(True).alias("__known"))
+    keys = keyed.groupBy("__k").agg(F.min(place).alias("__first"), F.count(F.lit(1)).alias("__n")).join(held, "__k", "left")
+    joined = split_join(keyed, keys, ["__k"], "__n", batch.count())
     known = F.col("__known").isNotNull()
-    outcome = F.when(~known & (_place(order, batch.columns) == F.col("__first")), "new")
+    outcome = F.when(~known & (place == F.col("__first")), "new")
     if content:
         outcome = outcome.when(known & ~F.col(content).eqNullSafe(F.col("__content")), "updated")
     return joined.withColumn("outcome", outcome.otherwise("duplicate")).select(*batch.columns, "outcome")
@@ -96,8 +100,10 @@ def coalescing_upsert(target: DataFrame, batch: DataFrame, key: str, overwrite:
 
 def free_slugs(batch: DataFrame, taken: DataFrame, slug: str, order: str, suffix: str) -> DataFrame:
     """batch with final_slug: the slug for its first row if it is free in taken, else slug-suffix; null and empty slugs are noticia-suffix."""
-    used = taken.select(F.col(slug).alias("__taken")).distinct()
-    joined = batch.join(_first(batch, slug, order), F.col(slug).eqNullSafe(F.col("__key"))).join(used, F.col(slug) == F.col("__taken"), "left")
-    own = F.col("__taken").isNull() & (_place(order, batch.columns) == F.col("__first")) & (F.coalesce(F.col(slug), F.lit("")) != "")
+    keyed, place = batch.withColumn("__k", null_safe(slug)), _place(order, batch.columns)
+    used = taken.select(null_safe(slug).alias("__k"), F.lit(True).alias("__taken")).distinct()
+    keys = keyed.groupBy("__k").agg(F.min(place).alias("__first"), F.count(F.lit(1)).alias("__n")).join(used, "__k", "left")
+    joined = split_join(keyed, keys, ["__k"], "__n", batch.count())
+    own = F.col("__taken").isNull() & (place == F.col("__first")) & (F.coalesce(F.col(slug), F.lit("")) != "")
     named = F.concat(F.coalesce(F.nullif(F.col(slug), F.lit("")), F.lit("noticia")), F.lit("-"), F.col(suffix))
     return joined.withColumn("final_slug", F.when(own, F.col(slug)).otherwise(named)).select(*batch.columns, "final_slug")

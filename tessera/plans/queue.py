@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -40,12 +40,28 @@ def enriched(articles: DataFrame, pages: DataFrame, key: str, least: int = 400)
     return rows.select(*(made[c].alias(c) if c in made else F.col(c) for c in articles.columns))
 
 
-def failure_streaks(runs: DataFrame, source: str, failed: str, order: tuple[str, ...], limit: int = 3) -> DataFrame:
-    """(source, longest, tripped): each source's longest run of failures; the breaker trips at limit."""
-    by = Window.partitionBy(source).orderBy(*order)
-    island = F.sum((~F.col(failed)).cast("int")).over(by)
-    marked = runs.withColumn("island", island).filter(F.col(failed)).groupBy(source, "island").agg(F.count(F.lit(1)).alias("n"))
-    return marked.groupBy(source).agg(F.max("n").alias("longest")).withColumn("tripped", F.col("longest") >= limit)
+def failure_streaks(runs: DataFrame, source: str, failed: str, order: tuple[str, ...], limit: int = 3, slot: Column | None = None) -> DataFrame:
+    """(source, longest, tripped): each failing source's longest run of failures; the breaker trips at limit.
+
+    A source may hold a third of all runs, so runs are counted in slots that follow the order (``slot``: not falling with it; by default the
+    hour of the first order column) and a source's slots are then put together: its tasks are the slots. A null ``failed`` is a success.
+    """
+    bad = F.coalesce(F.col(failed), F.lit(False))
+    rows = runs.withColumn("__slot", F.date_trunc("hour", order[0]) if slot is None else slot).withColumn("__bad", bad.cast("int"))
+    by = Window.partitionBy(source, "__slot").orderBy(*order)
+    rows = rows.withColumn("__island", F.sum(1 - F.col("__bad")).over(by))
+    islands = rows.groupBy(source, "__slot", "__island").agg(F.sum("__bad").alias("n"), F.count(F.lit(1)).alias("size"))
+    # A slot's first island (0) is the failures before any success; the last one those after the last success.
+    slots = islands.groupBy(source, "__slot").agg(F.sum("size").alias("size"), F.coalesce(F.max(F.when(F.col("__island") == 0, F.col("n"))), F.lit(0)).alias("lead"), F.max_by("n", "__island").alias("tail"), F.max("n").alias("best"))
+    state = F.struct(F.lit(0).cast("long").alias("run"), F.lit(0).cast("long").alias("best"))
+
+    def add(acc: Column, x: Column) -> Column:
+        whole = acc["run"] + x["lead"]
+        return F.struct(F.when(x["lead"] == x["size"], whole).otherwise(x["tail"]).alias("run"), F.greatest(acc["best"], whole, x["best"]).alias("best"))
+
+    listed = slots.groupBy(source).agg(F.array_sort(F.collect_list(F.struct("__slot", "size", "lead", "tail", "best"))).alias("__all"))
+    longest = listed.select(source, F.aggregate("__all", state, add)["best"].alias("longest"))
+    return longest.filter("longest > 0").withColumn("tripped", F.col("longest") >= limit)
 
 
 def coverage(days: DataFrame, today: str) -> DataFrame:

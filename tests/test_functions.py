@@ -2,6 +2,7 @@
 
 import collections
 import datetime
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -150,8 +151,28 @@ def test_rules_cap_errors(spark):
 
 
 def test_streaks(spark):
-    runs = spark.createDataFrame([("a", k, bad) for k, bad in enumerate([True, True, False, True, True, True])] + [("b", 0, False)], "s string, t int, bad boolean")
-    assert [tuple(r) for r in queue.failure_streaks(runs, "s", "bad", ("t",)).collect()] == [("a", 3, True)]
+    runs = [("a", k, bad) for k, bad in enumerate([True, True, False, True, True, True])] + [("b", 0, False), (None, 1, True), ("c", 1, None), ("c", 2, True)]
+    rng = random.Random(1)
+    runs += [("d", k, rng.random() < 0.7) for k in range(200)]
+    df = spark.createDataFrame(runs, "s string, t int, bad boolean")
+    want = {}
+    for s in {r[0] for r in runs}:
+        best = now = 0
+        for _, _, bad in sorted(r for r in runs if r[0] == s):
+            now = now + 1 if bad else 0
+            best = max(best, now)
+        if best:
+            want[s] = (best, best >= 3)
+    for slot in (F.lit(0), F.col("t"), F.floor(F.col("t") / 3), F.floor(F.col("t") / 50)):
+        assert {r[0]: (r[1], r[2]) for r in queue.failure_streaks(df, "s", "bad", ("t",), slot=slot).collect()} == want
+
+
+def test_hot_keys_are_split(spark, monkeypatch):
+    batch = spark.createDataFrame([("hot", k) for k in range(500)] + [("cold", 1), (None, 2)], "key string, pos int")
+    target = spark.createDataFrame([("cold",)], "key string")
+    monkeypatch.setattr("tessera.operators.skew.HOT_LEAST", 2)
+    got = collections.Counter((r["key"], r["outcome"]) for r in merge.classify_batch(target, batch, "key", "pos").collect())
+    assert got == {("hot", "new"): 1, ("hot", "duplicate"): 499, ("cold", "duplicate"): 1, (None, "new"): 1}
 
 
 def test_pages_cover_all(spark):

@@ -17,7 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import split_join, written
+from ..operators.skew import split_join
+from .common import written
 
 #: Hash bits (its window in bytes), zero bits at a cut, least and largest chunk in bytes.
 WINDOW, CUT_BITS, LEAST, LARGEST = 16, 5, 24, 512

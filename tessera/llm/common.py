@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: White space in the contracts' word pattern [^\x20\x09-\x0D]+.
 BLANK = "\x20\x09-\x0d"
-#: A key is hot with this share of all rows (1 in HOT_SHARE) and at least HOT_LEAST of them; it is dealt to HOT_SALTS tasks.
-HOT_SHARE, HOT_LEAST, HOT_SALTS = 1_000, 256, 64
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -44,20 +42,6 @@ def removed(*tables: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def split_join(big: DataFrame, small: DataFrame, keys: list[str], weight: str, total: int, how: str = "inner") -> DataFrame:
-    """big joined with small (one row a key; ``weight``: about how many rows of big have the key), no key in one task.
-
-    Keys with 1 in HOT_SHARE of ``total`` rows or more are at most HOT_SHARE in number, so that they can be broadcast: their rows of big
-    are salted and their row of small is repeated once a salt.
-    """
-    least = max(total // HOT_SHARE, HOT_LEAST)
-    hot = small.filter(F.col(weight) >= least).select(*keys, F.lit(HOT_SALTS).alias("__salts"))
-    rows = small.withColumn("__salt", F.explode(F.when(F.col(weight) >= least, F.sequence(F.lit(0), F.lit(HOT_SALTS - 1))).otherwise(F.array(F.lit(0))))).drop(weight)
-    salted = big.join(F.broadcast(hot), keys, "left")
-    salted = salted.withColumn("__salt", F.when(F.col("__salts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(*[c for c in big.columns if c not in keys]), F.lit(HOT_SALTS)).cast("int"))).drop("__salts")
-    return salted.join(rows, [*keys, "__salt"], how).drop("__salt")
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -28,7 +28,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import removed, split_join, written
+from ..operators.skew import split_join
+from .common import removed, written
 from .words import ascii_words, pack, split_block, text_blocks, unpack
 
 #: Buckets of hashes for each shuffle partition; texts in one walk of a trie; nodes between two looks at the bound.

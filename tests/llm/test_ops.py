@@ -370,7 +370,7 @@ def test_passages_equal_brute_force(spark, monkeypatch):
     df = spark.createDataFrame([(k, t, 1, 2, "x") for k, t in rows], "doc_id long, text string, d1 int, idx int, copy string")
     same = lambda: collections.Counter(tuple(r) for r in chunks.repeated_passages(df).collect())
     assert same() == passages_by_brute_force(rows)
-    monkeypatch.setattr("tessera.llm.common.HOT_LEAST", 1)
+    monkeypatch.setattr("tessera.operators.skew.HOT_LEAST", 1)
     assert same() == passages_by_brute_force(rows)
 
 

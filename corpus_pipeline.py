@@ -10,12 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.bpe import encode_documents
-from tessera.llm.common import crc_mod, split_join, table, written
+from tessera.llm.common import crc_mod, table, written
 from tessera.llm.jaccard import jaccard_components
 from tessera.llm.langid import UNDETERMINED, fit, predict_language
 from tessera.llm.mixing import poisson_replicate
 from tessera.llm.queries import WEIGHTS, vocabulary
 from tessera.llm.secrets import redact_secrets
+from tessera.operators.skew import split_join
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Least probability of the predicted language with which a document stays.

@@ -17,27 +17,28 @@ from .sources import rss
 from .sources.tables import NOW, STORIES_SQL, stories, table
 from .streaming.ingest import merge_stream
 
-I = F.col("doc_id")  # noqa: E741
+def _id():
+    return F.col("doc_id")
 
 
 def _on(k: int, **values: Column) -> list[Column]:
-    return [F.when(I % k == int(name[1:]), v) for name, v in values.items()]
+    return [F.when(_id() % k == int(name[1:]), v) for name, v in values.items()]
 
 
 def _feeds(s: SparkSession, d: str) -> DataFrame:
     """A feed of one item for each document; what the item lacks follows from the id. Every 13th document is no feed."""
-    i, text_ = I.cast("string"), text.xml_escape(F.regexp_replace(F.split_part("text", F.lit("."), F.lit(1)), "[^A-Za-z ]", ""))
+    i, text_ = _id().cast("string"), text.xml_escape(F.regexp_replace(F.split_part("text", F.lit("."), F.lit(1)), "[^A-Za-z ]", ""))
     tag = lambda name, value: F.concat(F.lit(f"<{name}>"), value, F.lit(f"</{name}>"))
     where = F.concat(F.lit("https://news.example/world/"), i)
     link = F.coalesce(*_on(3, _0=tag("link", F.concat(where, F.lit("/?utm_source=rss#top"))), _1=F.concat(F.lit("<guid>"), where, F.lit("</guid>"))), F.concat(F.lit('<guid isPermaLink="false">id-'), i, F.lit("</guid>")))
-    title = F.when(I % 5 == 0, F.lit("")).otherwise(tag("title", F.concat(F.when(I % 4 == 1, F.lit("Pope visits ")).otherwise(F.lit("Caso ")), i)))
-    body = F.when(I % 2 == 0, tag("content:encoded", F.concat(F.lit("&lt;p&gt;Corpo &lt;b&gt;"), text_, F.lit("&lt;/b&gt;&lt;/p&gt;")))).otherwise(tag("description", F.concat(F.lit("Resumo "), text_)))
-    image = F.when(I % 2 == 0, F.concat(F.lit('<media:content url="https://img.example/'), i, F.lit('.jpg?utm_x=1" width="640"><media:credit>Foto</media:credit></media:content>'))).otherwise(F.concat(F.lit('<enclosure url="https://img.example/e'), i, F.lit('.jpg" type="image/jpeg"/>')))
+    title = F.when(_id() % 5 == 0, F.lit("")).otherwise(tag("title", F.concat(F.when(_id() % 4 == 1, F.lit("Pope visits ")).otherwise(F.lit("Caso ")), i)))
+    body = F.when(_id() % 2 == 0, tag("content:encoded", F.concat(F.lit("&lt;p&gt;Corpo &lt;b&gt;"), text_, F.lit("&lt;/b&gt;&lt;/p&gt;")))).otherwise(tag("description", F.concat(F.lit("Resumo "), text_)))
+    image = F.when(_id() % 2 == 0, F.concat(F.lit('<media:content url="https://img.example/'), i, F.lit('.jpg?utm_x=1" width="640"><media:credit>Foto</media:credit></media:content>'))).otherwise(F.concat(F.lit('<enclosure url="https://img.example/e'), i, F.lit('.jpg" type="image/jpeg"/>')))
     date = F.coalesce(*_on(6, _0=F.lit("Mon, 29 Jan 2024 10:00:00 GMT"), _1=F.lit("ontem")), F.lit("Sat, 29 Jan 2124 10:00:00 GMT"))
-    cats = F.when(I % 4 == 0, F.lit("<category>Catholic Church</category><category> Synod </category>")).otherwise(F.lit("<category>World</category>"))
+    cats = F.when(_id() % 4 == 0, F.lit("<category>Catholic Church</category><category> Synod </category>")).otherwise(F.lit("<category>World</category>"))
     item = F.concat(title, link, body, image, tag("pubDate", date), F.lit("<dc:creator>Ana</dc:creator>"), cats)
     xml = F.concat(F.lit('<rss version="2.0" xmlns:media="m" xmlns:dc="d" xmlns:content="c"><channel><title>F</title><item>'), item, F.lit("</item></channel></rss>"))
-    return table(s, d, "documents").select("doc_id", F.when(I % 13 == 0, F.lit("<html><body>erro</body></html>")).otherwise(xml).alias("xml"))
+    return table(s, d, "documents").select("doc_id", F.when(_id() % 13 == 0, F.lit("<html><body>erro</body></html>")).otherwise(xml).alias("xml"))
 
 
 FEEDS_SQL = f"""with f as (select doc_id, doc_id % 5 <> 0 has_title, concat(case when doc_id % 4 = 1 then 'Pope visits ' else 'Caso ' end, doc_id) title, concat('https://news.example/world/', doc_id) url,
@@ -50,7 +51,7 @@ FEEDS_SQL = f"""with f as (select doc_id, doc_id % 5 <> 0 has_title, concat(case
 def feed_items_full(s, d):
     """Items of a feed with whole texts."""
     items, _ = rss.feed_items(_feeds(s, d))
-    good, _ = rss.full_text_items(items.withColumn("author", F.concat_ws("|", "author", I.cast("string"))), "a", "Fonte A", F.lit(NOW))
+    good, _ = rss.full_text_items(items.withColumn("author", F.concat_ws("|", "author", _id().cast("string"))), "a", "Fonte A", F.lit(NOW))
     parts = F.split("author", r"\|")
     return good.select(F.get(parts, F.lit(1)).cast("long").alias("doc_id"), "title", "url", "excerpt", "source_length", "image_url", "image_credit", F.get(parts, F.lit(0)).alias("author"), "category", "published_at")
 
@@ -91,12 +92,12 @@ def _merge_sides(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     key = lambda i: url.dedupe_hash(F.concat(F.lit("https://news.example/"), i.cast("string")))
     title = lambda i: F.concat(F.lit("t-"), i.cast("string"))
     slug = lambda i: F.concat(F.lit("s-"), i.cast("string"))
-    target = docs.filter(I % 3 == 0).select(key(I).alias("key"), slug(I).alias("slug"), url.content_hash(title(I), F.lit("x")).alias("content"), F.lit("a").alias("source"), title(I).alias("title"))
-    known, case = I % 3 == 1, (I / 3).cast("long") % 4
-    b_slug = F.when(known, slug(I - 1)).when(case < 2, slug(I - 2)).when(case == 2, F.concat(F.lit("n-"), (I / 24).cast("long").cast("string"))).otherwise("")
-    b_title = F.when(known, title(I - 1)).when(case == 0, title(I - 2)).otherwise(title(I))
-    content = url.content_hash(b_title, F.when(known & (I % 2 == 0), F.lit(" x ")).otherwise(F.lit("y")))
-    batch = docs.filter(I % 3 != 0).select("doc_id", key(F.when(known, I - 1).otherwise(I)).alias("key"), b_slug.alias("slug"), content.alias("content"), F.lit("a").alias("source"), b_title.alias("title"), I.alias("position"))
+    target = docs.filter(_id() % 3 == 0).select(key(_id()).alias("key"), slug(_id()).alias("slug"), url.content_hash(title(_id()), F.lit("x")).alias("content"), F.lit("a").alias("source"), title(_id()).alias("title"))
+    known, case = _id() % 3 == 1, (_id() / 3).cast("long") % 4
+    b_slug = F.when(known, slug(_id() - 1)).when(case < 2, slug(_id() - 2)).when(case == 2, F.concat(F.lit("n-"), (_id() / 24).cast("long").cast("string"))).otherwise("")
+    b_title = F.when(known, title(_id() - 1)).when(case == 0, title(_id() - 2)).otherwise(title(_id()))
+    content = url.content_hash(b_title, F.when(known & (_id() % 2 == 0), F.lit(" x ")).otherwise(F.lit("y")))
+    batch = docs.filter(_id() % 3 != 0).select("doc_id", key(F.when(known, _id() - 1).otherwise(_id())).alias("key"), b_slug.alias("slug"), content.alias("content"), F.lit("a").alias("source"), b_title.alias("title"), _id().alias("position"))
     return target, batch
 
 
@@ -131,14 +132,14 @@ def source_refresh(s, d):
 def point_update(s, d):
     """Rows with a few columns changed by id; null changes nothing."""
     docs = table(s, d, "documents").select("doc_id", "lang", "n_chars")
-    changes = docs.filter((I % 10).isin(3, 4)).select("doc_id", F.when(I % 10 == 3, "x").alias("lang"), I.alias("n_chars"))
+    changes = docs.filter((_id() % 10).isin(3, 4)).select("doc_id", F.when(_id() % 10 == 3, "x").alias("lang"), _id().alias("n_chars"))
     return merge.point_update(docs, changes, "doc_id")
 
 
 @query("subscribe", "with e as (select distinct case when doc_id % 7 <> 0 then concat('user', doc_id % 400, '@mail.example') end email, doc_id % 400 u from documents) select distinct email from e where email is not null and u >= 50")
 def subscribe(s, d):
     """Addresses that are valid and not yet stored, each once."""
-    raw = F.concat(F.lit("  User"), (I % 400).cast("string"), F.when(I % 7 == 0, F.lit("@mail")).otherwise(F.lit("@Mail.Example ")))
+    raw = F.concat(F.lit("  User"), (_id() % 400).cast("string"), F.when(_id() % 7 == 0, F.lit("@mail")).otherwise(F.lit("@Mail.Example ")))
     asked = table(s, d, "documents").select("doc_id", text.email(raw).alias("email")).filter("email is not null")
     stored = s.range(50).select(F.concat(F.lit("user"), F.col("id").cast("string"), F.lit("@mail.example")).alias("email"))
     return merge.classify_batch(stored, asked, "email", "doc_id").filter("outcome = 'new'").select("email")
@@ -174,8 +175,8 @@ def enrichment_queue(s, d):
  select doc_id, image_url, length(case when best is null then source_excerpt else trim(best) end) as length, case when best is null then source_length else length(best) end as source_length from c""")
 def enriched_articles(s, d):
     """Image, text and length from the articles' pages where they add something."""
-    n = lambda k, by: ((I % k) * by).cast("int")
-    pages = table(s, d, "documents").select("doc_id", F.when(I % 2 == 0, F.concat(F.lit("https://o.example/"), I.cast("string"))).alias("og_image"), F.expr("repeat('d ', cast(doc_id % 3 * 1500 as int))").alias("og_description"), F.expr("repeat('b', cast(doc_id % 5 * 350 as int))").alias("body"))
+    n = lambda k, by: ((_id() % k) * by).cast("int")
+    pages = table(s, d, "documents").select("doc_id", F.when(_id() % 2 == 0, F.concat(F.lit("https://o.example/"), _id().cast("string"))).alias("og_image"), F.expr("repeat('d ', cast(doc_id % 3 * 1500 as int))").alias("og_description"), F.expr("repeat('b', cast(doc_id % 5 * 350 as int))").alias("body"))
     return queue.enriched(stories(s, d), pages, "doc_id").select("doc_id", "image_url", F.length("source_excerpt").alias("length"), "source_length")
 
 
@@ -214,9 +215,9 @@ def robots_rules(s, d):
 @query("category_cascade", """select doc_id, case when doc_id % 4 = 0 then 'santos' when doc_id % 4 = 1 then 'caridade' when doc_id % 4 >= 2 and doc_id % 3 = 0 then 'juventude' else 'mundo' end as category from documents""")
 def category_cascade(s, d):
     """Path before the feed's categories, these before the title's terms, then the default."""
-    address = F.when(I % 4 == 0, "https://a.example/en/Saints/x").otherwise("https://a.example/world/x")
-    cats = F.when(I % 4 == 1, F.array(F.lit("Faith"), F.lit(" Migrants "), F.lit("Youth"))).otherwise(F.array(F.lit("Catholic Church")))
-    title = F.when(I % 3 == 0, "Yóung Catholic campus mass").otherwise("Nada")
+    address = F.when(_id() % 4 == 0, "https://a.example/en/Saints/x").otherwise("https://a.example/world/x")
+    cats = F.when(_id() % 4 == 1, F.array(F.lit("Faith"), F.lit(" Migrants "), F.lit("Youth"))).otherwise(F.array(F.lit("Catholic Church")))
+    title = F.when(_id() % 3 == 0, "Yóung Catholic campus mass").otherwise("Nada")
     return table(s, d, "documents").select("doc_id", classify.category(address, title, cats).alias("category"))
 
 
@@ -288,8 +289,8 @@ def calendar_months(s, d):
 @query("calendar_year", "select doc_id, case doc_id % 4 when 0 then 2024 when 1 then 2025 when 2 then 2026 end as year, case doc_id % 4 when 0 then 'year differs' when 1 then 'year differs' when 2 then 'year not found' when 3 then 'year differs' end as warning from documents")
 def calendar_year(s, d):
     """A page's year from its address, its headings or what is expected; none outside 2000 to 2100."""
-    address = F.when(I % 4 == 0, "https://c.example/calendario-2024").when(I % 4 == 3, "https://c.example/calendario-1962")
-    headings = F.when(I % 4 < 2, F.array(F.lit("Sem ano"), F.lit("Ano de 2025"))).otherwise(F.array().cast("array<string>"))
+    address = F.when(_id() % 4 == 0, "https://c.example/calendario-2024").when(_id() % 4 == 3, "https://c.example/calendario-1962")
+    headings = F.when(_id() % 4 < 2, F.array(F.lit("Sem ano"), F.lit("Ano de 2025"))).otherwise(F.array().cast("array<string>"))
     y = F.col("y")
     return table(s, d, "documents").select("doc_id", calendar.resolved_year(address, headings, F.lit(2026)).alias("y")).select("doc_id", y["year"].alias("year"), y["warning"].alias("warning"))
 
@@ -303,5 +304,5 @@ def calendar_floor(s, d):
 @query("event_time_clamp", f"select doc_id, cast(case doc_id % 4 when 0 then 1706522400 when 1 then {NOW} when 2 then {NOW} else {NOW} + 86400 end as bigint) as at from documents")
 def event_time_clamp(s, d):
     """RFC 822 dates as seconds; missing, broken or far ones are now."""
-    said = F.when(I % 4 == 0, "Mon, 29 Jan 2024 10:00:00 GMT").when(I % 4 == 1, "Mon, 29 Foo 2024").when(I % 4 == 3, dates.rfc822(F.lit(NOW + 86400)))
+    said = F.when(_id() % 4 == 0, "Mon, 29 Jan 2024 10:00:00 GMT").when(_id() % 4 == 1, "Mon, 29 Foo 2024").when(_id() % 4 == 3, dates.rfc822(F.lit(NOW + 86400)))
     return table(s, d, "documents").select("doc_id", dates.rfc822_seconds(said, F.lit(NOW)).alias("at"))

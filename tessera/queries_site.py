@@ -11,7 +11,8 @@ from .queries_exports import LABEL, TOP, brief
 from .registry import query, sql_cut, sql_list
 from .sources.tables import NOW, STORIES_SQL, stories, table
 
-I = F.col("doc_id")  # noqa: E741
+def _id():
+    return F.col("doc_id")
 
 
 @query("topic_counts", STORIES_SQL + "select doc_id, count(*) over () as visible from pub where category_slug in ('vaticano', 'santos')")
@@ -58,8 +59,8 @@ def with_image(s, d):
  select doc_id, case when total <= 7 then array_to_string(range(1, total + 1), ' ') else array_to_string(list_transform(shown, lambda x, i: case when i > 1 and x - shown[i - 1] > 1 then concat('… ', x) else cast(x as varchar) end), ' ') end as shown from n""")
 def page_window(s, d):
     """Page numbers with gaps."""
-    total = (1 + I % 20).cast("int")
-    shown = reads.page_window((1 + (I / 20).cast("long") % (1 + I % 20)).cast("int"), total)
+    total = (1 + _id() % 20).cast("int")
+    shown = reads.page_window((1 + (_id() / 20).cast("long") % (1 + _id() % 20)).cast("int"), total)
     return table(s, d, "documents").select("doc_id", F.array_join(F.transform(shown, lambda p: F.coalesce(p.cast("string"), F.lit("…"))), " ").alias("shown"))
 
 
@@ -73,10 +74,10 @@ def display_fields(s, d):
  replace(concat(left(text, 50), ']]>'), ']]>', ']]&gt;') as cdata, concat('[', '"', doc_id, '","b"]') as tags_json, doc_id % 5 < 2 as safe from documents""")
 def text_shaping(s, d):
     """Cut texts, titles without brands, blank cells, summaries, CDATA, arrays as JSON and back, safe addresses."""
-    title = F.when(I % 4 == 0, "T | Marca").when(I % 4 == 1, "T - Marca").when(I % 4 == 2, " T – Marca").otherwise("T - Outro")
-    cell = F.when(I % 3 == 0, " –. ").otherwise("a.")
-    address = F.when(I % 5 == 0, "https://a.example/x").when(I % 5 == 1, "HTTP://a").when(I % 5 == 2, "javascript:x").when(I % 5 == 3, "/a")
-    tags = F.from_json(F.to_json(F.array(I.cast("string"), F.lit("b"))), "array<string>")
+    title = F.when(_id() % 4 == 0, "T | Marca").when(_id() % 4 == 1, "T - Marca").when(_id() % 4 == 2, " T – Marca").otherwise("T - Outro")
+    cell = F.when(_id() % 3 == 0, " –. ").otherwise("a.")
+    address = F.when(_id() % 5 == 0, "https://a.example/x").when(_id() % 5 == 1, "HTTP://a").when(_id() % 5 == 2, "javascript:x").when(_id() % 5 == 3, "/a")
+    tags = F.from_json(F.to_json(F.array(_id().cast("string"), F.lit("b"))), "array<string>")
     return table(s, d, "documents").select(
         "doc_id", text.shorten(F.col("text"), 80).alias("cut"), text.without_brand(title, "Marca").alias("unbranded"), text.is_blank(cell).alias("blank"), text.summary(F.array(F.lit("x"), F.col("text"))).alias("summed"),
         text.cdata_safe(F.concat(F.substring("text", 1, 50), F.lit("]]>"))).alias("cdata"), F.to_json(tags).alias("tags_json"), url.is_safe(address).alias("safe"),
@@ -86,16 +87,16 @@ def text_shaping(s, d):
 @query("source_blocks", "select doc_id, concat('Corpo ', doc_id, chr(10), chr(10), 'Fim', chr(10), chr(10), '> **Fonte:** [', source, '](https://a.example/', doc_id, ')', chr(10)) as body, true as held, false as before from documents")
 def source_blocks(s, d):
     """Bodies without the model's own attribution, with the site's."""
-    raw = F.concat(F.lit("Corpo "), I.cast("string"), F.lit("\n\n> **Fontes**: x\n\nFim\n\nFonte: y\n"))
+    raw = F.concat(F.lit("Corpo "), _id().cast("string"), F.lit("\n\n> **Fontes**: x\n\nFim\n\nFonte: y\n"))
     raw = F.replace(raw, F.lit("**Fontes**:"), F.lit("**Fontes: z"))
-    body = text.final_body(text.without_attribution(raw), F.col("source"), F.concat(F.lit("https://a.example/"), I.cast("string")))
+    body = text.final_body(text.without_attribution(raw), F.col("source"), F.concat(F.lit("https://a.example/"), _id().cast("string")))
     return table(s, d, "documents").select("doc_id", body.alias("body"), text.has_source_block(body).alias("held"), text.has_source_block(raw).alias("before"))
 
 
 @query("markdown_blocks", "select doc_id, unnest([0, 1, 2, 3]) as position, unnest(['h2', 'quote', 'list', 'p']) as kind, unnest([concat('Título ', doc_id), 'Citação', concat('um', chr(10), 'dois'), concat('Texto ', doc_id)]) as said from documents")
 def markdown_blocks(s, d):
     """Blocks of a text with their kind and place."""
-    md = F.concat(F.lit("\n## Título "), I.cast("string"), F.lit("\n\n> Citação\n\n\n- um\n-  dois\n\n  Texto "), I.cast("string"), F.lit("  \n"))
+    md = F.concat(F.lit("\n## Título "), _id().cast("string"), F.lit("\n\n> Citação\n\n\n- um\n-  dois\n\n  Texto "), _id().cast("string"), F.lit("  \n"))
     rows = table(s, d, "documents").select("doc_id", F.posexplode(text.blocks(md)).alias("position", "b"))
     return rows.select("doc_id", "position", "b.kind", F.col("b.text").alias("said"))
 
@@ -104,7 +105,7 @@ def markdown_blocks(s, d):
  unnest([null, concat('https://x.example/', doc_id), null, null, null, null, null, null]) as url from documents""")
 def markdown_inline(s, d):
     """Links, bold and italic parts of a line; links with other schemes are text."""
-    i = I.cast("string")
+    i = _id().cast("string")
     line = F.concat(F.lit("Veja [site "), i, F.lit("](https://x.example/"), i, F.lit(") e **forte** ou *leve*; [ruim](javascript:x)"))
     rows = table(s, d, "documents").select("doc_id", F.posexplode(text.inline_tokens(line)).alias("position", "t"))
     return rows.select("doc_id", "position", "t.kind", F.col("t.text").alias("said"), "t.url")
@@ -114,17 +115,17 @@ def markdown_inline(s, d):
  case doc_id % 3 when 0 then 'https://portal.example/a' when 1 then 'https://portal.example/b' else 'HTTP://c.example' end as absolute, 'portalbot' as agent, case when doc_id % 2 = 0 then concat('https://c.example/calendario-', 2000 + doc_id % 100) else 'https://c.example/calendario' end as calendar from documents""")
 def routes(s, d):
     """Archive routes, absolute addresses, agent tokens, calendar addresses."""
-    archive = url.archive_route(F.when(I % 2 == 0, F.col("lang")), (1 + I % 3).cast("int"))
-    path = F.when(I % 3 == 0, "/a").when(I % 3 == 1, "b").otherwise("HTTP://c.example")
-    year = F.when(I % 2 == 0, (2000 + I % 100).cast("int"))
-    return table(s, d, "documents").select("doc_id", archive.alias("archive"), url.absolute(path, exports.SITE).alias("absolute"), url.agent_token(F.when(I % 2 == 0, " PortalBot/1.0 x").otherwise("PORTALBOT (y)")).alias("agent"), url.calendar_address("https://c.example", year).alias("calendar"))
+    archive = url.archive_route(F.when(_id() % 2 == 0, F.col("lang")), (1 + _id() % 3).cast("int"))
+    path = F.when(_id() % 3 == 0, "/a").when(_id() % 3 == 1, "b").otherwise("HTTP://c.example")
+    year = F.when(_id() % 2 == 0, (2000 + _id() % 100).cast("int"))
+    return table(s, d, "documents").select("doc_id", archive.alias("archive"), url.absolute(path, exports.SITE).alias("absolute"), url.agent_token(F.when(_id() % 2 == 0, " PortalBot/1.0 x").otherwise("PORTALBOT (y)")).alias("agent"), url.calendar_address("https://c.example", year).alias("calendar"))
 
 
 @query("content_keys", "select doc_id, sha256(concat('https://a.example/', doc_id, '?a=1')) as key, sha256(concat('T ', doc_id, chr(10), trim(text))) as content, case when doc_id % 2 = 0 then sha256(concat('https://b.example/', doc_id)) end as safe_key from documents")
 def content_keys(s, d):
     """Digests of addresses and of what a source says; none for what is no address."""
-    i = I.cast("string")
-    broken = F.when(I % 2 == 0, F.concat(F.lit("https://b.example/"), i, F.lit("/#x"))).otherwise(F.lit("sem endereço"))
+    i = _id().cast("string")
+    broken = F.when(_id() % 2 == 0, F.concat(F.lit("https://b.example/"), i, F.lit("/#x"))).otherwise(F.lit("sem endereço"))
     return table(s, d, "documents").select(
         "doc_id", url.dedupe_hash(F.concat(F.lit("HTTPS://A.example:443/"), i, F.lit("/?a=1&utm_source=b"))).alias("key"), url.content_hash(F.concat(F.lit(" T "), i), F.col("text")).alias("content"), url.dedupe_hash(broken).alias("safe_key"),
     )
@@ -133,9 +134,9 @@ def content_keys(s, d):
 @query("lookups", "select doc_id, case doc_id % 3 when 0 then 'Santos' else 'Igreja no Mundo' end as label, case doc_id % 4 when 0 then 'Bispo' when 1 then 'homilia' end as translation, case doc_id % 3 when 0 then 'vendor/model-a' when 1 then 'vendor/other' else 'vendor/default' end as model from documents")
 def lookups(s, d):
     """Labels with a default, glossary terms in any letter case, aliases that pass."""
-    term = F.when(I % 4 == 0, " BISHOP").when(I % 4 == 1, "Homily").otherwise("unknown")
-    model = classify.resolved(F.when(I % 3 == 0, " a ").when(I % 3 == 1, "vendor/other").otherwise(" "), {"a": "vendor/model-a"}, "vendor/default")
-    rows = table(s, d, "documents").select("doc_id", term.alias("term"), classify.label(F.when(I % 3 == 0, "santos").otherwise("desconhecida")).alias("label"), model.alias("model"))
+    term = F.when(_id() % 4 == 0, " BISHOP").when(_id() % 4 == 1, "Homily").otherwise("unknown")
+    model = classify.resolved(F.when(_id() % 3 == 0, " a ").when(_id() % 3 == 1, "vendor/other").otherwise(" "), {"a": "vendor/model-a"}, "vendor/default")
+    rows = table(s, d, "documents").select("doc_id", term.alias("term"), classify.label(F.when(_id() % 3 == 0, "santos").otherwise("desconhecida")).alias("label"), model.alias("model"))
     return reads.glossary(rows, dims.ONE_WORD_TERMS).select("doc_id", "label", "translation", "model")
 
 
@@ -157,22 +158,22 @@ def portal_dates(s, d):
 @query("clean_texts", "select doc_id, case doc_id % 4 when 0 then concat('Um ', doc_id, chr(10), chr(10), 'dois & três') when 1 then concat('a < b ', doc_id) when 3 then 'linha' || chr(10) || 'fim' end as cleaned from documents")
 def clean_texts(s, d):
     """Text of what may be HTML or not."""
-    i = I.cast("string")
-    raw = F.when(I % 4 == 0, F.concat(F.lit("<style>x</style><p>Um  "), i, F.lit("</p><p>dois &amp; três</p>"))).when(I % 4 == 1, F.concat(F.lit("  a < b "), i)).when(I % 4 == 2, F.lit("<p> </p>")).otherwise(F.lit("linha<br>fim"))
+    i = _id().cast("string")
+    raw = F.when(_id() % 4 == 0, F.concat(F.lit("<style>x</style><p>Um  "), i, F.lit("</p><p>dois &amp; três</p>"))).when(_id() % 4 == 1, F.concat(F.lit("  a < b "), i)).when(_id() % 4 == 2, F.lit("<p> </p>")).otherwise(F.lit("linha<br>fim"))
     return table(s, d, "documents").select("doc_id", html.clean_text(raw).alias("cleaned"))
 
 
 @query("page_fields", "select doc_id, case when doc_id % 3 > 0 then concat('T', doc_id) else 'tw' end as og_title, case when doc_id % 2 = 0 then 'desc' else 'tw desc' end as og_description, 'https://i.example/1.jpg' as og_image, 'Ana' as og_author, '2024-01-01' as og_published, doc_id % 5 <> 0 as by_container, case when doc_id % 5 = 0 then 4 else 3 end::bigint as n_paragraphs from documents")
 def page_fields(s, d):
     """Fields of pages' heads and bodies: names by preference, the container before the rest of the page."""
-    i = I.cast("string")
+    i = _id().cast("string")
     meta = lambda name, value: f'<meta property="{name}" content="{value}">'
     p = lambda word: f"<p>{' '.join([word] * 20)}</p>"
     head = F.concat(
-        F.lit("<html><head>"), F.when(I % 3 > 0, F.concat(F.lit('<meta property="og:title" content="T'), i, F.lit('"><meta property="og:title" content="later">'))).otherwise(F.lit("")), F.lit(meta("twitter:title", "tw")), F.lit(meta("twitter:description", "tw desc")),
-        F.when(I % 2 == 0, F.lit(meta("OG:Description", "desc"))).otherwise(F.lit("")), F.lit(meta("og:image", " https://i.example/1.jpg ") + meta("og:image", "https://i.example/2.jpg") + meta("author", "Ana") + meta("article:published_time", "2024-01-01") + "</head><body>" + meta("og:title", "body") + p("menuu")),
+        F.lit("<html><head>"), F.when(_id() % 3 > 0, F.concat(F.lit('<meta property="og:title" content="T'), i, F.lit('"><meta property="og:title" content="later">'))).otherwise(F.lit("")), F.lit(meta("twitter:title", "tw")), F.lit(meta("twitter:description", "tw desc")),
+        F.when(_id() % 2 == 0, F.lit(meta("OG:Description", "desc"))).otherwise(F.lit("")), F.lit(meta("og:image", " https://i.example/1.jpg ") + meta("og:image", "https://i.example/2.jpg") + meta("author", "Ana") + meta("article:published_time", "2024-01-01") + "</head><body>" + meta("og:title", "body") + p("menuu")),
     )
-    box = F.when(I % 5 == 0, "other").otherwise("wide entry-content")
+    box = F.when(_id() % 5 == 0, "other").otherwise("wide entry-content")
     body = F.concat(F.lit('<div class="'), box, F.lit('">' + p("corpo") * 2 + "<aside>" + p("nunca") + "</aside><p>curto</p>" + p("final") + "</div></body></html>"))
     pages = table(s, d, "documents").select("doc_id", F.concat(head, body).alias("html"))
     return html.read_pages(pages, "doc_id").select("doc_id", "og_title", "og_description", "og_image", "og_author", "og_published", "by_container", "n_paragraphs")

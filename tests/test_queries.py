@@ -1,6 +1,8 @@
 """Every query against its SQL, on the smallest tables."""
 
 import os
+import subprocess
+import sys
 
 import pytest
 
@@ -18,3 +20,9 @@ def test_query(spark, name):
         assert (d := differences(df, connect(SF), ORACLE_SQL[name])) is None, d
     else:
         assert df.count() > 0
+
+
+def test_entry_imports_without_a_session():
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = "import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); assert 'health_report' in q and set(o) <= set(q)"
+    assert subprocess.run([sys.executable, "-c", code], cwd=root).returncode == 0

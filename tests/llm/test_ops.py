@@ -89,6 +89,20 @@ def test_jaccard(docs, words, percent):
     assert got == components(by_row(docs), words, percent)
 
 
+def test_jaccard_many_equal_rows(spark, tmp_path, monkeypatch):
+    """Rows with equal id and text, exact copies under other ids and near copies, with every key that has two rows taken as hot."""
+    monkeypatch.setattr("tessera.operators.skew.HOT_LEAST", 2)
+    rng = random.Random(8)
+    text = " ".join(f"w{rng.randrange(90)}" for _ in range(200))
+    near = [" ".join("edit" if k == j else w for k, w in enumerate(text.split(" "))) for j in (7, 100)]
+    rows = [(5, text)] * 1500 + [(k, text) for k in range(10, 400)] + [(3, near[0]), (900, near[1]), (4, "alone in this table here")] + [(6, " ")] * 300
+    path = str(tmp_path / "d.parquet")
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(path)
+    got = collections.Counter(tuple(r) for r in jaccard.jaccard_components(spark.read.parquet(path), 4, 85).collect())
+    n = {t: len({tuple(t.split(" ")[i : i + 4]) for i in range(len(t.split(" ")) - 3)}) for t in (text, *near)}
+    assert got == collections.Counter((k, n.get(t, 2 if k == 4 else 0), 3 if t in n else k) for k, t in rows)
+
+
 def test_trie_walk_finds_what_counting_finds():
     rng = np.random.default_rng(1)
     for percent in (50, 80, 90):
@@ -184,6 +198,39 @@ def test_media(docs):
         assert (r["n_bytes"], r["payload_bytes"], r["tail_crc32"], len(r["feature"])) == (len(raw), len(payload), zlib.crc32(payload[-64:]), 16)
 
 
+def test_media_stored_form_and_feature(docs):
+    """media_sha256 and media_bytes are the stored PNG's, read by a plain reader; the feature is a cosine transform written out."""
+    stored = {(r["doc_id"], bytes(r["media"])) for r in media.with_media(docs).collect()}
+    got = {(r["doc_id"], r["media_bytes"], r["media_sha256"], r["feature"]) for r in media.media_features(media.with_media(docs)).collect()}
+    assert {(k, len(m), hashlib.sha256(m).hexdigest()) for k, m in stored} == {g[:3] for g in got}
+
+    def plain(png):
+        at, packed = 8, b""
+        while at < len(png):
+            n = int.from_bytes(png[at : at + 4], "big")
+            packed += png[at + 8 : at + 8 + n] if png[at + 4 : at + 8] == b"IDAT" else b""
+            at += 12 + n
+        raw, rows = zlib.decompress(packed), []
+        for r in range(len(raw) // 65):
+            line, out = raw[r * 65 : r * 65 + 65], []
+            for i, x in enumerate(line[1:]):
+                out.append((x + (out[i - 1] if line[0] == 1 and i else rows[-1][i] if line[0] == 2 and rows else 0)) % 256)
+            rows.append(out)
+        return np.array(rows, np.float64)
+
+    def feature(image):
+        cells = lambda n: [(k * n // 32, max((k + 1) * n // 32, k * n // 32 + 1)) for k in range(32)]
+        small = np.array([[image[a:b, c:d].mean() for c, d in cells(image.shape[1])] for a, b in cells(image.shape[0])])
+        low = [round(sum(small[x, y] * math.cos(math.pi * (2 * x + 1) * k / 64) * math.cos(math.pi * (2 * y + 1) * l / 64) for x in range(32) for y in range(32)), 6) for k in range(8) for l in range(8)]
+        middle = np.median(low[1:])
+        return "".join(f"{sum((low[8 * b + i] > middle) << (7 - i) for i in range(8)):02x}" for b in range(8))
+
+    small = sorted((m for _, m in stored), key=len)[:12]
+    wanted = {hashlib.sha256(m).hexdigest(): feature(plain(m)) for m in small}
+    close = [bin(int(w, 16) ^ int(g[3], 16)).count("1") for g in got for h, w in wanted.items() if g[2] == h]
+    assert close and max(close) <= 1  # a coefficient at the median may fall to either side
+
+
 def test_png_filters_and_damage():
     image = np.random.default_rng(3).integers(0, 256, (6, 64)).astype(np.uint8)
     file = media.encode_png(image.tobytes())

@@ -185,6 +185,10 @@ def test_lm_does_not_depend_on_files(spark, tmp_path):
         rows.repartition(n, "doc_id").write.parquet(str(tmp_path / str(n)))
         found.append({r["doc_id"]: r for r in lm.score_documents(spark.read.parquet(str(tmp_path / str(n))), rest != 2).withColumn("held", rest == 2).collect()})
     assert len(found[0]) == rows.count() and all(abs(found[0][k]["score"] - found[1][k]["score"]) <= 1e-9 * abs(r["score"]) for k, r in found[0].items())
+    texts_ = collections.Counter()
+    for r in rows.collect():
+        texts_[r["text"]] += not found[0][r["doc_id"]]["held"]
+    assert all(found[0][r["doc_id"]]["held_share"] == 1 for r in rows.collect() if texts_[r["text"]] > 1)
     held = [r for r in found[0].values() if r["held"]]
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 

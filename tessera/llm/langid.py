@@ -211,12 +211,15 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_
     """
     rows = labelled.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.filter(F.col("text").rlike(r"\S") & F.col("lang").isNotNull()).withColumn("h", F.xxhash64("id", F.lit(1)))
+    first = lambda df, *order: df.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).filter(F.col("k") <= fit_docs).drop("k")
+    # Ids are chosen without their texts; fit_docs a language at most are then looked up.
+    best = first(rows.select("lang", "h", "id"), "h", "id").distinct()
     spare = F.length("text") - fit_chars
     piece = F.substring("text", (F.pmod(F.xxhash64("id", F.lit(2)), F.greatest(spare, F.lit(0)) + 1) + 1).cast("int"), F.lit(fit_chars))
     uncut = F.regexp_replace(piece, r"^\S*\s+|\s+\S*$", "")
-    rows = rows.withColumn("text", F.when(spare <= 0, F.col("text")).when(F.trim(uncut) != "", uncut).otherwise(piece))
-    best = rows.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))).filter(F.col("k") <= fit_docs)
-    sample = sorted((r["lang"], r["text"]) for r in best.select("lang", "text").toLocalIterator())
+    chosen = rows.withColumn("id", F.coalesce("id", F.lit(""))).join(F.broadcast(best.withColumn("id", F.coalesce("id", F.lit("")))), ["lang", "h", "id"])
+    chosen = chosen.withColumn("text", F.when(spare <= 0, F.col("text")).when(F.trim(uncut) != "", uncut).otherwise(piece))
+    sample = sorted((r["lang"], r["text"]) for r in first(chosen, "h", "id", "text").select("lang", "text").toLocalIterator())
     langs = sorted({lang for lang, _ in sample})
     net = Net(langs)
     texts = [[t.encode().lower() for x, t in sample if x == lang and t] for lang in langs]

@@ -9,7 +9,7 @@ template whose weight is mostly met counts where its mandatory phrase stands at
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import UPPER, written
@@ -91,6 +91,11 @@ def _keyed(key: int, places: Column) -> Column:
     return F.transform(places, lambda i: F.struct(F.lit(key).alias("key"), i.alias("i")))
 
 
+def _table(spark: SparkSession, rows: list[tuple], names: tuple[str, ...]) -> DataFrame:
+    """A small table from literals, without Python workers."""
+    return spark.range(1).select(F.explode(F.array(*(F.struct(*(F.lit(v).alias(n) for v, n in zip(row, names, strict=True))) for row in rows))).alias("r")).select("r.*")
+
+
 def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates=TEMPLATES, least: float = MIN_SCORE) -> DataFrame:
     """(id, n_words, n_base, first_word, last_word, base_labels, labels, score) for each row, over whole texts.
 
@@ -104,14 +109,14 @@ def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     hits = rows.select("row", F.explode("hits").alias("h")).select("row", "h.word", "h.i")
     # Weights: ln((N + 1) / (df + 1)), LEAST_WEIGHT at least; the table has a row a posting, as many as the templates have words.
     frequency = hits.select("row", "word").distinct().groupBy("word").agg(F.count(F.lit(1)).alias("df"))
-    index = spark.createDataFrame(postings(templates), "word string, template int, position int").join(frequency, "word", "left")
+    index = _table(spark, postings(templates), ("word", "template", "position")).join(frequency, "word", "left")
     index = index.select("word", "template", "position", F.greatest(F.log((F.lit(float(n)) + 1) / (F.coalesce("df", F.lit(0)) + 1)), F.lit(LEAST_WEIGHT)).alias("weight"))
     full = index.groupBy("template").agg(F.sum("weight").alias("full"))
 
     votes = hits.join(F.broadcast(index), "word").groupBy("row", "template", (F.col("i") - F.col("position")).alias("off")).agg(F.sum("weight").alias("met"))
     phrases = sorted({p for _, _, p in templates})
     leads = [(t, phrases.index(p), next(i for i in range(len(text.split())) if " ".join(text.split()[i:]).startswith(p)), label) for t, (label, text, p) in enumerate(templates)]
-    lead = spark.createDataFrame(leads, "template int, key int, lead int, label string").join(full, "template")
+    lead = _table(spark, leads, ("template", "key", "lead", "label")).join(full, "template")
     stands = rows.select("row", F.explode("starts").alias("s")).select("row", "s.key", "s.i").join(F.broadcast(lead), "key").select("row", "template", (F.col("i") - F.col("lead")).alias("off"), "label", "full")
     shares = stands.join(votes, ["row", "template", "off"]).select("row", "label", F.round(F.col("met") / F.col("full"), 12).alias("share"))
     found = shares.groupBy("row").agg(F.max("share").alias("share"), F.collect_set(F.when(F.col("share") >= least - 1e-9, F.col("label"))).alias("more"))

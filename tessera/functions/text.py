@@ -56,9 +56,9 @@ def words(c: Column) -> Column:
 
 def stop_counts(c: Column) -> Column:
     """struct(en, pt): English and Portuguese function words, counted in one pass over the words."""
-    en, pt = (F.create_map(*(x for w in known for x in (F.lit(w), F.lit(1)))) for known in (ENGLISH, PORTUGUESE))
     zero = F.struct(F.lit(0).alias("en"), F.lit(0).alias("pt"))
-    return F.aggregate(words(c), zero, lambda acc, w: F.struct((acc["en"] + F.coalesce(en[w], F.lit(0))).alias("en"), (acc["pt"] + F.coalesce(pt[w], F.lit(0))).alias("pt")))
+    add = lambda acc, w: F.struct((acc["en"] + w.isin(list(ENGLISH)).cast("int")).alias("en"), (acc["pt"] + w.isin(list(PORTUGUESE)).cast("int")).alias("pt"))
+    return F.aggregate(words(c), zero, add)
 
 
 def english_share(counts: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..dims import MAX_ENGLISH, MIN_DIACRITICS
-from ..functions.text import diacritic_density, english_share, fold, stop_counts
+from ..functions.text import diacritic_density, english_share, fold, stop_counts, unaccented
 from .rules import length_rule, ratio_rule
 
 # Hosts by source.
@@ -46,12 +46,13 @@ def _empty() -> Column:
 
 
 def _text() -> Column:
-    return F.concat_ws("\n\n", "title", "dek", "body")
+    """Title, dek and body, as rules.prepared has them."""
+    return F.col("__whole")
 
 
-def holds_term(text: Column, term: str) -> Column:
-    """Whether the term stands in the text as whole words, in any case."""
-    return text.rlike(rf"(?iu)(?<![\p{{L}}\p{{N}}])\Q{term}\E(?![\p{{L}}\p{{N}}])")
+def holds_term(text: Column, term: str, low: Column | None = None) -> Column:
+    """Whether the term stands in the text as whole words, in any case; low: the text in lower case."""
+    return F.contains(F.lower(text) if low is None else low, F.lit(term.lower())) & text.rlike(rf"(?iu)(?<![\p{{L}}\p{{N}}])\Q{term}\E(?![\p{{L}}\p{{N}}])")
 
 
 def content_numbers(text: Column) -> Column:
@@ -61,10 +62,10 @@ def content_numbers(text: Column) -> Column:
     return F.array_distinct(F.transform(found, lambda x: F.regexp_replace(F.regexp_replace(x, r"[.,\x{a0}\x{202f} ]", ""), "^0+(?=[0-9])", "")))
 
 
-def allowed_numbers(original: Column) -> Column:
+def allowed_numbers(original: Column, low: Column | None = None) -> Column:
     """Numbers of the original, its English numerals and compounds such as twenty-one."""
-    said = [F.when(holds_term(original, word), F.lit(str(n))) for word, n in NUMERALS.items()]
-    pairs = F.regexp_extract_all(F.lower(original), F.lit(rf"\b((?:{'|'.join(TENS)})[- ](?:{'|'.join(ONES)}))\b"), F.lit(1))
+    said = [F.when(holds_term(original, word, low), F.lit(str(n))) for word, n in NUMERALS.items()]
+    pairs = F.regexp_extract_all(F.lower(original) if low is None else low, F.lit(rf"\b((?:{'|'.join(TENS)})[- ](?:{'|'.join(ONES)}))\b"), F.lit(1))
     value = F.create_map(*(x for w, n in NUMERALS.items() for x in (F.lit(w), F.lit(n))))
     sums = F.transform(pairs, lambda p: (value[F.get(F.split(p, "[- ]"), F.lit(0))] + value[F.get(F.split(p, "[- ]"), F.lit(1))]).cast("string"))
     return F.array_distinct(F.concat(content_numbers(original), F.array_compact(F.array(*said)), sums))
@@ -85,7 +86,7 @@ def attribution_rule() -> Column:
 
 
 def number_rule() -> Column:
-    left = F.array_except(content_numbers(_text()), allowed_numbers(F.coalesce("original", F.lit(""))))
+    left = F.array_except(content_numbers(_text()), allowed_numbers(F.coalesce("original", F.lit("")), F.col("__original_low")))
     return F.when(F.size(left) > 0, F.array(F.array_join(F.slice(left, 1, 10), ", "))).otherwise(_empty())
 
 
@@ -104,18 +105,26 @@ def language_rule() -> Column:
     return F.array(F.when(english_share(stop_counts(_text())) > MAX_ENGLISH, "English"), F.when(diacritic_density(_text()) < MIN_DIACRITICS, "few diacritics"))
 
 
-def refusal_labels(text: Column) -> Column:
-    return F.array_compact(F.array(*(F.when(text.rlike(pattern), F.lit(label)) for pattern, label in REFUSALS)))
+#: What each refusal's pattern can't do without, in lower case, in their order; texts without it aren't matched.
+FRAGMENTS = (
+    "m sorry", "i am sorry", "i apologi", "as an ai", "as a language model", "i cannot", "i can", "m unable", "i do not have", "here", "here is the", "sure", "como", "modelo de linguagem",
+    "não posso", "não posso", "claro", "```", "<|", ":", '"corpo_md"',
+)
+
+
+def refusal_labels(text: Column, low: Column | None = None) -> Column:
+    low = F.lower(text) if low is None else low
+    return F.array_compact(F.array(*(F.when(F.contains(low, F.lit(part)) & text.rlike(pattern), F.lit(label)) for part, (pattern, label) in zip(FRAGMENTS, REFUSALS, strict=True))))
 
 
 def refusal_rule() -> Column:
-    found = refusal_labels(_text())
+    found = refusal_labels(_text(), F.col("__low"))
     return F.when(F.size(found) > 0, F.array(F.array_join(found, ", "))).otherwise(_empty())
 
 
 def rite_rule() -> Column:
     """A vetoed term is an error unless the original has one of the English terms behind it."""
-    text, original = fold(_text()), F.lower(F.coalesce("original", F.lit("")))
+    text, original = unaccented(F.col("__low")), F.col("__original_low")
     errors = []
     for term, origins in VETOED:
         allowed = F.lit(False)
@@ -126,7 +135,7 @@ def rite_rule() -> Column:
 
 
 def glossary_rule(terms: tuple[str, ...] = TRANSLATE) -> Column:
-    found = F.array_compact(F.array(*(F.when(holds_term(_text(), t), F.lit(t)) for t in terms)))
+    found = F.array_compact(F.array(*(F.when(holds_term(_text(), t, F.col("__low")), F.lit(t)) for t in terms)))
     return F.when(F.size(found) > 0, F.array(F.array_join(F.slice(found, 1, 8), ", "))).otherwise(_empty())
 
 

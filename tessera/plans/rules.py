@@ -43,19 +43,25 @@ def too_long_alone(failed: Column) -> Column:
     return (F.size(failed) > 0) & F.forall(failed, lambda r: r.isin("comprimento", "proporcao"))
 
 
+def prepared(pairs: DataFrame) -> DataFrame:
+    """pairs with __whole (title, dek and body), __low and __original_low, which many rules read and which are made once a row."""
+    made = pairs.withColumn("__whole", F.concat_ws("\n\n", "title", "dek", "body"))
+    return made.withColumns({"__low": F.lower("__whole"), "__original_low": F.lower(F.coalesce("original", F.lit("")))})
+
+
 def _labelled(name: str) -> Callable[[Column], Column]:
     return lambda e: F.concat(F.lit(f"{name}: "), e)
 
 
 def judge(pairs: DataFrame, rules: tuple) -> DataFrame:
     """pairs with the columns that the rules read (pairs of name and function; add one to plug in another), failed_rules, errors (20 at most, then how many more) and passed."""
-    made = pairs.select("*", *(F.array_compact(rule()).alias(f"e_{name}") for name, rule in rules))
+    made = prepared(pairs).select("*", *(F.array_compact(rule()).alias(f"e_{name}") for name, rule in rules))
     every = F.concat(*(F.transform(f"e_{name}", _labelled(name)) for name, _ in rules))
     failed = F.array_compact(F.array(*(F.when(F.size(f"e_{name}") > 0, F.lit(name)) for name, _ in rules)))
     made = made.withColumn("failed_rules", failed).withColumn("every", every)
     more = F.size("every") - MAX_ERRORS
     capped = F.when(more > 0, F.concat(F.slice("every", 1, MAX_ERRORS), F.array(F.concat(more.cast("string"), F.lit(" omitted"))))).otherwise(F.col("every"))
-    return made.withColumn("errors", capped).withColumn("passed", F.size("every") == 0).drop("every", *(f"e_{name}" for name, _ in rules))
+    return made.withColumn("errors", capped).withColumn("passed", F.size("every") == 0).drop("every", "__whole", "__low", "__original_low", *(f"e_{name}" for name, _ in rules))
 
 
 def preflight(articles: DataFrame, least: int = MIN_SOURCE) -> DataFrame:

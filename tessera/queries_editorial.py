@@ -80,9 +80,9 @@ SIGNALS_SQL = PAIRS_SQL + f", g as (select *, {_LEFT} numbers_left, {_REFUSED} r
 def editorial_signals(s, d):
     """Numbers that the original doesn't allow, refusal labels, vetoed terms without absolution, terms left in English."""
     whole, original = editorial._text(), F.coalesce("original", F.lit(""))
-    left = F.array_except(editorial.content_numbers(whole), editorial.allowed_numbers(original))
-    english = F.array_compact(F.array(*(F.when(editorial.holds_term(whole, t), F.lit(t)) for t in editorial.TRANSLATE)))
-    return _pairs(s, d).select("doc_id", F.array_join(F.array_sort(left), ",").alias("numbers_left"), F.array_join(editorial.refusal_labels(whole), ",").alias("refusals"), F.array_join(F.array_compact(editorial.rite_rule()), ",").alias("vetoed"), F.array_join(english, ",").alias("english_terms"))
+    left = F.array_except(editorial.content_numbers(whole), editorial.allowed_numbers(original, F.col("__original_low")))
+    english = F.array_compact(F.array(*(F.when(editorial.holds_term(whole, t, F.col("__low")), F.lit(t)) for t in editorial.TRANSLATE)))
+    return rules.prepared(_pairs(s, d)).select("doc_id", F.array_join(F.array_sort(left), ",").alias("numbers_left"), F.array_join(editorial.refusal_labels(whole, F.col("__low")), ",").alias("refusals"), F.array_join(F.array_compact(editorial.rite_rule()), ",").alias("vetoed"), F.array_join(english, ",").alias("english_terms"))
 
 
 _HOSTS = " or ".join(f"(source = '{src}' and (host = '{h}' or ends_with(host, '.{h}')))" for src, hosts in editorial.HOSTS.items() for h in hosts)

@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..operators.skew import split_join
+
 #: Bounds of the labelled sample that the network is fitted on: documents a language, and characters taken of each.
 FIT_DOCS, FIT_CHARS = 400, 4_000
 #: States a direction; bytes of a window and on each side of it; windows read at once.
@@ -212,8 +214,11 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_
     rows = labelled.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.filter(F.col("text").rlike(r"\S") & F.col("lang").isNotNull()).withColumn("h", F.xxhash64("id", F.lit(1)))
     first = lambda df, *order: df.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).filter(F.col("k") <= fit_docs).drop("k")
-    # Ids are chosen without their texts; fit_docs a language at most are then looked up.
-    best = first(rows.select("lang", "h", "id"), "h", "id").distinct()
+    # Ids are chosen without their texts: of each language the smallest hashes, about four times as many as needed, then the first of them.
+    keys = rows.select("lang", "h", "id")
+    counts = keys.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).withColumn("share", F.least(F.lit(4.0 * fit_docs) / F.col("n"), F.lit(1.0)))
+    near = split_join(keys, counts, ["lang"], "n", keys.count()).filter((F.col("h").cast("double") + 2.0**63) / 2.0**64 <= F.col("share"))
+    best = first(near.select("lang", "h", "id"), "h", "id").distinct()
     spare = F.length("text") - fit_chars
     piece = F.substring("text", (F.pmod(F.xxhash64("id", F.lit(2)), F.greatest(spare, F.lit(0)) + 1) + 1).cast("int"), F.lit(fit_chars))
     uncut = F.regexp_replace(piece, r"^\S*\s+|\s+\S*$", "")

@@ -9,7 +9,11 @@ from pyspark.sql import functions as F
 
 from .ann import nearest
 from .bpe import encode_documents, token_digests
+from .centroids import cluster
+from .centroids import oracle as cluster_sql
 from .chunks import repeated_passages
+from .codes import compress
+from .codes import oracle as compress_sql
 from .common import crc_mod, table
 from .jaccard import jaccard_components
 from .langid import fit, predict_language
@@ -18,6 +22,8 @@ from .lm import score_documents
 from .media import media_features, with_media
 from .mixing import oracle as mixing_sql
 from .mixing import poisson_replicate
+from .quality import fit as fit_quality
+from .quality import score_quality
 from .secrets import scan_secrets
 
 #: Target shares of the sources; those that are left out weigh 1.
@@ -80,6 +86,22 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op11_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op12_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compress(table(spark, sf_dir, "embeddings"))
+
+
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learned where crc32 of the id mod 3 is not 1; a null id is not held out and not learned from."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    weights = fit_quality(docs, labels.filter(crc_mod(F.col("doc_id"), 3) != 1))
+    held_out = F.coalesce(crc_mod(F.col("doc_id"), 3) == 1, F.lit(False))
+    return score_quality(docs, weights).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm": op1_lm,
     "op2_media": op2_media,
@@ -91,5 +113,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard": op8_jaccard,
     "op9_language": op9_language,
     "op10_licenses": op10_licenses,
+    "op11_clusters": op11_clusters,
+    "op12_codes": op12_codes,
+    "op13_quality": op13_quality,
 }
-ORACLE_SQL: dict[str, str] = {"op4_mixing": mixing_sql(WEIGHTS)}
+ORACLE_SQL: dict[str, str] = {"op4_mixing": mixing_sql(WEIGHTS), "op11_clusters": cluster_sql(), "op12_codes": compress_sql()}

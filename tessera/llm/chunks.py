@@ -22,8 +22,8 @@ from .common import written
 
 #: Hash bits (its window in bytes), zero bits at a cut, least and largest chunk in bytes.
 WINDOW, CUT_BITS, LEAST, LARGEST = 16, 5, 24, 512
-#: Shortest repeated run that is reported, in bytes: longer than a line of its own, shorter than what chunks leave of fifty short words.
-MIN_RUN = 96
+#: Shortest repeated run that is reported, in bytes: what chunks leave of fifty short words.
+MIN_RUN = 64
 GEAR = np.random.default_rng(20240501).integers(0, 1 << 16, 256, dtype=np.uint16)
 
 
@@ -99,6 +99,12 @@ def repeated_chunks(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return split_join(chunks, shared, ["d1", "d2"], "n", total)
 
 
+def _runs(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Chunks that other documents hold too (doc, copy, idx, start, size, first_doc) with run, which neighbours share."""
+    held = repeated_chunks(df, id_col, text_col).groupBy("doc", "copy", "idx").agg(F.first("start").alias("start"), F.first("size").alias("size"), F.first("first_doc").alias("first_doc"))
+    return held.withColumn("run", F.col("idx") - F.row_number().over(Window.partitionBy("doc", "copy").orderBy("idx")))
+
+
 def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_run: int = MIN_RUN) -> DataFrame:
     """(id, start, end, n_chunks, first_doc_id): runs of chunks, min_run bytes or longer, that other documents hold too.
 
@@ -109,20 +115,21 @@ def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     and is reported with id null (first_doc_id null where such a row holds the chunk). Ids are longs. Other columns are not
     read; an empty table gives an empty result.
     """
-    held = repeated_chunks(df, id_col, text_col).groupBy("doc", "copy", "idx").agg(F.first("start").alias("start"), F.first("size").alias("size"), F.first("first_doc").alias("first_doc"))
-    run = F.col("idx") - F.row_number().over(Window.partitionBy("doc", "copy").orderBy("idx"))
     real = lambda c: F.when(F.col(c) != F.lit(-(1 << 63)), F.col(c))
-    spans = held.withColumn("run", run).groupBy("doc", "copy", "run").agg(F.min("start").cast("long").alias("start"), F.sum("size").alias("length"), F.count(F.lit(1)).alias("n_chunks"), F.min("first_doc").alias("first_doc"))
+    spans = _runs(df, id_col, text_col).groupBy("doc", "copy", "run").agg(F.min("start").cast("long").alias("start"), F.sum("size").alias("length"), F.count(F.lit(1)).alias("n_chunks"), F.min("first_doc").alias("first_doc"))
     return spans.filter(F.col("length") >= min_run).select(real("doc").alias(id_col), "start", (F.col("start") + F.col("length")).alias("end"), "n_chunks", real("first_doc").alias("first_doc_id"))
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_run: int = MIN_RUN) -> DataFrame:
-    """df with passages removed from the texts of all documents but the first that holds them.
+    """df without the repeated passages' chunks in all documents but the first that holds each chunk, so that every chunk stays once.
 
-    Ids must be unique and not null. Every row and column stays; a text may become empty.
+    A passage is a run of min_run bytes or more; which document is first is told chunk by chunk, as a run may come from
+    several. Ids must be unique and not null. Every row and column stays; a text may become empty.
     """
-    spans = repeated_passages(df, id_col, text_col, min_run).filter(F.col(id_col) != F.col("first_doc_id"))
-    lists = spans.groupBy(F.col(id_col).alias("__cdc_id")).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("__cdc_spans"))
+    runs = _runs(df, id_col, text_col)
+    long = F.sum("size").over(Window.partitionBy("doc", "copy", "run")) >= min_run
+    gone = runs.withColumn("long", long).filter(F.col("long") & (F.col("doc") != F.col("first_doc")))
+    lists = gone.groupBy(F.col("doc").alias("__cdc_id")).agg(F.array_sort(F.collect_list(F.struct("start", (F.col("start") + F.col("size")).alias("end")))).alias("__cdc_spans"))
     joined = df.join(lists, F.col(id_col) == F.col("__cdc_id"), "left").drop("__cdc_id")
     at, schema = df.columns.index(text_col), df.schema
 

@@ -50,7 +50,7 @@ IDENTIFIERS = (
 #: Characters on each side that the compressor sees, least bytes a character of a reported candidate, bytes of the learnt dictionary.
 AROUND, MIN_NOVELTY, DICTIONARY_BYTES = 512, 0.57, 32_768
 IDENTIFIER = re.compile(rb"(?<![A-Za-z0-9+/_.=-])(?:[a-z]{3,}(?:[_.-][a-z]{2,})*|[A-Z]{3,}(?:[_.-][A-Z]{2,})*|[A-Z][a-z]{2,})(?=[\"'(){}\[\]<>,;:=\s]|$)")
-LINE = re.compile(r"[^\n]*[^\s][^\n]*")
+LINE = re.compile(r"[^\n]+")
 
 
 def learned_identifiers(df: DataFrame, text_col: str = "text", n_bytes: int = DICTIONARY_BYTES) -> str:
@@ -133,7 +133,7 @@ def values(text: str, low: str) -> Iterator[tuple[int, int, int]]:
 
 def contexts(text: str) -> tuple[list[int], list[int]]:
     """(starts of the lines that hold text, where each one's context starts: the one above)."""
-    starts = [m.start() for m in LINE.finditer(text)]
+    starts = [m.start() for m in LINE.finditer(text) if not m[0].isspace()]
     return starts, [0, *starts[:-1]]
 
 

@@ -157,7 +157,8 @@ def test_lm_tokens_are_a_distribution():
     pairs = collections.Counter(p for t in train for p in zip(["START", *t], [*t, "END"]))
     first = count | collections.Counter({"START": len(train)})
     totals = {"n": sum(count.values()), "held": 0.4, "again": 0.2, "new": 0.05}
-    for start in ([], train[0][:5], train[1][:8] + ["new"], ["new"] * 6 + ["w1"]):
+    drift = [w for t in train[:20] for w in t] + ["new"] * 200 + [w for t in train[20:] for w in t]
+    for start in ([], train[0][:5], train[1][:8] + ["new"], ["new"] * 6 + ["w1"], ["new"] * 200 + ["w1"], drift, drift + ["new", "w1"], [*drift, *["new"] * 40, "w0"], ["w0", "w1"] * 150):
         total = 0.0
         for w in [*count, "another"]:
             text = [*start, w]
@@ -165,7 +166,7 @@ def test_lm_tokens_are_a_distribution():
             logs = lm.token_logs(np.zeros(len(text), np.int64), *cols, np.zeros(len(text)), totals)
             assert (logs <= 1e-12).all()
             total += 10 ** logs[-1]
-        assert 0.5 < total <= 1 + 1e-9
+        assert 0.4 < total <= 1 + 1e-9
 
 
 def test_lm_flags_learn_within_a_text():
@@ -315,6 +316,26 @@ def test_secrets_base_equals_plain_patterns(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("text", ["password\n" + " " * 5_000_000, "password" + " " * 5_000_000 + "x", "token = " + "ab " * 1_700_000, "secret " + "a" * 5_000_000, "\n" * 5_000_000 + "token", "secret: " + "ab_" * 1_700_000, "password " * 200_000])
+def test_secrets_in_long_texts_take_no_longer(text):
+    """Blanks without end, lines without end, one endless key: about linear in the length."""
+    import time
+
+    novelty, began = secrets.Novelty(secrets.primer("")), time.time()
+    base = secrets.base_spans(text)
+    found = secrets.measured(text, base, novelty)
+    secrets.novel_spans(text, base, found)
+    assert time.time() - began < 5
+
+
+def test_secret_lines_as_by_pattern():
+    rng, pattern = random.Random(3), re.compile(r"[^\n]*[^\s][^\n]*")
+    for _ in range(300):
+        text = "".join(rng.choice(["a", " ", "\n", "\t", "\u00a0", "\x1c", "\r", "b c"]) for _ in range(rng.randrange(12)))
+        starts = [m.start() for m in pattern.finditer(text)]
+        assert secrets.contexts(text) == (starts, [0, *starts[:-1]])
+
+
 def test_mixing(spark, docs):
     rows = spark.createDataFrame([(k, "t", "en", "a" if k < 3000 else "b", 1) for k in range(4000)] + [(None, None, None, None, None)], "doc_id long, text string, lang string, source string, n_chars long")
     got = mixing.poisson_replicate(rows, {"a": 1.0, "b": 1.0, "": 0.0}).groupBy("source").count()
@@ -442,6 +463,40 @@ def test_passages(spark):
     assert left[1] == rows[0][1] and len(left[2]) < len(rows[1][1]) - 0.7 * len(shared) and left[4] is None
 
 
+def test_passages_removed_where_others_hold_them(spark):
+    """Chained overlaps: every piece stays in the first document that holds it, whatever runs it stands in elsewhere."""
+    rng = random.Random(12)
+    s, other = ("".join(rng.choice("abcdefghij ") for _ in range(n)) for n in (3000, 900))
+    rows = [(1, s[0:1000]), (2, s[0:2000]), (3, s[500:2000]), (4, s[800:3000]), (5, other + s), (6, s[2500:] + other), (7, s[0:1000])]
+    left = {r["doc_id"]: r["text"] for r in chunks.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert left[1] == rows[0][1] and len(left[7]) < 100 and len(left[2]) > 950 and left[2] in rows[1][1]
+    together = "|".join(left.values())
+    for text in (s, other):
+        assert all(text[k : k + 20] in together for k in range(0, len(text) - 20, 5)), "a passage is in no document any more"
+        assert max(together.count(text[k : k + 20]) for k in range(0, len(text) - 20)) <= 2  # a chunk at a document's edge is another one
+
+
+def test_passages_recall(spark):
+    """Passages of 51 words and more, in documents of their own words: at least 0.98 of them are found, with nearly all of their bytes."""
+    rng = random.Random(31)
+    prose = lambda n: " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9))) for _ in range(n))
+    planted = [prose(n) for n in (51, 60, 80, 150) for _ in range(150)]
+    rows, where = [], {}
+    for k, passage in enumerate(planted):
+        for doc in (2 * k, 2 * k + 1):
+            before = prose(rng.randint(5, 60)) + " "
+            rows.append((doc, before + passage + " " + prose(rng.randint(5, 60))))
+            where[doc] = (len(before), len(before) + len(passage))
+    found = collections.Counter()
+    for r in chunks.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        a, b = where[r["doc_id"]]
+        assert a <= r["start"] < r["end"] <= b + 1
+        found[r["doc_id"]] += r["end"] - r["start"]
+    least = [sum(found[2 * k] > 0 for k in range(a, a + 150)) / 150 for a in range(0, 600, 150)]
+    share = sum(found.values()) / sum(b - a for a, b in where.values())
+    assert min(least) >= 0.98 and share > 0.7, (least, share)
+
+
 def test_language(spark):
     rng = random.Random(6)
     stems = {"en": ["the", "thing", "with", "house"], "de": ["der", "schön", "nicht", "straße"]}

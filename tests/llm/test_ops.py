@@ -346,6 +346,26 @@ def test_mixing(spark, docs):
     assert mixing.poisson_replicate(rows.limit(0)).count() == 0 and "block" in mixing.poisson_replicate(docs).columns
 
 
+@pytest.mark.parametrize("broadcast_bytes", [16 << 20, 0])
+def test_mixing_of_null_and_repeated_ids(spark, monkeypatch, broadcast_bytes):
+    """Sources without ids, with one id, with rows equal in all columns: each meets its target, every copy has a key of its own, and SQL agrees."""
+    import duckdb
+
+    monkeypatch.setattr("tessera.operators.skew.HOT_LEAST", 2)
+    rows = [(None, f"t{k}", "en", "a", k) for k in range(1000)] + [(7, f"t{k}", "en", "b", k) for k in range(1000)] + [(None, "same", None, "c", 1)] * 1000 + [(k, "t", "en", "d", 1) for k in range(1000)] + [(None, None, None, None, None)] * 40
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(5)
+    weights = {"a": 1.0, "b": 2.0, "c": 1.0, "d": 0.5}
+    got = mixing.poisson_replicate(df, weights, broadcast_bytes=broadcast_bytes)
+    n = {r["source"]: (r["n"], r["k"]) for r in got.groupBy("source").agg(F.count("*").alias("n"), F.countDistinct("order_key").alias("k")).collect()}
+    for source, weight in [*weights.items(), (None, 1.0)]:
+        want = len(rows) * weight / 5.5
+        assert n[source][0] == n[source][1] and abs(n[source][0] - want) < 0.1 * want + 60
+    con = duckdb.connect()
+    con.register("documents", df.toPandas().astype({"doc_id": "Int64", "n_chars": "Int64"}))
+    want = collections.Counter(con.execute(f"select source, doc_id, text, copy, n_copies, order_key from ({mixing.oracle(weights)})").fetchall())
+    assert collections.Counter(tuple(r) for r in got.select("source", "doc_id", "text", "copy", "n_copies", "order_key").collect()) == want
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(8)
     vectors = [(k, [float(x) for x in rng.standard_normal(32).astype(np.float32)]) for k in range(600)]
@@ -603,11 +623,14 @@ def test_licenses_short_and_many(spark):
     assert {r["labels"] for r in licenses.scan_licenses(same).collect()} == {"proprietary"}
 
 
-def poisson_copies(key, rate):
+def poisson_copies(row, number, rate):
+    """Copies of a row (all of its values in order), the number-th of its equals."""
+    md5 = lambda t: hashlib.md5(t.encode()).hexdigest()
+    digest = md5("|".join("n" if v is None else md5(str(v)) for v in row))
     parts = max(1, math.ceil(rate / mixing.PART_RATE))
     total = 0
     for j in range(parts):
-        name = f"{mixing.DEFAULT_SEED}|{key}" + (f"|{j}" if j else "")
+        name = f"{mixing.DEFAULT_SEED}|{digest}|{number}" + (f"|{j}" if j else "")
         u, lam, term, cdf, k = int(hashlib.md5(name.encode()).hexdigest()[:13], 16) / (1 << 52), rate / parts, math.exp(-rate / parts), 0.0, 0
         while (cdf := cdf + term) <= u:
             k += 1
@@ -675,15 +698,15 @@ def test_pipeline_run_equals_plain_python(spark, tmp_path):
             k = max(k, b)
         return out + t[k:]
 
-    clean = [(r[0], masked(r[1]), r[3]) for r in single]
-    assert key not in "".join(t for _, t, _ in clean)
-    n = collections.Counter(s or "" for _, _, s in clean)
+    clean = [(r[0], masked(r[1]), r[2], r[3], len(masked(r[1]))) for r in single]
+    assert key not in "".join(r[1] for r in clean)
+    n = collections.Counter(r[3] or "" for r in clean)
     weight = {s: corpus_pipeline.WEIGHTS.get(s, 1.0) for s in n}
     rate = {s: len(clean) * weight[s] / (sum(weight.values()) * n[s]) for s in n}
     own = bpe.tokenizer(vocabulary())
     want = collections.Counter()
-    for k, t, s in clean:
-        want[k, tuple(own.encode(t, add_special_tokens=False).ids)] += poisson_copies("" if k is None else k, rate[s or ""])
+    for r in clean:
+        want[r[0], tuple(own.encode(r[1], add_special_tokens=False).ids)] += poisson_copies(r, 1, rate[r[3] or ""])
     got = collections.Counter((r["doc_id"], tuple(r["ids"])) for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
     assert got == +want
 

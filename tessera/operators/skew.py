@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: A key is hot with this share of all rows (1 in HOT_SHARE) and at least HOT_LEAST of them; it is dealt to HOT_SALTS tasks.
 HOT_SHARE, HOT_LEAST, HOT_SALTS = 1_000, 256, 64
+#: Pairs of one key that a task makes.
+HOT_PAIRS = 1 << 20
 
 
 def null_safe(key: str) -> Column:
@@ -27,3 +29,17 @@ def split_join(big: DataFrame, small: DataFrame, keys: list[str], weight: str, t
     salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in big.columns if c not in keys]), F.lit(HOT_SALTS)).cast("int")
     salted = salted.withColumn("__salt", F.when(F.col("__salts").isNull(), F.lit(0)).otherwise(salt)).drop("__salts")
     return salted.join(rows, [*keys, "__salt"], how).drop("__salt")
+
+
+def split_pairs(left: DataFrame, right: DataFrame, key: str, most: int | None = None) -> DataFrame:
+    """All pairs of rows of left and right with the same key; a key of more than ``most`` (HOT_PAIRS) pairs is dealt to as many tasks as that takes.
+
+    The rows of left are salted, those of right repeated once a salt. Both are read twice; other columns have names of their own. Null keys pair with nothing.
+    """
+    sizes = left.groupBy(key).agg(F.count(F.lit(1)).alias("__l")).join(right.groupBy(key).agg(F.count(F.lit(1)).alias("__r")), key)
+    sizes = sizes.withColumn("__deal", F.ceil(F.col("__l").cast("double") * F.col("__r") / (most or HOT_PAIRS)).cast("int"))
+    total = sizes.agg(F.coalesce(F.sum("__l"), F.lit(0)).alias("l"), F.coalesce(F.sum("__r"), F.lit(0)).alias("r")).first()
+    salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in left.columns if c != key]), F.col("__deal")).cast("int")
+    dealt = split_join(left, sizes.select(key, "__deal", "__l"), [key], "__l", total["l"]).withColumn("__dealt", salt).drop("__deal")
+    again = split_join(right, sizes.select(key, "__deal", "__r"), [key], "__r", total["r"]).withColumn("__dealt", F.explode(F.sequence(F.lit(0), F.col("__deal") - 1))).drop("__deal")
+    return dealt.join(again, [key, "__dealt"]).drop("__dealt")

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.skew import split_join
+from ..operators.skew import split_join, split_pairs
 from .common import removed, written
 from .words import ascii_words, pack, split_block, text_blocks, unpack
 
@@ -294,7 +294,7 @@ def grown(sets: DataFrame, percent: int) -> DataFrame:
     label = split_join(label.filter("id != pivot").select("gram", "id", "n", "rest", "component"), homes, ["gram"], "many", total)
     label = written(label, "labels")
     outside = label.filter("component != home").select("gram", F.col("id").alias("a"), F.col("n").alias("m"), F.col("rest").alias("left"), F.col("component").alias("ca"))
-    apart = outside.join(label, "gram").filter((F.col("ca") != F.col("component")) & reach(F.col("n"), F.col("rest"), F.col("m"), F.col("left")))
+    apart = split_pairs(outside, label.drop("home"), "gram").filter((F.col("ca") != F.col("component")) & reach(F.col("n"), F.col("rest"), F.col("m"), F.col("left")))
     second = apart.select(F.greatest("a", "id").alias("a"), F.least("a", "id").alias("b")).distinct()
     more = written(tested(second, sets, percent), "links")
     out = components(edges.unionByName(more))

@@ -103,6 +103,20 @@ def test_jaccard_many_equal_rows(spark, tmp_path, monkeypatch):
     assert got == collections.Counter((k, n.get(t, 2 if k == 4 else 0), 3 if t in n else k) for k, t in rows)
 
 
+def test_jaccard_hot_ngram_over_components(spark, tmp_path, monkeypatch):
+    """One passage in all texts, whose other words make many components; its pairs are dealt to many tasks."""
+    monkeypatch.setattr("tessera.operators.skew.HOT_PAIRS", 3)
+    monkeypatch.setattr("tessera.operators.skew.HOT_LEAST", 2)
+    rng, common = random.Random(18), [f"c{k}" for k in range(20)]
+    own = [[f"g{g}w{k}" for k in range(rng.randint(3, 7))] for g in range(14)]
+    rows = [(100 * g + k, " ".join(common + own[g][: len(own[g]) - k % 3] + [f"x{g}"] * (k % 2))) for g in range(14) for k in range(6)]
+    path = str(tmp_path / "d.parquet")
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(path)
+    for percent in (80, 88):
+        got = collections.Counter(tuple(r) for r in jaccard.jaccard_components(spark.read.parquet(path), 4, percent).collect())
+        assert got == components(rows, 4, percent) and len({c for *_, c in got}) > 3
+
+
 def test_trie_walk_finds_what_counting_finds():
     rng = np.random.default_rng(1)
     for percent in (50, 80, 90):

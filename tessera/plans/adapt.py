@@ -40,14 +40,14 @@ def next_step(ready: Column, answer_error: Column, check_error: Column, verdict_
     )
 
 
-def final_states(attempts: DataFrame, key: str, attempt: str = "attempt") -> DataFrame:
-    """(key, status, step, attempts, tokens_in, tokens_out) of each article: its last attempt's state; tokens add up over attempts, null where none said any.
+def final_states(attempts: DataFrame, key: str, attempt: str = "attempt", order: str | None = None) -> DataFrame:
+    """(key, status, step, attempts, tokens_in, tokens_out) of each article: its last attempt's state (by ``order``, else by number); tokens add up over attempts, null where none said any.
 
     attempts has next_step's columns: ready, answer_error, check_error, verdict_read, failed_rules, tokens_in, tokens_out.
     """
     state = next_step(F.col("ready"), F.col("answer_error"), F.col("check_error"), F.col("verdict_read"), F.col("failed_rules"), F.col(attempt))
     rows = attempts.withColumn("state", state)
-    made = rows.groupBy(key).agg(F.max_by("state", attempt).alias("state"), F.count(F.lit(1)).alias("attempts"), F.sum("tokens_in").alias("tokens_in"), F.sum("tokens_out").alias("tokens_out"))
+    made = rows.groupBy(key).agg(F.max_by("state", order or attempt).alias("state"), F.count(F.lit(1)).alias("attempts"), F.sum("tokens_in").alias("tokens_in"), F.sum("tokens_out").alias("tokens_out"))
     return made.select(key, "state.status", "state.step", "attempts", "tokens_in", "tokens_out")
 
 

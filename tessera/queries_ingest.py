@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +11,7 @@ from .operators import merge
 from .plans import adapt, calendar, classify, exports, queue, robots
 from .registry import query, sql_cut
 from .sources import rss
+from .sources.shared import fresh_path
 from .sources.tables import NOW, STORIES_SQL, stories, table
 from .streaming.ingest import merge_stream
 
@@ -224,8 +222,7 @@ def category_cascade(s, d):
 @query("stream_ingest", "select distinct sha256(text) as key from documents")
 def stream_ingest(s, d):
     """The documents' texts through two runs of the merging stream: each key stands once in the table."""
-    root = s.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    path = f"{root}/stream-{uuid.uuid4().hex}"
+    path = fresh_path(s, "stream")
     rows = s.readStream.schema(table(s, d, "documents").schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").parquet(f"{d}/documents.parquet*").select(F.sha2("text", 256).alias("key"), "doc_id")
     for run in ("a", "b"):
         merge_stream(rows, f"{path}/table", f"{path}/log-{run}", "key", "doc_id").awaitTermination()

@@ -7,32 +7,36 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.merge import classify_batch
-
+from ..sources.shared import exists
 
 #: Folders of a merged table.
 BUCKETS = 64
 
 
-def merge_stream(stream: DataFrame, target_path: str, checkpoint: str, key: str, order: str) -> StreamingQuery:
+def merge_stream(stream: DataFrame, target_path: str, checkpoint: str, key: str, order: str, event_time: str | None = None, delay: str = "1 day") -> StreamingQuery:
     """Appends rows with unknown keys to the Parquet table at target_path, all that is there by now (availableNow).
 
     The table is kept in BUCKETS folders by a hash of the key, and a batch reads the key column of its own
-    keys' folders alone. A batch that runs again after a crash finds its rows in the table and adds none twice. One query
-    writes a table at a time: two that overlap could add the same key each, as plain Parquet has no transactions.
+    keys' folders alone. A batch that runs again after a crash finds its rows in the table and adds none twice. With
+    event_time, a key that comes again within ``delay`` of event time is dropped before it gets to the table, by state that
+    the watermark bounds; what comes after that finds the key in the table. One query writes a table at a time: two that
+    overlap could add the same key each, as plain Parquet has no transactions.
     """
 
     def merge(batch: DataFrame, _: int) -> None:
-        spark, rows = batch.sparkSession, batch.withColumn("__bucket", F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int"))
-        own = [r[0] for r in rows.select("__bucket").distinct().collect()]  # BUCKETS numbers at most
-        try:
+        spark = batch.sparkSession
+        rows = batch.withColumn("__bucket", F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")).persist()  # read several times, but the state's work is done once
+        if exists(spark, target_path):
+            own = [r[0] for r in rows.select("__bucket").distinct().collect()]  # BUCKETS numbers at most
             held = spark.read.schema(rows.schema).parquet(target_path).filter(F.col("__bucket").isin(own)).select(key)
-        except Exception as e:  # the table's first batch
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
+        else:
             held = spark.createDataFrame([], rows.select(key).schema)
         fresh = classify_batch(held, rows, key, order).filter("outcome = 'new'").select(*rows.columns).distinct()
         fresh.write.partitionBy("__bucket").mode("append").parquet(target_path)
+        rows.unpersist()
 
+    if event_time:
+        stream = stream.withWatermark(event_time, delay).dropDuplicatesWithinWatermark([key])
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 

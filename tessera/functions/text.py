@@ -36,18 +36,30 @@ def collapsed(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(c, r"[\s\x{a0}\x{202f}\x{2003}\x{2009}]+", " "), "^ | $", "")
 
 
-def slugify(c: Column, most: int = 80) -> Column:
-    """Letters a-z, digits and single hyphens; a longer slug is cut at its last hyphen if that is past the middle."""
-    s = F.regexp_replace(F.regexp_replace(fold(F.regexp_replace(c, "[\"'’‘“”]", "")), "[^a-z0-9]+", "-"), "^-+|-+$", "")
-    head = F.substring(s, 1, most)
-    at = F.length(head) - F.locate("-", F.reverse(head)) + 1
-    cut = F.when(F.contains(head, F.lit("-")) & (at > most // 2), F.left(head, at - 1)).otherwise(head)
+#: Characters of a slug.
+SLUG = 80
+
+
+def slug_cut(s: Column, most: int | Column) -> Column:
+    """A slug of ``most`` characters at most, cut at its last hyphen if that is past the middle."""
+    most = F.lit(most) if isinstance(most, int) else most
+    head = F.substring(s, F.lit(1), most)
+    at = F.length(head) - F.locate("-", F.reverse(head))  # characters before the last hyphen
+    cut = F.when(F.contains(head, F.lit("-")) & (at > most * 0.5), F.left(head, at)).otherwise(head)
     return F.when(F.length(s) <= most, s).otherwise(F.regexp_replace(cut, "-+$", ""))
 
 
-def with_suffix(slug: Column, digest: Column, size: int = 6) -> Column:
-    """The slug with the digest's beginning; `noticia-…` where the slug is empty."""
-    return F.concat(F.coalesce(F.nullif(slug, F.lit("")), F.lit("noticia")), F.lit("-"), F.substring(digest, 1, size))
+def slugify(c: Column, most: int = SLUG) -> Column:
+    """Letters a-z, digits and single hyphens, ``most`` characters at most."""
+    s = F.regexp_replace(F.regexp_replace(fold(F.regexp_replace(c, "[\"'’‘“”]", "")), "[^a-z0-9]+", "-"), "^-+|-+$", "")
+    return slug_cut(s, most)
+
+
+def with_suffix(slug: Column, digest: Column, size: int = 6, most: int = SLUG) -> Column:
+    """The slug with the digest's beginning, both within ``most`` characters; `noticia-…` where the slug is null or empty."""
+    suffix = F.substring(digest, 1, size)
+    base = slug_cut(slug, F.lit(most) - F.length(suffix) - 1)
+    return F.concat(F.coalesce(F.nullif(base, F.lit("")), F.lit("noticia")), F.lit("-"), suffix)
 
 
 def words(c: Column) -> Column:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import SLUG, with_suffix
+from ..sources.shared import kept
 from .skew import null_safe, split_join
 
 
@@ -17,11 +19,6 @@ def _place(order: str, columns: list[str]) -> Column:
     return F.struct(F.col(order).alias("o"), F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in sorted(columns)]).alias("h"))
 
 
-def _first(rows: DataFrame, key: str, order: str) -> DataFrame:
-    """(__key, __first) of each key."""
-    return rows.groupBy(F.col(key).alias("__key")).agg(F.min(_place(order, rows.columns)).alias("__first"))
-
-
 def classify_batch(target: DataFrame, batch: DataFrame, key: str, order: str, content: str | None = None) -> DataFrame:
     """batch with outcome: 'new' for a key's first row that target lacks, 'updated' where target's content differs (null is a content), else 'duplicate'.
 
@@ -45,10 +42,9 @@ def insert_new(target: DataFrame, batch: DataFrame, key: str, order: str) -> Dat
 
 
 def refreshed(target: DataFrame, batch: DataFrame, key: str, order: str, content: str, columns: tuple[str, ...]) -> DataFrame:
-    """target with ``columns`` and content taken from the batch's first row of a key whose content differs; other rows and columns stay. Keys are unique in target."""
-    first = batch.join(_first(batch, key, order), F.col(key).eqNullSafe(F.col("__key")) & (_place(order, batch.columns) == F.col("__first")))
-    new = first.select(F.col(key).alias("__key"), F.struct(content, *columns).alias("__new")).dropDuplicates(["__key"])
-    joined = target.join(new, F.col(key).eqNullSafe(F.col("__key")), "left")
+    """target with ``columns`` and content taken from the batch's first row of a key whose content differs; other rows and columns stay. Keys are unique in target. A key that many rows of the batch share is reduced before it is moved."""
+    first = batch.groupBy(F.col(key).alias("__key")).agg(F.min_by(F.struct(content, *columns), _place(order, batch.columns)).alias("__new"))
+    joined = target.join(first, F.col(key).eqNullSafe(F.col("__key")), "left")
     changed = F.col("__new").isNotNull() & ~F.col(content).eqNullSafe(F.col(f"__new.{content}"))
     return joined.select(*(F.when(changed, F.col(f"__new.{c}")).otherwise(F.col(c)).alias(c) if c in (content, *columns) else F.col(c) for c in target.columns))
 
@@ -65,20 +61,21 @@ def adopt(target: DataFrame, batch: DataFrame, key: str = "key", slug: str = "sl
 
     A known key is 'duplicate', or 'updated' where its content differs. Of an unknown key the first row
     is 'adopted' where the target holds its slug with the same source and title (the story moved to a new
-    address; the slug stays), 'new' with its slug where that is free in target and batch, and 'new' with the slug and the
-    key's first six characters where it isn't; an empty slug is noticia and those. Columns: key, slug, content, position and ``same``.
+    address; the slug stays), else 'new' with the first slug that is free by then (see free_slugs; the suffix is the
+    key's first six characters). Columns: key, slug, content, position (unique) and ``same``. Slugs and keys that many rows share are split.
     """
     rows = classify_batch(target, batch, key, "position", content="content")
-    holder = target.filter(F.col(slug) != "").select(F.col(slug).alias("__slug"), F.struct(*same).alias("__holder")).dropDuplicates(["__slug"])
-    joined = rows.join(holder, F.col(slug) == F.col("__slug"), "left")
+    holder = target.filter(F.col(slug) != "").groupBy(F.col(slug).alias("__slug")).agg(F.min(F.struct(*same)).alias("__holder"))
+    asked = rows.filter(F.col(slug) != "").groupBy(F.col(slug).alias("__slug")).agg(F.count(F.lit(1)).alias("__n"))
+    known = holder.join(asked, "__slug")
+    total = known.agg(F.coalesce(F.sum("__n"), F.lit(0)).alias("n")).first()["n"]
+    joined = split_join(rows.withColumn("__slug", F.col(slug)), known, ["__slug"], "__n", total, "left").drop("__slug")
     moved = F.col("__holder").isNotNull() & F.col("__holder").eqNullSafe(F.struct(*same))
-    joined = joined.withColumn("outcome", F.when((F.col("outcome") == "new") & moved, "adopted").otherwise(F.col("outcome")))
-    wants = (F.col("outcome") == "new") & F.col("__holder").isNull() & (F.col(slug) != "")
-    first = joined.filter(wants).groupBy(F.col(slug).alias("__want")).agg(F.min("position").alias("__at"))
-    placed = joined.join(first, F.col(slug) == F.col("__want"), "left")
-    named = F.concat(F.coalesce(F.nullif(F.col(slug), F.lit("")), F.lit("noticia")), F.lit("-"), F.substring(key, 1, 6))
-    final = F.when(F.col("outcome") == "new", F.when(wants & (F.col("position") == F.col("__at")), F.col(slug)).otherwise(named)).when(F.col("outcome") == "adopted", F.col(slug))
-    return placed.select(*batch.columns, "outcome", final.alias("final_slug"))
+    placed = kept(joined.withColumn("outcome", F.when((F.col("outcome") == "new") & moved, "adopted").otherwise(F.col("outcome"))).drop("__holder"), "outcomes")
+    fresh = placed.filter("outcome = 'new'").withColumn("__suffix", F.substring(key, 1, 6))
+    named = free_slugs(fresh, target.select(F.col(slug)), slug, "position", "__suffix").drop("__suffix")
+    rest = placed.filter("outcome <> 'new'").withColumn("final_slug", F.when(F.col("outcome") == "adopted", F.col(slug)))
+    return named.unionByName(rest).select(*batch.columns, "outcome", "final_slug")
 
 
 def tallies(rows: DataFrame) -> DataFrame:
@@ -98,12 +95,34 @@ def coalescing_upsert(target: DataFrame, batch: DataFrame, key: str, overwrite:
     return t.join(b, F.col(f"t.{key}").eqNullSafe(F.col(f"b.{key}")), "full").select(*cols)
 
 
-def free_slugs(batch: DataFrame, taken: DataFrame, slug: str, order: str, suffix: str) -> DataFrame:
-    """batch with final_slug: the slug for its first row if it is free in taken, else slug-suffix; null and empty slugs are noticia-suffix."""
-    keyed, place = batch.withColumn("__k", null_safe(slug)), _place(order, batch.columns)
-    used = taken.select(null_safe(slug).alias("__k"), F.lit(True).alias("__taken")).distinct()
-    keys = keyed.groupBy("__k").agg(F.min(place).alias("__first"), F.count(F.lit(1)).alias("__n")).join(used, "__k", "left")
-    joined = split_join(keyed, keys, ["__k"], "__n", batch.count())
-    own = F.col("__taken").isNull() & (place == F.col("__first")) & (F.coalesce(F.col(slug), F.lit("")) != "")
-    named = F.concat(F.coalesce(F.nullif(F.col(slug), F.lit("")), F.lit("noticia")), F.lit("-"), F.col(suffix))
-    return joined.withColumn("final_slug", F.when(own, F.col(slug)).otherwise(named)).select(*batch.columns, "final_slug")
+def free_slugs(batch: DataFrame, taken: DataFrame, slug: str, order: str, suffix: str, present: str | None = None) -> DataFrame:
+    """batch with final_slug: of each row's wishes the first that is free when rows are taken one by one in ``order``, which is unique.
+
+    Wishes: the slug, then the slug with the suffix (cut to the length that slugs may have; a null or empty slug is
+    noticia-suffix and has no other), then the row's present slug, which is its own already. A slug is free when it is not
+    in taken and no row before has it; present slugs stay taken for other rows, also when their owners leave them. A row
+    without a free wish has null. Every round each row asks for its first wish that hasn't been refused, and a slug stays with the
+    earliest that asks for it; the loop ends when none is refused. That gives what one by one gives, as all slugs
+    prefer the same rows. A slug that many rows ask for is split.
+    """
+    base = F.nullif(F.col(slug), F.lit(""))
+    own = [F.col(present)] if present else []
+    used = taken.toDF("__s") if not present else taken.toDF("__s").unionByName(batch.select(F.col(present).alias("__s")))
+    used = kept(used.filter("__s is not null").distinct().withColumn("__used", F.lit(True)), "used")
+    state = kept(batch.select(F.col(order).alias("__at"), F.array_compact(F.array(base, with_suffix(base, F.col(suffix), most=SLUG), *own)).alias("__wishes"), F.lit(0).alias("__k"), (F.col(present) if present else F.lit(None).cast("string")).alias("__own")), "wishes")
+    total = state.count()
+    while True:
+        asked = state.withColumn("__s", F.get("__wishes", F.col("__k")))
+        # Of those that ask, the table refuses all but a slug's owner, and the earliest of the others is chosen.
+        keys = asked.filter("__s is not null").groupBy("__s").agg(F.min(F.struct(~F.col("__s").eqNullSafe(F.col("__own")), "__at")).alias("__first"), F.count(F.lit(1)).alias("__n")).join(used, "__s", "left")
+        joined = split_join(asked.filter("__s is not null"), keys, ["__s"], "__n", total)
+        mine = F.struct(~F.col("__s").eqNullSafe(F.col("__own")), "__at")
+        won = (mine == F.col("__first")) & (F.col("__used").isNull() | (F.col("__s") == F.col("__own")))
+        told = joined.withColumn("__k", F.when(won, F.col("__k")).otherwise(F.col("__k") + 1)).withColumn("__lost", ~won)
+        done = asked.filter("__s is null").withColumn("__lost", F.lit(False))
+        state = kept(told.select(*asked.columns, "__lost").unionByName(done.select(*asked.columns, "__lost")), "wishes")
+        if not state.filter("__lost").limit(1).count():
+            break
+        state = state.drop("__s", "__lost")
+    final = state.select(F.col("__at").alias("__place"), F.col("__s").alias("final_slug"))
+    return batch.join(final, F.col(order) == F.col("__place")).select(*batch.columns, "final_slug")

@@ -4,6 +4,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.url import agent_token
+from ..operators.asof import last_before
+from ..operators.skew import split_join
+from ..sources.shared import kept
 
 GROUP = "array<struct<agents:array<string>,rules:array<struct<allow:boolean,pattern:string>>>>"
 
@@ -56,3 +59,32 @@ def decide(pages: DataFrame, files: DataFrame, agent: str, url: str = "url") ->
     known = files.select(F.lower("host").alias("__host"), rules_for(groups(F.col("text")), F.lit(agent)).alias("__rules"))
     joined = pages.withColumn("__host", host).join(known, "__host", "left")
     return joined.withColumn("allowed", F.coalesce(allowed(F.col("__rules"), path), F.lit(True))).drop("__host", "__rules")
+
+
+#: Seconds that a read or missing robots file holds, and one that couldn't be read.
+HOLDS, HOLDS_FAILED = 6 * 3600, 300
+
+
+def readings(fetches: DataFrame) -> DataFrame:
+    """fetches (host, fetched_at, status, text, fetch_id) with mode, file (the text's digest) and holds: 'rules' of a file that was read, 'all' without one (4xx), 'none' where the host failed (5xx, or no answer: null)."""
+    status = F.col("status")
+    mode = F.when(status.between(400, 499), "all").when(status.between(200, 399), "rules").otherwise("none")
+    rows = fetches.withColumn("mode", mode).withColumn("file", F.when(F.col("mode") == "rules", F.md5(F.coalesce("text", F.lit("")))))
+    return rows.withColumn("holds", F.when(F.col("mode") == "none", HOLDS_FAILED).otherwise(HOLDS)).drop("text", "status")
+
+
+def decide_at(visits: DataFrame, fetches: DataFrame, agent: str, url: str = "url", at: str = "at") -> DataFrame:
+    """visits with mode and allowed, by the last robots file fetched of each one's host by then; 'stale' and null where there is none or it holds no more: it has to be fetched before the page.
+
+    A later fetch replaces an earlier one, also where it failed. Times are timestamps. Each different file is read once, however often it was fetched.
+    """
+    host = F.nullif(F.lower(F.regexp_extract(F.col(url), r"^[A-Za-z]+://(?:[^/?#@]*@)?([^/?#:]+)", 1)), F.lit(""))
+    path = F.coalesce(F.nullif(F.regexp_extract(F.col(url), r"^[A-Za-z]+://[^/?#]+([^#]*)", 1), F.lit("")), F.lit("/"))
+    facts = readings(fetches).withColumn("host", F.lower("host"))
+    told = kept(last_before(visits.withColumn("host", host), facts, "host", at, "fetched_at", HOLDS, ("mode", "file", "holds", "fetched_at"), "fetch_id"), "visits")
+    files = fetches.groupBy(F.md5(F.coalesce("text", F.lit(""))).alias("file")).agg(F.any_value("text").alias("text"))
+    asked = told.filter("file is not null").groupBy("file").agg(F.count(F.lit(1)).alias("__n")).join(files, "file").select("file", "__n", rules_for(groups(F.col("text")), F.lit(agent)).alias("rules"))
+    told = split_join(told, asked, ["file"], "__n", told.count(), "left")
+    fresh = F.coalesce((F.unix_micros(at) - F.unix_micros("fetched_at")) < F.col("holds").cast("long") * 1_000_000, F.lit(False))
+    verdict = F.when(F.col("mode") == "all", F.lit(True)).when(F.col("mode") == "none", F.lit(False)).otherwise(allowed(F.col("rules"), path))
+    return told.withColumn("allowed", F.when(fresh, verdict)).withColumn("mode", F.when(fresh, F.col("mode")).otherwise("stale")).drop("rules", "file", "holds", "fetched_at", "host")

@@ -172,7 +172,7 @@ def content_change(s, d):
 
 
 SLUG = "trim(regexp_replace(lower(strip_accents(regexp_replace(title, '[\"''’‘“”]', '', 'g'))), '[^a-z0-9]+', '-', 'g'), '-')"
-SLUGS_SQL = ARTICLES_SQL + f", s0 as (select doc_id, {SLUG} s, sha256(source_excerpt) h from articles_v), s1 as (select *, left(s, 80) head from s0), s2 as (select doc_id, h, case when length(s) <= 80 then s else rtrim(case when contains(head, '-') and 81 - instr(reverse(head), '-') > 40 then left(head, 80 - instr(reverse(head), '-')) else head end, '-') end base_slug from s1)"
+SLUGS_SQL = ARTICLES_SQL + f", s0 as (select doc_id, {SLUG} s, sha256(source_excerpt) h from articles_v), s1 as (select *, left(s, 80) head from s0), s2 as (select doc_id, h, case when length(s) <= 80 then s else rtrim(case when contains(head, '-') and 80 - instr(reverse(head), '-') > 40 then left(head, 80 - instr(reverse(head), '-')) else head end, '-') end base_slug from s1)"
 
 
 def _slugs(s: SparkSession, d: str) -> DataFrame:
@@ -184,10 +184,17 @@ def slugify(s, d):
     return _slugs(s, d).select("doc_id", "base_slug")
 
 
-@query("slug_collisions", SLUGS_SQL + ", f as (select base_slug, min(doc_id) first from s2 where doc_id % 3 <> 0 group by 1), u as (select distinct base_slug from s2 where doc_id % 3 = 0) select doc_id, case when base_slug <> '' and doc_id = first and base_slug not in (select base_slug from u) then base_slug else concat(case when base_slug = '' then 'noticia' else base_slug end, '-', left(h, 6)) end as final_slug from s2 join f using (base_slug) where doc_id % 3 <> 0")
+_CUT = "case when length(base_slug) <= 73 then base_slug else rtrim(case when contains(left(base_slug, 73), '-') and 73 - instr(reverse(left(base_slug, 73)), '-') > 36.5 then left(base_slug, 73 - instr(reverse(left(base_slug, 73)), '-')) else left(base_slug, 73) end, '-') end"
+
+
+@query("slug_collisions", SLUGS_SQL + f""", w as (select doc_id, nullif(base_slug, '') a, concat(case when {_CUT} = '' then 'noticia' else {_CUT} end, '-', left(h, 6)) b, concat('doc-', doc_id) own from s2 where doc_id % 3 <> 0),
+ u as (select base_slug s from s2 where doc_id % 3 = 0 union select own from w), c as (select *, min(doc_id) over (partition by a) = doc_id and a is not null and a not in (select s from u) first from w),
+ l as (select * from c where not first), k as (select doc_id, b, own, min(doc_id) over (partition by b) = doc_id and b not in (select s from u) and b not in (select a from c where first) holds from l)
+ select doc_id, a as final_slug from c where first union all select doc_id, case when holds then b else own end from k""")
 def slug_collisions(s, d):
-    rows = _slugs(s, d).withColumn("short", F.substring("h", 1, 6))
-    return merge.free_slugs(rows.filter("doc_id % 3 <> 0"), rows.filter("doc_id % 3 = 0"), "base_slug", "doc_id", "short").select("doc_id", "final_slug")
+    """The first free one of each row's wishes: its slug, the slug with a suffix, its present one."""
+    rows = _slugs(s, d).withColumn("short", F.substring("h", 1, 6)).withColumn("own", F.concat(F.lit("doc-"), F.col("doc_id").cast("string")))
+    return merge.free_slugs(rows.filter("doc_id % 3 <> 0"), rows.filter("doc_id % 3 = 0").select("base_slug"), "base_slug", "doc_id", "short", present="own").select("doc_id", "final_slug")
 
 
 _SCORES = ", ".join("row(" + " + ".join(f"cast(contains(strip_accents(lower(title)), '{t}') as int)" for t in terms) + f", {-k}, '{slug}')" for k, (slug, terms) in enumerate(dims.LEXICON))

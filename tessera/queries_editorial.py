@@ -206,15 +206,28 @@ def adapt_totals(s, d):
     return adapt.token_totals(adapt.final_states(_attempts(s, d), "doc_id"))
 
 
-@query("batch_breaker", """with e as (select event_id, user_id, ts, case when event_type = 'error' then case when event_id % 50 = 0 then 'quota' else 'rede' end end error from events),
- i as (select *, sum(case when error is null then 1 else 0 end) over (partition by user_id order by ts, event_id rows unbounded preceding) island from e),
- k as (select *, sum(case when error is null then 0 else 1 end) over (partition by user_id, island order by ts, event_id rows unbounded preceding) streak from i),
- b as (select *, coalesce(sum(case when error in ('quota', 'desativado') or streak >= 3 then 1 else 0 end) over (partition by user_id order by ts, event_id rows between unbounded preceding and 1 preceding), 0) before from k) select event_id, error, before = 0 as processed from b""")
+BREAKER_SQL = """with e as (select event_id, user_id, {0} batch, ts, case when event_type = 'error' then case when event_id % 50 = 0 then 'quota' else 'rede' end end error from events where {1}),
+ i as (select *, sum(case when error is null then 1 else 0 end) over (partition by batch order by ts, event_id rows unbounded preceding) island from e),
+ k as (select *, sum(case when error is null then 0 else 1 end) over (partition by batch, island order by ts, event_id rows unbounded preceding) streak from i),
+ b as (select *, coalesce(sum(case when error in ('quota', 'desativado') or streak >= 3 then 1 else 0 end) over (partition by batch order by ts, event_id rows between unbounded preceding and 1 preceding), 0) before from k)"""
+
+
+def _items(s: SparkSession, d: str) -> DataFrame:
+    kind = F.when(F.col("event_type") == "error", F.when(F.col("event_id") % 50 == 0, "quota").otherwise("rede"))
+    return table(s, d, "events").select("event_id", "user_id", "ts", kind.alias("error"))
+
+
+@query("batch_breaker", BREAKER_SQL.format("user_id", "true") + " select event_id, error, before = 0 as processed from b")
 def batch_breaker(s, d):
     """Items that a batch gets to before an error or three in a row end it."""
-    kind = F.when(F.col("event_type") == "error", F.when(F.col("event_id") % 50 == 0, "quota").otherwise("rede"))
-    items = table(s, d, "events").select("event_id", "user_id", F.struct("ts", "event_id").alias("at"), kind.alias("error"))
-    return adapt.breaker(items, "user_id", "at").select("event_id", "error", "processed")
+    return adapt.breaker(_items(s, d), "user_id", ("ts", "event_id")).select("event_id", "error", "processed")
+
+
+@query("batch_deferred", BREAKER_SQL.format("event_id // 64 % 3", "true") + " select batch, count(*) as seen, count(*) filter (before = 0) as processed, count(*) filter (before > 0) as deferred, arg_max(error, row(ts, event_id)) filter (before = 0 and (error in ('quota', 'desativado') or streak >= 3)) as aborted_by from b group by 1")
+def batch_deferred(s, d):
+    """Three batches of all events: what each got to, what it left, and the error that ended it."""
+    items = _items(s, d).withColumn("batch", F.floor(F.col("event_id") / 64) % 3)
+    return adapt.deferred(items, "batch", ("ts", "event_id"))
 
 
 @query("category_refined", "select doc_id, case when doc_id % 2 = 0 and doc_id % 3 < 2 then case doc_id % 3 when 0 then 'santos' else 'brasil' end when doc_id % 2 = 0 then 'mundo' else 'liturgia' end as category from documents")

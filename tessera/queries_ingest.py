@@ -203,11 +203,33 @@ def robots_decision(s, d):
     return robots.decide(pages, hosts, "PortalBot/1.0 (+https://portal.example)").select("page_id", "allowed")
 
 
-@query("robots_rules", "select * from (values (1, 'portalbot,otherbot', false, '/a'), (1, 'portalbot,otherbot', true, '/a*.html'), (2, 'portalbot', false, '/*?utm_'), (2, 'portalbot', false, '/p$'), (0, '*', false, '/')) t(grp, agents, allow, pattern)")
+@query("robots_over_time", """with p as (select page_id, url, lower(regexp_extract(url, '^[A-Za-z]+://(?:[^/?#@]*@)?([^/?#:]+)', 1)) host, regexp_extract(url, '^[A-Za-z]+://[^/?#]+([^#]*)', 1) path from pages),
+ f as (select host, ts, event_id, event_type kind from events join p on page_id = user_id where event_id % 2 = 0), v as (select event_id, ts, page_id, host, path from events join p on page_id = event_id % 50 where event_id % 2 = 1),
+ j as (select v.event_id, v.ts, v.path, arg_max(kind, row(f.ts, f.event_id)) kind, max(f.ts) got from v left join f on f.host = v.host and f.ts <= v.ts group by all),
+ m as (select *, case when kind = 'signup' or kind = 'error' then 'none' when kind = 'click' then 'all' else 'rules' end said, epoch_us(ts) - epoch_us(got) < case when kind in ('signup', 'error') then 300 else 21600 end * 1000000::bigint fresh from j)
+ select event_id, case when coalesce(fresh, false) then said else 'stale' end as mode, case when coalesce(fresh, false) then case said when 'all' then true when 'none' then false else kind <> 'purchase' and coalesce(case when regexp_matches(path, '^/a.*\\.html') then true end, case when regexp_matches(path, '^/.*\\?utm_') then false end,
+ case when regexp_matches(path, '^/p$') then false end, case when regexp_matches(path, '^/a') then false end, true) end end as allowed from m""")
+def robots_over_time(s, d):
+    """Visits to pages under the robots file that holds at their time; events are fetches of the file (read, missing, failed, without an answer) and visits."""
+    pages, events = table(s, d, "pages").select("page_id", "url"), table(s, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    host = F.regexp_extract("url", r"^[A-Za-z]+://(?:[^/?#@]*@)?([^/?#:]+)", 1).alias("host")
+    kind = F.col("event_type")
+    status = F.when(kind.isin("view", "purchase"), 200).when(kind == "click", 404).when(kind == "error", 503)
+    said = F.when(kind == "purchase", F.lit("User-agent: *\nDisallow: /")).otherwise(F.lit(ROBOTS_TXT))
+    fetches = events.filter("event_id % 2 = 0").join(pages, F.col("page_id") == F.col("user_id")).select(host, F.col("ts").alias("fetched_at"), status.alias("status"), said.alias("text"), F.col("event_id").alias("fetch_id"))
+    visits = events.filter("event_id % 2 = 1").join(pages, F.col("page_id") == F.col("event_id") % 50).select("event_id", F.col("ts").alias("at"), "url")
+    return robots.decide_at(visits, fetches, "PortalBot/1.0").select("event_id", "mode", "allowed")
+
+
+@query("robots_rules", """with h as (select distinct lower(regexp_extract(url, '^[A-Za-z]+://(?:[^/?#@]*@)?([^/?#:]+)', 1)) host from pages)
+ select host, grp, agents, allow, pattern from h, lateral (select * from (values (0, concat('*,', split_part(host, '.', 1)), false, concat('/', split_part(host, '.', 1), '/')), (0, concat('*,', split_part(host, '.', 1)), true, '/a*.html'), (1, 'otherbot', false, '/')) t(grp, agents, allow, pattern)) where grp = 0 or length(host) % 2 = 0""")
 def robots_rules(s, d):
-    """The rules of a robots file by group."""
-    found = s.createDataFrame([(ROBOTS_TXT,)], "text string").select(F.posexplode(robots.groups(F.col("text"))).alias("grp", "g"))
-    return found.select("grp", F.array_join("g.agents", ",").alias("agents"), F.explode("g.rules").alias("r")).select("grp", "agents", "r.allow", "r.pattern")
+    """The rules of each host's robots file by group; files differ by host."""
+    host = F.lower(F.regexp_extract("url", r"^[A-Za-z]+://(?:[^/?#@]*@)?([^/?#:]+)", 1))
+    name = F.split_part("host", F.lit("."), F.lit(1))
+    said = F.concat(F.lit("# rules\nDisallow: /early\nUSER-AGENT: *\nuser-agent: "), F.upper(name), F.lit("\nDisallow: /"), name, F.lit("/ # all of it\nAllow: /a*.html\nCrawl-delay: 3\nDisallow:\n"), F.when(F.length("host") % 2 == 0, F.lit("\nUser-agent: OtherBot\nDisallow: /\n")).otherwise(F.lit("")))
+    found = table(s, d, "pages").select(host.alias("host")).distinct().select("host", F.posexplode(robots.groups(said)).alias("grp", "g"))
+    return found.select("host", "grp", F.array_join("g.agents", ",").alias("agents"), F.explode("g.rules").alias("r")).select("host", "grp", "agents", "r.allow", "r.pattern")
 
 
 @query("category_cascade", """select doc_id, case when doc_id % 4 = 0 then 'santos' when doc_id % 4 = 1 then 'caridade' when doc_id % 4 >= 2 and doc_id % 3 = 0 then 'juventude' else 'mundo' end as category from documents""")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..dims import GRAMMATICAL, MONTH_WORDS, NAMES, NEGATION, ONE_WORD_TERMS, TITLE_WORDS
@@ -75,9 +75,10 @@ def negation_differs(pair: Column) -> Column:
     return pair["adapted"].rlike(NEGATION) != pair["original"].rlike(NEGATION)
 
 
-def is_structural_noise(divergence: Column) -> Column:
-    """Whether a divergence is noise; what can't be read as a pair isn't."""
-    pair = quoted_pair(divergence)
-    a, o = hard_tokens(pair["adapted"]), hard_tokens(pair["original"])
+def with_noise(rows: DataFrame, divergence: str) -> DataFrame:
+    """rows with adapted and original (the pair's hard tokens) and noise: whether the divergence is noise; what can't be read as a pair isn't. Each text is read once."""
+    made = rows.withColumn("__pair", quoted_pair(F.col(divergence)))
+    made = made.withColumns({"adapted": hard_tokens(F.col("__pair.adapted")), "original": hard_tokens(F.col("__pair.original"))})
+    a, o = F.col("adapted"), F.col("original")
     same = same_set(a["numbers"], o["numbers"]) & same_set(a["months"], o["months"]) & all_present(o["names"], a["names"]) & all_present(a["names"], o["names"])
-    return F.coalesce(pair.isNotNull() & ~negation_differs(pair) & same, F.lit(False))
+    return made.withColumn("noise", F.coalesce(F.col("__pair").isNotNull() & ~negation_differs(F.col("__pair")) & same, F.lit(False))).drop("__pair")

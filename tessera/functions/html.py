@@ -206,7 +206,8 @@ def tables(html: str | None) -> tuple[list[list[list[str]]], list[str]]:
 def clean_text(c: Column) -> Column:
     """Text of what may be HTML or not; null where nothing is left."""
     read = F.pandas_udf(lambda s: s.map(html_text, na_action="ignore"), StringType())
-    return F.nullif(F.when(c.rlike("(?i)<[a-z!/]"), read(c)).otherwise(F.regexp_replace(c, r"^\s+|\s+$", "")), F.lit(""))
+    tagged = F.when(c.rlike("(?i)<[a-z!/]"), c)  # Spark runs a UDF on every row, so that others go in as null
+    return F.nullif(F.when(tagged.isNotNull(), read(tagged)).otherwise(F.regexp_replace(c, r"^\s+|\s+$", "")), F.lit(""))
 
 
 def _per_page(pages: DataFrame, id_col: str, html_col: str, read: object, fields: str) -> DataFrame:

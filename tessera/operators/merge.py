@@ -107,7 +107,8 @@ def free_slugs(batch: DataFrame, taken: DataFrame, slug: str, order: str, suffix
     """
     base = F.nullif(F.col(slug), F.lit(""))
     own = [F.col(present)] if present else []
-    used = taken.toDF("__s") if not present else taken.toDF("__s").unionByName(batch.select(F.col(present).alias("__s")))
+    used = taken.select(F.col(slug).alias("__s"))
+    used = used.unionByName(batch.select(F.col(present).alias("__s"))) if present else used
     used = kept(used.filter("__s is not null").distinct().withColumn("__used", F.lit(True)), "used")
     state = kept(batch.select(F.col(order).alias("__at"), F.array_compact(F.array(base, with_suffix(base, F.col(suffix), most=SLUG), *own)).alias("__wishes"), F.lit(0).alias("__k"), (F.col(present) if present else F.lit(None).cast("string")).alias("__own")), "wishes")
     total = state.count()

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..dims import MAX_ENGLISH, MIN_DIACRITICS
 from ..functions.text import diacritic_density, english_share, fold, stop_counts, unaccented
-from .rules import length_rule, ratio_rule
+from .rules import length_rule, prepared, ratio_rule
 
 # Hosts by source.
 HOSTS = {"ewtn": ("ewtnnews.com",), "sotc": ("signofthecrossmedia.com",)}
@@ -63,12 +63,20 @@ def content_numbers(text: Column) -> Column:
 
 
 def allowed_numbers(original: Column, low: Column | None = None) -> Column:
-    """Numbers of the original, its English numerals and compounds such as twenty-one."""
-    said = [F.when(holds_term(original, word, low), F.lit(str(n))) for word, n in NUMERALS.items()]
-    pairs = F.regexp_extract_all(F.lower(original) if low is None else low, F.lit(rf"\b((?:{'|'.join(TENS)})[- ](?:{'|'.join(ONES)}))\b"), F.lit(1))
+    """Numbers of the original, its English numerals (whole words, found in one pass) and compounds such as twenty-one."""
+    low = F.lower(original) if low is None else low
     value = F.create_map(*(x for w, n in NUMERALS.items() for x in (F.lit(w), F.lit(n))))
+    words = F.array_intersect(F.regexp_extract_all(low, F.lit(r"([\p{L}\p{N}]+)"), F.lit(1)), F.array(*map(F.lit, NUMERALS)))
+    pairs = F.regexp_extract_all(low, F.lit(rf"\b((?:{'|'.join(TENS)})[- ](?:{'|'.join(ONES)}))\b"), F.lit(1))
     sums = F.transform(pairs, lambda p: (value[F.get(F.split(p, "[- ]"), F.lit(0))] + value[F.get(F.split(p, "[- ]"), F.lit(1))]).cast("string"))
-    return F.array_distinct(F.concat(content_numbers(original), F.array_compact(F.array(*said)), sums))
+    return F.array_distinct(F.concat(content_numbers(original), F.transform(words, lambda w: value[w].cast("string")), sums))
+
+
+def facts(pairs: DataFrame) -> DataFrame:
+    """rules.prepared, and what the rules below find in the texts, each looked for once a row: numbers left, counts of function words, refusals, English terms."""
+    made = prepared(pairs)
+    made = made.withColumns({"__numbers": content_numbers(_text()), "__allowed": allowed_numbers(F.coalesce("original", F.lit("")), F.col("__original_low")), "__stop": stop_counts(_text()), "__refusals": refusal_labels(_text(), F.col("__low")), "__terms": english_terms(_text(), F.col("__low"))})
+    return made.withColumn("__left", F.array_except("__numbers", "__allowed"))
 
 
 def attribution_rule() -> Column:
@@ -86,8 +94,7 @@ def attribution_rule() -> Column:
 
 
 def number_rule() -> Column:
-    left = F.array_except(content_numbers(_text()), allowed_numbers(F.coalesce("original", F.lit("")), F.col("__original_low")))
-    return F.when(F.size(left) > 0, F.array(F.array_join(F.slice(left, 1, 10), ", "))).otherwise(_empty())
+    return F.when(F.size("__left") > 0, F.array(F.array_join(F.slice("__left", 1, 10), ", "))).otherwise(_empty())
 
 
 def verdict_rule() -> Column:
@@ -102,24 +109,30 @@ def verdict_rule() -> Column:
 
 
 def language_rule() -> Column:
-    return F.array(F.when(english_share(stop_counts(_text())) > MAX_ENGLISH, "English"), F.when(diacritic_density(_text()) < MIN_DIACRITICS, "few diacritics"))
+    return F.array(F.when(english_share(F.col("__stop")) > MAX_ENGLISH, "English"), F.when(diacritic_density(_text()) < MIN_DIACRITICS, "few diacritics"))
 
 
-#: What each refusal's pattern can't do without, in lower case, in their order; texts without it aren't matched.
+#: What each refusal's pattern can't do without one of, in lower case, in their order; texts without them aren't matched.
 FRAGMENTS = (
-    "m sorry", "i am sorry", "i apologi", "as an ai", "as a language model", "i cannot", "i can", "m unable", "i do not have", "here", "here is the", "sure", "como", "modelo de linguagem",
-    "não posso", "não posso", "claro", "```", "<|", ":", '"corpo_md"',
+    ("m sorry",), ("i am sorry",), ("i apologi",), ("as an ai",), ("as a language model",), ("i cannot",), ("i cant", "i can't", "i can’t"), ("m unable",), ("i do not have",), ("heres the", "here's the", "here’s the"), ("here is the",),
+    ("sure,", "sure!"), ("como ia", "como um ia", "como uma ia", "inteligência artificial"), ("modelo de linguagem",), ("não posso",), ("não posso",), ("claro,", "claro!"), ("```",), ("<|",), ("assistant", "system", "user"), ('"corpo_md"',),
 )
 
 
 def refusal_labels(text: Column, low: Column | None = None) -> Column:
     low = F.lower(text) if low is None else low
-    return F.array_compact(F.array(*(F.when(F.contains(low, F.lit(part)) & text.rlike(pattern), F.lit(label)) for part, (pattern, label) in zip(FRAGMENTS, REFUSALS, strict=True))))
+
+    def met(parts: tuple[str, ...]) -> Column:
+        out = F.contains(low, F.lit(parts[0]))
+        for part in parts[1:]:
+            out = out | F.contains(low, F.lit(part))
+        return out
+
+    return F.array_compact(F.array(*(F.when(met(parts) & text.rlike(pattern), F.lit(label)) for parts, (pattern, label) in zip(FRAGMENTS, REFUSALS, strict=True))))
 
 
 def refusal_rule() -> Column:
-    found = refusal_labels(_text(), F.col("__low"))
-    return F.when(F.size(found) > 0, F.array(F.array_join(found, ", "))).otherwise(_empty())
+    return F.when(F.size("__refusals") > 0, F.array(F.array_join("__refusals", ", "))).otherwise(_empty())
 
 
 def rite_rule() -> Column:
@@ -134,12 +147,16 @@ def rite_rule() -> Column:
     return F.array(*errors)
 
 
-def glossary_rule(terms: tuple[str, ...] = TRANSLATE) -> Column:
-    found = F.array_compact(F.array(*(F.when(holds_term(_text(), t, F.col("__low")), F.lit(t)) for t in terms)))
-    return F.when(F.size(found) > 0, F.array(F.array_join(F.slice(found, 1, 8), ", "))).otherwise(_empty())
+def english_terms(text: Column, low: Column, terms: tuple[str, ...] = TRANSLATE) -> Column:
+    """The terms that stand in the text."""
+    return F.array_compact(F.array(*(F.when(holds_term(text, t, low), F.lit(t)) for t in terms)))
+
+
+def glossary_rule() -> Column:
+    return F.when(F.size("__terms") > 0, F.array(F.array_join(F.slice("__terms", 1, 8), ", "))).otherwise(_empty())
 
 
-#: All nine rules in order, for rules.judge over rows that also have source, source_name, source_url and verdict.
+#: All nine rules in order, for rules.judge over facts() of rows that also have source, source_name, source_url and verdict.
 NINE_RULES = (
     ("comprimento", length_rule), ("proporcao", ratio_rule), ("atribuicao", attribution_rule), ("numeros", number_rule), ("verificacao_factual", verdict_rule),
     ("idioma", language_rule), ("recusa_do_modelo", refusal_rule), ("rito_1962", rite_rule), ("glossario", glossary_rule),

@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from ..dims import BODY, DEK, MAX_ERRORS, MIN_SOURCE, PARAGRAPHS, RATIO, TAGS, TITLE
 from ..functions.text import paragraphs, stripped
 
+# Characters of a recorded error, and what a rule that threw says.
+MAX_CHARS, THREW = 500, "a própria checagem falhou ({}) — reprovado por precaução."
+
 
 def _outside(value: Column, bounds: tuple, name: str) -> Column:
     return F.when((value < bounds[0]) | (value > bounds[1]), F.lit(name))
@@ -53,15 +59,60 @@ def _labelled(name: str) -> Callable[[Column], Column]:
     return lambda e: F.concat(F.lit(f"{name}: "), e)
 
 
-def judge(pairs: DataFrame, rules: tuple) -> DataFrame:
-    """pairs with the columns that the rules read (pairs of name and function; add one to plug in another), failed_rules, errors (20 at most, then how many more) and passed."""
-    made = prepared(pairs).select("*", *(F.array_compact(rule()).alias(f"e_{name}") for name, rule in rules))
-    every = F.concat(*(F.transform(f"e_{name}", _labelled(name)) for name, _ in rules))
-    failed = F.array_compact(F.array(*(F.when(F.size(f"e_{name}") > 0, F.lit(name)) for name, _ in rules)))
+@dataclass(frozen=True)
+class RowRule:
+    """A rule in Python: check gets the named columns of a batch as lists and gives a list of errors for each row."""
+
+    name: str
+    columns: tuple[str, ...]
+    check: Callable[..., list[list[str]]]
+
+
+def with_row_rules(rows: DataFrame, rules: tuple[RowRule, ...]) -> DataFrame:
+    """rows with e_<name> array<string> of each rule. Where a rule throws on a batch, its rows are tried one by one, and a row on which it throws has that as its error; the others, and all other rules, go on."""
+    if not rules:
+        return rows
+    names = rows.columns
+
+    def one(rule: RowRule, cols: list[list], k: int) -> list[str]:
+        try:
+            return rule.check(*([c[k]] for c in cols))[0]
+        except Exception as e:  # noqa: BLE001 - a rule that fails must not pass its row
+            return [THREW.format(e)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = []
+            for rule in rules:
+                cols = [batch.column(names.index(c)).to_pylist() for c in rule.columns]
+                try:
+                    found = rule.check(*cols)
+                    if len(found) != batch.num_rows:
+                        raise ValueError(f"{len(found)} answers for {batch.num_rows} rows")
+                except Exception:  # noqa: BLE001 - told row by row
+                    found = [one(rule, cols, k) for k in range(batch.num_rows)]
+                made.append(pa.array(found, pa.list_(pa.string())))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], [*names, *(f"e_{r.name}" for r in rules)])
+
+    fields = [StructField(f"e_{r.name}", ArrayType(StringType())) for r in rules]
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, *fields]))
+
+
+def judge(pairs: DataFrame, rules: tuple, row_rules: tuple[RowRule, ...] = ()) -> DataFrame:
+    """pairs with the columns that the rules read (pairs of name and function; add one to plug in another), failed_rules, errors (20 at most of 500 characters at most, then how many more) and passed.
+
+    row_rules run after the others, see with_row_rules.
+    """
+    made = (pairs if "__whole" in pairs.columns else prepared(pairs)).select("*", *(F.array_compact(rule()).alias(f"e_{name}") for name, rule in rules))
+    made = with_row_rules(made, row_rules)
+    names = [name for name, _ in rules] + [r.name for r in row_rules]
+    every = F.concat(*(F.transform(f"e_{name}", _labelled(name)) for name in names))
+    failed = F.array_compact(F.array(*(F.when(F.size(f"e_{name}") > 0, F.lit(name)) for name in names)))
     made = made.withColumn("failed_rules", failed).withColumn("every", every)
     more = F.size("every") - MAX_ERRORS
-    capped = F.when(more > 0, F.concat(F.slice("every", 1, MAX_ERRORS), F.array(F.concat(more.cast("string"), F.lit(" omitted"))))).otherwise(F.col("every"))
-    return made.withColumn("errors", capped).withColumn("passed", F.size("every") == 0).drop("every", "__whole", "__low", "__original_low", *(f"e_{name}" for name, _ in rules))
+    short = F.transform(F.slice("every", 1, MAX_ERRORS), lambda e: F.when(F.length(e) > MAX_CHARS, F.concat(F.left(e, F.lit(MAX_CHARS)), F.lit("…"))).otherwise(e))
+    capped = F.when(more > 0, F.array_append(short, F.concat(F.lit("(+"), more.cast("string"), F.lit(" erro(s) omitido(s))")))).otherwise(short)
+    return made.withColumn("errors", capped).withColumn("passed", F.size("every") == 0).drop("every", *(c for c in made.columns if c.startswith("__")), *(f"e_{name}" for name in names))
 
 
 def preflight(articles: DataFrame, least: int = MIN_SOURCE) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,7 +43,7 @@ def _pairs(s: SparkSession, d: str) -> DataFrame:
     consistent, found = i % 5 == 1, F.when(i % 5 == 2, F.array(F.lit("data trocada"), F.lit(" "))).when(i % 5 == 4, F.array().cast("array<string>")).otherwise(F.array().cast("array<string>"))
     verdict = F.when(i % 5 != 0, F.struct(consistent.alias("consistent"), found.alias("divergences")))
     return docs.join(other, "doc_id").select(
-        "doc_id", F.concat(_by(*PLANTED), F.substring("text", 1, 2500)).alias("body"), F.split_part("text", F.lit("."), F.lit(1)).alias("title"), F.substring("text", 1, 200).alias("dek"), "original", "source_length",
+        "doc_id", F.concat(_by(*PLANTED), F.col("text")).alias("body"), F.split_part("text", F.lit("."), F.lit(1)).alias("title"), F.substring("text", 1, 200).alias("dek"), "original", "source_length",
         F.when(i % 4 != 0, F.array(F.lit("a"), F.lit("b"))).alias("tags"), _by(*SOURCES).alias("source"), F.when(i % 8 != 0, F.col("source")).alias("source_name"), _by(*URLS).alias("source_url"), verdict.alias("verdict"),
     )
 
@@ -55,7 +57,7 @@ def _by_other(values: tuple) -> Column:
     return out
 
 
-PAIRS_SQL = f"""with pairs as (select a.doc_id, concat({_sql_by(*PLANTED, key='a.doc_id')}, left(a.text, 2500)) body, split_part(a.text, '.', 1) title, left(a.text, 200) dek, concat({_sql_by(*ORIGIN, key='a.doc_id')}, b.text) original, b.n_chars source_length,
+PAIRS_SQL = f"""with pairs as (select a.doc_id, concat({_sql_by(*PLANTED, key='a.doc_id')}, a.text) body, split_part(a.text, '.', 1) title, left(a.text, 200) dek, concat({_sql_by(*ORIGIN, key='a.doc_id')}, b.text) original, b.n_chars source_length,
  case when a.doc_id % 4 <> 0 then 2 else 0 end n_tags, {_sql_by(*SOURCES, key='a.doc_id')} source, case when a.doc_id % 8 <> 0 then a.source end source_name, {_sql_by(*URLS, key='a.doc_id')} source_url from documents a join documents b on b.doc_id = a.doc_id + 1),
  t as (select *, concat_ws(chr(10) || chr(10), title, dek, body) whole, trim(body, ' ' || chr(10) || chr(9) || chr(13)) clean from pairs)"""
 _CLEAN = "regexp_replace(regexp_replace({0}, '(?m)^\\s{{0,3}}\\d{{1,3}}[.)]\\s+', '', 'g'), '\\]\\([^)]*\\)', ']', 'g')"
@@ -79,10 +81,8 @@ SIGNALS_SQL = PAIRS_SQL + f", g as (select *, {_LEFT} numbers_left, {_REFUSED} r
 @query("editorial_signals", SIGNALS_SQL + " select doc_id, array_to_string(list_sort(numbers_left), ',') as numbers_left, array_to_string(refusals, ',') as refusals, array_to_string(vetoed, ',') as vetoed, array_to_string(english_terms, ',') as english_terms from g")
 def editorial_signals(s, d):
     """Numbers that the original doesn't allow, refusal labels, vetoed terms without absolution, terms left in English."""
-    whole, original = editorial._text(), F.coalesce("original", F.lit(""))
-    left = F.array_except(editorial.content_numbers(whole), editorial.allowed_numbers(original, F.col("__original_low")))
-    english = F.array_compact(F.array(*(F.when(editorial.holds_term(whole, t, F.col("__low")), F.lit(t)) for t in editorial.TRANSLATE)))
-    return rules.prepared(_pairs(s, d)).select("doc_id", F.array_join(F.array_sort(left), ",").alias("numbers_left"), F.array_join(editorial.refusal_labels(whole, F.col("__low")), ",").alias("refusals"), F.array_join(F.array_compact(editorial.rite_rule()), ",").alias("vetoed"), F.array_join(english, ",").alias("english_terms"))
+    join = lambda c: F.array_join(c, ",")
+    return editorial.facts(_pairs(s, d)).select("doc_id", join(F.array_sort("__left")).alias("numbers_left"), join("__refusals").alias("refusals"), join(F.array_compact(editorial.rite_rule())).alias("vetoed"), join("__terms").alias("english_terms"))
 
 
 _HOSTS = " or ".join(f"(source = '{src}' and (host = '{h}' or ends_with(host, '.{h}')))" for src, hosts in editorial.HOSTS.items() for h in hosts)
@@ -103,14 +103,14 @@ VERDICT_SQL = SIGNALS_SQL + f""", w as (select *, {WORDS.format('whole')} w, len
 @query("guardrail_verdict", VERDICT_SQL + " select doc_id, array_to_string(failed, ',') as failed_rules, len(failed) = 0 as passed from f")
 def guardrail_verdict(s, d):
     """All nine rules."""
-    return rules.judge(_pairs(s, d), editorial.NINE_RULES).select("doc_id", F.array_join("failed_rules", ",").alias("failed_rules"), "passed")
+    return rules.judge(editorial.facts(_pairs(s, d)), editorial.NINE_RULES).select("doc_id", F.array_join("failed_rules", ",").alias("failed_rules"), "passed")
 
 
 @query("retry_gate", VERDICT_SQL.replace(" doc_id % 5 <> 1 c5", " false c5").replace("len(numbers_left) > 0 c4", "false c4") + " select doc_id, array_to_string(list_filter(failed, lambda x: x in ('comprimento', 'proporcao', 'recusa_do_modelo')), ',') as failed_rules, len(list_filter(failed, lambda x: x in ('comprimento', 'proporcao', 'recusa_do_modelo'))) > 0 and not list_contains(failed, 'recusa_do_modelo') as again from f")
 def retry_gate(s, d):
     """Answers that failed by their length alone."""
     three = [r for r in editorial.NINE_RULES if r[0] in ("comprimento", "proporcao", "recusa_do_modelo")]
-    return rules.judge(_pairs(s, d), three).select("doc_id", F.array_join("failed_rules", ",").alias("failed_rules"), rules.too_long_alone(F.col("failed_rules")).alias("again"))
+    return rules.judge(editorial.facts(_pairs(s, d)), three).select("doc_id", F.array_join("failed_rules", ",").alias("failed_rules"), rules.too_long_alone(F.col("failed_rules")).alias("again"))
 
 
 _HEAD, _BODY = "regexp_replace(split_part(text, '.', 1), '[^A-Za-z ]', '', 'g')", "regexp_replace(left(text, 300), '[^A-Za-z ]', '', 'g')"
@@ -164,11 +164,27 @@ CLAIMS = (
 @query("structural_noise", "select doc_id, doc_id % 8 in (0, 2) as noise, " + _sql_by(8, "leticia,ugboaja", "guerra,independencia", "leao,xiv", "", "francisco", "roma", "", "joao") + " as names, " + _sql_by(8, "", "", "1234,4", "4", "", "", "", "12") + " as numbers, case when doc_id % 8 in (2, 3) then '8' else '' end as months from documents")
 def structural_noise(s, d):
     """Divergences whose quoted pair differs in wording alone, with the adapted side's hard tokens."""
-    claim = _by(*CLAIMS[0])
-    tokens = divergences.hard_tokens(divergences.quoted_pair(claim)["adapted"])
     join = lambda c: F.coalesce(F.array_join(c, ","), F.lit(""))
-    rows = table(s, d, "documents").withColumn("t", tokens)
-    return rows.select("doc_id", divergences.is_structural_noise(claim).alias("noise"), join(F.col("t.names")).alias("names"), join(F.col("t.numbers")).alias("numbers"), join(F.transform("t.months", lambda m: m.cast("string"))).alias("months"))
+    rows = divergences.with_noise(table(s, d, "documents").withColumn("claim", _by(*CLAIMS[0])), "claim")
+    return rows.select("doc_id", "noise", join(F.col("adapted.names")).alias("names"), join(F.col("adapted.numbers")).alias("numbers"), join(F.transform("adapted.months", lambda m: m.cast("string"))).alias("months"))
+
+
+@query("isolated_rules", """with r as (select doc_id, case when doc_id % 97 = 0 then ['densidade: a própria checagem falhou (division by zero) — reprovado por precaução.'] when n_chars // (doc_id % 97) < 20 then [concat('densidade: ', n_chars // (doc_id % 97))] else [] end a,
+ list_transform(list_filter(regexp_split_to_array(text, '[ \\n]+'), lambda w: length(w) > 16), lambda w: concat('palavras: longa demais ', w)) b from documents), e as (select doc_id, list_concat(a, b) e, len(a) > 0 d, len(b) > 0 p from r)
+ select doc_id, array_to_string(list_filter([case when d then 'densidade' end, case when p then 'palavras' end], lambda x: x is not null), ',') as failed_rules,
+ array_to_string(list_concat(list_transform(list_slice(e, 1, 20), lambda x: case when length(x) > 500 then concat(left(x, 500), '…') else x end), case when len(e) > 20 then [concat('(+', len(e) - 20, ' erro(s) omitido(s))')] else [] end), chr(10)) as errors from e""")
+def isolated_rules(s, d):
+    """Two rules in Python, one of which divides by zero on some rows: these fail with that as the reason, and all errors are recorded up to their limits."""
+
+    def density(ids: list[int], sizes: list[int]) -> list[list[str]]:
+        return [[str(int(n / (i % 97)))] if n / (i % 97) < 20 else [] for i, n in zip(ids, sizes, strict=True)]
+
+    def long_words(texts: list[str]) -> list[list[str]]:
+        return [[f"longa demais {w}" for w in re.split(r"[ \n]+", t or "") if len(w) > 16] for t in texts]
+
+    pairs = table(s, d, "documents").select("doc_id", "n_chars", "text", *(F.lit("").alias(c) for c in ("title", "dek", "body", "original")))
+    told = rules.judge(pairs, (), (rules.RowRule("densidade", ("doc_id", "n_chars"), density), rules.RowRule("palavras", ("text",), long_words)))
+    return told.select("doc_id", F.array_join("failed_rules", ",").alias("failed_rules"), F.array_join("errors", "\n").alias("errors"))
 
 
 @query("numbered_divergences", "select doc_id, i as position, 2 as total, concat('divergence ', i, '/2: ', w) as line from (select doc_id, unnest([1, 2]) i, unnest(list_slice(string_split(text, ' '), 1, 2)) w from documents where len(string_split(text, ' ')) >= 2)")

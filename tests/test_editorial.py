@@ -73,10 +73,10 @@ def test_nine_rules(spark):
         (body + " 77", *fine[1:]),
         (None,) * 10,
     ]
-    made = rules.judge(spark.createDataFrame([(*r,) for r in rows], schema), editorial.NINE_RULES).select("failed_rules", "passed", "errors").collect()
+    made = rules.judge(editorial.facts(spark.createDataFrame([(*r,) for r in rows], schema)), editorial.NINE_RULES).select("failed_rules", "passed", "errors").collect()
     assert [r["failed_rules"] for r in made[:8]] == [[], ["recusa_do_modelo"], ["rito_1962"], ["glossario"], ["atribuicao"], ["verificacao_factual"], ["verificacao_factual"], ["numeros"]]
     assert made[0]["passed"] and len(made[6]["errors"]) == 2 and not made[8]["passed"]
-    allowed = rules.judge(spark.createDataFrame([(body + " primeira leitura", *fine[1:3], fine[3] + "the first reading", *fine[4:])], schema), editorial.NINE_RULES).first()
+    allowed = rules.judge(editorial.facts(spark.createDataFrame([(body + " primeira leitura", *fine[1:3], fine[3] + "the first reading", *fine[4:])], schema)), editorial.NINE_RULES).first()
     assert allowed["passed"]
 
 
@@ -102,6 +102,22 @@ def test_length_and_ratio(spark):
     assert [r["again"] for r in made] == [False, True, True, True, True]
 
 
+def test_rules_that_throw(spark):
+    """A rule that fails on one row fails this row with its reason and leaves the others; one that fails as a whole fails all; the rest goes on."""
+    rows = spark.createDataFrame([(k, f"t{k}", "d", "b", "o") for k in range(6)] + [(None, "t", "d", "b", "o")], "n long, title string, dek string, body string, original string")
+    ratio = rules.RowRule("razao", ("n",), lambda ns: [["pouco"] if 12 / (n - 3) < 0 else [] for n in ns])
+    broken = rules.RowRule("quebrada", ("title", "n"), lambda ts, ns: [])
+    fine = rules.RowRule("boa", ("title",), lambda ts: [["cinco"] * (t == "t5") for t in ts])
+    plain = (("coluna", lambda: F.array(F.when(F.col("n") == 1, "um"))),)
+    got = {r["n"]: (r["failed_rules"], r["errors"], r["passed"]) for r in rules.judge(rows, plain, (ratio, fine)).collect()}
+    assert got[0] == (["razao"], ["razao: pouco"], False) and got[1] == (["coluna", "razao"], ["coluna: um", "razao: pouco"], False) and got[4] == ([], [], True) and got[5] == (["boa"], ["boa: cinco"], False)
+    assert got[3][1] == ["razao: a própria checagem falhou (division by zero) — reprovado por precaução."] and "NoneType" in got[None][1][0]
+    every = rules.judge(rows, (), (broken, fine)).select("errors").collect()
+    assert all(r["errors"][0].startswith("quebrada: a própria checagem falhou") for r in every)
+    long = rules.judge(rows, (), (rules.RowRule("longa", ("n",), lambda ns: [["x" * 900] * 22 for _ in ns]),)).first()["errors"]
+    assert len(long) == 21 and len(long[0]) == 501 and long[20] == "(+2 erro(s) omitido(s))"
+
+
 def test_verdict_in_json(spark):
     assert tuple(one(spark, '{ "VEREDITO": "CONSISTENTE", "DIVERGENCIAS": [] }', answers.read_verdict)) == (True, [])
     assert tuple(one(spark, '{"veredito": "divergente", "divergencia": ["Roma, não Milão"]}', answers.read_verdict)) == (False, ["Roma, não Milão"])
@@ -118,7 +134,7 @@ def test_verdict_in_json(spark):
 def test_structural_noise(spark, claim, noise):
     from tessera.functions import divergences
 
-    assert one(spark, claim, divergences.is_structural_noise) is noise
+    assert divergences.with_noise(spark.createDataFrame([(claim,)], "claim string"), "claim").first()["noise"] is noise
 
 
 def test_states(spark):

@@ -50,7 +50,7 @@ def test_free_slugs_as_one_by_one(spark, monkeypatch, present):
     rows = [(k, rng.choice(names), rng.choice(["s1", "s2"]), f"p{k}" if present else None) for k in range(60)]
     taken = ["b", "a-s2", "noticia-s2"]
     df = spark.createDataFrame(rows, "position long, slug string, suffix string, own string").repartition(3)
-    got = merge.free_slugs(df, spark.createDataFrame([(t,) for t in taken], "t string"), "slug", "position", "suffix", present="own" if present else None)
+    got = merge.free_slugs(df, spark.createDataFrame([(t,) for t in taken], "slug string"), "slug", "position", "suffix", present="own" if present else None)
     assert {r["position"]: r["final_slug"] for r in got.collect()} == one_by_one(rows, taken)
 
 

@@ -6,10 +6,11 @@ import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StringType, StructField, StructType
 
 # Tags whose text nobody reads, tags that end a line, tags without an end.
 SKIPPED = frozenset("script style noscript iframe svg template".split())
@@ -25,6 +26,8 @@ META = {
     "og_author": ("article:author", "author"), "og_published": ("article:published_time",),
 }
 HEAD = 200_000
+#: Pages that are read together.
+PAGES = 256
 
 
 class _Text(HTMLParser):
@@ -210,16 +213,22 @@ def clean_text(c: Column) -> Column:
     return F.nullif(F.when(tagged.isNotNull(), read(tagged)).otherwise(F.regexp_replace(c, r"^\s+|\s+$", "")), F.lit(""))
 
 
-def _per_page(pages: DataFrame, id_col: str, html_col: str, read: object, fields: str) -> DataFrame:
-    names = [f.split(" ")[0] for f in fields.split(", ")]
+def _per_page(pages: DataFrame, id_col: str, html_col: str, read: object, fields: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, keep..., fields) of each page, in Arrow batches, PAGES at a time."""
+    made, names = StructType.fromDDL(fields), [id_col, *keep]
+    held = [StructField(f"k{i}", pages.schema[c].dataType) for i, c in enumerate(names)]
+    types = [to_arrow_type(f.dataType) for f in made]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pd.DataFrame([read(x) for x in batch["html"]], columns=names).assign(id=batch["id"].to_numpy())[["id", *names]]
+            for k in range(0, batch.num_rows, PAGES):
+                part = batch.slice(k, PAGES)
+                rows = [read(x) for x in part.column(len(names)).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], *(pa.array([r[j] for r in rows], t) for j, t in enumerate(types))], [*(f.name for f in held), *made.names])
 
-    kind = pages.schema[id_col].dataType.simpleString()
-    picked = pages.select(pages[id_col].alias("id"), pages[html_col].alias("html"))
-    return picked.mapInPandas(run, f"id {kind}, {fields}").withColumnRenamed("id", id_col)
+    picked = pages.select(*(pages[c].alias(f"k{i}") for i, c in enumerate(names)), pages[html_col].alias("html"))
+    out = picked.mapInArrow(run, StructType([*held, *made.fields]))
+    return out.select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(names)), *made.names)
 
 
 def read_pages(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
@@ -231,6 +240,6 @@ def read_pages(pages: DataFrame, id_col: str = "page_id", html_col: str = "html"
     return _per_page(pages, id_col, html_col, read, "text string, body string, n_paragraphs long, by_container boolean, og_title string, og_description string, og_image string, og_author string, og_published string")
 
 
-def read_tables(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """(id, rows array<array<array<string>>>, headings array<string>) of each page's tables."""
-    return _per_page(pages, id_col, html_col, tables, "rows array<array<array<string>>>, headings array<string>")
+def read_tables(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, keep..., rows array<array<array<string>>>, headings array<string>) of each page's tables."""
+    return _per_page(pages, id_col, html_col, tables, "rows array<array<array<string>>>, headings array<string>", keep)

@@ -1,10 +1,11 @@
 """Calendar rows of four cells (arrays of lines): each line is read by what it is, not by where it stands."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.html import read_tables
 from ..functions.text import fold
+from ..sources.shared import kept
 
 # Months in order, weekdays from Sunday on, colours, notes of discipline, the class, the readings' separator.
 MONTHS = ("janeiro", "fevereiro", "marco", "abril", "maio", "junho", "julho", "agosto", "setembro", "outubro", "novembro", "dezembro")
@@ -92,21 +93,49 @@ def liturgy_cell(lines: Column) -> Column:
     return F.aggregate(F.filter(lines, lambda x: ~blank(x)), none, read)
 
 
-def read_rows(rows: DataFrame, year: str = "year") -> tuple[DataFrame, DataFrame]:
-    """(days, rejects) of rows with cells day_lines, feast_lines, marian_lines and liturgy_lines (arrays of strings, null for none).
+CELLS = ("day_lines", "feast_lines", "marian_lines", "liturgy_lines")
+
 
-    Header rows are left out. A row without a date or a feast is a reject with its reason; days have
-    warnings, an array. Other columns pass.
+def judged_rows(rows: DataFrame, year: str = "year") -> DataFrame:
+    """rows with cells day_lines, feast_lines, marian_lines and liturgy_lines (arrays of strings, null for none), what was read of them, and reason: why a row is no day, null where it is one.
+
+    Header rows are left out. A row without a date or a feast is a reject; days have warnings, an array. Other columns pass.
     """
     empty = F.array().cast("array<string>")
-    cells = {name: F.filter(F.coalesce(F.col(name), empty), lambda x: x.isNotNull()) for name in ("day_lines", "feast_lines", "marian_lines", "liturgy_lines")}
+    cells = {name: F.filter(F.coalesce(F.col(name), empty), lambda x: x.isNotNull()) for name in CELLS}
     held = rows.filter(~F.coalesce(F.get(cells["day_lines"], F.lit(0)), F.lit("")).rlike("(?i)^dia$"))
     made = held.withColumns({"d": day_cell(cells["day_lines"], F.col(year)), "f": feast_cell(cells["feast_lines"]), "m": marian_cell(cells["marian_lines"]), "l": liturgy_cell(cells["liturgy_lines"])})
     reason = F.when(F.col("d").isNull(), "no date").when(F.col("f.feast").isNull(), "no feast")
-    rejects = made.withColumn("reason", reason).filter(F.col("reason").isNotNull()).drop("d", "f", "m", "l")
     warnings = F.array_compact(F.array(F.col("d.warning"), F.when(F.col("l.color").isNull(), "no colour"), F.when(F.col("l.epistle").isNull() | F.col("l.gospel").isNull(), "no readings")))
-    days = made.filter(reason.isNull()).select(*rows.columns, "d.date", "d.weekday", "f.*", "m.*", "l.*", warnings.alias("warnings"))
-    return days.drop(*cells), rejects
+    return made.select(*rows.columns, reason.alias("reason"), "d.date", "d.weekday", "f.*", "m.*", "l.*", warnings.alias("warnings"))
+
+
+def read_rows(rows: DataFrame, year: str = "year") -> tuple[DataFrame, DataFrame]:
+    """(days, rejects) of judged_rows, written once, so that pages aren't read for each of them."""
+    told, _ = measured(judged_rows(rows, year))
+    return told.filter("reason is null").drop("reason", *CELLS), told.filter("reason is not null").select(*rows.columns, "reason")
+
+
+def measured(told: DataFrame) -> tuple[DataFrame, dict]:
+    """(judged_rows as a table, how many days and rejects were counted while it was written)."""
+    seen = Observation()
+    table = kept(told.observe(seen, F.count_if(F.col("reason").isNull()).alias("days"), F.count_if(F.col("reason").isNotNull()).alias("rejects")), "days")
+    return table, dict(seen.get)
+
+
+def verdict(seen: dict, most: float = 0.1) -> dict:
+    """days, rejects, ratio and abort: more than ``most`` of all rows were rejected, or there is no day."""
+    ratio = seen["rejects"] / max(seen["days"] + seen["rejects"], 1)
+    return {**seen, "ratio": ratio, "abort": ratio > most or not seen["days"]}
+
+
+def publish(told: DataFrame, path: str, most: float = 0.1) -> dict:
+    """Writes the days of judged_rows to path, one row a date, unless the run is to be aborted, and gives the verdict. Rows are read and counted in one pass."""
+    table, seen = measured(told)
+    found = verdict(seen, most)
+    if not found["abort"]:
+        last_wins(table.filter("reason is null").drop("reason", *CELLS)).write.mode("overwrite").parquet(path)
+    return found
 
 
 def resolved_year(url: Column, headings: Column, expected: Column) -> Column:
@@ -122,10 +151,9 @@ def resolved_year(url: Column, headings: Column, expected: Column) -> Column:
 def page_rows(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", url_col: str = "url", expected: int | None = None, least: int = 0) -> DataFrame:
     """Rows for read_rows from the tables of calendar pages: id, position, year, year_warning and the four cells. Pages shorter than ``least`` characters are no calendar."""
     held = pages.filter(F.length(html_col) >= least)
-    found = read_tables(held, id_col, html_col).join(held.select(id_col, F.col(url_col).alias("__url")), id_col)
-    dated = found.withColumn("__y", resolved_year(F.col("__url"), F.col("headings"), F.lit(expected).cast("int")))
+    dated = read_tables(held, id_col, html_col, keep=(url_col,)).withColumn("__y", resolved_year(F.col(url_col), F.col("headings"), F.lit(expected).cast("int")))
     rows = dated.select(id_col, F.col("__y.year").alias("year"), F.col("__y.warning").alias("year_warning"), F.posexplode("rows").alias("position", "r"))
-    return rows.select(id_col, "position", "year", "year_warning", *(F.get("r", F.lit(k)).alias(name) for k, name in enumerate(("day_lines", "feast_lines", "marian_lines", "liturgy_lines"))))
+    return rows.select(id_col, "position", "year", "year_warning", *(F.get("r", F.lit(k)).alias(name) for k, name in enumerate(CELLS)))
 
 
 def last_wins(days: DataFrame, date: str = "date", position: str = "position") -> DataFrame:
@@ -134,14 +162,6 @@ def last_wins(days: DataFrame, date: str = "date", position: str = "position") -
     return made.select("r.*", "repeated")
 
 
-def reject_ratio(days: DataFrame, rejects: DataFrame, most: float = 0.1) -> DataFrame:
-    """One row: days, rejects, ratio and abort: more than ``most`` of all were rejected, or there is no day."""
-    both = days.select(F.lit(0).alias("bad")).unionByName(rejects.select(F.lit(1).alias("bad")))
-    sums = both.agg(F.count_if(F.col("bad") == 0).alias("days"), F.count_if(F.col("bad") == 1).alias("rejects"))
-    ratio = F.col("rejects") / F.greatest(F.col("days") + F.col("rejects"), F.lit(1))
-    return sums.withColumn("ratio", ratio).withColumn("abort", (F.col("ratio") > most) | (F.col("days") == 0))
-
-
 def new_days(batch: DataFrame, stored: DataFrame, date: str = "date") -> DataFrame:
     """Days that aren't stored yet."""
     return batch.join(stored.select(date).distinct(), date, "left_anti")

@@ -129,12 +129,12 @@ def json_ld(articles: DataFrame) -> DataFrame:
     return published(articles).select("doc_id", script_safe(F.to_json(news_article())).alias("article"), script_safe(F.to_json(trail())).alias("trail"))
 
 
-def site_json_ld(spark) -> DataFrame:
-    """(kind, json): the site's own documents."""
+def site_json_ld(articles: DataFrame) -> DataFrame:
+    """(doc_id, kind, json): the site's own documents, as every published article's page holds them."""
     search = F.struct(F.lit("SearchAction").alias("@type"), _object(_type="EntryPoint", urlTemplate=f"{SITE}/busca?q={{search_term_string}}").alias("target"), F.lit("required name=search_term_string").alias("query-input"))
     site = _object(_context="https://schema.org", _type="WebSite", _id=f"{SITE}/#site", name=SITE_NAME, url=SITE, description=ABOUT, inLanguage="pt-BR", publisher=publisher(), potentialAction=search)
     own = F.struct(F.lit("https://schema.org").alias("@context"), publisher()["@type"].alias("@type"), *(publisher()[c].alias(c) for c in ("@id", "name", "url", "logo", "ethicsPolicy", "publishingPrinciples")))
-    return spark.range(1).select(F.explode(F.array(F.struct(F.lit("site").alias("kind"), F.to_json(site).alias("json")), F.struct(F.lit("organization").alias("kind"), F.to_json(own).alias("json")))).alias("r")).select("r.*")
+    return published(articles).select("doc_id", F.explode(F.array(F.struct(F.lit("site").alias("kind"), F.to_json(site).alias("json")), F.struct(F.lit("organization").alias("kind"), F.to_json(own).alias("json")))).alias("r")).select("doc_id", "r.*")
 
 
 def metadata(articles: DataFrame) -> DataFrame:

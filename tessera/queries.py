@@ -264,4 +264,4 @@ def tags_normalised(s, d):
 
 
 # The other modules add theirs.
-from . import queries_editorial, queries_exports, queries_ingest, queries_site, queries_stream  # noqa: E402, F401
+from . import queries_editorial, queries_exports, queries_ingest, queries_results, queries_site, queries_stream  # noqa: E402, F401

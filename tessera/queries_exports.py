@@ -88,11 +88,11 @@ def jsonld(s, d):
     return exports.json_ld(stories(s, d))
 
 
-@query("site_jsonld", f"""select 'site' as kind, cast(json_object('@context', 'https://schema.org', '@type', 'WebSite', '@id', '{SITE}/#site', 'name', '{SITE_NAME}', 'url', '{SITE}', 'description', '{ABOUT}', 'inLanguage', 'pt-BR', 'publisher', {_PUBLISHER}, 'potentialAction', json_object('@type', 'SearchAction',
+@query("site_jsonld", STORIES_SQL + f""", j as (select 'site' as kind, cast(json_object('@context', 'https://schema.org', '@type', 'WebSite', '@id', '{SITE}/#site', 'name', '{SITE_NAME}', 'url', '{SITE}', 'description', '{ABOUT}', 'inLanguage', 'pt-BR', 'publisher', {_PUBLISHER}, 'potentialAction', json_object('@type', 'SearchAction',
  'target', json_object('@type', 'EntryPoint', 'urlTemplate', '{SITE}/busca?q={{search_term_string}}'), 'query-input', 'required name=search_term_string')) as varchar) as json union all select 'organization', cast(json_object('@context', 'https://schema.org', '@type', 'NewsMediaOrganization', '@id', '{SITE}/#organizacao', 'name', '{SITE_NAME}', 'url', '{SITE}', 'logo',
- json_object('@type', 'ImageObject', 'url', '{SITE}/logo.png', 'width', 512, 'height', 512), 'ethicsPolicy', '{SITE}/politica-editorial', 'publishingPrinciples', '{SITE}/politica-editorial') as varchar)""")
+ json_object('@type', 'ImageObject', 'url', '{SITE}/logo.png', 'width', 512, 'height', 512), 'ethicsPolicy', '{SITE}/politica-editorial', 'publishingPrinciples', '{SITE}/politica-editorial') as varchar)) select doc_id, kind, json from pub, j""")
 def site_jsonld(s, d):
-    return exports.site_json_ld(s)
+    return exports.site_json_ld(stories(s, d))
 
 
 @query("page_metadata", VIEW + f""" select doc_id, shown as title, about as description, url as canonical, label as category, concat('igreja,', source_name) as keywords, coalesce(source_author, source_name) as author, cast(json_object('type', 'article', 'url', url, 'siteName', '{SITE_NAME}', 'locale', 'pt_BR', 'title', shown, 'description', about, 'image', coalesce(image_url, '{SITE}/og-default.png'), 'publishedTime', iso_published, 'modifiedTime', iso_updated, 'section', label) as varchar) as og,

@@ -305,9 +305,9 @@ def calendar_days(s, d):
 
 @query("calendar_rejects", CALENDAR_SQL + ", s as (select count(*) + count(*) filter (repeated) as days, count(distinct page_id) as rejects from c) select days, rejects, rejects / greatest(days + rejects, 1) as ratio, rejects / greatest(days + rejects, 1) > 0.1 or days = 0 as abort from s")
 def calendar_rejects(s, d):
-    """The share of rows that could not be read, and whether it ends the run."""
-    days, rejects = calendar.read_rows(calendar.page_rows(_calendar(s, d), least=100))
-    return calendar.reject_ratio(days, rejects)
+    """The share of rows that could not be read, counted while they were read, and whether it ends the run."""
+    _, seen = calendar.measured(calendar.judged_rows(calendar.page_rows(_calendar(s, d), least=100)))
+    return s.createDataFrame([tuple(calendar.verdict(seen).values())], "days long, rejects long, ratio double, abort boolean")
 
 
 @query("calendar_new_days", f"select count(*) as days, count(*) filter (day >= date '1997-01-01') as new from ({_DAY})")

@@ -179,10 +179,12 @@ def page_fields(s, d):
     return html.read_pages(pages, "doc_id").select("doc_id", "og_title", "og_description", "og_image", "og_author", "og_published", "by_container", "n_paragraphs")
 
 
-SAMPLE_DAYS = (("2026-07-26", "Domingo", "Festa A", "branco"), ("2026-07-27", "Segunda", "Féria", None), ("2026-07-28", "Terça", "Festa B", "vermelho"))
+SAMPLE_DAYS = (("07-26", "Domingo", "Festa A", "branco"), ("07-27", "Segunda", "Féria", None), ("07-28", "Terça", "Festa B", "vermelho"))
 
 
-@query("sample_days", "select * from (values ('2026-07-26', 'Domingo', 'Festa A', 'branco'), ('2026-07-27', 'Segunda', 'Féria', null), ('2026-07-28', 'Terça', 'Festa B', 'vermelho')) t(date, weekday, feast, color)")
+@query("sample_days", "select cast(day as varchar) as date, feast, color from (select distinct cast(o_orderdate as date) as day from orders) join (values ('07-26', 'Festa A', 'branco'), ('07-27', 'Féria', null), ('07-28', 'Festa B', 'vermelho')) t(at, feast, color) on strftime(day, '%m-%d') = at")
 def sample_days(s, d):
-    """The in-memory source."""
-    return s.createDataFrame(list(SAMPLE_DAYS), "date string, weekday string, feast string, color string")
+    """The stored days that the in-memory source describes, in every year."""
+    known = s.createDataFrame([(a, f, c) for a, _, f, c in SAMPLE_DAYS], "at string, feast string, color string")
+    days = table(s, d, "orders").select(F.col("o_orderdate").cast("date").alias("day")).distinct()
+    return days.join(F.broadcast(known), F.date_format("day", "MM-dd") == F.col("at")).select(F.col("day").cast("string").alias("date"), "feast", "color")

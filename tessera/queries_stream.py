@@ -9,7 +9,7 @@ from .plans import adapt
 from .registry import query
 from .sources.shared import fresh_path
 from .sources.tables import table
-from .streaming import ingest, sink, states, windows
+from .streaming import ingest, runlog, sink, states, windows
 
 #: Slices of time in which events come, every LATE-th of them in the last slice.
 SLICES, LATE = 4, 97
@@ -102,3 +102,18 @@ def stream_overlap(s, d):
     for run, pattern in (("a", "{slice=0,slice=1,slice=2,again=1}"), ("b", "{slice=1,again=1,slice=2,slice=3}")):
         ingest.merge_stream(read_slices(s, path, pattern, 2), f"{out}/table", f"{out}/log-{run}", "event_id", "ts", event_time="ts", delay="1 day").awaitTermination()
     return s.read.parquet(f"{out}/table").groupBy("event_id", "event_type").agg(F.count(F.lit(1)).alias("times"))
+
+
+@query("stream_run_log", SLICED_SQL + f", s as (select slice, count(*) n, count(*) filter (event_type = 'error') bad from e group by 1) select 'events' as query, count(*) as batches, sum(n)::bigint as rows_in, sum(bad)::bigint as failures, false as crashed from s")
+def stream_run_log(s, d):
+    """What the listener wrote about a run over the events: batches, rows and failures, counted while they went by."""
+    path, out = event_slices(s, d), fresh_path(s, "runs")
+    log = runlog.RunLog(s, f"{out}/log")
+    s.streams.addListener(log)
+    try:
+        rows = read_slices(s, path).observe("seen", F.count_if(F.col("event_type") == "error").alias("failures"))
+        rows.writeStream.queryName("events").format("parquet").option("checkpointLocation", f"{out}/offsets").trigger(availableNow=True).start(f"{out}/table").awaitTermination()
+        runlog.wait_for(log, 1)
+    finally:
+        s.streams.removeListener(log)
+    return log.rows().select("query", "batches", "rows_in", F.col("seen")["seen.failures"].alias("failures"), "crashed")

@@ -1,5 +1,7 @@
 """Calendar rows, model answers and the nine guard-rails on small cases."""
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -147,10 +149,13 @@ def test_states(spark):
     assert adapt.token_totals(adapt.final_states(spark.createDataFrame([], schema), "k")).first()["tokens_in"] == 0
 
 
-def test_calendar_pages(spark):
+def test_calendar_pages(spark, tmp_path):
     page = "<h2>Calendário de 2026</h2><table><tr><th>Dia</th><th>x</th><th>y</th><th>z</th></tr><tr><td>1 de Julho<br>Domigo</td><td><p>Festa</p></td><td>-</td><td>Róseo ou Roxo<br>A • B</td></tr><tr><td>1 de Julho</td><td>Outra</td><td></td><td></td></tr><tr><td>31 de Fevereiro</td><td>F</td><td></td><td></td></tr><tr><td>só</td></tr></table>"
     pages = spark.createDataFrame([(1, page, "https://c/"), (2, None, None), (3, "", "x")], "page_id int, html string, url string")
     days, rejects = calendar.read_rows(calendar.page_rows(pages, expected=2026))
     got = calendar.last_wins(days).collect()
     assert [(r["date"], r["feast"], r["repeated"], r["year_warning"]) for r in got] == [("2026-07-01", "Outra", True, None)] and [r["reason"] for r in rejects.collect()] == ["no date"]
-    assert tuple(calendar.reject_ratio(days, rejects).first()) == (2, 1, 1 / 3, True) and calendar.reject_ratio(days.limit(0), rejects.limit(0)).first()["abort"]
+    assert (days.count(), rejects.count()) == (2, 1) and calendar.verdict({"days": 2, "rejects": 1}) == {"days": 2, "rejects": 1, "ratio": 1 / 3, "abort": True} and calendar.verdict({"days": 0, "rejects": 0})["abort"]
+    rows = calendar.judged_rows(calendar.page_rows(pages, expected=2026))
+    assert calendar.publish(rows, str(tmp_path / "days"))["abort"] and not os.path.exists(tmp_path / "days")
+    assert not calendar.publish(rows, str(tmp_path / "days"), most=0.5)["abort"] and spark.read.parquet(str(tmp_path / "days")).select("date").distinct().count() == spark.read.parquet(str(tmp_path / "days")).count() > 0

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.shared import kept
+
 #: Rows of a list, and how many are stored of it, so that some may leave before it is read anew.
 TOP, STORED = 30, 60
 HOME, SLICES = "home", 64
@@ -114,6 +116,7 @@ class Kept:
         A stored list is known down to its floor: what the changes leave and add above it stands, what they add below it may be behind
         articles that aren't stored. A list with fewer than TOP entries above its floor is read anew.
         """
+        changed = kept(changed, "changes")  # read by every step below
         moved(self.counts(version - 1), deltas(changed)).write.mode("overwrite").parquet(f"{self.path}/counts/version={version}")
         tags = touched(changed)
         held = self.stored(version - 1).join(tags, "tag", "left_semi")
@@ -121,6 +124,7 @@ class Kept:
         new = entries(changed.filter("new.status = 'published'").select("doc_id", "new.*"))
         stay = held.filter("doc_id is not null").select("tag", "doc_id", "slug", "published_at").join(changed.select("doc_id"), "doc_id", "left_anti")
         above = floors.join(stay.unionByName(new), "tag", "left").filter(F.col("floor_id").isNull() | F.col("doc_id").isNull() | (place() >= place("floor_at", "floor_id")))
+        above = kept(above, "lists")
         sizes = floors.join(above.groupBy("tag").agg(F.count("doc_id").alias("n")), "tag", "left")
         again = [r["tag"] for r in sizes.filter(F.col("floor_id").isNotNull() & (F.coalesce("n", F.lit(0)) < TOP)).select("tag").collect()]
         marks = floors.select("tag", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("slug"), F.lit(None).cast("long").alias("published_at"), "floor_at", "floor_id")

@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from .plans import glossary, kept
 from .registry import query
 from .sources.shared import fresh_path
+from .sources.shared import kept as kept_table
 from .sources.tables import ARTICLES_SQL, articles, table
 
 
 def _kept(s: SparkSession, d: str) -> kept.Kept:
     """Every third article first, then two batches: new ones with some that are withdrawn, the rest with some that change their category."""
-    base = articles(s, d).select("doc_id", *kept.COLUMNS)
+    base = kept_table(articles(s, d).select("doc_id", *kept.COLUMNS), "articles")
     part, i = F.col("doc_id") % 3, F.col("doc_id")
     results = kept.Kept(s, fresh_path(s, "kept"))
     now = base.filter(part == 0)
@@ -21,7 +22,7 @@ def _kept(s: SparkSession, d: str) -> kept.Kept:
     first = base.filter((part == 1) | ((part == 0) & (i % 10 == 0))).withColumn("status", F.when((part == 0) & (i % 10 == 0), "draft").otherwise(F.col("status")))
     second = base.filter((part == 2) | ((part == 1) & (i % 7 == 0))).withColumn("category_slug", F.when((part == 1) & (i % 7 == 0), "fr").otherwise(F.col("category_slug")))
     for version, batch in enumerate((first, second), 1):
-        after = kept.merged(now, batch)
+        after = kept_table(kept.merged(now, batch), "articles")
         results.apply(version, kept.changes(now, batch), after)
         now = after
     return results
@@ -55,7 +56,7 @@ GLOSSARY_SQL = "with b as (select item_id, regexp_extract_all(lower(text), '([\\
 _KIND_SQL = "case item_id % 7 " + " ".join(f"when {k} then '{name}'" for k, name in enumerate(glossary.KINDS)) + " end"
 
 
-@query("glossary_blocks", GLOSSARY_SQL + f" select {_KIND_SQL} as kind, count(*) as n, concat('[', {_KIND_SQL}, ']', chr(10), string_agg(concat('  ', term, ' = ', upper(term), coalesce(concat('  (', note, ')'), '')), chr(10) order by item_id * 2 + k)) as block from g where item_id % 7 < 4 group by item_id % 7, 1")
+@query("glossary_blocks", GLOSSARY_SQL + f" select {_KIND_SQL} as kind, count(*) as n, concat('[', {_KIND_SQL}, ']', chr(10), string_agg(concat('  ', term, ' = ', upper(term), coalesce('  (' || note || ')', '')), chr(10) order by item_id * 2 + k)) as block from g where item_id % 7 < 4 group by item_id % 7, 1")
 def glossary_blocks(s, d):
     """The prompt's blocks of the core kinds."""
     return glossary.blocks(_glossary(s, d)).select("kind", "n", "block")

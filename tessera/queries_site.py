@@ -182,7 +182,7 @@ def page_fields(s, d):
 SAMPLE_DAYS = (("07-26", "Domingo", "Festa A", "branco"), ("07-27", "Segunda", "Féria", None), ("07-28", "Terça", "Festa B", "vermelho"))
 
 
-@query("sample_days", "select cast(day as varchar) as date, feast, color from (select distinct cast(o_orderdate as date) as day from orders) join (values ('07-26', 'Festa A', 'branco'), ('07-27', 'Féria', null), ('07-28', 'Festa B', 'vermelho')) t(at, feast, color) on strftime(day, '%m-%d') = at")
+@query("sample_days", "select cast(day as varchar) as date, feast, color from (select distinct cast(o_orderdate as date) as day from orders) join (values ('07-26', 'Festa A', 'branco'), ('07-27', 'Féria', null), ('07-28', 'Festa B', 'vermelho')) t(md, feast, color) on strftime(day, '%m-%d') = md")
 def sample_days(s, d):
     """The stored days that the in-memory source describes, in every year."""
     known = s.createDataFrame([(a, f, c) for a, _, f, c in SAMPLE_DAYS], "at string, feast string, color string")

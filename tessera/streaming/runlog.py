@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming.listener import QueryIdleEvent, QueryProgressEvent, QueryStartedEvent, QueryTerminatedEvent, StreamingQueryListener
 
+from ..sources.shared import exists
+
 SCHEMA = "run_id string, query string, started_at string, batches long, rows_in long, rows_dropped long, seen map<string,long>, crashed boolean, error string"
 
 
@@ -48,11 +50,7 @@ def wait_for(log: RunLog, runs: int, seconds: float = 60) -> bool:
 
     end = time.time() + seconds
     while time.time() < end:
-        try:
-            if log.rows().count() >= runs:
-                return True
-        except Exception as e:  # the table's first row may not be there yet
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
+        if exists(log.spark, log.path) and log.rows().count() >= runs:
+            return True
         time.sleep(0.2)
     return False

@@ -20,6 +20,12 @@ def error_kind(status: Column) -> Column:
     return F.when(status.isNull(), "rede").when(status.isin(401, 403), "desativado").when(status.isin(402, 429), "quota").when(status >= 400, "indisponivel")
 
 
+def provider_error(status: Column, body: Column, cause: Column) -> Column:
+    """struct(kind, message) of a failed call: by its status and the answer's first 300 characters, or by what came before any answer."""
+    said = F.when(status.isNull(), cause).otherwise(F.concat(F.lit("HTTP "), status.cast("string"), F.lit(": "), F.left(F.coalesce(body, F.lit("")), F.lit(300))))
+    return F.when(error_kind(status).isNotNull(), F.struct(error_kind(status).alias("kind"), said.alias("message")))
+
+
 def error_destination(kind: Column) -> Column:
     return F.when(kind.isin(*RETRY, "desativado"), "draft").otherwise("failed_validation")
 

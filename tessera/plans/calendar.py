@@ -163,8 +163,10 @@ def last_wins(days: DataFrame, date: str = "date", position: str = "position") -
 
 
 def new_days(batch: DataFrame, stored: DataFrame, date: str = "date") -> DataFrame:
-    """Days that aren't stored yet."""
-    return batch.join(stored.select(date).distinct(), date, "left_anti")
+    """Days that aren't stored yet. Of the stored ones only the batch's range is read."""
+    ends = batch.agg(F.min(date).alias("a"), F.max(date).alias("b")).first()
+    near = stored.filter(F.col(date).between(F.lit(ends["a"]), F.lit(ends["b"]))) if ends["a"] is not None else stored.limit(0)
+    return batch.join(near.select(date).distinct(), date, "left_anti")
 
 
 def months_present(days: DataFrame, date: str = "date") -> DataFrame:

@@ -33,6 +33,16 @@ def category_page(articles: DataFrame, category: str | None, number: int, size:
     return cut.select("doc_id", "slug", "title", "published_at", F.lit(number).alias("page"), F.lit(pages).alias("pages"), F.lit(total).alias("total"))
 
 
+def valid_pages(articles: DataFrame, requests: DataFrame, category: str = "category", number: str = "number", size: int = 12) -> DataFrame:
+    """requests with pages and valid: whether the category (null: all) has the page; the first one is always there, others aren't found beyond the last."""
+    rows = published(articles)
+    by = rows.groupBy(F.col("category_slug").alias("__c")).agg(F.count(F.lit(1)).alias("n")).filter("__c is not null")  # a row a category
+    every = rows.agg(F.count(F.lit(1)).alias("n")).select(F.lit(None).cast("string").alias("__c"), "n")
+    met = requests.join(F.broadcast(by.unionByName(every)), F.col(category).eqNullSafe(F.col("__c")), "left")
+    pages = F.greatest(F.ceil(F.coalesce("n", F.lit(0)) / F.lit(size)), F.lit(1)).cast("long")
+    return met.select(*requests.columns, pages.alias("pages")).withColumn("valid", (F.col(number) == 1) | F.col(number).between(1, F.col("pages")))
+
+
 def by_slug(articles: DataFrame, slug: str) -> DataFrame:
     return articles.filter((F.col("slug") == slug)).limit(1)
 

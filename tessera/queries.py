@@ -258,9 +258,9 @@ def requeue(s, d):
     return queue.requeue(articles(s, d).withColumn("validation_errors", errors).withColumn("attempts", F.col("doc_id") % 4), NOW).select("doc_id", "status", "attempts")
 
 
-@query("tags_normalised", "select doc_id, array_to_string(list_slice(list_filter(l, lambda x, i: list_position(l, x) = i), 1, 6), ',') as tags from (select doc_id, list_filter(list_transform(list_slice(string_split(text, ' '), 1, 20), lambda t: left(regexp_replace(lower(trim(t)), '[#\"'']', '', 'g'), 32)), lambda t: length(t) >= 2) l from documents)")
+@query("tags_normalised", "select doc_id, array_to_string(list_slice(list_filter(l, lambda x, i: list_position(l, x) = i), 1, 6), ',') as tags from (select doc_id, list_filter(list_transform(string_split(text, ' '), lambda t: left(regexp_replace(lower(trim(t)), '[#\"'']', '', 'g'), 32)), lambda t: length(t) >= 2) l from documents)")
 def tags_normalised(s, d):
-    return table(s, d, "documents").select("doc_id", F.array_join(text.tags(F.slice(F.split("text", " "), 1, 20)), ",").alias("tags"))
+    return table(s, d, "documents").select("doc_id", F.array_join(text.tags(F.split("text", " ")), ",").alias("tags"))
 
 
 # The other modules add theirs.

@@ -113,7 +113,7 @@ def retry_gate(s, d):
     return rules.judge(editorial.facts(_pairs(s, d)), three).select("doc_id", F.array_join("failed_rules", ",").alias("failed_rules"), rules.too_long_alone(F.col("failed_rules")).alias("again"))
 
 
-_HEAD, _BODY = "regexp_replace(split_part(text, '.', 1), '[^A-Za-z ]', '', 'g')", "regexp_replace(left(text, 300), '[^A-Za-z ]', '', 'g')"
+_HEAD, _BODY = "regexp_replace(split_part(text, '.', 1), '[^A-Za-z ]', '', 'g')", "regexp_replace(text, '[^A-Za-z ]', '', 'g')"
 DRAFTS_SQL = f"with c as (select doc_id, trim(concat('T ', trim({_HEAD}))) t, trim(concat('B ', trim({_BODY}))) b from documents)"
 
 
@@ -121,7 +121,7 @@ def _answers(s: SparkSession, d: str) -> DataFrame:
     """Model answers: blocks after closed reasoning, decorated blocks, JSON, fenced JSON, an open reasoning block."""
     docs = table(s, d, "documents")
     t = F.concat(F.lit("T "), F.trim(F.regexp_replace(F.split_part("text", F.lit("."), F.lit(1)), "[^A-Za-z ]", "")))
-    b = F.concat(F.lit("B "), F.trim(F.regexp_replace(F.substring("text", 1, 300), "[^A-Za-z ]", "")))
+    b = F.concat(F.lit("B "), F.trim(F.regexp_replace(F.col("text"), "[^A-Za-z ]", "")))
     made = F.to_json(F.struct(t.alias("titulo"), F.lit("Linha").alias("dek"), b.alias("corpo_md"), F.lit("Santos").alias("categoria"), F.array(F.lit("#Um"), F.lit("dois")).alias("tags")))
     blocks = F.concat(F.lit("TITULO: "), t, F.lit("\nDEK: Linha\nCATEGORIA: Santos\nTAGS: #Um, dois; um\nCORPO:\n"), b)
     kinds = (F.concat(F.lit("<think>hm\nTITULO: x</think>"), blocks), F.replace(F.replace(blocks, F.lit("TITULO:"), F.lit("**Headline:")), F.lit("CORPO:"), F.lit("## Texto:")), made, F.concat(F.lit("```json\n"), made, F.lit("\n```")), F.concat(F.lit("<think>"), blocks))
@@ -187,10 +187,10 @@ def isolated_rules(s, d):
     return told.select("doc_id", F.array_join("failed_rules", ",").alias("failed_rules"), F.array_join("errors", "\n").alias("errors"))
 
 
-@query("numbered_divergences", "select doc_id, i as position, 2 as total, concat('divergence ', i, '/2: ', w) as line from (select doc_id, unnest([1, 2]) i, unnest(list_slice(string_split(text, ' '), 1, 2)) w from documents where len(string_split(text, ' ')) >= 2)")
+@query("numbered_divergences", "select doc_id, i::int as position, n::int as total, concat('divergence ', i, '/', n, ': ', w) as line from (select doc_id, unnest(range(1, len(string_split(text, ' ')) + 1)) i, len(string_split(text, ' ')) n, unnest(string_split(text, ' ')) w from documents)")
 def numbered_divergences(s, d):
     """Positions of an array's items with their number."""
-    rows = table(s, d, "documents").withColumn("w", F.split("text", " ", -1)).filter(F.size("w") >= 2).withColumn("w", F.slice("w", 1, 2))
+    rows = table(s, d, "documents").withColumn("w", F.split("text", " ", -1))
     rows = rows.select("doc_id", F.size("w").alias("total"), F.posexplode("w").alias("i", "said"))
     return rows.select("doc_id", (F.col("i") + 1).alias("position"), "total", F.concat(F.lit("divergence "), (F.col("i") + 1).cast("string"), F.lit("/"), F.col("total").cast("string"), F.lit(": "), F.col("said")).alias("line"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .plans import glossary, kept
+from .plans import adapt, glossary, kept, reads, schedule
 from .registry import query
 from .sources.shared import fresh_path
 from .sources.shared import kept as kept_table
@@ -67,3 +67,39 @@ def glossary_terms(s, d):
     """How often each term stands in each document, the longest first; no SQL, as terms may overlap (tests hold it against plain Python)."""
     found = glossary.met(table(s, d, "documents").select("doc_id", "text"), _glossary(s, d))
     return found.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("page_requests", ARTICLES_SQL + """, r as (select event_id, cast(event_id % 40 as bigint) number, case event_type when 'view' then 'en' when 'click' then 'de' when 'error' then 'pt' end category from events), n as (select category_slug c, count(*) n from pub group by 1 union all select null, count(*) from pub)
+ select event_id, cast(greatest(ceil(coalesce(n, 0) / 12.0), 1) as bigint) as pages, number = 1 or number between 1 and greatest(ceil(coalesce(n, 0) / 12.0), 1) as valid from r left join n on category is not distinct from c""")
+def page_requests(s, d):
+    """Whether the pages that were asked for are there."""
+    kind = F.col("event_type")
+    category = F.when(kind == "view", "en").when(kind == "click", "de").when(kind == "error", "pt")
+    asked = table(s, d, "events").select("event_id", (F.col("event_id") % 40).alias("number"), category.alias("category"))
+    return reads.valid_pages(articles(s, d), asked).select("event_id", "pages", "valid")
+
+
+@query("error_kinds", """with s as (select doc_id, text, case doc_id % 8 when 0 then null when 1 then 200 when 2 then 401 when 3 then 402 when 4 then 429 when 5 then 400 when 6 then 503 else 403 end st from documents)
+ select doc_id, case when st is null then 'rede' when st in (401, 403) then 'desativado' when st in (402, 429) then 'quota' when st >= 400 then 'indisponivel' end as kind, case when st is null then concat('TimeoutError: ', doc_id) when st >= 400 then concat('HTTP ', st, ': ', left(text, 300)) end as message from s""")
+def error_kinds(s, d):
+    """What failed calls mean, with what is recorded of their answers."""
+    i = F.col("doc_id")
+    status = F.element_at(F.array(*(F.lit(x) for x in (None, 200, 401, 402, 429, 400, 503, 403))), (i % 8 + 1).cast("int"))
+    e = F.col("e")
+    rows = table(s, d, "documents").withColumn("e", adapt.provider_error(status, F.col("text"), F.concat(F.lit("TimeoutError: "), i.cast("string"))))
+    return rows.select("doc_id", e["kind"].alias("kind"), e["message"].alias("message"))
+
+
+_JOBS = "case event_type when 'view' then 'ingest' when 'click' then 'adapt' when 'purchase' then 'calendar' end"
+_TIMES = " union all ".join(f"select '{t.name}' trigger_, m, lead(m, 1, 1440 + {t.times()[0]}) over (order by m) next from unnest({t.times()}) u(m)" for t in schedule.TRIGGERS)
+
+
+@query("schedule_misses", f"""with r as (select {_JOBS} job, ts from events where event_type in ('view', 'click', 'purchase')), d as (select distinct date_trunc('day', ts)::timestamp d from events), t as ({_TIMES}),
+ f as (select trigger_, d + m * interval 1 minute due, d + next * interval 1 minute until from d, t) select trigger_ as trigger, strftime(due, '%Y-%m-%d %H:%M') as due, count(ts) as runs from f left join r on job = trigger_ and ts >= due and ts < until group by 1, 2 having count(ts) <> 1""")
+def schedule_misses(s, d):
+    """Firings that no run answered, or several."""
+    events, kind = table(s, d, "events"), F.col("event_type")
+    job = F.when(kind == "view", "ingest").when(kind == "click", "adapt").when(kind == "purchase", "calendar")
+    days = events.select(F.date_trunc("day", "ts").cast("timestamp_ntz").alias("day")).distinct()
+    told = schedule.answered(events.select(job.alias("job"), F.col("ts").cast("timestamp_ntz").alias("ts")), days, "job", "ts")
+    return told.filter("runs <> 1").select("trigger", F.date_format("due", "yyyy-MM-dd HH:mm").alias("due"), "runs")

@@ -53,10 +53,13 @@ def met(texts: DataFrame, glossary: DataFrame, key: str = "doc_id", text: str =
     entries = glossary.select(F.col("term"), F.regexp_extract_all(F.lower("term"), F.lit(WORD), F.lit(1)).alias("__words"), "place").filter(F.size("__words") > 0)
     entries = entries.groupBy("__words").agg(F.min_by("term", "place").alias("term")).withColumn("__first", F.col("__words")[0])
     first = F.broadcast(checked(entries).groupBy("__first").agg(F.collect_list(F.struct(F.col("__words").alias("words"), "term")).alias("__terms")))  # as many as the glossary has
-    split = texts.filter(F.col(text).isNotNull()).select(key, F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(1)).alias("__w"))
-    # Places of words that begin a term; the text's words stay with the text.
-    starts = split.select(key, "__w", F.posexplode("__w").alias("__at", "__first")).join(first, "__first")
-    longest = F.array_max(F.transform(F.filter("__terms", lambda t: F.slice("__w", F.col("__at") + 1, F.size(t["words"])) == t["words"]), lambda t: F.struct(F.size(t["words"]).alias("n"), t["term"].alias("term"))))
+    most = entries.agg(F.max(F.size("__words")).alias("n")).first()["n"] or 1
+    w = F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(1))
+    split = texts.filter(F.col(text).isNotNull()).select(key, w.alias("__w"))
+    # Each word with as many behind it as a term may have.
+    places = split.select(key, F.posexplode(F.transform("__w", lambda _, i: F.slice("__w", i + 1, F.lit(most)))).alias("__at", "__next"))
+    starts = places.withColumn("__first", F.col("__next")[0]).join(first, "__first")
+    longest = F.array_max(F.transform(F.filter("__terms", lambda t: F.slice("__next", F.lit(1), F.size(t["words"])) == t["words"]), lambda t: F.struct(F.size(t["words"]).alias("n"), t["term"].alias("term"))))
     found = starts.select(key, F.col("__at").alias("at"), longest.alias("t")).filter("t is not null")
     listed = found.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("at", "t.n", "t.term"))).alias("__all"))
     none = F.struct(F.lit(0).alias("end"), F.array().cast("array<struct<at:int,n:int,term:string>>").alias("kept"))

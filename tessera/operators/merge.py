@@ -96,7 +96,7 @@ def coalescing_upsert(target: DataFrame, batch: DataFrame, key: str, overwrite:
 
 
 def free_slugs(batch: DataFrame, taken: DataFrame, slug: str, order: str, suffix: str, present: str | None = None) -> DataFrame:
-    """batch with final_slug: of each row's wishes the first that is free when rows are taken one by one in ``order``, which is unique.
+    """batch with final_slug: of each row's wishes the first that is free when rows are taken one by one in ``order`` (then by a hash of the row; rows equal in all columns are one and get the same).
 
     Wishes: the slug, then the slug with the suffix (cut to the length that slugs may have; a null or empty slug is
     noticia-suffix and has no other), then the row's present slug, which is its own already. A slug is free when it is not
@@ -110,7 +110,7 @@ def free_slugs(batch: DataFrame, taken: DataFrame, slug: str, order: str, suffix
     used = taken.select(F.col(slug).alias("__s"))
     used = used.unionByName(batch.select(F.col(present).alias("__s"))) if present else used
     used = kept(used.filter("__s is not null").distinct().withColumn("__used", F.lit(True)), "used")
-    state = kept(batch.select(F.col(order).alias("__at"), F.array_compact(F.array(base, with_suffix(base, F.col(suffix), most=SLUG), *own)).alias("__wishes"), F.lit(0).alias("__k"), (F.col(present) if present else F.lit(None).cast("string")).alias("__own")), "wishes")
+    state = kept(batch.select(F.struct(*batch.columns).alias("__row"), _place(order, batch.columns).alias("__at"), F.array_compact(F.array(base, with_suffix(base, F.col(suffix), most=SLUG), *own)).alias("__wishes"), F.lit(0).alias("__k"), (F.col(present) if present else F.lit(None).cast("string")).alias("__own")), "wishes")
     total = state.count()
     while True:
         asked = state.withColumn("__s", F.get("__wishes", F.col("__k")))
@@ -125,5 +125,4 @@ def free_slugs(batch: DataFrame, taken: DataFrame, slug: str, order: str, suffix
         if not state.filter("__lost").limit(1).count():
             break
         state = state.drop("__s", "__lost")
-    final = state.select(F.col("__at").alias("__place"), F.col("__s").alias("final_slug"))
-    return batch.join(final, F.col(order) == F.col("__place")).select(*batch.columns, "final_slug")
+    return state.select(*(F.col(f"__row.{c}").alias(c) for c in batch.columns), F.col("__s").alias("final_slug"))

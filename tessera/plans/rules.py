@@ -27,7 +27,7 @@ def _clean(name: str) -> Column:
 
 def length_rule() -> Column:
     """Columns body, title, dek, tags (null: none), trimmed; an empty body is the one error."""
-    body, tags = _clean("body"), F.coalesce(F.size("tags"), F.lit(0))
+    body, tags = F.col("__body"), F.coalesce(F.size("tags"), F.lit(0))
     rest = F.array(
         _outside(F.length(body), BODY, "body"), _outside(paragraphs(body), PARAGRAPHS, "paragraphs"), _outside(F.length(_clean("title")), TITLE, "title"), _outside(F.length(_clean("dek")), DEK, "dek"),
         _outside(F.greatest(tags, F.lit(0)), TAGS, "tags"),
@@ -38,9 +38,9 @@ def length_rule() -> Column:
 def ratio_rule() -> Column:
     """The trimmed body's share of the source's length or, if smaller, of the original's where there is one."""
     length = F.coalesce(F.col("source_length"), F.lit(0)).cast("double")
-    held = F.length(_clean("original")).cast("double")
+    held = F.col("__original_size").cast("double")
     base = F.when(held > 0, F.least(length, held)).otherwise(length)
-    ratio = F.length(_clean("body")) / F.nullif(base, F.lit(0.0))
+    ratio = F.length("__body") / F.nullif(base, F.lit(0.0))
     return F.array(F.when(length <= 0, "unknown source length").when(ratio > RATIO[1], "too long").when(ratio < RATIO[0], "too short"))
 
 
@@ -50,9 +50,9 @@ def too_long_alone(failed: Column) -> Column:
 
 
 def prepared(pairs: DataFrame) -> DataFrame:
-    """pairs with __whole (title, dek and body), __low and __original_low, which many rules read and which are made once a row."""
+    """pairs with __whole (title, dek and body), __low, __original_low, __body (trimmed) and __original_size (the trimmed original's), which many rules read and which are made once a row."""
     made = pairs.withColumn("__whole", F.concat_ws("\n\n", "title", "dek", "body"))
-    return made.withColumns({"__low": F.lower("__whole"), "__original_low": F.lower(F.coalesce("original", F.lit("")))})
+    return made.withColumns({"__low": F.lower("__whole"), "__original_low": F.lower(F.coalesce("original", F.lit(""))), "__body": _clean("body"), "__original_size": F.length(_clean("original"))})
 
 
 def _labelled(name: str) -> Callable[[Column], Column]:

@@ -42,7 +42,7 @@ def _pairs(s: SparkSession, d: str) -> DataFrame:
     i = F.col("doc_id")
     consistent, found = i % 5 == 1, F.when(i % 5 == 2, F.array(F.lit("data trocada"), F.lit(" "))).when(i % 5 == 4, F.array().cast("array<string>")).otherwise(F.array().cast("array<string>"))
     verdict = F.when(i % 5 != 0, F.struct(consistent.alias("consistent"), found.alias("divergences")))
-    return docs.join(other, "doc_id").select(
+    return docs.join(other.hint("merge"), "doc_id").select(  # both sides hold texts: dealt by id at any size
         "doc_id", F.concat(_by(*PLANTED), F.col("text")).alias("body"), F.split_part("text", F.lit("."), F.lit(1)).alias("title"), F.substring("text", 1, 200).alias("dek"), "original", "source_length",
         F.when(i % 4 != 0, F.array(F.lit("a"), F.lit("b"))).alias("tags"), _by(*SOURCES).alias("source"), F.when(i % 8 != 0, F.col("source")).alias("source_name"), _by(*URLS).alias("source_url"), verdict.alias("verdict"),
     )

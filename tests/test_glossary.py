@@ -3,9 +3,11 @@
 import random
 import re
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.functions.text import upper_each
 from tessera.plans import glossary
 from tessera.streaming import runlog
 
@@ -21,6 +23,13 @@ def test_blocks(spark):
     assert {r["term"]: r["translation"] for r in got.collect()} == {" holy SEE ": "Santa Sé", "See": None, None: None}
 
 
+def test_capitals_letter_by_letter(spark):
+    """As DuckDB's upper: no letter becomes two."""
+    words = ["erßie", "ŉa", "straße ᾳ", "ﬁx ΐ", "são", "a𐐨b", "", None]
+    got = spark.createDataFrame([(w,) for w in words], "w string").select("w", upper_each(F.col("w")).alias("u")).collect()
+    assert {r["w"]: r["u"] for r in got} == {w: duckdb.execute("select upper(?::varchar)", [w]).fetchone()[0] for w in words}
+
+
 def plain(text, terms):
     words, out, k = re.findall(r"[^\W_]+", (text or "").lower()), [], 0
     while k < len(words):

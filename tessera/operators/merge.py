@@ -57,7 +57,7 @@ def point_update(target: DataFrame, changes: DataFrame, key: str) -> DataFrame:
 
 
 def adopt(target: DataFrame, batch: DataFrame, key: str = "key", slug: str = "slug", same: tuple[str, ...] = ("source", "title")) -> DataFrame:
-    """batch with outcome and final_slug, as an insert one by one in order of ``position`` would have it.
+    """batch with outcome, final_slug and asked_slug (see free_slugs), as an insert one by one in order of ``position`` would have it.
 
     A known key is 'duplicate', or 'updated' where its content differs. Of an unknown key the first row
     is 'adopted' where the target holds its slug with the same source and title (the story moved to a new
@@ -74,8 +74,9 @@ def adopt(target: DataFrame, batch: DataFrame, key: str = "key", slug: str = "sl
     placed = kept(joined.withColumn("outcome", F.when((F.col("outcome") == "new") & moved, "adopted").otherwise(F.col("outcome"))).drop("__holder"), "outcomes")
     fresh = placed.filter("outcome = 'new'").withColumn("__suffix", F.substring(key, 1, 6))
     named = free_slugs(fresh, target.select(F.col(slug)), slug, "position", "__suffix").drop("__suffix")
-    rest = placed.filter("outcome <> 'new'").withColumn("final_slug", F.when(F.col("outcome") == "adopted", F.col(slug)))
-    return named.unionByName(rest).select(*batch.columns, "outcome", "final_slug")
+    held = F.when(F.col("outcome") == "adopted", F.col(slug))
+    rest = placed.filter("outcome <> 'new'").withColumns({"final_slug": held, "asked_slug": held})
+    return named.unionByName(rest).select(*batch.columns, "outcome", "final_slug", "asked_slug")
 
 
 def tallies(rows: DataFrame) -> DataFrame:
@@ -101,7 +102,7 @@ def free_slugs(batch: DataFrame, taken: DataFrame, slug: str, order: str, suffix
     Wishes: the slug, then the slug with the suffix (cut to the length that slugs may have; a null or empty slug is
     noticia-suffix and has no other), then the row's present slug, which is its own already. A slug is free when it is not
     in taken and no row before has it; present slugs stay taken for other rows, also when their owners leave them. A row
-    without a free wish has null. Every round each row asks for its first wish that hasn't been refused, and a slug stays with the
+    without a free wish has null; asked_slug is the wish it asked for last, free or not. Every round each row asks for its first wish that hasn't been refused, and a slug stays with the
     earliest that asks for it; the loop ends when none is refused. That gives what one by one gives, as all slugs
     prefer the same rows. A slug that many rows ask for is split.
     """
@@ -125,4 +126,4 @@ def free_slugs(batch: DataFrame, taken: DataFrame, slug: str, order: str, suffix
         if not state.filter("__lost").limit(1).count():
             break
         state = state.drop("__s", "__lost")
-    return state.select(*(F.col(f"__row.{c}").alias(c) for c in batch.columns), F.col("__s").alias("final_slug"))
+    return state.select(*(F.col(f"__row.{c}").alias(c) for c in batch.columns), F.col("__s").alias("final_slug"), F.get("__wishes", F.least("__k", F.size("__wishes") - 1)).alias("asked_slug"))

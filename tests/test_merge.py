@@ -65,6 +65,26 @@ def test_adoption_with_hot_keys(spark, monkeypatch):
     assert got == {k: ("new", s) for k, s in fresh.items()} | {5: ("adopted", "s0"), 100: ("duplicate", None)} | {101 + k: ("updated", None) for k in range(20)}
 
 
+def test_keys_with_one_beginning(spark):
+    """The later of two new rows whose keys share six characters has no slug, but the one that it asked for last is told."""
+    names = "key string, slug string, content string, source string, title string"
+    batch = [("abcdef1", "", "c", "a", "t1", 1), ("abcdef2", None, "c", "a", "t2", 2), ("abcdef3", "s", "c", "a", "t3", 3), ("abcdef4", "s", "c", "a", "t4", 4)]
+    rows = merge.adopt(spark.createDataFrame([], names), spark.createDataFrame(batch, names + ", position long")).collect()
+    assert {r["position"]: (r["final_slug"], r["asked_slug"]) for r in rows} == {1: ("noticia-abcdef",) * 2, 2: (None, "noticia-abcdef"), 3: ("s", "s"), 4: ("s-abcdef",) * 2}
+
+
+def test_ingest_merge_where_digests_meet(spark, tmp_path):
+    """Documents 21875 and 46115 have the same first six characters of their key's digest."""
+    docs = [(i, "t") for i in (21875, 46115, 3, 4, 5, 8, 11)]
+    spark.createDataFrame(docs, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/parts")
+    next(tmp_path.glob("parts/*.parquet")).rename(tmp_path / "documents.parquet")
+    from tessera.queries import ORACLE_SQL, QUERIES
+
+    from .oracle import connect, differences
+
+    assert (d := differences(QUERIES["ingest_merge"](spark, str(tmp_path)), connect(str(tmp_path)), ORACLE_SQL["ingest_merge"])) is None, d
+
+
 def test_refreshed_takes_the_first_of_many(spark):
     target = spark.createDataFrame([("a", 1, "x"), (None, 1, "y"), ("b", 1, "z")], "k string, c int, t string")
     batch = spark.createDataFrame([("a", 2, "later", 9), ("a", 3, "first", 1), (None, 5, "null", 4), ("b", 1, "same", 2)] * 3, "k string, c int, t string, at int")

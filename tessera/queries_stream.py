@@ -11,25 +11,39 @@ from .sources.shared import fresh_path
 from .sources.tables import table
 from .streaming import ingest, runlog, sink, states, windows
 
-#: Slices of time in which events come, every LATE-th of them in the last slice.
-SLICES, LATE = 4, 97
+#: Slices of time in which events come, every LATE-th of them in the last slice, and rows that a slice's file has at most, roughly.
+SLICES, LATE, FILE_ROWS = 4, 97, 100_000
+
+
+def write_slice(rows: DataFrame, path: str, files: int) -> None:
+    """rows as just so many files, empty ones among them if need be: a stream that reads so many at a time has the folder as one batch."""
+    rows.repartition(files).write.parquet(path)
+    for _ in range(files - len(rows.sparkSession.read.schema(rows.schema).parquet(path).inputFiles())):
+        rows.limit(0).write.mode("append").parquet(path)
+
+
+def slice_files(s: SparkSession, path: str) -> int:
+    """How many files each slice has."""
+    return len(s.read.parquet(f"{path}/slice=0").inputFiles())
 
 
 def event_slices(s: SparkSession, d: str, late: bool = False) -> str:
-    """The events as files in folders slice=0, 1, ... by time, written one after another, so that a stream reads them in this order; with ``late`` some come in the last one."""
+    """The events as files in folders slice=0, 1, ... by time, each with as many files, written one after another, so that a stream reads them in this order; with ``late`` some come in the last one."""
     path, events = fresh_path(s, "events"), table(s, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    ends = events.agg(F.min(F.unix_micros("ts")).alias("a"), F.max(F.unix_micros("ts")).alias("b")).first()
+    ends = events.agg(F.min(F.unix_micros("ts")).alias("a"), F.max(F.unix_micros("ts")).alias("b"), F.count(F.lit(1)).alias("n")).first()
     width = max(1, -(-(ends["b"] - ends["a"] + 1) // SLICES)) if ends["a"] is not None else 1
+    files = max(1, -(-ends["n"] // (SLICES * FILE_ROWS)))
     part = F.floor((F.unix_micros("ts") - (ends["a"] or 0)) / width).cast("int")
     part = F.when(F.col("event_id") % LATE == 0, SLICES - 1).otherwise(part) if late else part
     for k in range(SLICES):
-        events.filter(part == k).write.parquet(f"{path}/slice={k}")
+        write_slice(events.filter(part == k), f"{path}/slice={k}", files)
     return path
 
 
-def read_slices(s: SparkSession, path: str, pattern: str = "slice=*", files: int = 1) -> DataFrame:
+def read_slices(s: SparkSession, path: str, pattern: str = "slice=*", slices: int = 1) -> DataFrame:
+    """The slices as a stream, so many a batch."""
     schema = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
-    return s.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(f"{path}/{pattern}")
+    return s.readStream.schema(schema).option("maxFilesPerTrigger", slices * slice_files(s, path)).parquet(f"{path}/{pattern}")
 
 
 #: SQL: which slice an event comes in, for slices of equal time.
@@ -98,7 +112,7 @@ def stream_overlap(s, d):
     """Two runs over overlapping slices, each of which also gets its first slice twice: every event stands once."""
     path, out = event_slices(s, d), fresh_path(s, "overlap")
     again = s.read.parquet(f"{path}/slice=1")
-    again.write.parquet(f"{path}/again=1")
+    write_slice(again, f"{path}/again=1", slice_files(s, path))
     for run, pattern in (("a", "{slice=0,slice=1,slice=2,again=1}"), ("b", "{slice=1,again=1,slice=2,slice=3}")):
         ingest.merge_stream(read_slices(s, path, pattern, 2), f"{out}/table", f"{out}/log-{run}", "event_id", "ts", event_time="ts", delay="1 day").awaitTermination()
     return s.read.parquet(f"{out}/table").groupBy("event_id", "event_type").agg(F.count(F.lit(1)).alias("times"))

@@ -2,12 +2,15 @@
 
 import datetime as dt
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.plans import adapt
 from tessera.streaming import ingest, sink, states, windows
 
+from .test_queries import SF
+
 DAY = dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc)
 SCHEMA = "id long, ts timestamp, article string, ready boolean, answer_error string, check_error string, verdict_read boolean, failed_rules array<string>, attempt long, tokens_in long, tokens_out long"
 
@@ -93,3 +96,27 @@ def test_clamped_event_times(spark):
     got = {r["k"]: r["ts"] for r in ingest.clamp_event_time(spark.createDataFrame(rows, "k long, ts timestamp"), "ts", now).select("k", F.unix_seconds("ts").alias("ts")).collect()}
     at = lambda t: int(t.timestamp())
     assert got == {1: at(now), 2: at(rows[1][1]), 3: at(now), 4: at(rows[3][1])}
+
+
+@pytest.mark.parametrize("name", ["stream_failures", "stream_run_log", "stream_states"])
+def test_slices_of_several_files_are_one_batch(spark, tmp_path, monkeypatch, name):
+    """Events in several files, and slices too: batches follow the slices, as in the SQL."""
+    from tessera import queries_stream
+    from tessera.queries import ORACLE_SQL, QUERIES
+
+    from .oracle import differences
+
+    monkeypatch.setattr(queries_stream, "FILE_ROWS", 100, raising=False)
+    spark.read.parquet(f"{SF}/events.parquet").repartition(12).write.parquet(f"{tmp_path}/events.parquet")
+    c = duckdb.connect()
+    c.execute(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    assert (d := differences(QUERIES[name](spark, str(tmp_path)), c, ORACLE_SQL[name])) is None, d
+
+
+def test_slices_are_padded_with_empty_files(spark, tmp_path):
+    from tessera import queries_stream
+
+    queries_stream.write_slice(spark.range(3).coalesce(1), f"{tmp_path}/a", 5)
+    queries_stream.write_slice(spark.range(0), f"{tmp_path}/b", 3)
+    got = [spark.read.parquet(f"{tmp_path}/{x}") for x in "ab"]
+    assert [(df.count(), len(df.inputFiles())) for df in got] == [(3, 5), (0, 3)]

@@ -35,6 +35,12 @@ def classify_batch(target: DataFrame, batch: DataFrame, key: str, order: str, co
     return joined.withColumn("outcome", outcome.otherwise("duplicate")).select(*batch.columns, "outcome")
 
 
+def first_rows(batch: DataFrame, key: str, order: str) -> DataFrame:
+    """Each key's first row, by ``order`` and then by the row's hash. Null keys are one key."""
+    first = batch.groupBy(F.col(key).alias("__key")).agg(F.min_by(F.struct(*batch.columns), _place(order, batch.columns)).alias("__row"))
+    return first.select("__row.*")
+
+
 def insert_new(target: DataFrame, batch: DataFrame, key: str, order: str) -> DataFrame:
     """target and the batch's new rows, each once; merging twice changes nothing."""
     fresh = classify_batch(target, batch, key, order).filter("outcome = 'new'").drop("outcome")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.merge import classify_batch
+from ..operators.merge import first_rows
 from ..sources.shared import exists
 
 #: Folders of a merged table.
@@ -31,8 +31,9 @@ def merge_stream(stream: DataFrame, target_path: str, checkpoint: str, key: str,
             held = spark.read.schema(rows.schema).parquet(target_path).filter(F.col("__bucket").isin(own)).select(key)
         else:
             held = spark.createDataFrame([], rows.select(key).schema)
-        fresh = classify_batch(held, rows, key, order).filter("outcome = 'new'").select(*rows.columns).distinct()
-        fresh.write.partitionBy("__bucket").mode("append").parquet(target_path)
+        # A key's first row before anything else is moved: copies end here, and what is joined has each key once. A bucket's rows go to one task, which writes one file.
+        first = first_rows(rows, key, order).join(held.select(F.col(key).alias("__held")), F.col(key).eqNullSafe(F.col("__held")), "left_anti")
+        first.repartition("__bucket").write.partitionBy("__bucket").mode("append").parquet(target_path)
         rows.unpersist()
 
     if event_time:

@@ -89,3 +89,27 @@ def test_refreshed_takes_the_first_of_many(spark):
     target = spark.createDataFrame([("a", 1, "x"), (None, 1, "y"), ("b", 1, "z")], "k string, c int, t string")
     batch = spark.createDataFrame([("a", 2, "later", 9), ("a", 3, "first", 1), (None, 5, "null", 4), ("b", 1, "same", 2)] * 3, "k string, c int, t string, at int")
     assert {tuple(r) for r in merge.refreshed(target, batch, "k", "at", "c", ("t",)).collect()} == {("a", 3, "first"), (None, 5, "null"), ("b", 1, "z")}
+
+
+def test_first_rows(spark):
+    """Of keys with many rows the first, equal ones once, null keys as one; as classify_batch tells new ones."""
+    rows = [(k % 3 if k % 4 else None, k // 6, f"v{k % 2}") for k in range(60)] * 2
+    df = spark.createDataFrame(rows, "k long, at long, v string").repartition(5)
+    got = sorted(map(tuple, merge.first_rows(df, "k", "at").collect()), key=repr)
+    new = merge.classify_batch(df.limit(0), df, "k", "at").filter("outcome = 'new'").drop("outcome").distinct()
+    assert got == sorted(map(tuple, new.collect()), key=repr) and len(got) == 4
+
+
+def test_merged_batches_have_a_file_a_folder(spark, tmp_path):
+    from tessera.streaming import ingest
+
+    spark.range(2000).select("id", F.timestamp_seconds("id").alias("ts")).repartition(4).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("id long, ts timestamp").parquet(f"{tmp_path}/in")
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        ingest.merge_stream(stream, f"{tmp_path}/table", f"{tmp_path}/log", "id", "ts").awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    table = spark.read.parquet(f"{tmp_path}/table")
+    assert table.count() == 2000 and len(table.inputFiles()) == ingest.BUCKETS

@@ -73,9 +73,9 @@ def allowed_numbers(original: Column, low: Column | None = None) -> Column:
 
 
 def facts(pairs: DataFrame) -> DataFrame:
-    """rules.prepared, and what the rules below find in the texts, each looked for once a row: numbers left, counts of function words, refusals, English terms."""
+    """rules.prepared, and what the rules below find in the texts, each looked for once a row: numbers left, counts of function words, refusals, English terms, the text without accents."""
     made = prepared(pairs)
-    made = made.withColumns({"__numbers": content_numbers(_text()), "__allowed": allowed_numbers(F.coalesce("original", F.lit("")), F.col("__original_low")), "__stop": stop_counts(_text()), "__refusals": refusal_labels(_text(), F.col("__low")), "__terms": english_terms(_text(), F.col("__low"))})
+    made = made.withColumns({"__numbers": content_numbers(_text()), "__allowed": allowed_numbers(F.coalesce("original", F.lit("")), F.col("__original_low")), "__stop": stop_counts(_text()), "__refusals": refusal_labels(_text(), F.col("__low")), "__terms": english_terms(_text(), F.col("__low")), "__plain": unaccented(F.col("__low"))})
     return made.withColumn("__left", F.array_except("__numbers", "__allowed"))
 
 
@@ -137,7 +137,7 @@ def refusal_rule() -> Column:
 
 def rite_rule() -> Column:
     """A vetoed term is an error unless the original has one of the English terms behind it."""
-    text, original = unaccented(F.col("__low")), F.col("__original_low")
+    text, original = F.col("__plain"), F.col("__original_low")
     errors = []
     for term, origins in VETOED:
         allowed = F.lit(False)

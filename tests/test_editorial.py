@@ -159,3 +159,11 @@ def test_calendar_pages(spark, tmp_path):
     rows = calendar.judged_rows(calendar.page_rows(pages, expected=2026))
     assert calendar.publish(rows, str(tmp_path / "days"))["abort"] and not os.path.exists(tmp_path / "days")
     assert not calendar.publish(rows, str(tmp_path / "days"), most=0.5)["abort"] and spark.read.parquet(str(tmp_path / "days")).select("date").distinct().count() == spark.read.parquet(str(tmp_path / "days")).count() > 0
+
+
+def test_text_is_unaccented_once_a_row(spark):
+    """However many terms the rite's rule looks for, also behind array_compact."""
+    schema = "title string, dek string, body string, original string"
+    facts = editorial.facts(spark.createDataFrame([("a", "b", "c", "d")], schema))
+    plan = rules.judge(facts, (("rito_1962", editorial.rite_rule),))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("translate(") == 1

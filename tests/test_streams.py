@@ -120,3 +120,36 @@ def test_slices_are_padded_with_empty_files(spark, tmp_path):
     queries_stream.write_slice(spark.range(0), f"{tmp_path}/b", 3)
     got = [spark.read.parquet(f"{tmp_path}/{x}") for x in "ab"]
     assert [(df.count(), len(df.inputFiles())) for df in got] == [(3, 5), (0, 3)]
+
+
+def test_states_are_read_and_written_by_group(spark, tmp_path, monkeypatch):
+    """One list a group, whatever its articles: a call to the state a batch, and the same rows from one group as from many."""
+    calls = []
+
+    class Handle:
+        def getListState(self, name, schema):
+            return self
+
+        def get(self):
+            calls.append("get")
+            return iter(())
+
+        def put(self, rows):
+            calls.append(len(rows))
+
+        def listTimers(self):
+            return iter(())
+
+        def registerTimer(self, at):
+            calls.append(at)
+
+    made = states.ArticleStates("article", "string", 100)
+    made.init(Handle())
+    rows = [{"article": str(k % 50), "at_ms": k, "rank": k, "status": "draft", "step": "deferred", "tokens_in": None, "tokens_out": k} for k in range(500)]
+    assert len(list(made.handleInputRows((0,), iter(rows), None))) == 50 and calls == ["get", 50, 550]
+    got = []
+    for n in (1, 64):
+        monkeypatch.setattr(states, "GROUPS", n)
+        slices(spark, f"{tmp_path}/in{n}", PARTS)
+        got.append(sorted(map(str, run(spark, f"{tmp_path}/in{n}", f"{tmp_path}/out{n}").drop("batch").collect())))
+    assert got[0] == got[1] and sum("ready" in r.split("event=")[1][:8] for r in got[0]) == 2

@@ -60,6 +60,21 @@ def test_terms_longest_first(spark):
     assert {k: sorted(v) for k, v in got.items()} == {k: w for k, t in texts if (w := plain(t, terms))}
 
 
+def test_terms_without_a_row_a_word(spark, monkeypatch):
+    """Words are not dealt out: no row a word, no shuffle of the texts. The same terms whatever a task looks at together, also for repeated keys and an empty glossary."""
+    monkeypatch.setattr(glossary, "PART_WORDS", 7, raising=False)
+    rng = random.Random(9)
+    entries = ["a", "a b", "b a b", "a b c d", "d a"]
+    table = spark.createDataFrame([(t, t, "titulo", None, k) for k, t in enumerate(entries)], SCHEMA)
+    texts = [(k // 2, " ".join(rng.choice("aAbBcd") for _ in range(rng.randrange(12)))) for k in range(80)] + [(90, None)]
+    df = spark.createDataFrame(texts, "doc_id long, text string").coalesce(2)
+    got = glossary.met(df, table)
+    assert not {"Generate", "Exchange"} & set(re.findall(r"\w+", got._jdf.queryExecution().executedPlan().toString()))
+    terms = {tuple(t.split()): t for t in entries}
+    assert sorted((r["doc_id"], r["position"], r["n_words"], r["term"]) for r in got.collect()) == sorted((k, *x) for k, t in texts for x in plain(t, terms))
+    assert glossary.met(df, table.limit(0)).count() == 0
+
+
 def test_glossary_is_bounded(spark, monkeypatch):
     monkeypatch.setattr(glossary, "MOST", 3)
     with pytest.raises(ValueError, match="at most"):

@@ -4,7 +4,7 @@ The network reads the whole text (A-Z lower-cased, blanks and all) in both direc
 byte with language probabilities; a document's probability is the mean over its letter bytes. Texts are
 read in windows of ``WINDOW`` bytes that begin at characters, with ``CONTEXT`` bytes more on each side (cut back to a character), from
 which the states come in; each position is labelled in the one window that it belongs to. Equal texts of
-an Arrow batch are read once.
+a part of an Arrow batch are read once.
 """
 
 from __future__ import annotations
@@ -244,6 +244,21 @@ def shares(texts: list[bytes]) -> Iterator[list[bytes]]:
         yield texts[a:k]
 
 
+def row_parts(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """A batch's rows in parts of about 2 PART bytes of text, as each text is held in several forms; a longer text is a part of its own."""
+    ends, a = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)), 0
+    while a < len(batch):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + 2 * PART, "right")))
+        yield batch.slice(a, b - a)
+        a = b
+
+
+def distinct_texts(texts: pa.Array) -> tuple[list[bytes], np.ndarray]:
+    """(distinct texts with A-Z lower-cased, each text's number). Bytes are lower-cased, as Arrow's ascii_lower fails on a slice of large strings."""
+    coded = pc.fill_null(texts, "").cast(pa.large_string()).dictionary_encode()
+    return [t.encode().lower() for t in coded.dictionary.to_pylist()], coded.indices.to_numpy()
+
+
 def predict_language(df: DataFrame, net: Net, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """(id, keep..., lang_pred string, score double) for each row, from whole texts alone.
 
@@ -255,12 +270,13 @@ def predict_language(df: DataFrame, net: Net, id_col: str = "doc_id", text_col:
     fields = [f"k{i} {df.schema[c].dataType.simpleString()}" for i, c in enumerate(names)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in row_parts(whole, len(names))):
             texts = batch.column(len(names))
-            n, coded = len(net.langs), pc.ascii_lower(pc.fill_null(texts, "").cast(pa.large_string())).dictionary_encode()
+            n = len(net.langs)
             doc = np.zeros((len(texts), n + 1))
             if n and len(texts):
-                doc = np.concatenate([net.sums(part) for part in shares([t.encode() for t in coded.dictionary.to_pylist()])])[coded.indices.to_numpy()]
+                raws, own = distinct_texts(texts)
+                doc = np.concatenate([net.sums(part) for part in shares(raws)])[own]
             lettered = [bool(t) and any(map(str.isalpha, t)) for t in texts.to_pylist()]
             langs, scores = [], []
             for row, ok in zip(doc, lettered, strict=True):

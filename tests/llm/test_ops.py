@@ -5,13 +5,16 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import ann, bpe, chunks, jaccard, langid, licenses, lm, media, mixing, secrets
+from tessera.llm import words as words_module
 from tessera.llm.queries import vocabulary
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -133,6 +136,20 @@ def test_components_of_a_chain(spark):
     assert got == {k: 0 for k in range(61)} | {100: 100, 200: 100}
 
 
+def test_lm_one_learner_in_memory(monkeypatch):
+    """A task that learns for several learners holds one learner's tables at a time, in four bytes a count."""
+    words = [[f"{name}{k}".encode() for k in range(300)] for name in ("a", "b", "c")]
+    cols = [pa.array([0, 1, 2], pa.int32()), pa.array([0, 1, 2], pa.int32()), pa.array([words_module.pack_words(pa.array(w, pa.large_binary())) for w in words], pa.binary())]
+    tracemalloc.start()
+    try:
+        found = [(r["learner"], r["j"]) for out in lm.learn_words(iter([pa.RecordBatch.from_arrays(cols, ["learner", "bucket", "words"])])) for r in out.to_pylist()]
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert set(found) == {(k, j) for k in range(3) for j in range(-1, len(lm.SLOTS))}
+    assert peak < 1.5 * sum(4 * 2 << s for s in lm.SLOTS)
+
+
 def test_lm_base_and_score(docs):
     rest = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7
     got = lm.score_documents(docs, rest != 2).collect()
@@ -779,3 +796,15 @@ def test_empty_tables(spark, docs, name):
         "secrets": lambda: secrets.scan_secrets(none), "licenses": lambda: licenses.scan_licenses(none), "passages": lambda: chunks.repeated_passages(none), "language": lambda: langid.predict_language(none, langid.fit(none)),
     }
     assert run[name]().count() == 0
+
+
+def test_language_reads_a_batch_in_parts(monkeypatch):
+    """Large batches are cut by their texts' bytes, a long text stays whole; the texts are those of the whole batch."""
+    texts = ["É" * 300, None, "", "aB " * 5000, "X", "É" * 300, "worD é " * 50] * 40
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts, pa.string())], ["k0", "text"])
+    monkeypatch.setattr(langid, "PART", 500)
+    parts = list(langid.row_parts(batch, 1))
+    assert [k for p in parts for k in p.column(0).to_pylist()] == list(range(len(texts))) and len(parts) > 80
+    assert all(len(p) == 1 or sum(len((t or "").encode()) for t in p.column(1).to_pylist()) <= 1000 for p in parts)
+    found = [langid.distinct_texts(p.column(1)) for p in [*parts, *langid.row_parts(batch.slice(3), 1)]]
+    assert [raws[k] for raws, own in found for k in own] == [(t or "").encode().lower() for t in texts + texts[3:]]

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.skew import split_join, split_pairs
-from .common import removed, written
+from .common import removed, small_batches, written
 from .words import ascii_words, pack, split_block, text_blocks, unpack
 
 #: Buckets of hashes for each shuffle partition; texts in one walk of a trie; nodes between two looks at the bound.
@@ -317,7 +317,7 @@ def jaccard_components(df: DataFrame, words: int = 5, percent: int = 80, id_col:
     """
     spark = df.sparkSession
     n_buckets, least = BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions")), percent / 100
-    picked = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text_col).cast("binary").alias("raw"))
+    picked = small_batches(df).select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text_col).cast("binary").alias("raw"))
     base = written(shared_counts(picked, words, n_buckets), "texts")
     own = F.when(F.col("id") != NO_ID, F.col("id"))
     classes = written(base.filter("n > 0").groupBy("digest").agg(F.min("id").alias("id"), F.min_by("md5", "id").alias("md5"), F.min(own).alias("first"), F.max(F.col("n_shared") >= least * F.col("n") - 1e-9).alias("alive"), F.count(F.lit(1)).alias("many")), "classes")

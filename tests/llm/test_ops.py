@@ -43,6 +43,32 @@ def docs(spark, tmp_path_factory):
     return spark.read.parquet(path)
 
 
+def test_blocks_follow_bytes_and_not_batches(monkeypatch):
+    """Rows may come in batches of any size: blocks are the same, and hold none of the batches."""
+    monkeypatch.setattr(words_module, "BLOCK_BYTES", 100)
+    raws = [None, b"a" * 60, b"b" * 41, b"", b"c" * 300, b"d", b"e" * 99, b"f"]
+    rows = pa.record_batch([pa.array(range(8)), pa.array(raws, pa.binary()), pa.array([True, None] * 4)], ["id", "raw", "flag"])
+    found = []
+    for n in (8, 3, 1):
+        blocks = list(words_module.text_blocks(iter([rows.slice(k, n) for k in range(0, 8, n)])))
+        found.append([(name, part.column(0).to_pylist(), part.column(2).to_pylist(), got) for name, part, got in blocks])
+        assert all(part.get_total_buffer_size() < 300 for _, part, _ in blocks)
+    assert found[0] == found[1] == found[2] and [x[1] for x in found[0]] == [[0, 1], [2, 3], [4], [5, 6], [7]]
+    assert [x for b in found[0] for x in b[3]] == [x or b"" for x in raws] and not list(words_module.text_blocks(iter([])))
+
+
+def test_texts_go_to_python_in_small_batches(spark, tmp_path):
+    """Batches are bounded by bytes for each operator that takes whole texts, also where the session's bound is larger."""
+    from tessera.llm.common import BATCH_BYTES, BATCH_CONF
+
+    spark.createDataFrame([(k, "x" * 3_000_000) for k in range(8)], "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    spark.conf.unset(BATCH_CONF)
+    words_module.streams(df, "doc_id", "text", words_module.ascii_words)
+    sizes = df.mapInArrow(lambda batches: (pa.record_batch([[b.nbytes]], ["n"]) for b in batches), "n long")
+    assert max(r["n"] for r in sizes.collect()) < BATCH_BYTES + 3_500_000
+
+
 def by_row(docs, id_col="doc_id"):
     return [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
 

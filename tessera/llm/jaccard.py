@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.skew import split_join, split_pairs
-from .common import removed, small_batches, written
+from .common import removed, small_batches, thrifty, written
 from .words import ascii_words, pack, split_block, text_blocks, unpack
 
 #: Buckets of hashes for each shuffle partition; texts in one walk of a trie; nodes between two looks at the bound.
@@ -125,8 +125,8 @@ def shared_counts(df: DataFrame, words: int, n_buckets: int) -> DataFrame:
             raise ValueError("a block's n-grams came back without its texts: the texts didn't read alike twice")
         return pa.concat_tables(out)
 
-    counts = df.mapInArrow(deal, DEALT).groupBy("bucket").applyInArrow(count, "block string, bucket int, at binary, n binary")
-    left = df.mapInArrow(blocks, "block string, ids binary, sizes binary, digests binary")
+    counts = df.mapInArrow(thrifty(deal), DEALT).groupBy("bucket").applyInArrow(count, "block string, bucket int, at binary, n binary")
+    left = df.mapInArrow(thrifty(blocks), "block string, ids binary, sizes binary, digests binary")
     return left.groupBy("block").cogroup(counts.groupBy("block")).applyInArrow(finish, "id long, n long, digest binary, md5 string, n_shared long")
 
 
@@ -178,8 +178,8 @@ def ordered_sets(sets: DataFrame, n_buckets: int, least: float) -> DataFrame:
             out.append(pa.table({"id": ids, "n": sizes, "keys": pa.array(lists, pa.binary())}))
         return pa.concat_tables(out)
 
-    ranks = sets.mapInArrow(deal, DEALT).groupBy("bucket").applyInArrow(rank, "block string, bucket int, owners binary, keys binary")
-    left = sets.mapInArrow(meta, "block string, ids binary, sizes binary")
+    ranks = sets.mapInArrow(thrifty(deal), DEALT).groupBy("bucket").applyInArrow(rank, "block string, bucket int, owners binary, keys binary")
+    left = sets.mapInArrow(thrifty(meta), "block string, ids binary, sizes binary")
     out = left.groupBy("block").cogroup(ranks.groupBy("block")).applyInArrow(finish, "id long, n long, keys binary")
     return out.filter("keys is not null")
 
@@ -239,7 +239,7 @@ def tested(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                     query = row
         yield links()
 
-    return both.repartition("b", "salt").sortWithinPartitions("b", "salt", "role").mapInArrow(run, "a long, b long")
+    return both.repartition("b", "salt").sortWithinPartitions("b", "salt", "role").mapInArrow(thrifty(run), "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -280,7 +280,7 @@ def grown(sets: DataFrame, percent: int) -> DataFrame:
     def reach(n: Column, rest: Column, m: Column, left: Column) -> Column:
         return F.lit(100 + percent) * F.least(rest, left) >= F.lit(percent) * (n + m)
 
-    rows = sets.mapInArrow(firsts, "gram long, id long, n long, rest long, alone long")
+    rows = sets.mapInArrow(thrifty(firsts), "gram long, id long, n long, rest long, alone long")
     # The pivot is the text with the smallest share of n-grams of its own, which is the nearest to most copies.
     pivots = rows.groupBy("gram").agg(F.min(F.struct((F.col("alone") / F.col("n")).alias("share"), "id", "n", "rest")).alias("p"), F.count(F.lit(1)).alias("many")).filter("many > 1")
     pivots = written(pivots.select("gram", F.col("p.id").alias("pivot"), F.col("p.n").alias("pivot_n"), F.col("p.rest").alias("pivot_rest"), "many"), "pivots")
@@ -331,7 +331,7 @@ def jaccard_components(df: DataFrame, words: int = 5, percent: int = 80, id_col:
                 found = [s.tobytes() for s in shingle_sets([x or b"" for x in batch.slice(k, 512).column(0).to_pylist()], words)]
                 yield pa.RecordBatch.from_arrays([pa.array([node(xxhash.xxh3_128_digest(s)) for s in found], pa.int64()), pa.array([len(s) // 8 for s in found], pa.int64()), pa.array(found, pa.binary())], ["id", "n", "hashes"])
 
-    sets = written(texts.mapInArrow(build, "id long, n long, hashes binary"), "sets")
+    sets = written(texts.mapInArrow(thrifty(build), "id long, n long, hashes binary"), "sets")
     count = sets.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("id").alias("one")).first()
     ordered = written(ordered_sets(sets if count["n"] == count["one"] else sets.dropDuplicates(["id"]), n_buckets, least), "ordered")
     linked = grown(ordered, percent)

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators.skew import split_join
-from .common import small_batches
+from .common import small_batches, thrifty
 
 #: Bounds of the labelled sample that the network is fitted on: documents a language, and characters taken of each.
 FIT_DOCS, FIT_CHARS = 400, 4_000
@@ -291,5 +291,5 @@ def predict_language(df: DataFrame, net: Net, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*(f"k{i}" for i in range(len(names))), "lang_pred", "score"])
 
     picked = small_batches(df).select(*(F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(names)), F.col(text_col).alias("text"))
-    out = picked.mapInArrow(run, ", ".join([*fields, "lang_pred string, score double"]))
+    out = picked.mapInArrow(thrifty(run), ", ".join([*fields, "lang_pred string, score double"]))
     return out.select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(names)), "lang_pred", "score")

@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import small_batches, thrifty
 
 KINDS = ("assign", "access", "hex", "novel")
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.ASCII | re.IGNORECASE)
@@ -73,7 +73,7 @@ def learned_identifiers(df: DataFrame, text_col: str = "text", n_bytes: int = DI
                         found[name] = found.get(name, 0) + 1
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["name", "n"])
 
-    sums = small_batches(df).select(F.col(text_col).alias("text")).mapInArrow(run, "name string, n long").groupBy("name").agg(F.sum("n").alias("n")).filter("n > 1")
+    sums = small_batches(df).select(F.col(text_col).alias("text")).mapInArrow(thrifty(run), "name string, n long").groupBy("name").agg(F.sum("n").alias("n")).filter("n > 1")
     best = sums.orderBy(F.desc("n"), "name").limit(n_bytes // 5).collect()  # n_bytes of names of four characters or more, whatever the corpus
     out, size = [], 0
     for r in best:
@@ -217,7 +217,7 @@ def scan_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     picked = small_batches(df).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     schema = f"id {id_type}, n_assign long, n_access long, n_hex long, n_novel long, n_measured long, novelty double, base_sha256 string, spans string"
-    return picked.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return picked.mapInArrow(thrifty(run), schema).withColumnRenamed("id", id_col)
 
 
 def primer(identifiers: str) -> str:
@@ -248,4 +248,4 @@ def redact_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             cols[at] = pa.array([clean(x, novelty) for x in cols[at].to_pylist()], cols[at].type)
             yield pa.RecordBatch.from_arrays(cols, schema=batch.schema)
 
-    return small_batches(df).mapInArrow(run, df.schema)
+    return small_batches(df).mapInArrow(thrifty(run), df.schema)

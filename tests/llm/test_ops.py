@@ -69,6 +69,17 @@ def test_texts_go_to_python_in_small_batches(spark, tmp_path):
     assert max(r["n"] for r in sizes.collect()) < BATCH_BYTES + 3_500_000
 
 
+def test_idle_workers_give_memory_back(monkeypatch):
+    """All batches come through, and freed memory goes back after the last one."""
+    from tessera.llm import common
+
+    calls, libc = [], type("Libc", (), {"malloc_trim": staticmethod(lambda n: calls.append(n))})
+    monkeypatch.setattr(common.ctypes, "CDLL", lambda name: libc)
+    out = common.thrifty(lambda batches: (b for b in batches))(iter("abc"))
+    assert [next(out), next(out), next(out)] == list("abc") and not calls
+    assert not list(out) and calls == [0]
+
+
 def by_row(docs, id_col="doc_id"):
     return [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
 

@@ -5,12 +5,14 @@ import hashlib
 import math
 import random
 import re
+import time
 import tracemalloc
 import zlib
 
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from tessera.llm import ann, bpe, chunks, jaccard, langid, licenses, lm, media, mixing, secrets
@@ -187,6 +189,41 @@ def test_lm_one_learner_in_memory(monkeypatch):
     assert peak < 1.5 * sum(4 * 2 << s for s in lm.SLOTS)
 
 
+def test_lm_counting_costs_no_more_than_scoring():
+    """A step that only counts its words' bits takes less time than to score them, with tables of four and eight bytes a count, and counts each bit."""
+    words = pa.array([f"{k * k}word{k}".encode() for k in range(lm.STEP_WORDS)], pa.large_binary())
+
+    def took(run):
+        times = []
+        for _ in range(3):
+            start = time.process_time()
+            run()
+            times.append(time.process_time() - start)
+        return min(times)
+
+    scorer = lm.Model([np.zeros(1 << s, np.uint16) for s in lm.SLOTS])
+    n_bits = 8 * sum(len(w) + 1 for w in words.to_pylist())
+    for kind in (np.uint32, np.int64):
+        model = lm.Model([np.zeros(2 << s, kind) for s in lm.SLOTS])
+        assert took(lambda: model.learn(words, np.full(model.weights.size, 1e-6), lm.WARM + 1)) < 1.5 * took(lambda: scorer.log10(words))  # noqa: B023
+        assert all(int(t.sum()) == 3 * n_bits for t in model.tables)
+
+
+def test_lm_distinct_keys_as_numpy_has_them():
+    rng = np.random.default_rng(4)
+    for keys in (np.zeros(0, np.uint64), np.zeros(1, np.uint64), rng.integers(0, 50, 300).astype(np.uint64), rng.integers(0, 1 << 40, 1000).astype(np.uint64), rng.integers(0, 1 << 62, 1000).astype(np.uint64).repeat(2)):
+        want = np.unique(keys, return_inverse=True)
+        assert all(np.array_equal(a, b) for a, b in zip(lm.distinct_keys(keys), want, strict=True))
+
+
+def test_plain_words_of_slices():
+    """The words of any slice of an array, empty ones too."""
+    words = pa.array([b"", b"ab", "\u00e7".encode(), b"", b"x\x00y", b""], pa.large_binary())
+    for a, n in ((0, 6), (1, 3), (3, 1), (2, 0), (4, 2), (6, 0)):
+        assert words_module.plain(words.slice(a, n)) == words.slice(a, n).to_pylist()
+    assert words_module.bucket_of(words, 7).tolist() == [xxhash.xxh3_64_intdigest(w) % 7 for w in words.to_pylist()]
+
+
 def test_lm_base_and_score(docs):
     rest = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7
     got = lm.score_documents(docs, rest != 2).collect()
